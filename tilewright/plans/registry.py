@@ -1,4 +1,332 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries and their SQL twins.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Each entry applies one operator of the library to data derived from the given tables and states its output columns
+(``name:kind`` with l long, d double rounded to six places, s string). Both sides are brought to these types.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tilewright.functions import draws, pixels
+from tilewright.operators import algebra, augment, batches, jobs, layouts, metrics, pairing, runs, score
+from tilewright.plans import fixtures as fx
+from tilewright.plans.fixtures import K3, K4, SHAPE, draw_sql
+from tilewright.sources import images, masks, runlog, shared
+from tilewright.streaming import monitor
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+_SPARK = {"l": lambda c: F.col(c).cast("long"), "d": lambda c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0), "s": lambda c: F.col(c).cast("string")}
+_DUCK = {"l": "CAST({0} AS BIGINT)", "d": "round(CAST({0} AS DOUBLE), 6) + 0.0", "s": "CAST({0} AS VARCHAR)"}
+col = F.col
+
+
+def add(name: str, columns: str, make: Query, sql: str | None = None) -> None:
+    spec = [x.split(":") for x in columns.split()]
+    QUERIES[name] = lambda spark, d: make(spark, d).select(*[_SPARK[k](c).alias(c) for c, k in spec])
+    if sql is not None:
+        inner = fx.sql(sql)
+        SQL[name] = f"SELECT {', '.join(f'{_DUCK[k].format(c)} AS {c}' for c, k in spec)} FROM ({inner}) AS result"
+
+
+# Sources and sinks -----------------------------------------------------------------------------------------------
+
+
+def _png_dir(spark: SparkSession, d: str) -> str:
+    """The colour patches as image files ``{id}_sat.png``, and their masks ``{id}_mask.png``."""
+    path = shared.scratch(spark, "png")
+    rows = layouts.rasters_of(fx.patch3(spark, d).withColumn("v", col("b")).groupBy("image_id", "r", "c").agg(F.sort_array(F.collect_list(F.struct("ch", "v"))).alias("v")), ["image_id"]).select("image_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.flatten(F.transform("data", lambda p: F.transform(p, lambda x: x["v"]))).alias("data"))
+    masks.write_files(rows.select(F.concat(col("image_id").cast("string"), F.lit("_sat.png")).alias("name"), "height", "width", F.lit(3).alias("channels"), "data"), path)
+    return path
+
+
+def _image_sums(df: DataFrame) -> DataFrame:
+    return images.raster_pixels(df).groupBy("image_id", "ch").agg(F.sum("b").alias("total"), F.sum(col("b") * (col("r") * 8 + col("c") + 1)).alias("placed"), F.count(F.lit(1)).alias("n"))
+
+
+_SUMS = "SELECT CAST(image_id AS VARCHAR) AS image_id, ch, sum(b) AS total, sum(b * (r * 8 + c + 1)) AS placed, count(*) AS n FROM {} GROUP BY ALL"
+
+add("s1_list_images", "image_id:s present:l", lambda s, d: images.list_images(s, _png_dir(s, d)).select("image_id", (col("length") > 0).alias("present")), "SELECT DISTINCT image_id, 1 AS present FROM patch3")
+add("s2_scan_images", "image_id:s ch:l total:l placed:l n:l", lambda s, d: _image_sums(images.scan_images(s, _png_dir(s, d))), _SUMS.format("patch3"))
+
+
+def _grey_masks(spark: SparkSession, d: str) -> DataFrame:
+    path = shared.scratch(spark, "masks")
+    grey = layouts.rasters_of(fx.u8(spark, d).withColumn("v", pixels.binarise_mask(col("b")) * 255), ["image_id"])
+    masks.write_masks(grey.withColumn("channels", F.lit(1)), path)
+    return images.scan_masks(spark, path)
+
+
+add("s3_scan_masks_luma", "image_id:s total:l placed:l", lambda s, d: _image_sums(images.scan_masks(s, _png_dir(s, d), "*_sat.*").withColumn("image_id", F.lit("all"))).groupBy("image_id").agg(F.sum("total").alias("total"), F.sum("placed").alias("placed")), "SELECT 'all' AS image_id, sum(y) AS total, sum(y * (r * 8 + c + 1)) AS placed FROM (SELECT r, c, CAST(floor(0.114::DOUBLE * pb + 0.587::DOUBLE * pg + 0.299::DOUBLE * pr + 0.5) AS BIGINT) AS y FROM planes)")
+add("s4_write_masks", "image_id:s ch:l total:l placed:l n:l", lambda s, d: _image_sums(_grey_masks(s, d)), _SUMS.format("(SELECT image_id, 0 AS ch, r, c, CASE WHEN b >= 128 THEN 255 ELSE 0 END AS b FROM u8)"))
+
+
+def _refused(spark: SparkSession, d: str) -> DataFrame:
+    """Files written once; the second write is refused and changes nothing."""
+    path = shared.scratch(spark, "refused")
+    grey = layouts.rasters_of(fx.u8(spark, d).withColumn("v", col("b")), ["image_id"]).withColumn("channels", F.lit(1))
+    masks.write_masks(grey, path)
+    try:
+        masks.write_masks(grey.withColumn("data", F.transform("data", lambda x: x * 0)), path, if_exists="error")
+        refused = 0
+    except FileExistsError:
+        refused = 1
+    return _image_sums(images.scan_masks(spark, path)).agg(F.sum("total").alias("total"), F.lit(refused).alias("refused"))
+
+
+add("s5_refuse_existing", "total:l refused:l", _refused, "SELECT sum(b) AS total, 1 AS refused FROM u8")
+add("s6_mask_name", "path:s mask:s", lambda s, d: fx.catalogue(s, d)[0].select("path", pixels.mask_name(col("path")).alias("mask")), "SELECT path, regexp_replace(path, 'sat.jpg$', 'mask.png') AS mask FROM images")
+
+
+def _run_log(spark: SparkSession, d: str) -> DataFrame:
+    path = shared.scratch(spark, "runlog")
+    r = fx.runs(spark, d)
+    runlog.write_run_log(r, path)
+    runlog.write_run_log(r.where("run = 1"), path)  # a run that is written again replaces its own rows only
+    back = spark.read.parquet(path)
+    return runlog.log_text(back.select(col("run").cast("long").alias("run"), "epoch", "elapsed_s", "loss"))
+
+
+add("s7_write_run_log", "run:l epoch:l text:s", _run_log, "SELECT run, epoch, format('********\nepoch: {}     time: {}\ntrain_loss: {:.6f}\nSHAPE: (1024, 1024)', epoch, elapsed_s, loss) AS text FROM runs")
+
+
+def _log_back(spark: SparkSession, d: str) -> DataFrame:
+    path = shared.scratch(spark, "textlog")
+    runlog.write_text_log(fx.runs(spark, d), path)
+    return runlog.read_run_log(spark, path).withColumn("run", F.regexp_extract("file", r"run=(\d+)", 1).cast("long"))
+
+
+add("s8_read_run_log", "run:l epoch:l elapsed_s:l loss:d height:l width:l", _log_back, "SELECT run, epoch, elapsed_s, loss, 1024 AS height, 1024 AS width FROM runs")
+add("s9_best_checkpoint", "run:l epoch:l loss:d path:s", lambda s, d: runs.best_checkpoint(fx.runs(s, d)), "SELECT run, epoch, loss, 'weights/' || run || '.th' AS path FROM runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY loss, epoch) = 1")
+
+# Projections and predicates --------------------------------------------------------------------------------------
+
+
+def _all_files(spark: SparkSession, d: str) -> DataFrame:
+    i, m = fx.catalogue(spark, d)
+    return i.unionByName(m)
+
+
+add("p1_only_images", "path:s", lambda s, d: _all_files(s, d).where(pixels.is_image_name(col("path"))), "SELECT path FROM (SELECT * FROM images UNION ALL SELECT * FROM masks) WHERE contains(path, 'sat')")
+add("p2_image_id", "path:s image_id:s", lambda s, d: fx.catalogue(s, d)[0].select("path", pixels.image_id(col("path")).alias("image_id")), "SELECT path, regexp_extract(path, '([^/]+)_sat\\.[a-z]+$', 1) AS image_id FROM images")
+add("p3_normalise", "image_id:l r:l c:l x:d", lambda s, d: fx.u8(s, d).withColumn("x", pixels.normalise(col("b"))), "SELECT image_id, r, c, b / 255.0::DOUBLE * 3.2 - 1.6 AS x FROM u8")
+
+
+def _hwc(spark: SparkSession, d: str) -> DataFrame:
+    cells = F.sort_array(F.collect_list(F.struct("r", "c", "ch", "b")))
+    return fx.patch3(spark, d).groupBy("image_id").agg(F.transform(cells, lambda x: x["b"]).alias("data"))
+
+
+def _chw(spark: SparkSession, d: str) -> DataFrame:
+    return _hwc(spark, d).select("image_id", F.posexplode(layouts.to_chw(col("data"), F.lit(64), 3)).alias("p", "b"))
+
+
+add("p4_to_chw", "image_id:l p:l b:l", _chw, "SELECT image_id, ch * 64 + r * 8 + c AS p, b FROM patch3")
+add("p5_binarise_mask", "image_id:l r:l c:l t:l", lambda s, d: fx.u8(s, d).withColumn("t", pixels.binarise_mask(col("b"))), "SELECT image_id, r, c, CASE WHEN b / 255.0::DOUBLE >= 0.5 THEN 1 ELSE 0 END AS t FROM u8")
+add("p6_binarise_pred", "image_id:l r:l c:l p:l", lambda s, d: fx.pairs(s, d).withColumn("p", pixels.binarise_pred(col("q"))), "SELECT image_id, r, c, CASE WHEN q > 0.5 THEN 1 ELSE 0 END AS p FROM pairs")
+add("p7_tta_threshold", "image_id:l r:l c:l m:l", lambda s, d: score.tta_score(fx.u8(s, d), score.logistic(), SHAPE).withColumn("m", pixels.tta_threshold(col("q"))), "SELECT image_id, r, c, CASE WHEN q > 4 THEN 255 ELSE 0 END AS m FROM merged")
+add("p8_gray_to_bgr", "image_id:l p:l b:l", lambda s, d: layouts.rasters_of(fx.u8(s, d), ["image_id"], "b").select("image_id", F.posexplode(layouts.gray_to_bgr(col("data"))).alias("p", "b")), "SELECT image_id, (r * 8 + c) * 3 + k AS p, b FROM u8, range(3) t(k)")
+add("p9_casts", "image_id:l r:l c:l f:d byte:l", lambda s, d: fx.raster8(s, d).select("image_id", "r", "c", (col("v") * 127.5).cast("float").alias("f"), F.floor((col("v") + 1) * 127.5).cast("int").alias("byte")), "SELECT image_id, r, c, CAST(v * 127.5 AS FLOAT) AS f, CAST(floor((v + 1) * 127.5) AS BIGINT) AS byte FROM r8")
+add("p10_unit_axes", "image_id:l n:l height:l width:l channels:l", lambda s, d: layouts.rasters_of(fx.u8(s, d), ["image_id"], "b").select("image_id", F.lit(1).alias("n"), "height", "width", F.lit(1).alias("channels")), "SELECT image_id, 1 AS n, max(r) + 1 AS height, max(c) + 1 AS width, 1 AS channels FROM u8 GROUP BY image_id")
+add("p11_invert_mask", "image_id:l r:l c:l t:l", lambda s, d: fx.u8(s, d).withColumn("t", pixels.binarise_mask(col("b"), invert=True)), "SELECT image_id, r, c, CASE WHEN b >= 128 THEN 0 ELSE 1 END AS t FROM u8")
+add("p12_score_keeps_id", "image_id:l r:l c:l p:l", lambda s, d: score.score(fx.u8(s, d), score.logistic()).withColumn("p", pixels.binarise_pred(col("q"))), "SELECT image_id, r, c, CASE WHEN q > 0.5 THEN 1 ELSE 0 END AS p FROM scored1")
+
+# Joins -----------------------------------------------------------------------------------------------------------
+
+
+def _named(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    i, m = fx.catalogue(spark, d)
+    return i.select(pixels.image_id(col("path")).alias("image_id"), col("path").alias("image")), m.select(pixels.mask_id(col("path")).alias("image_id"), col("path").alias("mask"))
+
+
+_ID = "regexp_extract(path, '([0-9]+)_', 1)"
+add("j1_pair", "image_id:s image:s mask:s", lambda s, d: pairing.pair(*_named(s, d)), f"SELECT a.image_id, image, mask FROM (SELECT {_ID} AS image_id, path AS image FROM images) a JOIN (SELECT {_ID} AS image_id, path AS mask FROM masks) b USING (image_id)")
+add("j2_raster_audit", "image_id:s problem:s", lambda s, d: pairing.raster_audit(*_named(s, d)), f"SELECT {_ID} AS image_id, 'no mask' AS problem FROM images WHERE {_ID} NOT IN (SELECT {_ID} FROM masks)")
+add("j3_align", "image_id:l r:l c:l q:d t:l", lambda s, d: metrics.align(score.score(fx.u8(s, d), score.logistic()), fx.truth(s, d)), "SELECT image_id, r, c, q, t FROM scored1 JOIN truth USING (image_id, r, c)")
+_ORDER = "SELECT image_id, row_number() OVER (ORDER BY md5(concat_ws('|', '42', '{e}', CAST(image_id AS VARCHAR), 'order')), image_id) - 1 AS pos FROM (SELECT vec_id AS image_id FROM embeddings)"
+
+
+def _ids(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "embeddings").select(col("vec_id").alias("image_id"))
+
+
+add("j4_sample_at", "image_id:l pos:l", lambda s, d: batches.sample_at(batches.make_batches(_ids(s, d), 4), 17), f"SELECT * FROM ({_ORDER.format(e=0)}) WHERE pos = 17")
+add("j5_with_draws", "image_id:l u_scale:d u_dx:d", lambda s, d: pairing.with_draws(_ids(s, d), ["scale", "dx"]), f"SELECT vec_id AS image_id, {draw_sql('vec_id', 'scale')} AS u_scale, {draw_sql('vec_id', 'dx')} AS u_dx FROM embeddings")
+
+# Aggregations ----------------------------------------------------------------------------------------------------
+
+_BCE = "avg(-(t * greatest(ln(q), -100) + (1 - t) * greatest(ln(1 - q), -100)))"
+_DICE = "2 * sum(t * q) / nullif(sum(t) + sum(q), 0)"
+add("a1_bce", "image_id:l bce:d", lambda s, d: metrics.bce(fx.pairs(s, d), ["image_id"]), f"SELECT image_id, {_BCE} AS bce FROM pairs GROUP BY 1")
+add("a2_dice_batch", "batch_id:l dice:d", lambda s, d: metrics.dice(fx.pairs(s, d).withColumn("batch_id", F.floor(col("image_id") / 8)), ["batch_id"]), f"SELECT image_id // 8 AS batch_id, {_DICE} AS dice FROM pairs GROUP BY 1")
+add("a3_dice_per_image_mean", "dice:d", lambda s, d: metrics.dice(fx.pairs(s, d), ["image_id"], mean=True), f"SELECT avg(x) AS dice FROM (SELECT image_id, {_DICE} AS x FROM pairs GROUP BY 1)")
+add("a4_dice_loss", "label:l dice_loss:d", lambda s, d: metrics.dice_loss(fx.pairs(s, d), ["label"]), f"SELECT label, 1 - {_DICE} AS dice_loss FROM pairs GROUP BY 1")
+add("a5_dice_bce_loss", "label:l loss:d", lambda s, d: metrics.dice_bce_loss(fx.pairs(s, d), ["label"]), f"SELECT label, {_BCE} + 1 - {_DICE} AS loss FROM pairs GROUP BY 1")
+add("a5_dice_bce_loss_per_image", "label:l loss:d", lambda s, d: metrics.dice_bce_loss(fx.pairs(s, d), ["label"], batch=False), f"SELECT a.label, e + 1 - x AS loss FROM (SELECT label, {_BCE} AS e FROM pairs GROUP BY 1) a JOIN (SELECT label, avg(x) AS x FROM (SELECT label, image_id, {_DICE} AS x FROM pairs GROUP BY 1, 2) GROUP BY 1) b ON a.label = b.label")
+add("a6_iou", "image_id:l iou:d", lambda s, d: metrics.iou(fx.pairs(s, d), ["image_id"]), "SELECT image_id, sum(t * q) / nullif(sum(t) + sum(q) - sum(t * q), 0) AS iou FROM pairs GROUP BY 1")
+add("a7_epoch_loss", "label:l epoch_loss:d", lambda s, d: metrics.epoch_loss(metrics.dice_bce_loss(fx.pairs(s, d).withColumn("batch_id", F.floor(col("image_id") / 8)), ["label", "batch_id"]), ["label"]), f"SELECT label, avg(x) AS epoch_loss FROM (SELECT label, image_id // 8 AS b, {_BCE} + 1 - {_DICE} AS x FROM pairs GROUP BY 1, 2) GROUP BY 1")
+add("a8_n_samples", "n:l", lambda s, d: batches.n_samples(_ids(s, d)), "SELECT count(*) AS n FROM embeddings")
+add("a9_n_batches", "n:l", lambda s, d: batches.n_batches(_ids(s, d), 24), "SELECT (count(*) + 23) // 24 AS n FROM embeddings")
+add("a10_tta_merge", "image_id:l r:l c:l q:d", lambda s, d: score.tta_merge(score.tta_invert(score.score(score.tta_views(fx.u8(s, d), SHAPE), score.logistic()), SHAPE)), "SELECT * FROM merged")
+
+# Run analytics ---------------------------------------------------------------------------------------------------
+
+add("w1_make_batches", "image_id:l pos:l batch_id:l", lambda s, d: batches.make_batches(_ids(s, d), 8, epoch=3), f"SELECT *, pos // 8 AS batch_id FROM ({_ORDER.format(e=3)})")
+add("w2_running_best", "run:l epoch:l best:d", lambda s, d: runs.running_best(fx.runs(s, d)), "SELECT run, epoch, best FROM best")
+add("w3_improved", "run:l epoch:l improved:l", lambda s, d: runs.running_best(fx.runs(s, d)), "SELECT run, epoch, improved FROM improved")
+add("w4_plateau", "run:l epoch:l no_optim:l", lambda s, d: runs.plateau(fx.runs(s, d)), "SELECT run, epoch, no_optim FROM plateau")
+add("w5_lr_schedule", "run:l epoch:l cuts:l scaled:d", lambda s, d: runs.lr_schedule(fx.runs(s, d), patience=3).withColumn("scaled", F.log10("lr")), "SELECT run, epoch, cuts, log10(lr) AS scaled FROM schedule")
+add("w6_stop_epoch", "run:l stop_epoch:l reason:s", lambda s, d: runs.stop_epoch(fx.runs(s, d)), "SELECT * FROM stops")
+add("w7_epoch_seconds", "run:l epoch:l seconds:l", lambda s, d: runs.epoch_seconds(fx.runs(s, d)), "SELECT run, epoch, elapsed_s - lag(elapsed_s, 1, 0) OVER (PARTITION BY run ORDER BY epoch) AS seconds FROM runs")
+add("w8_active_checkpoint", "run:l epoch:l checkpoint:l", lambda s, d: runs.active_checkpoint(fx.runs(s, d)), "SELECT run, epoch, max(CASE WHEN improved = 1 THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS checkpoint FROM improved")
+add("w9_progress", "run:l epoch:l item:l elapsed_s:l", lambda s, d: runs.progress(fx.runs(s, d), "run", "epoch"), "SELECT run, epoch, epoch - 1 AS item, elapsed_s FROM runs WHERE (epoch - 1) % 10 = 0")
+add("w10_set_rate", "run:l epoch:l scaled:d", lambda s, d: runs.set_rate(fx.runs(s, d), F.when(col("epoch") % 5 == 0, 1e-4 / col("epoch"))).withColumn("scaled", F.log10("lr")), "SELECT run, epoch, log10(coalesce(last_value(CASE WHEN epoch % 5 = 0 THEN 1e-4 / epoch END IGNORE NULLS) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING), 2e-4)) AS scaled FROM runs")
+add("o1_random_order", "image_id:l pos:l", lambda s, d: batches.make_batches(_ids(s, d), 1, epoch=1), _ORDER.format(e=1))
+add("o2_first_epochs", "run:l epoch:l", lambda s, d: runs.first_epochs(fx.runs(s, d), 50), "SELECT run, epoch FROM runs WHERE epoch <= 50")
+add("o2_until_stop", "run:l epoch:l", lambda s, d: runs.until_stop(fx.runs(s, d)), "SELECT r.run, r.epoch FROM runs r LEFT JOIN stops s ON r.run = s.run WHERE s.stop_epoch IS NULL OR r.epoch <= s.stop_epoch")
+add("o3_best_epoch", "run:l epoch:l loss:d", lambda s, d: runs.best_checkpoint(fx.runs(s, d)), "SELECT run, epoch, loss FROM runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY loss, epoch) = 1")
+
+# Set operations --------------------------------------------------------------------------------------------------
+
+add("u1_stack_views", "image_id:l view:l r:l c:l b:l", lambda s, d: score.tta_views(fx.u8(s, d), SHAPE), "SELECT image_id, view, r, c, b FROM viewed")
+add("u2_stack_planes", "image_id:l ch:l r:l c:l b:l", lambda s, d: layouts.gray_planes(fx.u8(s, d)), "SELECT image_id, ch, r, c, b FROM u8, range(3) t(ch)")
+
+
+def _hsv_planes(spark: SparkSession, d: str) -> DataFrame:
+    p = layouts.split_channels(fx.patch3(spark, d), ["pb", "pg", "pr"], ["image_id", "r", "c"])
+    x = pixels.hsv(col("pb"), col("pg"), col("pr"))
+    return p.select("image_id", "r", "c", *[x[k].alias(k) for k in "hsv"])
+
+
+add("u3_split_merge", "image_id:l r:l c:l ch:l x:l", lambda s, d: layouts.merge_channels(_hsv_planes(s, d), ["h", "s", "v"], ["image_id", "r", "c"], "x"), "SELECT image_id, r, c, ch, CASE ch WHEN 0 THEN h WHEN 1 THEN s ELSE v END AS x FROM hsv, range(3) t(ch)")
+add("u4_concat_channels", "image_id:l ch:l r:l c:l b:l", lambda s, d: layouts.concat_channels(fx.patch3(s, d), fx.patch3(s, d).withColumn("b", 255 - col("b")), 3), "SELECT image_id, ch, r, c, b FROM patch3 UNION ALL SELECT image_id, ch + 3, r, c, 255 - b FROM patch3")
+
+# Scalar functions ------------------------------------------------------------------------------------------------
+
+add("f1_bgr_to_hsv", "image_id:l r:l c:l h:l s:l v:l", _hsv_planes, "SELECT image_id, r, c, h, s, v FROM hsv")
+
+
+def _round_trip(spark: SparkSession, d: str) -> DataFrame:
+    p = _hsv_planes(spark, d)
+    x = pixels.bgr(col("h"), col("s"), col("v"))
+    return p.select("image_id", "r", "c", *[x[k].alias(k + "_") for k in "bgr"])
+
+
+add("f2_hsv_to_bgr", "image_id:l r:l c:l b_:l g_:l r_:l", _round_trip, "WITH z AS (SELECT image_id, r, c, v, CAST(floor(h / 30.0::DOUBLE) AS BIGINT) % 6 AS k, v * (1 - s / 255.0::DOUBLE) AS p, v * (1 - s / 255.0::DOUBLE * (h / 30.0::DOUBLE - floor(h / 30.0::DOUBLE))) AS q, v * (1 - s / 255.0::DOUBLE * (1 - (h / 30.0::DOUBLE - floor(h / 30.0::DOUBLE)))) AS t FROM hsv) SELECT image_id, r, c, floor(CASE WHEN k IN (0, 1) THEN p WHEN k = 2 THEN t WHEN k IN (3, 4) THEN v ELSE q END + 0.5) AS b_, floor(CASE WHEN k = 0 THEN t WHEN k IN (1, 2) THEN v WHEN k = 3 THEN q ELSE p END + 0.5) AS g_, floor(CASE WHEN k IN (0, 5) THEN v WHEN k = 1 THEN q WHEN k IN (2, 3) THEN p ELSE t END + 0.5) AS r_ FROM z")
+add("f3_wrap_add", "image_id:l r:l c:l x:l", lambda s, d: fx.u8(s, d).withColumn("x", pixels.wrap_add(col("b"), F.lit(-150))), "SELECT image_id, r, c, (b - 150 + 256) % 256 AS x FROM u8")
+add("f4_saturating_add", "image_id:l r:l c:l x:l", lambda s, d: fx.u8(s, d).withColumn("x", pixels.saturating_add(col("b"), (col("r") - 4) * 30.25)), "SELECT image_id, r, c, least(255, greatest(0, floor(b + (r - 4) * 30.25 + 0.5))) AS x FROM u8")
+add("f5_uniform", "image_id:l x:d", lambda s, d: _ids(s, d).withColumn("x", draws.uniform(col("image_id"), "sat", -5, 5)), f"SELECT vec_id AS image_id, -5 + {draw_sql('vec_id', 'sat')} * 10 AS x FROM embeddings")
+add("f6_integer", "image_id:l x:l", lambda s, d: _ids(s, d).withColumn("x", draws.integer(col("image_id"), "hue", -30, 30)), f"SELECT vec_id AS image_id, -30 + floor({draw_sql('vec_id', 'hue')} * 61) AS x FROM embeddings")
+add("f7_gate", "image_id:l x:l", lambda s, d: _ids(s, d).withColumn("x", draws.gate(col("image_id"), "hflip").cast("int")), f"SELECT vec_id AS image_id, CAST({draw_sql('vec_id', 'hflip')} < 0.5 AS INT) AS x FROM embeddings")
+add("f8_round", "image_id:l r:l c:l x:l", lambda s, d: fx.u8(s, d).withColumn("x", F.round((col("b") - 128) / 2.0)), "SELECT image_id, r, c, round((b - 128) / 2.0::DOUBLE) AS x FROM u8")
+add("f9_trigonometry", "image_id:l r:l c:l s:d k:d q:d", lambda s, d: fx.raster8(s, d).select("image_id", "r", "c", F.sin(F.radians(col("v") * 90)).alias("s"), F.cos(F.radians(col("v") * 90)).alias("k"), F.sqrt(F.abs("v")).alias("q")), "SELECT image_id, r, c, sin(radians(v * 90)) AS s, cos(radians(v * 90)) AS k, sqrt(abs(v)) AS q FROM r8")
+
+
+def _affine(spark: SparkSession, d: str) -> DataFrame:
+    m = augment.affine(SHAPE, rotate=(-30, 30))
+    det = m["m_a"] * m["m_d"] - m["m_b"] * m["m_c"]
+    return _ids(spark, d).select("image_id", *[m[f"m_{k}"].alias(f"m_{k}") for k in "abcdxy"], (m["m_d"] / det).alias("inv_a"))
+
+
+add("f10_affine", "image_id:l m_a:d m_b:d m_c:d m_d:d m_x:d m_y:d inv_a:d", _affine, f"WITH z AS (SELECT vec_id AS image_id, 0.9 + {draw_sql('vec_id', 'scale')} * (1.1::DOUBLE - 0.9::DOUBLE) AS k, sqrt(0.9 + {draw_sql('vec_id', 'aspect')} * (1.1::DOUBLE - 0.9::DOUBLE)) AS a, radians(-30 + {draw_sql('vec_id', 'angle')} * 60) AS g, round((-0.1 + {draw_sql('vec_id', 'dx')} * 0.2) * 8) AS m_x, round((-0.1 + {draw_sql('vec_id', 'dy')} * 0.2) * 8) AS m_y FROM embeddings), y AS (SELECT *, cos(g) * k * a AS m_a, -sin(g) * k / a AS m_b, sin(g) * k / a AS m_c FROM z) SELECT image_id, m_a, m_b, m_c, m_a AS m_d, m_x, m_y, m_a / (m_a * m_a - m_b * m_c) AS inv_a FROM y")
+add("f11_sigmoid", "image_id:l r:l c:l x:d", lambda s, d: fx.raster8(s, d).withColumn("x", pixels.sigmoid(col("v") * 10)), "SELECT image_id, r, c, 1 / (1 + exp(-v * 10)) AS x FROM r8")
+add("f12_relu", "image_id:l r:l c:l x:d", lambda s, d: fx.raster8(s, d).withColumn("x", pixels.relu(col("v"))), "SELECT image_id, r, c, greatest(v, 0) AS x FROM r8")
+add("f13_substring", "path:s x:s", lambda s, d: fx.catalogue(s, d)[0].withColumn("x", F.substring(col("path"), F.lit(1), F.length("path") - 8)), "SELECT path, path[:-9] AS x FROM images")
+add("f14_contains", "path:s x:l", lambda s, d: _all_files(s, d).withColumn("x", pixels.is_image_name(col("path")).cast("int")), "SELECT path, CAST(contains(path, 'sat') AS INT) AS x FROM (SELECT * FROM images UNION ALL SELECT * FROM masks)")
+add("f15_format_path", "image_id:l x:s", lambda s, d: _ids(s, d).withColumn("x", pixels.image_name(col("image_id"))), "SELECT vec_id AS image_id, vec_id || '_sat.jpg' AS x FROM embeddings")
+add("f16_format_number", "run:l epoch:l x:s", lambda s, d: fx.runs(s, d).withColumn("x", F.format_string("%f %.2f %d", col("loss"), col("loss"), col("epoch"))), "SELECT run, epoch, format('{:.6f} {:.2f} {}', loss, loss, epoch) AS x FROM runs")
+
+# Augmentations ---------------------------------------------------------------------------------------------------
+
+add("g1_random_hsv", "image_id:l ch:l r:l c:l b:l", lambda s, d: augment.random_hsv(fx.patch3(s, d)), "SELECT * FROM coloured")
+add("g2_random_ssr", "image_id:l r:l c:l b:l", lambda s, d: augment.random_ssr(fx.u8(s, d), SHAPE), "SELECT * FROM warped")
+add("g3_random_hflip", "image_id:l r:l c:l b:l", lambda s, d: augment.random_hflip(fx.u8(s, d), SHAPE), fx.turn_sql("u8", "b", ("hflip",)))
+add("g4_random_vflip", "image_id:l r:l c:l b:l", lambda s, d: augment.random_vflip(fx.u8(s, d), SHAPE), fx.turn_sql("u8", "b", ("vflip",)))
+add("g5_random_rot90", "image_id:l r:l c:l b:l", lambda s, d: augment.random_rot90(fx.u8(s, d), SHAPE), fx.turn_sql("u8", "b", ("rot90",)))
+add("g6_augment_images", "image_id:l ch:l r:l c:l x:d", lambda s, d: augment.augment(fx.patch3(s, d), fx.u8(s, d), SHAPE)[0], f"SELECT image_id, ch, r, c, b / 255.0::DOUBLE * 3.2 - 1.6 AS x FROM ({fx.turn_sql('warped3', 'ch, b')})")
+add("g6_augment_masks", "image_id:l r:l c:l t:l", lambda s, d: augment.augment(fx.patch3(s, d), fx.u8(s, d), SHAPE)[1], f"SELECT image_id, r, c, CAST(b >= 128 AS INT) AS t FROM ({fx.turn_sql('warped', 'b')})")
+add("g7_ssr_with_turn", "image_id:l r:l c:l b:l", lambda s, d: augment.random_ssr(fx.u8(s, d), SHAPE, rotate=(-30, 30)), "SELECT * FROM warped_turn")
+
+# Scoring ---------------------------------------------------------------------------------------------------------
+
+
+def _rasters(spark: SparkSession, d: str) -> DataFrame:
+    return layouts.rasters_of(fx.u8(spark, d), ["image_id"], "b")
+
+
+add("t1_score_batches", "image_id:l r:l c:l q:d", lambda s, d: layouts.pixels_of(score.score_rasters(_rasters(s, d), score.logistic_factory(), 8).select("image_id", "q"), 8, "q", "q"), "SELECT * FROM scored1")
+add("t2_score_one", "image_id:l r:l c:l p:l", lambda s, d: score.score(fx.u8(s, d).where("image_id = 7"), score.logistic()).withColumn("p", pixels.binarise_pred(col("q"))), "SELECT image_id, r, c, CASE WHEN q > 0.5 THEN 1 ELSE 0 END AS p FROM scored1 WHERE image_id = 7")
+_GREY = "SELECT image_id, r, c, CAST(floor(0.114::DOUBLE * pb + 0.587::DOUBLE * pg + 0.299::DOUBLE * pr + 0.5) AS BIGINT) AS b FROM planes"
+add("t3_score_paths", "image_id:s r:l c:l p:l", lambda s, d: layouts.pixels_of(jobs.score_paths(s, _png_dir(s, d), score.logistic_factory()).select("image_id", "q"), 8, "q", "q").withColumn("p", pixels.binarise_pred(col("q"))), f"SELECT image_id, r, c, CASE WHEN 1 / (1 + exp(-(0.1 + 0.8 * (b / 255.0::DOUBLE * 3.2 - 1.6) + 0.05 * r - 0.03 * c))) > 0.5 THEN 1 ELSE 0 END AS p FROM ({_GREY})")
+add("t4_tta_views", "image_id:l view:l r:l c:l b:l", lambda s, d: score.tta_views(fx.u8(s, d), SHAPE), "SELECT image_id, view, r, c, b FROM viewed")
+add("t5_tta_invert", "image_id:l view:l r:l c:l q:d", lambda s, d: score.tta_invert(score.score(score.tta_views(fx.u8(s, d), SHAPE), score.logistic()), SHAPE), "SELECT * FROM inverted")
+add("t6_tta_score", "image_id:l r:l c:l q:d", lambda s, d: score.tta_score(fx.u8(s, d), score.logistic(), SHAPE), "SELECT * FROM merged")
+add("t6_tta_score_fused", "image_id:l r:l c:l q:d", lambda s, d: layouts.pixels_of(score.score_rasters(_rasters(s, d), score.logistic_factory(), 8, views=True).select("image_id", "q"), 8, "q", "q"), "SELECT * FROM merged")
+
+
+def _job(spark: SparkSession, d: str) -> DataFrame:
+    dst = shared.scratch(spark, "predicted")
+    jobs.predict_job(spark, _png_dir(spark, d), dst, score.logistic_factory())
+    return _image_sums(images.scan_images(spark, dst, "*_mask.*").withColumn("image_id", F.lit("all"))).groupBy("ch").agg(F.sum("n").alias("n"), F.sum((col("total") >= 0).cast("int")).alias("files"))
+
+
+add("t7_predict_job", "ch:l n:l files:l", _job, "SELECT ch, count(DISTINCT image_id) * 64 AS n, 1 AS files FROM patch3 GROUP BY ch")
+
+# Map algebra -----------------------------------------------------------------------------------------------------
+
+_FOCAL = "SELECT s.image_id, r - (i - 1) * {d} AS r, c - (j - 1) * {d} AS c, sum(w * v) AS v FROM {src} s, k3 WHERE r - (i - 1) * {d} BETWEEN 0 AND 7 AND c - (j - 1) * {d} BETWEEN 0 AND 7 GROUP BY ALL"
+add("m1_focal", "image_id:l r:l c:l v:d", lambda s, d: algebra.focal(fx.raster8(s, d), K3, SHAPE, dilation=2), _FOCAL.format(src="r8", d=2))
+_RELU = "SELECT image_id, r, c, greatest(v, 0) AS v FROM ({})"
+_STEPS = [_RELU.format(_FOCAL.format(src="r8", d=1)), _RELU.format(_FOCAL.format(src="step1", d=2)), _RELU.format(_FOCAL.format(src="step2", d=4))]
+add("m2_multi_rate_focal", "image_id:l r:l c:l v:d", lambda s, d: algebra.multi_rate_focal(fx.raster8(s, d), K3, SHAPE, rates=(1, 2, 4)).withColumn("v", col("v") / 1000), f"WITH step1 AS ({_STEPS[0]}), step2 AS ({_STEPS[1]}), step3 AS ({_STEPS[2]}) SELECT image_id, r, c, sum(v) / 1000 AS v FROM (SELECT image_id, r, c, v FROM r8 UNION ALL SELECT * FROM step1 UNION ALL SELECT * FROM step2 UNION ALL SELECT * FROM step3) GROUP BY ALL")
+add("m3_block_max", "image_id:l r:l c:l v:d", lambda s, d: algebra.block_max(fx.raster8(s, d)), "SELECT image_id, r // 2 AS r, c // 2 AS c, max(v) AS v FROM r8 GROUP BY ALL")
+add("m4_upsample", "image_id:l r:l c:l v:d", lambda s, d: algebra.upsample(fx.raster8(s, d), K4, SHAPE), "SELECT image_id, 2 * r + i - 1 AS r, 2 * c + j - 1 AS c, sum(w * v) AS v FROM r8, k4 WHERE 2 * r + i - 1 BETWEEN 0 AND 15 AND 2 * c + j - 1 BETWEEN 0 AND 15 GROUP BY ALL")
+add("m5_standardise", "image_id:l ch:l r:l c:l b:d", lambda s, d: algebra.standardise(fx.patch3(s, d)), "SELECT image_id, p.ch, r, c, (b - m) / sqrt(s + 1e-5) AS b FROM patch3 p JOIN (SELECT ch, avg(b) AS m, var_pop(b) AS s FROM patch3 GROUP BY ch) x ON p.ch = x.ch")
+add("m5_standardise_frozen", "image_id:l ch:l r:l c:l b:d", lambda s, d: algebra.standardise(fx.patch3(s, d), statistics=algebra.channel_statistics(fx.patch3(s, d).where("image_id < 50"))), "SELECT image_id, p.ch, r, c, (b - m) / sqrt(s + 1e-5) AS b FROM patch3 p JOIN (SELECT ch, avg(b) AS m, var_pop(b) AS s FROM patch3 WHERE image_id < 50 GROUP BY ch) x ON p.ch = x.ch")
+add("m6_raster_add", "image_id:l r:l c:l v:d", lambda s, d: algebra.raster_add(fx.raster8(s, d).drop("label"), fx.raster8(s, d).select((col("image_id") - 1).alias("image_id"), "r", "c", "v")), "SELECT a.image_id, a.r, a.c, a.v + b.v AS v FROM r8 a JOIN r8 b ON a.image_id = b.image_id - 1 AND a.r = b.r AND a.c = b.c")
+add("m7_band_math", "image_id:l ch:l r:l c:l v:d", lambda s, d: algebra.band_math(fx.patch3(s, d), [[0.114, 0.587, 0.299], [1, -1, 0]]), "SELECT image_id, o AS ch, r, c, sum(b * CASE WHEN o = 0 THEN CASE ch WHEN 0 THEN 0.114 WHEN 1 THEN 0.587 ELSE 0.299 END ELSE CASE ch WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END END::DOUBLE) AS v FROM patch3, range(2) t(o) GROUP BY ALL")
+
+# Streaming and plug-ins ------------------------------------------------------------------------------------------
+
+
+def _monitor(spark: SparkSession, d: str) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    key, was = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(key, monitor.STATE_STORE)
+    try:
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+        # the event number stands for the epoch: it grows within a run
+        return monitor.run_available(monitor.monitor(stream.select(col("user_id").alias("run"), col("event_id").alias("epoch"), col("value").alias("loss"))), shared.scratch(spark, "monitor"))
+    finally:
+        spark.conf.set(key, was)
+
+
+add("x1_stream_monitor", "run:l epoch:l best:d improved:l no_optim:l cuts:l", _monitor, "SELECT e.user_id AS run, e.event_id AS epoch, best, improved, no_optim, cuts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS epoch FROM events) e JOIN rates s ON e.user_id = s.run AND e.epoch = s.epoch")
+
+
+def _arriving(spark: SparkSession, d: str) -> DataFrame:
+    rows = monitor.run_available(monitor.score_stream(spark, _png_dir(spark, d), score.logistic_factory()), shared.scratch(spark, "arrived"))
+    return layouts.pixels_of(rows.select("image_id", "q"), 8, "q", "q").groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+add("x2_stream_scores", "image_id:s n:l", _arriving, "SELECT image_id, 64 AS n FROM (SELECT DISTINCT image_id FROM patch3)")
+add("x3_plugin_model", "image_id:l r:l c:l q:d", lambda s, d: score.score(fx.u8(s, d), lambda x, r, c: pixels.sigmoid(x * 2 - r + c)), "SELECT image_id, r, c, 1 / (1 + exp(-((b / 255.0::DOUBLE * 3.2 - 1.6) * 2 - r + c))) AS q FROM u8")
+add("x4_plugin_loss", "label:l mse:d", lambda s, d: metrics.evaluate(fx.pairs(s, d), {"mse": lambda t, q: F.avg((t - q) * (t - q))}, ["label"]), "SELECT label, avg((t - q) * (t - q)) AS mse FROM pairs GROUP BY 1")
+add("x5_plugin_loader", "image_id:l r:l c:l x:d", lambda s, d: fx.u8(s, d).transform(lambda df: augment.random_hflip(df, SHAPE, u=1.0)).withColumn("x", pixels.normalise(col("b"))), "SELECT image_id, r, 7 - c AS c, b / 255.0::DOUBLE * 3.2 - 1.6 AS x FROM u8")
+
+
+def _flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Eight-view scoring, threshold, and overlap with the truth for each label."""
+    mask = score.tta_score(fx.u8(spark, d), score.logistic(), SHAPE).select("image_id", "r", "c", (pixels.tta_threshold(col("q")) / 255).alias("q"))
+    labels = fx.table(spark, d, "embeddings").select(col("vec_id").alias("image_id"), "label")
+    both = metrics.align(mask, fx.truth(spark, d)).join(labels, "image_id")
+    return metrics.evaluate(both, {"dice": metrics.dice_agg, "iou": metrics.iou_agg}, ["label"])
+
+
+add("flagship_tta_dice", "label:l dice:d iou:d", _flagship, f"SELECT label, {_DICE} AS dice, sum(t * q) / nullif(sum(t) + sum(q) - sum(t * q), 0) AS iou FROM (SELECT e.label, t, CASE WHEN m.q > 4 THEN 1.0 ELSE 0.0 END AS q FROM merged m JOIN truth USING (image_id, r, c) JOIN embeddings e ON e.vec_id = m.image_id) GROUP BY 1")
