@@ -66,7 +66,7 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, chars: int = 4_00
 class _Hashes(dict):
     """Word to 64-bit hash, emptied when it has grown to ``most`` words."""
 
-    most = 400_000
+    most = 150_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
