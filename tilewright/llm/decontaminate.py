@@ -95,7 +95,7 @@ def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = shingler.words(t)
                 s = np.concatenate([windows(w, n) for n in runs]) if runs else w[:0]
-                s = np.unique(s[filt.has(s).astype(bool)])
+                s = np.unique(s[filt.has(s)])
                 if len(s):
                     got.append((i, size_class(len(s)), xxhash.xxh3_128_digest(s.tobytes()), s.view(np.int64)))
             ids, part, digest, s = zip(*got, strict=True) if got else ((), (), (), ())

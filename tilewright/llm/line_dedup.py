@@ -45,9 +45,9 @@ def text_keys(text: bytes | None, least: int) -> set[bytes]:
     return {k for k in map(line_key, (text or b"").split(b"\n")) if is_long(k, least)}
 
 
-def bloom_places(h: np.ndarray, bits: int) -> np.ndarray:
-    a, b = mix(h), mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
-    return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(HASHES)])
+def bloom_places(h: np.ndarray, bits: int, i: int) -> np.ndarray:
+    """The ``i``-th place of each hash among ``bits`` (a power of two): another stretch of the mixed hash, added to."""
+    return (mix(h) + np.uint64(i) * (h | np.uint64(1))) >> np.uint64(64 - bits.bit_length() + 1)
 
 
 class Bloom:
@@ -56,12 +56,18 @@ class Bloom:
         self.data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(bits // 8, np.uint8)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        p = bloom_places(h, self.bits)
-        return np.logical_and.reduce((self.data[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1)
+        """Whether each hash may have been added; later places are looked up for the survivors alone."""
+        out, at = np.zeros(len(h), bool), np.arange(len(h))
+        for i in range(HASHES):
+            p = bloom_places(h[at], self.bits, i)
+            at = at[((self.data[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
+        out[at] = True
+        return out
 
     def add(self, h: np.ndarray) -> None:
-        p = bloom_places(h, self.bits).ravel()
-        np.bitwise_or.at(self.data, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+        for i in range(HASHES):
+            p = bloom_places(h, self.bits, i)
+            np.bitwise_or.at(self.data, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
 
 
 def _texts(batch: pa.RecordBatch, i: int = 1) -> list[bytes | None]:
@@ -77,7 +83,7 @@ def twice_seen(lines: DataFrame, bits: int, segments: int, least: int) -> dict[i
             h, n = np.unique(np.array(found, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(segments)).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n > 1)], names=["segment", "h", "twice"])
 
-    own = max(64, bits // segments // 8 * 8)
+    own = 1 << max(6, (bits // segments).bit_length() - 1)  # a power of two
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[Bloom, Bloom]] = {}
@@ -87,7 +93,7 @@ def twice_seen(lines: DataFrame, bits: int, segments: int, least: int) -> dict[i
             for s in np.unique(seg).tolist():
                 once, twice = seen.setdefault(s, (Bloom(own), Bloom(own)))
                 mine, n = np.unique(h[seg == s], return_counts=True)
-                again = (n > 1) | np.isin(mine, h[(seg == s) & many]) | once.has(mine).astype(bool)
+                again = (n > 1) | np.isin(mine, h[(seg == s) & many]) | once.has(mine)
                 twice.add(mine[again])
                 once.add(mine[~again])
         for s, (_, twice) in seen.items():
