@@ -12,6 +12,7 @@ tokenizers library does by default; repeated rows give repeated results; other c
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
@@ -163,11 +164,17 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+@functools.cache
+def load(tokenizer_file: str) -> ByteBPE:
+    """One for each worker process: later tasks of a worker find its words."""
+    return ByteBPE(tokenizer_file)
+
+
 def encode_documents(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(tokenizer_file)
+        bpe = load(tokenizer_file)
         for b in pieces(batches):
             ids = bpe.encode_batch([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
@@ -179,7 +186,7 @@ def decode_documents(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
     """Per row of ``encode_documents``: doc_id, ids, n_tokens, text (special tokens kept)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(tokenizer_file)
+        bpe = load(tokenizer_file)
         for b in pieces(batches):
             texts = [bpe.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "n_tokens", "text"])

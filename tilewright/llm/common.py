@@ -66,7 +66,7 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, chars: int = 4_00
 class _Hashes(dict):
     """Word to 64-bit hash, emptied when it has grown to ``most`` words."""
 
-    most = 150_000
+    most = 300_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
@@ -96,11 +96,15 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+#: One for each worker process, so that later tasks of a worker find its words.
+_HASHES = _Hashes()
+
+
 class Shingler:
     """Word runs of a text as 64-bit hashes. Lower-cased ``\\w+`` words; a shorter text is one run of all its words."""
 
     def __init__(self, size: int = SHINGLE_WORDS):
-        self.size, self.hashes = size, _Hashes()
+        self.size, self.hashes = size, _HASHES
 
     def words(self, text: str | None) -> np.ndarray:
         found = WORD.findall((text or "").lower())

@@ -12,6 +12,7 @@ text; a null id sorts first; other columns of the table are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -44,11 +45,28 @@ class CachedEncoder:
     emptied at ``most`` words.
     """
 
-    def __init__(self, tokenizer_file: str, dtype, most: int = 400_000):
+    def __init__(self, tokenizer_file: str, dtype, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok, self.dtype, self.most, self.cache = Tokenizer.from_file(tokenizer_file), dtype, most, {}
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _words(self, words: list[str], together: int = 128) -> list[bytes]:
+        """Ids of each word. Words are encoded ``together``, a blank between them, and parted after word-end tokens."""
+        groups = [words[i : i + together] for i in range(0, len(words), together)]
+        out: list[bytes] = []
+        for g, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(g) and cuts[-1] == len(ids):
+                raw, places, item = ids.astype(self.dtype).tobytes(), cuts.tolist(), np.dtype(self.dtype).itemsize
+                out += [raw[a * item : b * item] for a, b in zip([0, *places], places, strict=False)]
+            else:
+                out += self._whole(g)
+        return out
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -59,11 +77,17 @@ class CachedEncoder:
         if len(self.cache) > self.most:
             self.cache.clear()
         new = list(set().union(*(w for w in words if w)).difference(self.cache))
-        self.cache.update(zip(new, self._whole(new), strict=True))
+        self.cache.update(zip(new, self._words(new), strict=True))
         get, rest = self.cache.__getitem__, iter(self._whole([t for t, w in zip(texts, words, strict=True) if w is None]))
         return [next(rest) if w is None else b"".join(map(get, w)) for w in words]
 
 
+@functools.cache
+def load(tokenizer_file: str, dtype: str) -> CachedEncoder:
+    """One for each worker process: later tasks of a worker find its words."""
+    return CachedEncoder(tokenizer_file, dtype)
+
+
 class ShardWriter:
     """Packs token bytes into fixed-length sequences; writes to hidden names and renames when whole."""
 
@@ -131,7 +155,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     end = np.array([end_id], dtype).tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, encoder, writer = TaskContext.get(), CachedEncoder(tokenizer_file, dtype), None
+        task, encoder, writer = TaskContext.get(), load(tokenizer_file, dtype), None
         for b in pieces(batches):
             if writer is None:
                 writer = ShardWriter(path, task.partitionId(), f"{task.stageId()}-{task.taskAttemptId()}", dtype, seq_len)
