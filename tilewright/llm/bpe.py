@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import pieces, table
+from tilewright.llm.common import arrow_map, pieces, table
 from tilewright.llm.wordsplit import byte_words
 
 LONG = 256
@@ -179,7 +179,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc
             ids = bpe.encode_batch([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, n_tokens long")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, ids binary, n_tokens long")
 
 
 def decode_documents(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
@@ -191,7 +191,7 @@ def decode_documents(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
             texts = [bpe.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "n_tokens", "text"])
 
-    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, "doc_id long, ids binary, n_tokens long, text string")
+    return arrow_map(encoded.select("doc_id", "ids", "n_tokens"), run, "doc_id long, ids binary, n_tokens long, text string")
 
 
 def digests(docs: DataFrame, tokenizer_file: str) -> DataFrame:

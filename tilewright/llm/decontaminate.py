@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import SHINGLE_WORDS, Shingler, cut, mix, pieces, table, windows
+from tilewright.llm.common import SHINGLE_WORDS, Shingler, arrow_map, cut, mix, pieces, table, windows
 from tilewright.llm.line_dedup import Bloom
 
 CONTAINMENT = 0.8
@@ -101,7 +101,7 @@ def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
             ids, part, digest, s = zip(*got, strict=True) if got else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(part, pa.int32()), pa.array(digest, pa.binary()), pa.array(s, pa.list_(pa.int64()))], names=["doc_id", "part", "digest", "shingles"])
 
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rests, "doc_id long, part int, digest binary, shingles array<long>")
+    found = arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), rests, "doc_id long, part int, digest binary, shingles array<long>")
     found = cut(found.withColumn("row", F.monotonically_increasing_id()), "rests")
     # documents with the same rest (copies; one passage in many documents) are searched once
     one = found.join(found.groupBy("digest").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import pieces, table
+from tilewright.llm.common import arrow_map, pieces, table
 
 LONGEST = 4
 BINS = 1 << 18
@@ -145,7 +145,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             names, scores = held.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
@@ -157,7 +157,7 @@ def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", mi
             names, scores = held.value.predict(b.column(at).to_pylist())
             yield b.filter(pa.array([n != UND and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def fold(id_col: str = "doc_id") -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import cut, mix, partitions, pieces, table, without
+from tilewright.llm.common import arrow_map, cut, mix, partitions, pieces, table, without
 
 STRIP = b" \t\n\x0b\x0c\r"
 BLOOM_BITS = 1 << 26
@@ -99,7 +99,7 @@ def twice_seen(lines: DataFrame, bits: int, segments: int, least: int) -> dict[i
         for s, (_, twice) in seen.items():
             yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "data": [twice.data.tobytes()]})
 
-    out = lines.mapInArrow(hashes, "segment int, h long, twice boolean").repartition(segments, "segment").mapInArrow(fill, "segment int, data binary")
+    out = arrow_map(lines, hashes, "segment int, h long, twice boolean").repartition(segments, "segment").mapInArrow(fill, "segment int, data binary")
     return {r["segment"]: bytes(r["data"]) for r in out.collect()}
 
 
@@ -126,7 +126,7 @@ def dropped_keys(docs: DataFrame, *, id_col: str, text_col: str, min_chars: int,
             at = np.flatnonzero(hit)
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([keys[i] for i in at], pa.binary())], names=["_id", "key"])
 
-    found = cut(lines.mapInArrow(suspects, "_id long, key binary"), "suspect-lines")
+    found = cut(arrow_map(lines, suspects, "_id long, key binary"), "suspect-lines")
     kept = found.groupBy("key").agg(F.count_distinct("_id").alias("n"), F.max("_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper")
     return found.join(kept, "key").where("_id <> keeper").groupBy("_id").agg(F.collect_set("key").alias("_keys"))
 
@@ -154,7 +154,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_lines", "n_dropped"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return joined.mapInArrow(rewrite, f"{schema}, n_lines long, n_dropped long")
+    return arrow_map(joined, rewrite, f"{schema}, n_lines long, n_dropped long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

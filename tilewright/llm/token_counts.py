@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import pieces, table
+from tilewright.llm.common import arrow_map, pieces, table
 
 MARK = "▁"
 ZIPF_SHIFT = 2.7
@@ -99,7 +99,7 @@ def count_tokens(docs: DataFrame, vocabulary: list[str], *, id_col: str = "doc_i
             counts = {w: trie.count(MARK + w) for w in set().union(*words)}
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([sum(map(counts.__getitem__, w)) for w in words], pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_pretokens long, n_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import new_path, partitions, pieces, table
+from tilewright.llm.common import arrow_map, new_path, partitions, pieces, table
 from tilewright.llm.token_store import open_fs
 
 BLOCK = 1 << 20
@@ -81,7 +81,7 @@ def write_archives(classified: DataFrame, path: str, level: int = 1) -> list[str
             fs.move(hidden, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"path": [f"{path}/{name}"], "n": pa.array([n], pa.int64())})
 
-    done = classified.select("page_id", "payload", "payload_digest", "refers_to").mapInArrow(write, "path string, n long")
+    done = arrow_map(classified.select("page_id", "payload", "payload_digest", "refers_to"), write, "path string, n long")
     return sorted(r["path"] for r in done.collect())
 
 
