@@ -5,8 +5,9 @@
 2. The twice-seen filters of all segments together have ``bloom_bits`` bits whatever the input's size; that is the
    broadcast's bound. With too few bits more lines are suspected; results don't change.
 3. Lines that the filter suspects are written with their whole keys, counted exactly by key, and the surviving
-   occurrence (the largest document id) is chosen. A line in a third of all documents is pre-aggregated in each task,
-   and AQE can split its part of the join.
+   occurrence (the largest document id) is chosen. A line in a third of all documents is counted by line and document
+   first. The chosen lines are written, so that the join back isn't bound to their aggregation: Spark broadcasts a
+   small table, and splits a common line's part of a larger join.
 4. Documents meet their own dropped keys by id and are rewritten.
 
 Defined cases: null or empty text is one empty line and becomes the empty text; rows with one id are one document (all
@@ -127,7 +128,8 @@ def dropped_keys(docs: DataFrame, *, id_col: str, text_col: str, min_chars: int,
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([keys[i] for i in at], pa.binary())], names=["_id", "key"])
 
     found = cut(arrow_map(lines, suspects, "_id long, key binary"), "suspect-lines")
-    kept = found.groupBy("key").agg(F.count_distinct("_id").alias("n"), F.max("_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper")
+    counts = found.groupBy("key").agg(F.count_distinct("_id").alias("n"), F.max("_id").alias("keeper"))
+    kept = cut(counts.where(F.col("n") >= min_docs).select("key", "keeper"), "repeated-lines")
     return found.join(kept, "key").where("_id <> keeper").groupBy("_id").agg(F.collect_set("key").alias("_keys"))
 
 
