@@ -178,6 +178,34 @@ def test_near_dedup(spark, odd, none):
     assert sorted(r["doc_id"] for r in near_dedup.keep_one(docs).collect()) == sorted(set(groups(texts).values()))
 
 
+def test_near_dedup_finds_pairs_inside_a_family_just_below(spark):
+    """Documents that share a long passage (similarity 0.75), among them pairs of 0.80 to 0.82."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage, texts, ids = [word() for _ in range(261)], {}, rng.sample(range(10_000), 600)
+    for k in range(0, 600, 2):
+        more = [word() for _ in range(rng.choice((11, 12, 13)))] if k < 200 else []
+        for i in ids[k : k + 2]:
+            texts[i] = " ".join(passage + more + [word() for _ in range(43 - len(more))])
+    want = groups(texts)
+    assert len(set(want.values())) == 500
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()} == want
+
+
+def test_prefix_keys_meet():
+    rng = np.random.default_rng(5)
+    counts = np.full(near_dedup.BINS, 9, np.uint32)
+    for _ in range(300):
+        n, pool = int(rng.integers(1, 120)), np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))
+        rng.shuffle(pool)
+        for cut_a, add_b in ((0, n // 4), (n // 9, n // 9), (n // 5, 0)):
+            a, b = np.unique(pool[: n - cut_a]), np.unique(pool[: n + add_b] if not cut_a else pool[cut_a : n + add_b])
+            common = len(np.intersect1d(a, b))
+            if common and common / (len(a) + len(b) - common) >= 0.8:
+                assert len(np.intersect1d(near_dedup.prefix_keys(a, counts, 0.8), near_dedup.prefix_keys(b, counts, 0.8)))
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(2)
     e = rng.integers(0, 1 << 63, 300).astype(np.uint64)

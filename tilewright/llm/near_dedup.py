@@ -13,9 +13,11 @@ Two documents agree in a coordinate with the probability of their weighted Jacca
 4. Links are confirmed by exact Jaccard similarity of the shingle sets; the connected components of the confirmed links
    are the classes so far.
 5. Buckets that still hold two classes are dealt anew by one more common band, up to ``DEPTH`` bands, and linked again
-   by their ends. A member that is near to none of the ends it meets, in any bucket of one or two of its bands, can be
-   missed; the README has the share measured against brute force.
-6. A class is named by its smallest id.
+   by their ends.
+6. Members of buckets of one band that still hold two classes may be near to others than the ends they met. A prefix
+   filter join over all of them finds every link that is left between two classes (``candidates``), so no link between
+   documents that share a band is lost.
+7. A class is named by its smallest id.
 
 Defined cases: documents without a word (null, empty, punctuation) are near only to rows with the same text (null as
 empty); shorter texts than a shingle are one shingle; repeated ids are kept, one row of the result each; a null id takes
@@ -24,8 +26,9 @@ part as an id below all others and is returned as null; rows of one id count as
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,13 @@ BANDS, ROWS = 24, 6
 SIMILARITY = 0.8
 DEPTH = 2
 NULL_ID = -(1 << 63)
+#: Bins of the tables that say how rare a shingle is and which keys two classes share; they save work only.
+BINS = 1 << 21
+PARTS = 32
+#: Members of one class and key that go through the join in one row, about.
+BLOCK = 256
+#: Set sizes from which tiers of a factor of about 1.03 begin.
+TIERS = np.unique((1.03 ** np.arange(730)).astype(np.int64))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -193,16 +203,131 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.select("rep", "used", F.xxhash64("used").alias("key"))
 
 
+def prefix_keys(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a set, of which two sets of at least this similarity have one in common.
+
+    Sets of n and m shingles must share ``o = similarity / (1 + similarity) * (n + m)``, so the first ``n - o + 1`` and
+    ``m - o + 1`` of them in one common order, here the rarest first, share one. ``o`` depends on both sizes, so each
+    tier of the other's size has keys of its own, for the smallest size in it. Shingles of no other set are left out.
+    """
+    n, c = len(shingles), counts[shingles % np.uint64(BINS)]
+    order = np.lexsort((shingles, c))
+    s, alone = shingles[order], int((c < 2).sum())
+    least, most = math.ceil(similarity * n - 1e-9), math.floor(n / similarity + 1e-9)
+    own, *others = np.searchsorted(TIERS, [n, least, most], "right") - 1
+    out = []
+    for k in range(others[0], others[1] + 1):
+        o = math.ceil(similarity / (1 + similarity) * (n + max(least, int(TIERS[k]))) - 1e-9)
+        if n - o + 1 > alone:
+            out.append(mix(s[alone : n - o + 1] ^ mix(np.array([min(own, k) << 16 | max(own, k)], np.uint64))))
+    return np.concatenate(out) if out else shingles[:0]
+
+
+def gathered(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.ndarray], join: np.ufunc, end: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Tables of BINS rows, made in at most eight tasks, joined part by part in tasks; the driver gets ``end`` of them,
+    a byte for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, x in enumerate(np.split(make(batches), PARTS)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())], names=["part", "data", "width"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        width = t.column("width")[0].as_py()
+        whole = join.reduce([np.frombuffer(x.as_py(), np.uint32).reshape(-1, width) for x in t.column("data")])
+        return pa.table({"part": t.column("part").slice(0, 1), "data": pa.array([end(whole).astype(np.uint8).tobytes()], pa.binary())})
+
+    parts = rows.coalesce(8).mapInArrow(run, "part int, data binary, width int").groupBy("part").applyInArrow(merge, "part int, data binary")
+    return np.concatenate([np.frombuffer(r["data"], np.uint8) for r in sorted(parts.collect(), key=lambda r: r["part"])])
+
+
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte, in the same order; exact up to 128."""
+    n = counts[:, 0]
+    return np.where(n <= 128, n, np.minimum(255, 128 + 8 * np.log2(np.maximum(n, 128) / 128)))
+
+
+def two_classes(ends: np.ndarray) -> np.ndarray:
+    """Whether a bin's classes differ in either half; an empty bin has its initial values."""
+    return (ends != 0xFFFFFFFF).any(1) & ((ends[:, 0] != ~ends[:, 1]) | (ends[:, 2] != ~ends[:, 3]))
+
+
+def candidates(rest: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Pairs (a, b) of members (rep, own) of different classes, among them all of at least this similarity.
+
+    The order of the shingles and the keys' filter come from tables of a fixed number of bins: what falls into one bin
+    makes more candidates, never less.
+    """
+    spark = docs.sparkSession
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size)
+        for b in pieces(batches):
+            found = [shingler.distinct(t).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.int64()))], names=["rep", "own", "shingles"])
+
+    texts = docs.join(rest.withColumnRenamed("rep", "_id"), "_id").select("_id", "text", "own")
+    rows = cut(arrow_map(texts, sets, "rep long, own long, shingles array<long>"), "rest-shingles")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((BINS, 1), np.uint32)
+        for b in batches:
+            out[:, 0] += np.bincount((b.column(2).flatten().to_numpy().view(np.uint64) % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.uint32)
+        return out
+
+    counts = spark.sparkContext.broadcast(gathered(rows, count, np.add, rarity))
+
+    def keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [prefix_keys(s.values.to_numpy().view(np.uint64), counts.value, similarity) for s in b.column(2)]
+        n = [len(k) for k in found]
+        return np.concatenate(found), *(np.repeat(b.column(i).to_numpy(), n) for i in (0, 1))
+
+    def owners(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        """Of both halves of the classes in a bin the least and the complement of the largest, joined by the minimum."""
+        out = np.full((BINS, 4), 0xFFFFFFFF, np.uint32)
+        for x in batches:
+            for b in slices(x):
+                key, _, own = keys(b)
+                at, own = (key % np.uint64(BINS)).astype(np.int64), own.view(np.uint64)
+                for k, h in enumerate((own.astype(np.uint32), (own >> np.uint64(32)).astype(np.uint32))):
+                    np.minimum.at(out[:, 2 * k], at, h)
+                    np.minimum.at(out[:, 2 * k + 1], at, ~h)
+        return out
+
+    shared = spark.sparkContext.broadcast(gathered(rows, owners, np.minimum, two_classes) > 0)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for b in slices(x):
+                key, rep, own = keys(b)
+                hit = shared.value[(key % np.uint64(BINS)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[hit].view(np.int64)), pa.array(rep[hit]), pa.array(own[hit])], names=["key", "rep", "own"])
+
+    emitted = cut(rows.mapInArrow(emit, "key long, rep long, own long"), "prefixes")
+    mixed_keys = emitted.groupBy("key").agg(F.min("own").alias("_lo"), F.max("own").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi").select("key", "_n")
+    # members of one class are never compared, so they go through the join in blocks
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("_n") / BLOCK))
+    blocks = cut(emitted.join(mixed_keys, "key").groupBy("key", "own", block.alias("block")).agg(F.collect_set("rep").alias("reps")), "prefix-blocks")
+    pairs = blocks.select("key", F.col("own").alias("own_a"), F.col("reps").alias("as")).join(blocks.select("key", F.col("own").alias("own_b"), F.col("reps").alias("bs")), "key").where("own_a < own_b")
+    pairs = pairs.select(F.explode("as").alias("a"), "bs").select("a", F.explode("bs").alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def slices(b: pa.RecordBatch, rows: int = 64) -> Iterator[pa.RecordBatch]:
+    for i in range(0, b.num_rows, rows):
+        yield b.slice(i, rows)
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY, size: int = SHINGLE_WORDS, depth: int = DEPTH) -> DataFrame:
     """One row per document: doc_id, class_id, copy_of (the id that stands for its shingle set)."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.col(text_col).alias("text"))
     signed = cut(signatures(texts, bands=bands, rows=rows, size=size), "signatures")
     sets = cut(signed.groupBy("digest").agg(F.min("_id").alias("rep")), "sets")
     own = signed.where(F.col("bands").isNotNull()).join(sets.select(F.col("rep").alias("_id")), "_id", "left_semi").select(F.col("_id").alias("rep"), "bands")
-    labels, found, tried = None, None, None
+    labels, found, tried, widest = None, None, None, None
     active = keyed(own.select("rep", F.posexplode("bands").alias("i", "h")).select("rep", F.array(F.struct("i", "h")).alias("used")))
     for level in range(1, depth + 1):
         members = cut(mixed(active, labels), "buckets")
+        widest = members if level == 1 else widest
         links = star_links(members)
         links = links if tried is None else links.join(tried, ["a", "b"], "left_anti")
         scored = cut(confirmed(links, texts, similarity, size), "links")
@@ -214,6 +339,12 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         if level < depth:
             left = cut(mixed(members.select("rep", "used", "key"), labels).select("rep", "used"), "mixed")
             active = cut(narrower(left), "narrowed")
+    rest = cut(mixed(widest.select("rep", "used", "key"), labels).select("rep", "own").distinct(), "rest")
+    if not rest.isEmpty():
+        links = candidates(rest, texts, similarity, size).join(tried, ["a", "b"], "left_anti")
+        new = cut(confirmed(links, texts, similarity, size).where(F.col("similarity") >= similarity).select("a", "b"), "rest-links")
+        if not new.isEmpty():
+            labels = components(new if found is None else found.union(new))
     labels = labels if labels is not None else sets.select(F.col("rep").alias("node"), F.col("rep").alias("label")).distinct()
     of_set = sets.join(labels, sets.rep == labels.node, "left").select("digest", "rep", F.coalesce("label", "rep").alias("class"))
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
