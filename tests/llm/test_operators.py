@@ -178,6 +178,17 @@ def test_near_dedup(spark, odd, none):
     assert sorted(r["doc_id"] for r in near_dedup.keep_one(docs).collect()) == sorted(set(groups(texts).values()))
 
 
+def test_near_dedup_null_and_repeated_ids(spark):
+    """Rows are documents of their own whatever their ids; a class has the smallest id, and one row of it stays."""
+    rows = [(None, "one two three four five six"), (None, "seven eight nine ten eleven twelve"), (None, "one two three four five six"), (7, "alpha beta gamma delta epsilon"), (7, "alpha beta gamma delta epsilon"), (7, "other words than those of the namesake"), (4, "seven eight nine ten eleven twelve"), (9, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, _row int, _kept int").repartition(3)
+    got = sorted(((r["doc_id"], r["class_id"]) for r in near_dedup.classes(docs).collect()), key=str)
+    assert got == sorted([(None, None), (None, 4), (None, None), (7, 7), (7, 7), (7, 7), (4, 4), (9, 8), (8, 8)], key=str)
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[0], rows[3], rows[5], rows[6], rows[8]], key=str)
+
+
 def test_near_dedup_finds_pairs_inside_a_family_just_below(spark):
     """Documents that share a long passage (similarity 0.75), among them pairs of 0.80 to 0.82."""
     rng = random.Random(6)
@@ -195,15 +206,15 @@ def test_near_dedup_finds_pairs_inside_a_family_just_below(spark):
 
 def test_prefix_keys_meet():
     rng = np.random.default_rng(5)
-    counts = np.full(near_dedup.BINS, 9, np.uint32)
     for _ in range(300):
         n, pool = int(rng.integers(1, 120)), np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))
         rng.shuffle(pool)
         for cut_a, add_b in ((0, n // 4), (n // 9, n // 9), (n // 5, 0)):
             a, b = np.unique(pool[: n - cut_a]), np.unique(pool[: n + add_b] if not cut_a else pool[cut_a : n + add_b])
-            common = len(np.intersect1d(a, b))
-            if common and common / (len(a) + len(b) - common) >= 0.8:
-                assert len(np.intersect1d(near_dedup.prefix_keys(a, counts, 0.8), near_dedup.prefix_keys(b, counts, 0.8)))
+            common = np.intersect1d(a, b)
+            if len(common) and len(common) / (len(a) + len(b) - len(common)) >= 0.8:
+                for shared in (common, np.union1d(a, b)):  # with and without shingles that no other class has
+                    assert len(np.intersect1d(*(near_dedup.prefix_keys(len(x), np.intersect1d(x, shared), 0.8) for x in (a, b))))
 
 
 def test_dart_signatures_estimate_weighted_jaccard():

@@ -22,24 +22,59 @@ SHINGLE_WORDS = 5
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is made and set.
+    Where the setting is absent, a temporary folder is made and set if Spark runs on this machine alone (tests); on a
+    cluster, where each executor would write to its own disk, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tilewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Tables that this process has written to the shared folder and not removed.
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _WRITTEN[-1]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def remove(*tables: DataFrame, spark: SparkSession | None = None) -> None:
+    """Delete tables made by ``cut`` that nothing reads any more; with ``spark`` alone all that are left of this process,
+    for the end of a run, when results have been written."""
+    session = spark or tables[0].sparkSession
+    hadoop = session._jvm.org.apache.hadoop.fs.Path
+    for p in [t._cut_path for t in tables] if tables else list(_WRITTEN):
+        at = hadoop(p)
+        at.getFileSystem(session._jsc.hadoopConfiguration()).delete(at, True)
+        if p in _WRITTEN:
+            _WRITTEN.remove(p)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once with a number of each row, so that the numbers stay the same whenever it is read."""
+    return cut(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be none of the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def partitions(spark: SparkSession) -> int:

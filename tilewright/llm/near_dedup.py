@@ -7,47 +7,46 @@ only as far right as about ``k ln k`` of them need, so the work doesn't depend o
 Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 1. ``signatures``: one pass over the texts gives each document a digest of its shingle set and its bands.
-2. Documents with equal shingle sets collapse to the smallest id (pre-aggregated, so thousands of copies cost nothing).
+2. Documents with equal shingle sets collapse to one of them (pre-aggregated, so thousands of copies cost nothing).
 3. Representatives that share a band are linked to the band's smallest and largest member, not to each other: the
    number of links is at most twice the number of rows, whatever the size of the group.
 4. Links are confirmed by exact Jaccard similarity of the shingle sets; the connected components of the confirmed links
-   are the classes so far.
+   are the classes so far. The links of a document that is the end of large buckets are dealt out in cells of about
+   ``BLOCK``, each with the document's text once.
 5. Buckets that still hold two classes are dealt anew by one more common band, up to ``DEPTH`` bands, and linked again
    by their ends.
 6. Members of buckets of one band that still hold two classes may be near to others than the ends they met. A prefix
-   filter join over all of them finds every link that is left between two classes (``candidates``), so no link between
-   documents that share a band is lost.
+   filter join over all of them finds every two classes that are left with a link (``rest_links``), so no link between
+   documents that share a band is lost. The join is one of blocks of documents, and pairs are never made as rows: two
+   blocks meet in one task, which counts the common shingles of their documents by a matrix product.
 7. A class is named by its smallest id.
 
-Defined cases: documents without a word (null, empty, punctuation) are near only to rows with the same text (null as
-empty); shorter texts than a shingle are one shingle; repeated ids are kept, one row of the result each; a null id takes
-part as an id below all others and is returned as null; rows of one id count as one document; empty tables give empty results; other columns are ignored.
+Rows are told apart by a number that is written with them once, not by their id. Defined cases: documents without a word
+(null, empty, punctuation) are near only to rows with the same text (null as empty); shorter texts than a shingle are one
+shingle; rows that share an id, or have none, are documents of their own, one row of the result each; a class of which
+no row has an id is named null; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import SHINGLE_WORDS, Shingler, arrow_map, cut, mix, pieces, table
+from tilewright.llm.common import SHINGLE_WORDS, Shingler, arrow_map, cut, mix, numbered, pieces, remove, table, unused
 
 BANDS, ROWS = 24, 6
 SIMILARITY = 0.8
 DEPTH = 2
-NULL_ID = -(1 << 63)
-#: Bins of the tables that say how rare a shingle is and which keys two classes share; they save work only.
-BINS = 1 << 21
-PARTS = 32
-#: Members of one class and key that go through the join in one row, about.
+#: Documents of a block, and links of one end in a cell, about; shingles of a block, about.
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 16
 #: Set sizes from which tiers of a factor of about 1.03 begin.
 TIERS = np.unique((1.03 ** np.arange(730)).astype(np.int64))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -99,7 +98,8 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE_WORDS, weighting: str = "set") -> DataFrame:
-    """``docs`` (_id, text) to _id, digest of the shingle set (or of a wordless text), bands (null if wordless).
+    """``docs`` (_id, text, doc_id) to _id, doc_id, digest of the shingle set (or of a wordless text), bands (null if
+    wordless).
 
     ``weighting``: "set" weighs every shingle 1; "count" by its number in the text.
     """
@@ -117,37 +117,40 @@ def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: i
             flat = pa.array(band_hashes(sig, bands, rows).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), flat)
             none = pa.array(n == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pc.if_else(none, pa.scalar(None, lists.type), lists)], names=["_id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digest, pa.binary()), pc.if_else(none, pa.scalar(None, lists.type), lists)], names=["_id", "doc_id", "digest", "bands"])
 
-    return arrow_map(docs, run, "_id long, digest binary, bands array<long>")
+    return arrow_map(docs.select("_id", "text", "doc_id"), run, "_id long, doc_id long, digest binary, bands array<long>")
 
 
 def confirmed(links: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Links (a, b) with the exact Jaccard similarity of both shingle sets, from the texts."""
-    need = links.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    texts = docs.join(need, "_id", "left_semi")
-    both = links.join(texts.select(F.col("_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("_id").alias("b"), F.col("text").alias("tb")), "b")
+    """Links (a, b, hub, cell) to a, b and the exact Jaccard similarity of both shingle sets, from the texts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held = Shingler(size), OrderedDict()
-
-        def shingles(i: int, t: str) -> np.ndarray:
-            key = (i, hash(t))
-            if key not in held:
-                held[key] = shingler.distinct(t)
-                if len(held) > 256:
-                    held.popitem(last=False)
-            return held[key]
+    ``hub`` is one of the two; the text of a hub goes once to each of its cells, the other's text once for each link.
+    """
+    other = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    dealt = cut(links.select("hub", "cell", other.alias("member")), "dealt")
+    need = dealt.select(F.col("hub").alias("_id")).union(dealt.select("member")).distinct()
+    texts = docs.join(need, "_id", "left_semi").select("_id", "text")
+    hubs = dealt.select("hub", "cell").distinct().join(texts.withColumnRenamed("_id", "hub"), "hub").select("hub", "cell", F.lit(None).cast("long").alias("member"), "text")
+    members = dealt.join(texts.withColumnRenamed("_id", "member"), "member").select("hub", "cell", "member", "text")
+    rows = hubs.union(members).repartition("hub", "cell").sortWithinPartitions("hub", "cell", F.asc_nulls_first("member"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, of, p = Shingler(size), None, None
         for x in pieces(batches, rows=1024, text=3):
-            out = []
-            for a, b, ta, tb in zip(*(x.column(i).to_pylist() for i in range(4)), strict=True):
-                p, q = shingles(a, ta), shingles(b, tb)
+            a, b, out = [], [], []
+            for hub, member, text in zip(*(x.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if member is None:
+                    of, p = (hub, p) if hub == of else (hub, shingler.distinct(text))
+                    continue
+                q = shingler.distinct(text)
                 common = len(np.intersect1d(p, q, assume_unique=True))
+                a.append(min(hub, member))
+                b.append(max(hub, member))
                 out.append(common / max(1, len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
-    return arrow_map(both.select("a", "b", "ta", "tb"), run, "a long, b long, similarity double")
+    return arrow_map(rows, run, "a long, b long, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -163,28 +166,40 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = cut(step.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        labels = new.select("node", "label")
+        remove(labels)
+        labels = new
         if new.where("was <> label").isEmpty():
-            return labels
+            remove(edges)
+            return labels.select("node", "label")
 
 
 def mixed(active: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members (rep, used, key) of the buckets that hold two classes or more, with their class ``own`` and the bucket's
-    smallest and largest member: ``first``, ``last`` (structs of rep and own)."""
+    smallest and largest member: ``first``, ``last`` (structs of rep and own), and number of members ``n``."""
     if labels is None:
         rows = active.withColumn("own", F.col("rep"))
     else:
         rows = active.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "used", "key", F.coalesce("label", "rep").alias("own"))
     one = F.struct("rep", "own")
-    ends = rows.groupBy("key").agg(F.min(one).alias("first"), F.max(one).alias("last"), F.min("own").alias("_lo"), F.max("own").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
+    ends = rows.groupBy("key").agg(F.min(one).alias("first"), F.max(one).alias("last"), F.min("own").alias("_lo"), F.max("own").alias("_hi"), F.count(F.lit(1)).alias("n")).where("_lo <> _hi").drop("_lo", "_hi")
     return rows.join(ends, "key")
 
 
+def link(hub: Column, member: Column, n: Column) -> Column:
+    """A link as a struct; ``n`` links of the hub, or fewer, come from the same group."""
+    return F.struct(F.least(hub, member).alias("a"), F.greatest(hub, member).alias("b"), F.struct(hub.alias("hub"), F.pmod(F.xxhash64(member), F.ceil(n / BLOCK)).alias("cell")).alias("at"))
+
+
+def each_once(links: DataFrame) -> DataFrame:
+    """Links ``l`` to a, b, hub, cell, one row for each pair."""
+    return links.groupBy("l.a", "l.b").agg(F.min("l.at").alias("at")).select("a", "b", "at.hub", "at.cell")
+
+
 def star_links(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each member with its bucket's ends, where the classes differ."""
-    pair = lambda a, b: F.struct(a["rep"].alias("a"), b["rep"].alias("b"), (a["own"] != b["own"]).alias("differ"))
-    me = F.struct("rep", "own")
-    return members.select(F.explode(F.array(pair(F.col("first"), me), pair(me, F.col("last")))).alias("l")).where("l.differ").select("l.a", "l.b").distinct()
+    """Links of each member with its bucket's ends, where the classes differ."""
+    ends = F.array(F.col("first"), F.col("last"))
+    pairs = members.select("rep", "own", "n", F.explode(ends).alias("end")).where(F.col("end.own") != F.col("own"))
+    return each_once(pairs.select(link(F.col("end.rep"), F.col("rep"), F.col("n")).alias("l")))
 
 
 def narrower(members: DataFrame) -> DataFrame:
@@ -203,61 +218,67 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.select("rep", "used", F.xxhash64("used").alias("key"))
 
 
-def prefix_keys(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """Keys of a set, of which two sets of at least this similarity have one in common.
+def prefix_keys(n: int, shared: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a set of ``n`` shingles, of which two sets of at least this similarity have one in common.
 
     Sets of n and m shingles must share ``o = similarity / (1 + similarity) * (n + m)``, so the first ``n - o + 1`` and
     ``m - o + 1`` of them in one common order, here the rarest first, share one. ``o`` depends on both sizes, so each
-    tier of the other's size has keys of its own, for the smallest size in it. Shingles of no other set are left out.
+    tier of the other's size has keys of its own, for the smallest size in it. Shingles that no other class has come
+    first in the order and can't be common: they are left out; ``shared`` are the others in order.
     """
-    n, c = len(shingles), counts[shingles % np.uint64(BINS)]
-    order = np.lexsort((shingles, c))
-    s, alone = shingles[order], int((c < 2).sum())
+    alone = n - len(shared)
     least, most = math.ceil(similarity * n - 1e-9), math.floor(n / similarity + 1e-9)
     own, *others = np.searchsorted(TIERS, [n, least, most], "right") - 1
     out = []
     for k in range(others[0], others[1] + 1):
         o = math.ceil(similarity / (1 + similarity) * (n + max(least, int(TIERS[k]))) - 1e-9)
         if n - o + 1 > alone:
-            out.append(mix(s[alone : n - o + 1] ^ mix(np.array([min(own, k) << 16 | max(own, k)], np.uint64))))
-    return np.concatenate(out) if out else shingles[:0]
-
-
-def gathered(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.ndarray], join: np.ufunc, end: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Tables of BINS rows, made in at most eight tasks, joined part by part in tasks; the driver gets ``end`` of them,
-    a byte for each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, x in enumerate(np.split(make(batches), PARTS)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())], names=["part", "data", "width"])
-
-    def merge(t: pa.Table) -> pa.Table:
-        width = t.column("width")[0].as_py()
-        whole = join.reduce([np.frombuffer(x.as_py(), np.uint32).reshape(-1, width) for x in t.column("data")])
-        return pa.table({"part": t.column("part").slice(0, 1), "data": pa.array([end(whole).astype(np.uint8).tobytes()], pa.binary())})
-
-    parts = rows.coalesce(8).mapInArrow(run, "part int, data binary, width int").groupBy("part").applyInArrow(merge, "part int, data binary")
-    return np.concatenate([np.frombuffer(r["data"], np.uint8) for r in sorted(parts.collect(), key=lambda r: r["part"])])
-
-
-def rarity(counts: np.ndarray) -> np.ndarray:
-    """Counts in a byte, in the same order; exact up to 128."""
-    n = counts[:, 0]
-    return np.where(n <= 128, n, np.minimum(255, 128 + 8 * np.log2(np.maximum(n, 128) / 128)))
-
-
-def two_classes(ends: np.ndarray) -> np.ndarray:
-    """Whether a bin's classes differ in either half; an empty bin has its initial values."""
-    return (ends != 0xFFFFFFFF).any(1) & ((ends[:, 0] != ~ends[:, 1]) | (ends[:, 2] != ~ends[:, 3]))
-
-
-def candidates(rest: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Pairs (a, b) of members (rep, own) of different classes, among them all of at least this similarity.
-
-    The order of the shingles and the keys' filter come from tables of a fixed number of bins: what falls into one bin
-    makes more candidates, never less.
+            out.append(mix(shared[: n - o + 1 - alone] ^ mix(np.array([min(own, k) << 16 | max(own, k)], np.uint64))))
+    return np.concatenate(out) if out else shared[:0]
+
+
+def near_pairs(left: list[tuple], right: list[tuple], similarity: float) -> list[tuple[int, int]]:
+    """Of documents (rep, own, n, shared) those pairs of different classes with at least this similarity, one for each two
+    classes. All shingles that a pair may have in common are in ``shared``."""
+
+    def flat(docs: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([d[3] for d in docs]), np.repeat(np.arange(len(docs)), [len(d[3]) for d in docs])
+
+    (x, i), (y, j) = flat(left), flat(right)
+    words = np.intersect1d(x, y)
+
+    def placed(v: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(words, v), max(0, len(words) - 1))
+        hit = words[at] == v if len(words) else np.zeros(len(v), bool)
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], doc[hit][order]
+
+    (x, i), (y, j) = placed(x, i), placed(y, j)
+    common = np.zeros((len(left), len(right)))
+    for low in range(0, len(words), 4096):
+        part = []
+        for v, doc, n in ((x, i, len(left)), (y, j, len(right))):
+            lo, hi = np.searchsorted(v, [low, low + 4096])
+            m = np.zeros((n, min(4096, len(words) - low)), np.float32)
+            m[doc[lo:hi], v[lo:hi] - low] = 1
+            part.append(m)
+        common += part[0] @ part[1].T
+    n, m, own, other = (np.array([d[k] for d in docs]) for docs, k in ((left, 2), (right, 2), (left, 1), (right, 1)))
+    near = (common / np.maximum(1, n[:, None] + m[None, :] - common) >= similarity) & (own[:, None] != other[None, :])
+    found = {}
+    for i, j in zip(*(v.tolist() for v in np.nonzero(near)), strict=True):
+        found.setdefault((min(own[i], other[j]), max(own[i], other[j])), (left[i][0], right[j][0]))
+    return [(min(p), max(p)) for p in found.values()]
+
+
+def rest_links(rest: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Links (a, b) of at least this similarity between members (rep, own) of different classes: of each two classes in
+    two blocks one, if there is one.
+
+    How many documents have a shingle, and whether two classes have it, is counted exactly; the order of the prefixes is
+    taken from that. So a passage that many documents share makes keys only for those that have little else. A block
+    holds documents with the same most frequent shingle, so a family that shares a passage fills few blocks.
     """
-    spark = docs.sparkSession
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
@@ -267,49 +288,48 @@ def candidates(rest: DataFrame, docs: DataFrame, similarity: float, size: int) -
 
     texts = docs.join(rest.withColumnRenamed("rep", "_id"), "_id").select("_id", "text", "own")
     rows = cut(arrow_map(texts, sets, "rep long, own long, shingles array<long>"), "rest-shingles")
+    each = rows.select("rep", "own", F.explode("shingles").alias("s"))
+    shared = cut(each.groupBy("s").agg(F.min("own").alias("_lo"), F.max("own").alias("_hi"), F.count(F.lit(1)).alias("n")).where("_lo <> _hi").select("s", "n"), "shared-shingles")
+    ordered = each.select("rep", "s").join(shared, "s").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("shared"))
+    of = cut(rows.select("rep", "own", F.size("shingles").alias("n")).join(ordered, "rep").select("rep", "own", "n", F.transform("shared", lambda x: x["s"]).alias("shared")).withColumn("top", F.element_at("shared", -1)), "rest-sets")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.size("shared")) / BLOCK_SHINGLES))
+    blocks = cut(of.groupBy("top").agg(parts.alias("parts")), "rest-tops")
+    placed = cut(of.join(blocks, "top").select("rep", "own", "n", "shared", F.xxhash64("top", F.pmod(F.xxhash64("rep"), "parts")).alias("block")), "rest-blocks")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros((BINS, 1), np.uint32)
-        for b in batches:
-            out[:, 0] += np.bincount((b.column(2).flatten().to_numpy().view(np.uint64) % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.uint32)
-        return out
-
-    counts = spark.sparkContext.broadcast(gathered(rows, count, np.add, rarity))
-
-    def keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = [prefix_keys(s.values.to_numpy().view(np.uint64), counts.value, similarity) for s in b.column(2)]
-        n = [len(k) for k in found]
-        return np.concatenate(found), *(np.repeat(b.column(i).to_numpy(), n) for i in (0, 1))
-
-    def owners(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        """Of both halves of the classes in a bin the least and the complement of the largest, joined by the minimum."""
-        out = np.full((BINS, 4), 0xFFFFFFFF, np.uint32)
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for b in slices(x):
-                key, _, own = keys(b)
-                at, own = (key % np.uint64(BINS)).astype(np.int64), own.view(np.uint64)
-                for k, h in enumerate((own.astype(np.uint32), (own >> np.uint64(32)).astype(np.uint32))):
-                    np.minimum.at(out[:, 2 * k], at, h)
-                    np.minimum.at(out[:, 2 * k + 1], at, ~h)
-        return out
+                found = [prefix_keys(n, s.values.to_numpy().view(np.uint64), similarity) for n, s in zip(b.column(1).to_pylist(), b.column(2), strict=True)]
+                many = [len(k) for k in found]
+                own, block = (np.repeat(b.column(i).to_numpy(), many) for i in (0, 3))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(own), pa.array(block)], names=["key", "own", "block"])
+
+    emitted = arrow_map(placed.select("own", "n", "shared", "block"), emit, "key long, own long, block long")
+    met = cut(emitted.groupBy("key", "block").agg(F.min("own").alias("lo"), F.max("own").alias("hi")), "prefix-blocks")
+    a, b = (met.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "lo", "hi")]) for side in "ab")
+    tiles = a.join(b, "key").where((F.col("block_a") <= F.col("block_b")) & (F.least("lo_a", "lo_b") < F.greatest("hi_a", "hi_b")))
+    tiles = cut(tiles.select("block_a", "block_b").distinct(), "tiles")
+    of_tile = ["block_a", "block_b", "side", "rep", "own", "n", "shared"]
+    first = tiles.join(placed, tiles["block_a"] == placed["block"]).withColumn("side", F.lit(0)).select(*of_tile)
+    second = tiles.where("block_a < block_b").join(placed, F.col("block_b") == placed["block"]).withColumn("side", F.lit(1)).select(*of_tile)
+    dealt = first.union(second).repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b", "side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, sides = None, ([], [])
+
+        def links() -> pa.RecordBatch:
+            found = near_pairs(sides[0], sides[1] or sides[0], similarity) if sides[0] else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    shared = spark.sparkContext.broadcast(gathered(rows, owners, np.minimum, two_classes) > 0)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for b in slices(x):
-                key, rep, own = keys(b)
-                hit = shared.value[(key % np.uint64(BINS)).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[hit].view(np.int64)), pa.array(rep[hit]), pa.array(own[hit])], names=["key", "rep", "own"])
+            for p, q, side, rep, own, n, s in zip(*(x.column(i).to_pylist() for i in range(6)), x.column(6), strict=True):
+                if (p, q) != tile:
+                    yield links()
+                    tile, sides = (p, q), ([], [])
+                sides[side].append((rep, own, n, s.values.to_numpy()))
+        yield links()
 
-    emitted = cut(rows.mapInArrow(emit, "key long, rep long, own long"), "prefixes")
-    mixed_keys = emitted.groupBy("key").agg(F.min("own").alias("_lo"), F.max("own").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi").select("key", "_n")
-    # members of one class are never compared, so they go through the join in blocks
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("_n") / BLOCK))
-    blocks = cut(emitted.join(mixed_keys, "key").groupBy("key", "own", block.alias("block")).agg(F.collect_set("rep").alias("reps")), "prefix-blocks")
-    pairs = blocks.select("key", F.col("own").alias("own_a"), F.col("reps").alias("as")).join(blocks.select("key", F.col("own").alias("own_b"), F.col("reps").alias("bs")), "key").where("own_a < own_b")
-    pairs = pairs.select(F.explode("as").alias("a"), "bs").select("a", F.explode("bs").alias("b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return arrow_map(dealt, compare, "a long, b long")
 
 
 def slices(b: pa.RecordBatch, rows: int = 64) -> Iterator[pa.RecordBatch]:
@@ -317,11 +337,13 @@ def slices(b: pa.RecordBatch, rows: int = 64) -> Iterator[pa.RecordBatch]:
         yield b.slice(i, rows)
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY, size: int = SHINGLE_WORDS, depth: int = DEPTH) -> DataFrame:
-    """One row per document: doc_id, class_id, copy_of (the id that stands for its shingle set)."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.col(text_col).alias("text"))
-    signed = cut(signatures(texts, bands=bands, rows=rows, size=size), "signatures")
-    sets = cut(signed.groupBy("digest").agg(F.min("_id").alias("rep")), "sets")
+def row_classes(rows: DataFrame, *, bands: int = BANDS, rows_each: int = ROWS, similarity: float = SIMILARITY, size: int = SHINGLE_WORDS, depth: int = DEPTH) -> DataFrame:
+    """Of rows (_id: a number of each row, doc_id, text) per row: _id, doc_id, copy and keeper: structs (absent, doc_id,
+    _id) of the row that stands for its shingle set and for its class, that of the smallest id."""
+    texts = rows.select("_id", "text")
+    signed = cut(signatures(rows, bands=bands, rows=rows_each, size=size), "signatures")
+    me = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "_id")
+    sets = cut(signed.groupBy("digest").agg(F.min(me).alias("copy")).withColumn("rep", F.col("copy._id")), "sets")
     own = signed.where(F.col("bands").isNotNull()).join(sets.select(F.col("rep").alias("_id")), "_id", "left_semi").select(F.col("_id").alias("rep"), "bands")
     labels, found, tried, widest = None, None, None, None
     active = keyed(own.select("rep", F.posexplode("bands").alias("i", "h")).select("rep", F.array(F.struct("i", "h")).alias("used")))
@@ -341,20 +363,31 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             active = cut(narrower(left), "narrowed")
     rest = cut(mixed(widest.select("rep", "used", "key"), labels).select("rep", "own").distinct(), "rest")
     if not rest.isEmpty():
-        links = candidates(rest, texts, similarity, size).join(tried, ["a", "b"], "left_anti")
-        new = cut(confirmed(links, texts, similarity, size).where(F.col("similarity") >= similarity).select("a", "b"), "rest-links")
+        new = cut(rest_links(rest, texts, similarity, size), "rest-links")
         if not new.isEmpty():
             labels = components(new if found is None else found.union(new))
-    labels = labels if labels is not None else sets.select(F.col("rep").alias("node"), F.col("rep").alias("label")).distinct()
-    of_set = sets.join(labels, sets.rep == labels.node, "left").select("digest", "rep", F.coalesce("label", "rep").alias("class"))
-    null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return signed.select("_id", "digest").join(of_set, "digest").select(null("_id").alias("doc_id"), null("class").alias("class_id"), null("rep").alias("copy_of"))
+    if labels is None:
+        return signed.select("_id", "doc_id", "digest").join(sets, "digest").select("_id", "doc_id", "copy", F.col("copy").alias("keeper"))
+    linked = cut(labels.withColumnRenamed("node", "rep").join(sets.select("rep", "copy"), "rep"), "linked")
+    keepers = cut(linked.groupBy("label").agg(F.min("copy").alias("keeper")), "keepers")
+    named = cut(linked.select("rep", "label").join(keepers, "label").select("rep", "keeper"), "named")
+    of_set = cut(sets.join(named, "rep", "left").select("digest", "copy", F.coalesce("keeper", "copy").alias("keeper")), "sets-named")
+    return signed.select("_id", "doc_id", "digest").join(of_set, "digest").select("_id", "doc_id", "copy", "keeper")
+
+
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row per document: doc_id, class_id, copy_of (the id that stands for its shingle set)."""
+    rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "_id")
+    return row_classes(rows, **how).select("doc_id", F.col("keeper.doc_id").alias("class_id"), F.col("copy.doc_id").alias("copy_of"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with the smallest id of each class; of rows that share it, all stay."""
-    kept = classes(docs, id_col=id_col, text_col=text_col, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """``docs`` with one row of each class, that of the smallest id; a missing id comes last."""
+    number = unused(docs, "_row")
+    rows = numbered(docs, number)
+    found = row_classes(rows.select(F.col(number).alias("_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), **how)
+    kept = found.where(F.col("_id") == F.col("keeper._id")).select(F.col("_id").alias(number))
+    return rows.join(kept, number, "left_semi").drop(number)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
