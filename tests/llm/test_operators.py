@@ -117,14 +117,27 @@ def test_line_dedup(spark, odd, none):
     line = "  A Line Of Forty Characters, Or Rather More Of Them \t"
     rows = [(i, f"own {i}\n{line if i % 2 else line.lower()}\nshort\n", None) for i in range(6)] + [(i, "é" * 40, None) for i in range(10, 14)] + [(20, None, "x"), (21, f"{line}\n{line}", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_dropped string").repartition(4)
-    for bits in (1 << 20, 64):  # a filter that is full changes nothing
-        got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs, bloom_bits=bits).collect()}
+    for most in (1 << 20, 0):  # filters that are broadcast, and hashes that are joined
+        got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs, broadcast_bytes=most).collect()}
         assert got[0] == ("own 0\nshort\n", 4, 1) and got[21] == (f"{line}\n{line}", 2, 0) and got[10][2] == 0 and got[20] == ("", 1, 0)
-    out = line_dedup.dedup_lines(odd)
-    assert out.count() == odd.count() and {"key", "lang"} <= set(out.columns)
+    out = line_dedup.drop_lines(odd)
+    assert out.dtypes == odd.dtypes and out.exceptAll(odd.fillna("", ["text"])).isEmpty()
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_filters_keep_their_rate_at_any_size():
+    rng = np.random.default_rng(8)
+    for n in (3_000, 30_000, 300_000):
+        held, other = rng.integers(0, 1 << 63, n).astype(np.uint64), rng.integers(0, 1 << 63, 100_000).astype(np.uint64)
+        grown, fixed = line_dedup.Growing(first=1000), line_dedup.Bloom(line_dedup.filter_bits(n))
+        for part in np.array_split(held, 7):
+            grown.add(part)
+        fixed.add(held)
+        assert grown.has(held).all() and fixed.has(held).all()
+        assert fixed.has(other).mean() < 0.004 and grown.has(other).mean() < 0.012
+        assert sum(x.bits for x in grown.layers) < 16 * line_dedup.BITS_EACH * n
+
+
 def test_language_id(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language_id.query(spark, "/root/testdata/sf0.001").toPandas().merge(docs.select("doc_id", "lang").toPandas())
@@ -136,11 +149,61 @@ def test_language_id(spark, odd, none):
     assert language_id.identify(odd, language_id.train(none, language_id.fold() != 2)).where("lang_pred <> 'und'").count() == 0
 
 
-def test_kernel_is_the_intersection_kernel():
-    a, b = "the cat sat", "the hat"
-    x, y = set(language_id.bins(a).tolist()), set(language_id.bins(b).tolist())
-    m = language_id.fit([a, b], ["p", "q"], ridge=1e-9)
-    assert m.scores([a])[0].argmax() == 0 and m.scores([b])[0].argmax() == 1 and len(x & y) > 0
+def test_bins_stand_for_n_grams(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 3000").limit(30).collect():
+        t = " " + " ".join(r["text"].lower().split()) + " "
+        n = len({t[i : i + k] for k in range(1, language_id.LONGEST + 1) for i in range(len(t) - k + 1)})
+        assert 0.97 * n <= len(language_id.bins(r["text"])) <= n
+
+
+def grams(text):
+    return set(language_id.bins(text).tolist())
+
+
+def brute_model(labelled, each=40, ridge=1e-2):
+    """Kernel ridge on Nystrom features with sets of n-gram bins and a dense dual solve; a function of texts."""
+    kernel = lambda xs, ys: np.array([[len(x & y) / (len(x) * len(y)) ** 0.5 for y in ys] for x in xs])
+    names, marks, count, rows = sorted({y for _, y in labelled}), [], {}, []
+    for t, y in labelled:
+        count[y] = count.get(y, 0) + 1
+        marks += [grams(t)] if count[y] <= each else []
+        at = max(0, (len(t) - language_id.SNIPPET) // 2)
+        rows += [(p, y) for p in (t, t[at : at + language_id.SNIPPET]) if any(map(str.isalpha, p))]
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    white = (vectors / np.sqrt(np.maximum(values, 1e-300)))[:, values > 1e-6 * values.max()]
+    phi = kernel([grams(t) for t, _ in rows], marks) @ white
+    target = np.array([[1.0 if y == n else -1.0 for n in names] for _, y in rows])
+    c, lam = phi - phi.mean(0), ridge * len(rows) / phi.shape[1]
+    dual = np.linalg.solve(c @ c.T + lam * np.eye(len(rows)), target - target.mean(0))
+
+    def predict(text):
+        if not text or not any(map(str.isalpha, text)):
+            return "und", 0.0
+        out = target.mean(0) + ((kernel([grams(text)], marks) @ white)[0] - phi.mean(0)) @ c.T @ dual
+        prior = target.mean(0)[out.argmax()]
+        return names[int(out.argmax())], float(np.clip((out.max() - prior) / (1 - prior), 0, 1))
+
+    return predict
+
+
+def test_language_model_equals_dense_kernel_ridge(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 1500").orderBy("doc_id").limit(60).collect()
+    labelled = [(r["text"], r["lang"]) for r in docs]
+    model, brute = language_id.fit([t for t, _ in labelled], [y for _, y in labelled], landmarks_each=12), brute_model(labelled, each=12)
+    texts = [t for t, _ in labelled] + ["the cat sat on the mat", "der Hund und die Katze", "日本語", "x", "4 5", None, "the cat sat on the mat"]
+    names, scores = model.predict(texts)
+    for t, n, s in zip(texts, names, scores, strict=True):
+        want, score = brute(t)
+        assert abs(s - score) < 0.002 and (n == want or score < 0.05)
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    rows = [(i, ("wort und das ist " * 3000) if i % 2 else "the word is there and this", "de" if i % 2 else "en") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, language_id.F.lit(True), most_chars=500)
+    assert model.languages == ["de", "en"] and model.predict(["und das ist"])[0] == ["de"]
+    assert language_id.keep_identified(docs, model, languages=["de"]).count() == 6
+    assert language_id.keep_identified(docs, model, min_score=1.1).count() == 0
 
 
 def groups(texts, least=0.8):
@@ -250,8 +313,27 @@ def test_decontaminate(spark, odd, none):
                 want.add((i, k))
     d = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id long, text string").repartition(3)
     b = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()] + [(95, None), (96, "")], "item_id long, text string")
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(d, b).collect()} == want and (99, 90) in want
+    for how in ({}, {"most": 3}, {"broadcast_bytes": 0}):  # by coordinates, by rare shingles, without a filter
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(d, b, **how).collect()} == want and (99, 90) in want
     assert decontaminate.find_items(odd, b).count() == 0 and decontaminate.find_items(none, b).count() == 0 and decontaminate.find_items(d, b.limit(0)).count() == 0
+    # repeated items give a row each; rows without an id or with the same one are dropped each by itself
+    twice = b.union(b.where("item_id = 3"))
+    assert decontaminate.find_items(d, twice).where("item_id = 3").count() == 2 * sum(k == 3 for _, k in want)
+    rows = [(None, " ".join(items[1]), 1), (None, "clean", 2), (5, "clean too", 3), (5, "x " + " ".join(items[2]), 4), (5, "x " + " ".join(items[2]), 4)]
+    same = spark.createDataFrame(rows, "doc_id long, text string, _bad int")
+    kept = decontaminate.drop_contaminated(same, b)
+    assert kept.columns == same.columns and sorted(r["_bad"] for r in kept.collect()) == [2, 3]
+
+
+def test_decontaminate_a_dump_of_the_benchmark(spark):
+    """A document that holds all items, some of five words: bounded coordinates, the rest by rare shingles."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30_000)]
+    items = [words[i * 7 : i * 7 + (5 if i % 3 else 7)] for i in range(4_000)]
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    d = spark.createDataFrame([(1, " ".join(words[:28_000])), (2, "nothing of it"), (3, " ".join(items[17]))], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(d, b).collect()}
+    assert got == {(1, i) for i in range(4_000)} | {(3, 17)}
 
 
 def test_fingerprint(spark, odd, none):

@@ -1,15 +1,20 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-A document is reduced to those of its shingles that may be shingles of an item: a Bloom filter of all items' shingles,
-of a fixed number of bits, is the only broadcast. That leaves the containment of every item unchanged and makes the
-rest short even in a long document. The rests are partitioned by size (powers of two), and so are the items. For each
-pair of partitions the containment threshold becomes a Jaccard threshold (from the larger bound of the rest's size), and
-from that follows how many MinHash coordinates make a miss less likely than ``MISS``. Rest and item are candidates if
-they agree in one of these coordinates: an equi-join. Candidates are verified by exact shingle containment.
+A document is reduced to those of its shingles that may be shingles of an item, by a Bloom filter of all items' shingles
+with 16 bits for each; that filter is broadcast if it stays below ``broadcast_bytes``, else documents' shingles are joined
+with the items'. The reduction leaves the containment of every item unchanged and makes the rest short even in a long
+document. The rests are partitioned by size (powers of two), and so are the items. For each pair of partitions the
+containment threshold becomes a Jaccard threshold (from the larger bound of the rest's size), and from that follows how
+many MinHash coordinates make a miss less likely than ``MISS``. Rest and item are candidates if they agree in one of these
+coordinates: an equi-join. Pairs of partitions that would need more than ``MOST`` coordinates (a document that holds a
+large part of the benchmark, and short items) are searched exactly instead: of an item of n shingles so many of the rarest
+are keys that a rest without any of them can't hold enough of it. Candidates are verified by exact shingle containment,
+counted by an equi-join on rest and shingle, so a long rest is never copied for each of its items.
 
 Defined cases: null or wordless texts hold nothing; an item of fewer words than a shingle is one shingle of its own
 length, and documents are searched for runs of that length as well; a null or wordless item is never found; repeated
-rows give repeated results, repeated items one row each; empty tables give empty results; other columns are ignored.
+rows give repeated results, repeated items one row each; rows that share an id, or have none, are searched and dropped
+each by itself; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import SHINGLE_WORDS, Shingler, arrow_map, cut, mix, pieces, table, windows
-from tilewright.llm.line_dedup import Bloom
+from tilewright.llm.common import SHINGLE_WORDS, Shingler, arrow_map, cut, mix, numbered, pieces, table, unused, windows
+from tilewright.llm.line_dedup import Bloom, filter_bits
 
 CONTAINMENT = 0.8
-BLOOM_BITS = 1 << 24
+#: The items' filter.
+BROADCAST_BYTES = 64 << 20
 MISS = 1e-6
+#: Coordinates of a set; what would need more is searched by the items' rarest shingles.
+MOST = 512
 #: Coordinates computed at a time; bounds memory at rest size times this.
 STEP = 64
 
@@ -80,16 +88,34 @@ def bloom_of(items: DataFrame, bits: int) -> bytes:
     return whole.data.tobytes()
 
 
-def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = CONTAINMENT, size: int = SHINGLE_WORDS, bloom_bits: int = BLOOM_BITS) -> DataFrame:
+def rare_keys(items: DataFrame, containment: float) -> DataFrame:
+    """item, s: of each item the rarest shingles, as many as a text that holds enough of it can't all lack."""
+    each = items.select("item", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    many = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    ranked = each.join(many, "s").groupBy("item", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("l"))
+    need = (F.col("n") - F.ceil(containment * F.col("n") - F.lit(1e-9)) + 1).cast("int")
+    return ranked.select("item", F.explode(F.slice("l", F.lit(1), need)).alias("x")).select("item", F.col("x.s").alias("s"))
+
+
+def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = CONTAINMENT, size: int = SHINGLE_WORDS, broadcast_bytes: int = BROADCAST_BYTES, most: int = MOST) -> DataFrame:
     """One row per document and item in it: doc_id, item_id, n_common, n_item (shingles), containment."""
     spark = docs.sparkSession
     parts = cut(item_shingles(items, item_col, item_text_col, size), "items")
     runs = sorted(r["run"] for r in parts.select("run").distinct().collect())
     item_classes = sorted(r["c"] for r in parts.select((F.length(F.bin(F.size("shingles").cast("long"))) - 1).alias("c")).distinct().collect())
-    bloom = spark.sparkContext.broadcast(bloom_of(parts, bloom_bits))
+    bits = filter_bits(parts.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0)).alias("n")).first()["n"])
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bloom = spark.sparkContext.broadcast(bloom_of(parts, bits)) if bits // 8 <= broadcast_bytes else None
+
+    def rest(s: np.ndarray) -> tuple:
+        return size_class(len(s)), xxhash.xxh3_128_digest(s.tobytes()), s.view(np.int64)
+
+    def batch(got: list[tuple]) -> pa.RecordBatch:
+        ids, part, digest, s = zip(*got, strict=True) if got else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(part, pa.int32()), pa.array(digest, pa.binary()), pa.array(s, pa.list_(pa.int64()))], names=["doc_id", "part", "digest", "shingles"])
 
     def rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, filt = Shingler(size), Bloom(bloom_bits, bloom.value)
+        shingler, filt = Shingler(size), Bloom(bits, bloom.value)
         for b in pieces(batches):
             got = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -97,15 +123,35 @@ def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
                 s = np.concatenate([windows(w, n) for n in runs]) if runs else w[:0]
                 s = np.unique(s[filt.has(s)])
                 if len(s):
-                    got.append((i, size_class(len(s)), xxhash.xxh3_128_digest(s.tobytes()), s.view(np.int64)))
-            ids, part, digest, s = zip(*got, strict=True) if got else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(part, pa.int32()), pa.array(digest, pa.binary()), pa.array(s, pa.list_(pa.int64()))], names=["doc_id", "part", "digest", "shingles"])
+                    got.append((i, *rest(s)))
+            yield batch(got)
 
-    found = arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), rests, "doc_id long, part int, digest binary, shingles array<long>")
-    found = cut(found.withColumn("row", F.monotonically_increasing_id()), "rests")
+    def all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size)
+        for b in pieces(batches, rows=64):
+            words = [shingler.words(t) for t in b.column(1).to_pylist()]
+            sets = [np.unique(np.concatenate([windows(w, n) for n in runs])) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))], names=["row", "s"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces_of_lists(batches):
+            yield batch([(i, *rest(np.sort(s.values.to_numpy().view(np.uint64)))) for i, s in zip(b.column(0).to_pylist(), b.column(1), strict=True)])
+
+    kind = "doc_id long, part int, digest binary, shingles array<long>"
+    if bloom is not None:
+        found = arrow_map(texts, rests, kind)
+    else:
+        rows = numbered(texts, "row")
+        known = cut(parts.select(F.explode("shingles").alias("s")).distinct(), "item-shingles")
+        hits = arrow_map(rows.select("row", "text"), all_shingles, "row long, s long").join(known, "s").groupBy("row").agg(F.collect_set("s").alias("shingles"))
+        found = arrow_map(hits.join(rows.select("row", "doc_id"), "row").select("doc_id", "shingles"), gathered, kind)
+    found = numbered(found, "row")
     # documents with the same rest (copies; one passage in many documents) are searched once
-    one = found.join(found.groupBy("digest").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
+    one = cut(found.join(found.groupBy("digest").agg(F.min("row").alias("row")).select("row"), "row", "left_semi").select("row", "part", "shingles"), "rests")
     rest_classes = sorted(r["part"] for r in found.select("part").distinct().collect())
+    # by both sizes: coordinates, or none where there would be too many
+    need = {(p, c): n for p in rest_classes for c in item_classes if containment * 2**c <= 2 ** (p + 1) - 1 and (n := coordinates(p, c, containment)) <= most}
+    exact = [(p, c) for p in rest_classes for c in item_classes if containment * 2**c <= 2 ** (p + 1) - 1 and (p, c) not in need]
 
     def signed(rows: list[tuple[int, int, int, np.ndarray]], name: str) -> pa.RecordBatch:
         """(id, part, coordinates, MinHash) to one row for each coordinate."""
@@ -120,33 +166,34 @@ def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
             rows = []
             for row, part, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 # an item of which enough is within the rest has at most so many shingles; the smallest needs most
-                able = [c for c in item_classes if containment * 2**c <= len(s)]
-                if able:
-                    n = coordinates(part, able[0], containment)
-                    rows.append((row, part, n, minhash(np.array(s, np.int64).view(np.uint64), n)))
+                n = max((n for (p, c), n in need.items() if p == part and containment * 2**c <= len(s)), default=0)
+                rows += [(row, part, n, minhash(np.array(s, np.int64).view(np.uint64), n))] if n else []
             yield signed(rows, "row")
 
     def sign_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces_of_lists(batches):
             rows = []
             for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                need = {p: coordinates(p, size_class(len(s)), containment) for p in rest_classes if containment * len(s) <= 2 ** (p + 1) - 1}
-                m = minhash(np.array(s, np.int64).view(np.uint64), max(need.values(), default=0))
-                rows += [(i, p, n, m) for p, n in need.items()]
+                mine = {p: n for (p, c), n in need.items() if c == size_class(len(s)) and containment * len(s) <= 2 ** (p + 1) - 1}
+                m = minhash(np.array(s, np.int64).view(np.uint64), max(mine.values(), default=0))
+                rows += [(i, p, n, m) for p, n in mine.items()]
             yield signed(rows, "item")
 
-    numbered = cut(parts.withColumn("item", F.monotonically_increasing_id()), "numbered-items")
-    left = one.select("row", "part", "shingles").mapInArrow(sign_rests, "row long, part int, place int, h long")
-    right = numbered.select("item", "shingles").mapInArrow(sign_items, "item long, part int, place int, h long")
-    pairs = left.join(right, ["part", "place", "h"]).select("row", "item").distinct()
-    common = F.size(F.array_intersect("d", "i")).cast("long")
-    exact = (
-        pairs.join(found.select("row", "digest", F.col("shingles").alias("d")), "row")
-        .join(numbered.select("item", "item_id", F.col("shingles").alias("i")), "item")
-        .select("digest", "item_id", common.alias("n_common"), F.size("i").cast("long").alias("n_item"))
-        .where(F.col("n_common") >= containment * F.col("n_item"))
-    )
-    return found.select("doc_id", "digest").join(exact, "digest").select("doc_id", "item_id", "n_common", "n_item", (F.col("n_common") / F.col("n_item")).alias("containment"))
+    items_of = numbered(parts, "item")
+    left = one.mapInArrow(sign_rests, "row long, part int, place int, h long")
+    right = items_of.select("item", "shingles").mapInArrow(sign_items, "item long, part int, place int, h long")
+    pairs = left.join(right, ["part", "place", "h"]).select("row", "item")
+    in_rest = one.select("row", F.explode("shingles").alias("s"))
+    if exact:
+        klass = F.length(F.bin(F.size("shingles").cast("long"))) - 1
+        both = spark.createDataFrame(exact, "part int, class int")
+        keys = rare_keys(items_of.select("item", "shingles"), containment).join(items_of.select("item", klass.alias("class")), "item").join(F.broadcast(both), "class")
+        pairs = pairs.union(one.select("row", "part", F.explode("shingles").alias("s")).join(keys, ["part", "s"]).select("row", "item"))
+    pairs = cut(pairs.distinct(), "item-pairs")
+    common = pairs.join(items_of.select("item", F.explode("shingles").alias("s")), "item").join(in_rest, ["row", "s"]).groupBy("row", "item").agg(F.count(F.lit(1)).alias("n_common"))
+    sized = common.join(items_of.select("item", "item_id", F.size("shingles").cast("long").alias("n_item")), "item").where(F.col("n_common") >= containment * F.col("n_item"))
+    verified = sized.join(found.select("row", "digest"), "row").select("digest", "item_id", "n_common", "n_item")
+    return found.select("doc_id", "digest").join(verified, "digest").select("doc_id", "item_id", "n_common", "n_item", (F.col("n_common") / F.col("n_item")).alias("containment"))
 
 
 def pieces_of_lists(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -155,10 +202,12 @@ def pieces_of_lists(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Itera
             yield b.slice(i, rows)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the documents in which an item was found."""
-    bad = find_items(docs, items, id_col=id_col, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """``docs`` without the rows in which an item was found."""
+    number = unused(docs, "_row")
+    rows = numbered(docs, number)
+    bad = find_items(rows, items, id_col=number, **how).select(F.col("doc_id").alias(number)).distinct()
+    return rows.join(bad, number, "left_anti").drop(number)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,8 +217,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH w AS (SELECT 0 AS kind, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents
   UNION ALL SELECT 1, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') FROM benchmark),
-s AS (SELECT DISTINCT kind, id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g
-  FROM (SELECT kind, id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+r AS (SELECT DISTINCT least(5, len(ws)) AS r FROM w WHERE kind = 1 AND len(ws) > 0),
+s AS (SELECT DISTINCT kind, id, array_to_string(list_slice(ws, i, i + r - 1), ' ') AS g
+  FROM (SELECT kind, id, ws, r, unnest(range(1, len(ws) - r + 2)) AS i FROM w JOIN r ON kind = 0 OR r = least(5, len(ws)))),
 i AS (SELECT id AS item_id, g, count(*) OVER (PARTITION BY id) AS n_item FROM s WHERE kind = 1)
 SELECT d.id AS doc_id, i.item_id, count(*) AS n_common, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
 FROM s d JOIN i ON d.g = i.g WHERE d.kind = 0 GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(n_item)

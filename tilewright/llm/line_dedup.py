@@ -1,18 +1,22 @@
 """Line dedup: Bloom filters find lines that may repeat; only those shuffle, for exact confirmation.
 
 1. Each task reduces its lines to distinct 64-bit hashes (with a flag: seen twice here). They are dealt by hash to
-   segments, and each segment runs two Bloom filters over its hashes: *once seen* and *twice seen*.
-2. The twice-seen filters of all segments together have ``bloom_bits`` bits whatever the input's size; that is the
-   broadcast's bound. With too few bits more lines are suspected; results don't change.
-3. Lines that the filter suspects are written with their whole keys, counted exactly by key, and the surviving
-   occurrence (the largest document id) is chosen. A line in a third of all documents is counted by line and document
-   first. The chosen lines are written, so that the join back isn't bound to their aggregation: Spark broadcasts a
-   small table, and splits a common line's part of a larger join.
+   segments, and each segment runs two Bloom filters over its hashes: *once seen* and *twice seen*. A filter grows by
+   layers, each with ``BITS_EACH`` bits for every hash it may take, so its rate of false hits stays below half a percent
+   whatever the input's size. These filters live in one task and are never broadcast.
+2. The hashes that a segment has seen twice are written. If filters of ``BITS_EACH`` bits a hash stay below
+   ``broadcast_bytes`` in all, they are broadcast; else the lines' hashes (without the lines) are joined with the written
+   ones. Both ways give the same suspects, but for the filters' false hits, and the same results.
+3. Suspected lines are written with their whole keys, counted exactly by key, and the surviving occurrence (the largest
+   document id) is chosen. A line in a third of all documents is counted by line and document first. The chosen lines
+   are written, so that the join back isn't bound to their aggregation: Spark broadcasts a small table, and splits a
+   common line's part of a larger join.
 4. Documents meet their own dropped keys by id and are rewritten.
 
 Defined cases: null or empty text is one empty line and becomes the empty text; rows with one id are one document (all
 keep or lose a line together); null ids are one document below all others; lines of any length; an empty table gives an
-empty result. Added columns replace the table's columns of these names.
+empty result. ``drop_lines`` leaves all columns but the text as they are; the columns that ``dedup_lines`` adds replace
+the table's columns of these names.
 """
 
 from __future__ import annotations
@@ -24,12 +28,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tilewright.llm.common import arrow_map, cut, mix, partitions, pieces, table, without
+from tilewright.llm.common import arrow_map, cut, mix, partitions, pieces, table, unused, without
 
 STRIP = b" \t\n\x0b\x0c\r"
-BLOOM_BITS = 1 << 26
 HASHES = 4
+#: Bits of a Bloom filter for each hash in it; four places in so many give 0.24 % of false hits.
+BITS_EACH = 16
+#: All broadcast filters together.
+BROADCAST_BYTES = 32 << 20
 
 
 def line_key(line: bytes) -> bytes:
@@ -71,12 +79,38 @@ class Bloom:
             np.bitwise_or.at(self.data, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
 
 
+def filter_bits(n: int) -> int:
+    """Bits of a filter for ``n`` hashes: a power of two, ``BITS_EACH`` for each at least."""
+    return 1 << max(10, (n * BITS_EACH - 1).bit_length())
+
+
+class Growing:
+    """A Bloom filter of layers: the next one, four times as large, begins when the last has all the hashes it may take."""
+
+    def __init__(self, first: int = 1 << 12):
+        self.room, self.next, self.layers = 0, first, []
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), bool)
+        for layer in self.layers:
+            out |= layer.has(h)
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        while len(h):
+            if not self.room:
+                self.layers.append(Bloom(filter_bits(self.next)))
+                self.room, self.next = self.next, self.next * 4
+            self.layers[-1].add(h[: self.room])
+            h, self.room = h[self.room :], self.room - min(self.room, len(h))
+
+
 def _texts(batch: pa.RecordBatch, i: int = 1) -> list[bytes | None]:
     return batch.column(i).cast(pa.binary()).to_pylist()
 
 
-def twice_seen(lines: DataFrame, bits: int, segments: int, least: int) -> dict[int, bytes]:
-    """Bloom filter, by segment, of hashes that occur in two rows or more. ``lines``: (id, text)."""
+def twice_seen(lines: DataFrame, segments: int, least: int) -> DataFrame:
+    """segment, h: the hashes that occur in two rows or more (and a few that don't), once each. ``lines``: (id, text)."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, rows=4096, chars=16_000_000):
@@ -84,79 +118,124 @@ def twice_seen(lines: DataFrame, bits: int, segments: int, least: int) -> dict[i
             h, n = np.unique(np.array(found, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(segments)).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n > 1)], names=["segment", "h", "twice"])
 
-    own = 1 << max(6, (bits // segments).bit_length() - 1)  # a power of two
-
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[Bloom, Bloom]] = {}
+        once, twice = Growing(), Growing()  # hashes of different segments are different, so one pair serves all of a task
         for b in batches:
             seg, h, many = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            h = h.view(np.uint64)
-            for s in np.unique(seg).tolist():
-                once, twice = seen.setdefault(s, (Bloom(own), Bloom(own)))
-                mine, n = np.unique(h[seg == s], return_counts=True)
-                again = (n > 1) | np.isin(mine, h[(seg == s) & many]) | once.has(mine)
-                twice.add(mine[again])
-                once.add(mine[~again])
-        for s, (_, twice) in seen.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "data": [twice.data.tobytes()]})
+            mine, first, n = np.unique(h.view(np.uint64), return_index=True, return_counts=True)
+            again = ((n > 1) | np.isin(mine, h.view(np.uint64)[many]) | once.has(mine)) & ~twice.has(mine)
+            twice.add(mine[again])
+            once.add(mine[~again])
+            yield pa.RecordBatch.from_arrays([pa.array(seg[first[again]]), pa.array(mine[again].view(np.int64))], names=["segment", "h"])
 
-    out = arrow_map(lines, hashes, "segment int, h long, twice boolean").repartition(segments, "segment").mapInArrow(fill, "segment int, data binary")
-    return {r["segment"]: bytes(r["data"]) for r in out.collect()}
+    dealt = arrow_map(lines, hashes, "segment int, h long, twice boolean").repartitionById(segments, F.col("segment"))
+    return cut(dealt.mapInArrow(fill, "segment int, h long"), "twice-seen")
 
 
-def dropped_keys(docs: DataFrame, *, id_col: str, text_col: str, min_chars: int, min_docs: int, bloom_bits: int) -> DataFrame:
-    """Per document that loses lines: _id and the keys it loses."""
-    spark = docs.sparkSession
-    lines = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"), F.col(text_col).alias("_text"))
-    segments = partitions(spark)
-    filters = spark.sparkContext.broadcast(twice_seen(lines, bloom_bits, segments, min_chars))
+def filters(twice: DataFrame) -> dict[int, bytes]:
+    """A Bloom filter of each segment's hashes."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s, h in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                bloom = Bloom(filter_bits(len(h.values)))
+                bloom.add(h.values.to_numpy().view(np.uint64))
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "data": [bloom.data.tobytes()]})
+
+    rows = twice.groupBy("segment").agg(F.collect_list("h").alias("h")).mapInArrow(make, "segment int, data binary")
+    return {r["segment"]: bytes(r["data"]) for r in rows.collect()}
+
+
+def suspects(lines: DataFrame, twice: DataFrame, segments: int, least: int, broadcast_bytes: int) -> DataFrame:
+    """_id and key of the lines whose hash was seen twice, once for each row."""
+    n = twice.count()
+    if 2 * BITS_EACH * n / 8 <= broadcast_bytes:
+        held = lines.sparkSession.sparkContext.broadcast(filters(twice))
+
+        def by_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blooms = {s: Bloom(len(d) * 8, d) for s, d in held.value.items()}
+            for b in pieces(batches, rows=4096, chars=16_000_000):
+                ids, keys = [], []
+                for i, t in zip(b.column(0).to_pylist(), _texts(b), strict=True):
+                    own = text_keys(t, least)
+                    ids += [i] * len(own)
+                    keys += own
+                h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
+                seg, hit = (h % np.uint64(segments)).astype(np.int64), np.zeros(len(h), bool)
+                for s in np.unique(seg).tolist():
+                    if s in blooms:
+                        hit[seg == s] = blooms[s].has(h[seg == s])
+                at = np.flatnonzero(hit)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([keys[i] for i in at], pa.binary())], names=["_id", "key"])
+
+        return arrow_map(lines, by_filter, "_id long, key binary")
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, rows=4096, chars=16_000_000):
+            ids, h = [], []
+            for i, t in zip(b.column(0).to_pylist(), _texts(b), strict=True):
+                own = [xxhash.xxh3_64_intdigest(k) for k in text_keys(t, least)]
+                ids += [i] * len(own)
+                h += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64))], names=["_id", "h"])
 
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blooms = {s: Bloom(len(d) * 8, d) for s, d in filters.value.items()}
+    def by_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, rows=4096, chars=16_000_000):
             ids, keys = [], []
-            for i, t in zip(b.column(0).to_pylist(), _texts(b), strict=True):
-                own = text_keys(t, min_chars)
+            for i, t, found in zip(b.column(0).to_pylist(), _texts(b), b.column(2).to_pylist(), strict=True):
+                found = set(found)
+                own = [k for k in text_keys(t, least) if np.uint64(xxhash.xxh3_64_intdigest(k)).astype(np.int64).item() in found]
                 ids += [i] * len(own)
                 keys += own
-            h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-            seg, hit = (h % np.uint64(segments)).astype(np.int64), np.zeros(len(h), bool)
-            for s in np.unique(seg).tolist():
-                if s in blooms:
-                    hit[seg == s] = blooms[s].has(h[seg == s])
-            at = np.flatnonzero(hit)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([keys[i] for i in at], pa.binary())], names=["_id", "key"])
-
-    found = cut(arrow_map(lines, suspects, "_id long, key binary"), "suspect-lines")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["_id", "key"])
+
+    hits = arrow_map(lines, numbers, "_id long, h long").join(twice.select("h").distinct(), "h").groupBy("_id").agg(F.collect_set("h").alias("hits"))
+    return arrow_map(lines.join(hits, "_id").select("_id", "_text", "hits"), by_list, "_id long, key binary")
+
+
+def _number(id_col: str):
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+
+
+def dropped_keys(docs: DataFrame, *, id_col: str, text_col: str, min_chars: int, min_docs: int, broadcast_bytes: int) -> DataFrame:
+    """Per document that loses lines: _id and the keys it loses."""
+    lines = docs.select(_number(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    segments = partitions(docs.sparkSession)
+    found = cut(suspects(lines, twice_seen(lines, segments, min_chars), segments, min_chars, broadcast_bytes), "suspect-lines")
     counts = found.groupBy("key").agg(F.count_distinct("_id").alias("n"), F.max("_id").alias("keeper"))
     kept = cut(counts.where(F.col("n") >= min_docs).select("key", "keeper"), "repeated-lines")
     return found.join(kept, "key").where("_id <> keeper").groupBy("_id").agg(F.collect_set("key").alias("_keys"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, bloom_bits: int = BLOOM_BITS) -> DataFrame:
-    """``docs`` with the text's repeated lines dropped, and n_lines (before) and n_dropped."""
-    rows = without(docs, ["n_lines", "n_dropped", "_keys", "_id"])
-    drops = dropped_keys(rows, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs, bloom_bits=bloom_bits)
-    names = rows.columns
-    joined = rows.join(drops.hint("shuffle_hash"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) == F.col("_id"), "left").drop("_id")
-    at = names.index(text_col)
+def drop_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, broadcast_bytes: int = BROADCAST_BYTES, counts: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with the text's repeated lines dropped; ``counts`` names columns to add: lines before, lines dropped."""
+    drops = dropped_keys(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs, broadcast_bytes=broadcast_bytes)
+    number, keys = unused(docs, "_id"), unused(docs, "_keys")
+    drops = drops.select(F.col("_id").alias(number), F.col("_keys").alias(keys))
+    joined = docs.join(drops.hint("shuffle_hash"), _number(id_col) == F.col(number), "left").select(*[docs[f"`{c}`"] for c in docs.columns], keys)
+    at, width = docs.columns.index(text_col), len(docs.columns)
+    names = [*docs.columns, *(counts or ())]
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, rows=4096, chars=16_000_000, text=at):
             texts, n_lines, n_dropped = [], [], []
-            for t, keys in zip(_texts(b, at), b.column(len(names)).to_pylist(), strict=True):
+            for t, gone in zip(_texts(b, at), b.column(width).to_pylist(), strict=True):
                 lines = (t or b"").split(b"\n")
-                drop = set(keys or ())
+                drop = set(gone or ())
                 stay = [x for x in lines if line_key(x) not in drop] if drop else lines
                 texts.append(b"\n".join(stay).decode())
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
-            cols = [*b.columns[: len(names)], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            cols = list(b.columns[:width])
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())] if counts else [])], names=names)
+
+    return arrow_map(joined, rewrite, StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in counts or ())]))
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return arrow_map(joined, rewrite, f"{schema}, n_lines long, n_dropped long")
+def dedup_lines(docs: DataFrame, **how) -> DataFrame:
+    """``drop_lines`` with n_lines (before) and n_dropped."""
+    return drop_lines(without(docs, ["n_lines", "n_dropped"]), counts=("n_lines", "n_dropped"), **how)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
