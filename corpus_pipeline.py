@@ -13,18 +13,19 @@ from tilewright.llm.common import cut, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (null, or no letter) go; all others stay."""
+    """Documents that are in none of the learned languages go: null or without a letter, or a score below
+    ``language_id.MIN_SCORE`` (other scripts and languages, markup, digits). All learned languages stay."""
     return language_id.keep_identified(docs, language_id.train(docs, language_id.fold() != 2))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from the texts; ``n_chars`` follows."""
-    out = line_dedup.dedup_lines(docs).select(*docs.columns)
+    out = line_dedup.drop_lines(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays, that of the smallest id."""
     return near_dedup.keep_one(docs)
 
 
@@ -46,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", token_stage),
 ]
 
-#: SQL can't express the language model's decisions; tests hold the pipeline against a brute-force version.
+#: SQL can't express the language model's decisions; tests/llm/test_pipeline.py recomputes all stages in plain Python.
 ORACLE_SQL = None
 
 
