@@ -1,13 +1,19 @@
 """Each operator against a brute-force version, and its defined cases."""
 
+import base64
+import gzip
 import hashlib
 import io
 import random
+import re
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from tilewright.llm import bpe, chat, decontaminate, fingerprint, language_id, line_dedup, near_dedup, token_counts, token_store, warc
@@ -47,8 +53,28 @@ def test_token_store(spark, odd, none):
 def test_token_shard_masks(spark, odd):
     m = token_store.write_token_store(odd, new_path(spark, "t"), WORD, 1, seq_len=64, shards=1).collect()
     shard = token_store.TokenShard(m[0]["path"])
-    real = sum(int(shard.sequence(b, i)[1].sum()) for b in range(shard.file.num_record_batches) for i in range(shard.file.get_batch(b).num_rows))
-    assert real == m[0]["n_tokens"]
+    assert sum(int(shard.sequence(i)[1].sum()) for i in range(len(shard))) == m[0]["n_tokens"]
+    flat = np.concatenate([shard.sequence(i)[0] for i in range(len(shard))])
+    d = shard.docs.read_all()
+    for x, s, n in zip(shard.slices(d["start"].to_numpy(), d["n_tokens"].to_numpy()), d["start"].to_pylist(), d["n_tokens"].to_pylist(), strict=True):
+        assert (x == flat[s : s + n]).all()
+    base = pa.memory_map(m[0]["path"].removeprefix("file://") + ".tokens.arrow").read_buffer()
+    for x in shard.sequence(0):  # both point into a mapped file, not into memory of their own
+        assert not x.flags.owndata and len(base) > 0
+
+
+def test_token_shard_of_many_batches(tmp_path):
+    w = token_store.ShardWriter(str(tmp_path), 0, "a", "<u2", 4)
+    rng, want = np.random.default_rng(1), []
+    for _ in range(40):
+        docs = [rng.integers(0, 60_000, int(n)).astype("<u2") for n in rng.integers(1, 900, 5)]
+        w.add([1] * 5, [x.tobytes() for x in docs])
+        want += docs
+    w.close()
+    shard = token_store.TokenShard(f"{tmp_path}/shard-000000")
+    d = shard.docs.read_all()
+    assert all((x == y).all() and len(x) == len(y) for x, y in zip(shard.slices(d["start"].to_numpy(), d["n_tokens"].to_numpy()), want, strict=True))
+    assert [shard.file.get_batch(i).num_rows for i in range(shard.file.num_record_batches - 1)] == [token_store.BATCH_SEQUENCES] * (shard.file.num_record_batches - 1)
 
 
 def test_token_counts(odd, none):
@@ -90,6 +116,15 @@ def test_bpe_rounds_equal_heap_and_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in rounds] == [tok.encode(w).ids for w in words]
 
 
+def test_bpe_characters_of_all_planes():
+    b, tok = bpe.ByteBPE(BYTE), Tokenizer.from_file(BYTE)
+    points = [*range(0x80, 0xD800, 5), *range(0xE000, 0x10000, 5), *range(0x10000, 0x20000, 11), *range(0x20000, 0x110000, 311), 0x3E8F5, 0x180E, 0x200B, 0x1F600]
+    texts = [f"a {chr(c)}'s {chr(c)}{chr(c)} 1{chr(c)}  {chr(c)}" for c in points]
+    for part in range(0, len(texts), 2000):
+        some = texts[part : part + 2000]
+        assert [np.frombuffer(x, "<u4").tolist() for x in b.encode_batch(some)] == [e.ids for e in tok.encode_batch(some, add_special_tokens=False)]
+
+
 def test_warc(spark):
     big = "<p>" + "é" * 100
     rows = [(5, big, 1), (2, big, 1), (7, "short", 1), (8, "short", 1), (9, None, 1), (None, big, 1), (2, big, 1), (11, "z" * 3_000_000, 1)]
@@ -104,13 +139,45 @@ def test_warc(spark):
     assert warc.read_archives(spark, warc.write_archives(warc.classify(pages.limit(0)), new_path(spark, "w"))).count() == 0
 
 
+def test_warc_records_are_whole(spark):
+    rows = [(1, "a" * 200, "http://a/1"), (2, "a" * 200, "http://a/ 2"), (1, "b", None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, url string").repartition(1)
+    raw = b"".join(gzip.open(p.removeprefix("file://"), "rb").read() for p in warc.write_archives(warc.classify(pages), new_path(spark, "w")))
+    heads = [h for h in re.findall(rb"WARC/1\.1\r\n(?:[^\r\n]+\r\n)+", raw)]
+    assert sum(b"WARC-Type: warcinfo" in h for h in heads) >= 1 and len({re.search(rb"WARC-Record-ID: (.+)\r", h)[1] for h in heads}) == len(heads)
+    assert {re.search(rb"WARC-Target-URI: (.+)\r", h)[1] for h in heads if b"warcinfo" not in h} == {b"http://a/1", b"http://a/2", b"urn:page:1"}
+    assert [b"WARC-Refers-To-Target-URI: http://a/1\r" in h for h in heads if b"revisit\r" in h] == [True]
+
+
+Z = lambda b: zlib.compress(b, wbits=31)
+
+
 def test_warc_reader_refuses_damage():
-    good = warc.record(1, b"hello", hashlib.sha256(b"hello").hexdigest(), None)
-    z = lambda b: zlib.compress(b, wbits=31)
-    assert next(warc.read_records(io.BytesIO(z(good) + z(good)), keep_payload=True))[5] == b"hello"
-    for bad in (good.replace(b"hello", b"hellO"), good[:-6]):
+    good = warc.record(1, b"hello", hashlib.sha256(b"hello").hexdigest(), None, record_id="urn:a", url="http://a")
+    assert [r[5] for r in warc.read_records(io.BytesIO(Z(good) + Z(good)), keep_payload=True)] == [b"hello"] * 2
+    for bad in (Z(good.replace(b"hello", b"hellO")), Z(good[:-6]), Z(good)[:-4], Z(good) + Z(good)[:-20], Z(good)[:40] + b"xx" + Z(good)[42:]):
         with pytest.raises(ValueError):
-            list(warc.read_records(io.BytesIO(z(bad))))
+            list(warc.read_records(io.BytesIO(bad)))
+
+
+def test_warc_reader_of_other_archives():
+    """Record types that aren't asked for, digests of other kinds, chunked bodies, no lengths."""
+
+    def one(kind, body, *fields):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:x>", *fields, f"Content-Length: {len(body)}"]
+        return Z(("\r\n".join(head) + "\r\n\r\n").encode() + body + b"\r\n\r\n")
+
+    http, text = "Content-Type: application/http; msgtype=response", b"some text"
+    sha1 = "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(text).digest()).decode()
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4;x=1\r\nsome\r\n5\r\n text\r\n0\r\n\r\n"
+    raw = one("warcinfo", b"a: b\r\n") + one("request", b"GET / HTTP/1.1\r\n\r\n", http) + one("response", b"HTTP/1.1 200 OK\r\n\r\n" + text, http, sha1) + one("response", chunked, http, sha1)
+    raw += one("response", b"HTTP/1.1 204 No\r\n\r\n", http) + one("metadata", b"x") + one("response", text) + one("revisit", b"HTTP/1.1 200 OK\r\n\r\n", http, "WARC-Payload-Digest: sha1:ABC")
+    got = [r[1:4] + (r[5],) for r in warc.read_records(io.BytesIO(raw), keep_payload=True)]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == [(9, sha(text), "response", text), (9, sha(text), "response", text), (0, sha(b""), "response", b""), (9, sha(text), "response", text), (None, "sha1:ABC", "revisit", None)]
+    with pytest.raises(ValueError):
+        list(warc.read_records(io.BytesIO(one("response", b"HTTP/1.1 200 OK\r\n\r\nother", http, sha1))))
+    assert [r[3] for r in warc.read_records(io.BytesIO(raw), kinds={"metadata"})] == ["metadata"]
 
 
 def test_line_dedup(spark, odd, none):
@@ -349,20 +416,54 @@ def test_fingerprint(spark, odd, none):
     assert fp[1] == fp[2] != fp[3]
     from pyspark.sql import functions as F
 
+    assert {r["doc_id"]: r["fp"] for r in fingerprint.fingerprint(docs).collect()} == {i: brute_fingerprint(t) for i, t in enumerate(texts)}
     one = spark.createDataFrame([(fp[3], fingerprint_of(spark, "b b"))], "a array<long>, b array<long>")
     assert one.select(fingerprint.combine(F.col("a"), F.col("b"), -1).alias("x")).first()["x"] == fp[1]
     assert fingerprint.compare_edited(odd).count() == odd.count() and fingerprint.compare_edited(none).count() == 0
 
 
+def brute_fingerprint(text):
+    """Count, packed one-bit lanes and 32-bit lanes of a text's pieces, each lane summed by its modulus."""
+    found = [m for p in re.split(r"\n|(?<=[.!?])[ \t\n\x0b\f\r]+", text or "") for m in re.findall(r"\S+(?:\s+\S+){0,4}", p, re.ASCII)]
+    h = [[xxhash.xxh64_intdigest(struct.pack("<i", s), xxhash.xxh64_intdigest(p.encode(), 42)) for p in found] for s in (0, 1)]
+    lane = lambda seed, bit: sum(x >> bit & 1 for x in h[seed]) % 2**31
+    wide = [lane(s, k) | lane(s, k + 31) << 31 for s in (0, 1) for k in range(31)]
+    return [len(found), *wide, *(sum(x >> 32 * (j % 2) & 0xFFFFFFFF for x in h[j // 2]) % 2**32 for j in range(4))]
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = (np.array([2 * (w >> k & (2**31 - 1)) - f[0] for k in (0, 31) for w in f[1:63]], float) for f in (a, b))
+    return float(np.clip(x @ y / max((x @ x) * (y @ y), 1e-9) ** 0.5, 0, 1))
+
+
+def test_fingerprint_equals_brute_force(spark):
+    """Lanes, text form and likeness recomputed; ties, repeated texts, empty and very long ones."""
+    texts = ["One two three four five six. Seven!\nEight nine", "", None, "a b c " * 5000, "One two three four five six. Seven!\nEight nine", "é ß\n" * 50, "...", "x"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, _fp int").repartition(3)
+    for buckets in (1, 4):
+        rows = {r["doc_id"]: r for r in fingerprint.compare_edited(docs, buckets=buckets).collect()}
+        for i, t in enumerate(texts):
+            t, nxt = t or "", texts[(i + 1) % len(texts)] or ""
+            half = len(t) // 2
+            own, edited, after = map(brute_fingerprint, (t, t[: len(t) - half] + nxt[:half], nxt))
+            hexed = lambda f: "".join(f"{x:08x}" for x in f[63:]) + f"{f[0]:x}-" + "".join(f"{x:016x}" for x in f[1:63])
+            assert (rows[i]["fingerprint"], rows[i]["edited_fingerprint"]) == (hexed(own), hexed(edited))
+            assert abs(rows[i]["near_edited"] - brute_likeness(own, edited)) < 1e-9 and abs(rows[i]["near_next"] - brute_likeness(own, after)) < 1e-9
+
+
 def fingerprint_of(spark, text):
     return fingerprint.fingerprint(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["fp"]
 
 
 def test_chat(spark):
     talk = lambda c, *t: [(c, i, "user" if i % 2 == 0 else "assistant", x, "z") for i, x in enumerate(t)]
-    rows = talk(1, "a", "b") + talk(2, "a", "b", "c") + talk(3, "a", "x") + talk(4, "a", "b", "c") + talk(5, "b") + [(6, None, None, None, "z"), (None, 0, "user", "q", "z")] + talk(7, *["long"] * 3000)
+    rows = talk(1, "a", "b") + talk(2, "a", "b", "c") + talk(3, "a", "x") + talk(4, "a", "b", "c") + talk(5, "b") + [(6, None, None, None, "z"), (None, 0, "user", "q", "z")] + talk(7, *["long"] * 3000) + [(8, 0, "b", "2", "z"), (8, 0, "a", "1", "z"), (8, 0, "a", "0", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, chat string").repartition(3)
     got = {r["conv_id"]: (r["n_turns"], r["chat"]) for r in chat.render(df).collect()}
-    assert set(got) == {2, 3, 5, 6, 7, None} and got[7][0] == 3000
+    assert set(got) == {2, 3, 5, 6, 7, 8, None} and got[7][0] == 3000
+    assert got[7][1] == "".join(f"<|im_start|>{'assistant' if i % 2 else 'user'}\nlong<|im_end|>\n" for i in range(3000))
+    assert got[8][1] == "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in ("a0", "a1", "b2"))
     assert got[3][1] == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nx<|im_end|>\n" and got[6][1] == "<|im_start|>unknown\n<|im_end|>\n"
     assert chat.render(df.limit(0)).count() == 0

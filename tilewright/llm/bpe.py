@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -58,7 +59,7 @@ class ByteBPE:
         keys, first = np.unique(keys, return_index=True)
         self.keys, self.ranks = keys, first.astype(np.int64)
         self.merged = np.array([vocab[merges[r][0] + merges[r][1]] for r in first], np.int64)
-        self.by_pair = None
+        self.by_pair, self.back, self.file, self.library = None, back, tokenizer_file, None
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.cache: dict[str, bytes] = {}
 
@@ -76,15 +77,27 @@ class ByteBPE:
 
     def _parts(self, text: str) -> list:
         if self.special_split is None or not any(s in text for s in self.specials):
-            return [byte_words(text)]
+            return [self._words(text)]
         out: list = []
         for p in self.special_split.split(text):
             if p in self.specials:
                 out.append(np.array([self.specials[p]], "<u4").tobytes())
             elif p:
-                out.append(byte_words(p))
+                out.append(self._words(p))
         return out
 
+    def _words(self, text: str) -> list[str]:
+        """The text's words; the library's pre-tokenizer splits those with characters of an unsure class."""
+        words = byte_words(text)
+        if words is None:
+            if self.library is None:
+                os.environ["TOKENIZERS_PARALLELISM"] = "false"
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.file).pre_tokenizer
+            words = [bytes(map(self.back.__getitem__, piece)).decode() for piece, _ in self.library.pre_tokenize_str(text)]
+        return words
+
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(words)
         short = [i for i, w in enumerate(words) if len(w) <= LONG]

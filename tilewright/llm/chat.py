@@ -7,6 +7,7 @@ smallest id stays. What is left is rendered.
 
 Running sums are taken in blocks of ``BLOCK`` turn numbers, and the blocks' sums are added, so a conversation with a
 large part of all rows isn't summed in one task. Prefixes and whole conversations are made distinct before they meet.
+Conversations of more turns than a block has are rendered block by block, and the blocks' texts are joined.
 
 Defined cases: a null turn comes first, a null role is rendered as ``unknown``, a null text as empty; turns with one
 number are one step of the prefix, rendered by role, then text; repeated rows count; rows of a null id are one
@@ -59,8 +60,11 @@ def render(conversations: DataFrame, *, conv: str = "conv_id", turn: str = "turn
     kept = maximal(rows).withColumnRenamed("conv_id", "_id")
     own = rows.join(kept, F.col("conv_id").eqNullSafe(F.col("_id")))
     said = F.concat(F.lit("<|im_start|>"), F.col("_role"), F.lit("\n"), F.col("_text"), F.lit("<|im_end|>\n"))
-    lines = F.sort_array(F.collect_list(F.struct("_turn", "_role", "_text", said.alias("line"))))
-    return own.groupBy("conv_id", "n_turns").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("chat"))
+    joined = lambda *order, line: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, line.alias("line")))), lambda x: x["line"]), "")
+    chat = joined("_turn", "_role", "_text", line=said)
+    short = own.where(F.col("n_turns") <= BLOCK).groupBy("conv_id", "n_turns").agg(chat.alias("chat"))
+    blocks = own.where(F.col("n_turns") > BLOCK).groupBy("conv_id", "n_turns", F.floor(F.col("_turn") / BLOCK).alias("_block")).agg(chat.alias("_part"))
+    return short.union(blocks.groupBy("conv_id", "n_turns").agg(joined("_block", line=F.col("_part")).alias("chat")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,20 +174,20 @@ def bucket_by_range(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     The bounds come from one pass over the key alone. They are looked up in two steps (coarse, then fine), so the
     expression costs about 2*sqrt(n) comparisons. Null keys go to the first range.
     """
-    steps = [i / n for i in range(1, n)]
+    kind = dict(df.dtypes)[key]
+    listed = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")  # noqa: E731  # one constant, however many ranges
     bounds = []
-    if steps:
-        found = df.agg(F.percentile_approx(key, F.array(*map(F.lit, steps)), max(10_000, 10 * n)).alias("p")).first()["p"]
+    if n > 1:
+        found = df.agg(F.percentile_approx(key, listed([i / n for i in range(1, n)], "double"), max(10_000, 10 * n)).alias("p")).first()["p"]
         bounds = sorted(set(found or []))
     if not bounds:
         return df.withColumn(name, F.lit(0))
     width = max(1, round(len(bounds) ** 0.5))
-    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
     value = F.col(key)
 
     def below(options):
         return F.size(F.filter(options, lambda b: b < value))
 
-    coarse = below(F.array(*[F.lit(g[-1]) for g in groups]))
-    fine = F.coalesce(F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), coarse), F.array().cast(f"array<{dict(df.dtypes)[key]}>"))
-    return df.withColumn(name, F.when(value.isNull(), 0).otherwise(coarse * width + below(fine)))
+    coarse = below(listed(bounds[width - 1 :: width], kind))
+    fine = below(F.slice(listed(bounds, kind), coarse * width + 1, F.lit(width)))
+    return df.withColumn(name, F.when(value.isNull(), 0).otherwise(coarse * width + fine))

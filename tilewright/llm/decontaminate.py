@@ -70,7 +70,7 @@ def item_shingles(items: DataFrame, item_col: str, text_col: str, size: int) ->
             sets = [np.unique(windows(w, min(size, len(w)))) if len(w) else w for w in words]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([min(size, len(w)) for w in words], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["item_id", "run", "shingles"])
 
-    return items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, "item_id long, run int, shingles array<long>").where(F.size("shingles") > 0)
+    return arrow_map(items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")), run, "item_id long, run int, shingles array<long>").where(F.size("shingles") > 0)
 
 
 def bloom_of(items: DataFrame, bits: int) -> bytes:

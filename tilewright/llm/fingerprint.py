@@ -5,13 +5,14 @@ powers of two. The sum doesn't depend on the order of pieces, and inserting or d
 vector (``combine``). A vector has two parts:
 
 * ``STRONG`` lanes of 32 bits, summed modulo 2^32: equality;
-* ``WIDE`` lanes of one bit (read as -1 or 1), summed modulo 2^20, three packed into a long: likeness. The mean square of
+* ``WIDE`` lanes of one bit (read as -1 or 1), summed modulo 2^31, two packed into a long: likeness. The mean square of
   the lanes estimates the size of a multiset, that of two fingerprints' product their common part; ``likeness`` is the
   cosine of the two, with a standard error of about 1/sqrt(WIDE).
 
 Defined cases: null text is empty; a text without a word has the zero fingerprint (like 1 to itself, 0 to any
-other); up to 2^20 - 1 pieces of a document keep the lanes apart; ties and repeated ids are ordered by id, then text; a
-null id sorts first; with one document, the next one is itself; empty tables give empty results; other columns are
+other); Spark's texts have less than 2^31 bytes, so a text's pieces never pass a lane's modulus (of ``fingerprint``, which
+adds the rows of one id, 2^31 - 1 pieces may come together); ties and repeated ids are ordered by id, then text; a null id
+sorts first; with one document, the next one is itself; empty tables give empty results; other columns are
 ignored.
 """
 
@@ -22,13 +23,13 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import bucket_by_range, partitions, table
 
-LANE_BITS = 20
+LANE_BITS = 31
 SUMS = [(seed, shift) for seed in (0, 1) for shift in range(LANE_BITS)]
-WIDE = 3 * len(SUMS)
+WIDE = 2 * len(SUMS)
 STRONG = 4
 RUN = 5
 _LOW = (1 << LANE_BITS) - 1
-_ONES = 1 | 1 << LANE_BITS | 1 << 2 * LANE_BITS
+_ONES = 1 | 1 << LANE_BITS
 
 
 def pieces_of(text: Column) -> Column:
@@ -60,15 +61,25 @@ def packed() -> Column:
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
-    """The fingerprint of both multisets together (or, with sign -1, of ``a`` without ``b``)."""
+    """The fingerprint of both multisets together (or, with sign -1, of ``a`` without ``b``), each lane by its modulus."""
     strong = 1 + len(SUMS)
-    return F.zip_with(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), b, lambda p, y: F.when(p["i"] >= strong, F.pmod(p["x"] + sign * y, F.lit(1 << 32))).otherwise(p["x"] + sign * y))
+
+    def wide(x: Column, y: Column) -> Column:
+        low, high = (lambda v: v.bitwiseAND(F.lit(_LOW))), (lambda v: F.shiftrightunsigned(v, LANE_BITS))
+        lanes = [F.pmod(part(x) + sign * part(y), F.lit(1 << LANE_BITS)) for part in (low, high)]
+        return lanes[0].bitwiseOR(F.shiftleft(lanes[1], LANE_BITS))
+
+    def one(p: Column, y: Column) -> Column:
+        plain = p["x"] + sign * y
+        return F.when(p["i"] == 0, plain).when(p["i"] >= strong, F.pmod(plain, F.lit(1 << 32))).otherwise(wide(p["x"], y))
+
+    return F.zip_with(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), b, one)
 
 
 def text_of(fp: Column) -> Column:
     """Hexadecimal form: strong lanes first."""
     strong = [F.lpad(F.lower(F.hex(fp[1 + len(SUMS) + j])), 8, "0") for j in range(STRONG)]
-    wide = [F.lpad(F.lower(F.hex(fp[1 + i])), 15, "0") for i in range(len(SUMS))]
+    wide = [F.lpad(F.lower(F.hex(fp[1 + i])), 16, "0") for i in range(len(SUMS))]
     return F.concat(*strong, F.lower(F.hex(fp[0])), F.lit("-"), *wide)
 
 
@@ -78,7 +89,7 @@ def _product(a: Column, b: Column) -> Column:
     def signed(fp: Column) -> Column:
         words = F.slice(fp, 2, len(SUMS))
         lane = lambda k: F.transform(words, lambda w: 2.0 * F.shiftrightunsigned(w, k * LANE_BITS).bitwiseAND(F.lit(_LOW)) - fp[0])
-        return F.concat(lane(0), lane(1), lane(2))
+        return F.concat(lane(0), lane(1))
 
     return F.aggregate(F.zip_with(signed(a), signed(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -2,9 +2,10 @@
 
 ``write_token_store`` encodes documents and writes them in ascending id order as shards. A shard is two Arrow IPC
 files: ``*.tokens.arrow`` has record batches of ``ids: fixed_size_list<uint16|uint32>[seq_len]`` and
-``mask: fixed_size_list<bool>[seq_len]`` (false: padding, at the end of a shard only); ``*.docs.arrow`` has, for each
-document, its id, its first token's place in the shard and its number of tokens. Buffers are uncompressed, so a memory
-map gives any sequence or document without copying.
+``mask: fixed_size_list<uint8>[seq_len]`` (0: padding, at the end of a shard only); ``*.docs.arrow`` has, for each
+document, its id, its first token's place in the shard and its number of tokens. All batches but a shard's last have
+``BATCH_SEQUENCES`` sequences, so a sequence's or token's batch follows from its number. Buffers are uncompressed: a
+memory map gives any sequence, mask, and document within one batch without copying.
 
 Defined cases: null text encodes as empty (end id alone); empty tables give no shard; repeated ids are kept, ordered by
 text; a null id sorts first; other columns of the table are ignored.
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import new_path, partitions, pieces, table
+from tilewright.llm.common import arrow_map, new_path, partitions, pieces, table
 from tilewright.llm.wordsplit import lower_words
 
 SEQ_LEN = 2048
@@ -97,7 +98,7 @@ class ShardWriter:
         self.dtype, self.seq_len, self.item = dtype, seq_len, np.dtype(dtype).itemsize
         self.names = [(f"{root}/.{attempt}-{shard:06d}.{k}.arrow", f"{root}/shard-{shard:06d}.{k}.arrow") for k in ("tokens", "docs")]
         ids = pa.list_(pa.from_numpy_dtype(dtype), seq_len)
-        self.schema = pa.schema([("ids", ids), ("mask", pa.list_(pa.bool_(), seq_len))])
+        self.schema = pa.schema([("ids", ids), ("mask", pa.list_(pa.uint8(), seq_len))])
         self.docs_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.out = [self.fs.open_output_stream(n[0]) for n in self.names]
         self.tokens, self.docs = ipc.new_file(self.out[0], self.schema), ipc.new_file(self.out[1], self.docs_schema)
@@ -115,22 +116,22 @@ class ShardWriter:
 
     def _flush(self, last: bool) -> None:
         flat = np.frombuffer(b"".join(self.parts), self.dtype)
-        n = len(flat) // self.seq_len
-        whole, rest = flat[: n * self.seq_len], flat[n * self.seq_len :]
-        for i in range(0, n, BATCH_SEQUENCES):
-            self._batch(whole[i * self.seq_len : (i + BATCH_SEQUENCES) * self.seq_len], None)
+        size = self.seq_len * BATCH_SEQUENCES
+        whole = len(flat) // size * size
+        for i in range(0, whole, size):
+            self._batch(flat[i : i + size], size)
+        rest = flat[whole:]
         if last and len(rest):
-            padded = np.zeros(self.seq_len, self.dtype)
+            padded = np.zeros(-(-len(rest) // self.seq_len) * self.seq_len, self.dtype)
             padded[: len(rest)] = rest
             self._batch(padded, len(rest))
             rest = rest[:0]
         self.parts, self.held = [rest.tobytes()], len(rest)
 
-    def _batch(self, flat: np.ndarray, real: int | None) -> None:
-        mask = np.ones(len(flat), bool)
-        if real is not None:
-            mask[real:] = False
-        self.tokens.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(flat), self.seq_len), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.seq_len)], schema=self.schema))
+    def _batch(self, flat: np.ndarray, real: int) -> None:
+        mask = np.zeros(len(flat), np.uint8)
+        mask[:real] = 1
+        self.tokens.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (flat, mask)], schema=self.schema))
 
     def close(self) -> None:
         self._flush(True)
@@ -169,9 +170,8 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         .repartitionByRange(shards or partitions(spark), "doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(write, "shard int, path string, n_docs long, n_tokens long")
-        .collect()
     )
+    rows = arrow_map(rows, write, "shard int, path string, n_docs long, n_tokens long").collect()
     start, out = 0, []
     for r in sorted(rows, key=lambda r: r["shard"]):
         out.append((r["shard"], r["path"], r["n_docs"], r["n_tokens"], start))
@@ -190,31 +190,32 @@ class TokenShard:
         self.file = ipc.open_file(source("tokens"))
         self.docs = ipc.open_file(source("docs"))
         self.seq_len = self.file.schema.field("ids").type.list_size
-        self.batches: dict[int, np.ndarray] = {}
-        self.rows = BATCH_SEQUENCES
+        self.held: tuple[int, np.ndarray] = (-1, np.empty(0))
 
-    def _flat(self, i: int) -> np.ndarray:
-        if i not in self.batches:
-            self.batches = {i: self.file.get_batch(i).column("ids").flatten().to_numpy(zero_copy_only=True)}
-        return self.batches[i]
+    def __len__(self) -> int:
+        """Sequences: of the last batch the rows, of all before the full number."""
+        n = self.file.num_record_batches
+        return (n - 1) * BATCH_SEQUENCES + self.file.get_batch(n - 1).num_rows if n else 0
 
-    def sequence(self, batch: int, row: int) -> tuple[np.ndarray, np.ndarray]:
-        b = self.file.get_batch(batch)
-        return b.column("ids")[row].values.to_numpy(zero_copy_only=True), b.column("mask")[row].values.to_numpy(zero_copy_only=False)
+    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and mask of a sequence; both point into the file's memory map."""
+        b = self.file.get_batch(i // BATCH_SEQUENCES)
+        return tuple(b.column(c)[i % BATCH_SEQUENCES].values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
 
-    def ends(self) -> np.ndarray:
-        """Tokens up to and with each batch."""
-        return np.cumsum([self.file.get_batch(i).num_rows * self.seq_len for i in range(self.file.num_record_batches)])
+    def _flat(self, i: int) -> np.ndarray:
+        if self.held[0] != i:
+            self.held = (i, self.file.get_batch(i).column("ids").flatten().to_numpy(zero_copy_only=True))
+        return self.held[1]
 
     def slices(self, starts: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
-        ends = self.ends()
-        for s, n in zip(starts, sizes, strict=True):
-            i, got = int(np.searchsorted(ends, s, "right")), []
+        """Runs of tokens by their first place and number, ascending; each batch is fetched once."""
+        size = self.seq_len * BATCH_SEQUENCES
+        for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+            got = []
             while n > 0:
-                flat, first = self._flat(i), int(ends[i - 1]) if i else 0
-                part = flat[s - first : s - first + n]
+                part = self._flat(s // size)[s % size : s % size + n]
                 got.append(part)
-                s, n, i = s + len(part), n - len(part), i + 1
+                s, n = s + len(part), n - len(part)
             yield got[0] if len(got) == 1 else np.concatenate(got) if got else np.empty(0, np.uint16)
 
 

@@ -1,12 +1,14 @@
 """Pre-token splitters for the public tokenizer files, with a fast exact path for Latin-1 texts.
 
 ``byte``: the byte-level pattern; ``word``: lower-cased words of the word-end vocabulary. A text that Latin-1 can't hold
-goes to the general pattern (``byte``) or is left to the tokenizers library (``word``), so results never depend on
-which path ran.
+goes to the general pattern (``byte``), unless it has a character that this pattern's Unicode tables and the tokenizers
+library's may class differently; such texts, and for ``word`` all texts beyond Latin-1, are left to the library. So
+results never depend on which path ran.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -39,8 +41,30 @@ def is_latin(text: str) -> bool:
     return True
 
 
-def byte_words(text: str) -> list[str]:
-    return (LATIN_BYTE if is_latin(text) else ANY_BYTE).findall(text)
+def _class(category: str) -> str:
+    return category[0] if category[0] in "LNZ" else ""
+
+
+@functools.cache
+def unsure() -> re.Pattern[str]:
+    """Characters beyond Latin-1 that Unicode 3.2 hadn't assigned or classed as letter, number, separator or other unlike
+    today. All others are classed alike by every later version."""
+    old, new = unicodedata.ucd_3_2_0.category, unicodedata.category
+    bad = [c for c in range(0x100, 0x110000) if (was := old(chr(c))) == "Cn" or _class(was) != _class(new(chr(c)))]
+    ranges, begin = [], None
+    for c, after in zip(bad, [*bad[1:], -1], strict=True):
+        begin = c if begin is None else begin
+        if after != c + 1:
+            ranges.append(rf"\U{begin:08x}-\U{c:08x}")
+            begin = None
+    return re.compile(f"[{''.join(ranges)}]")
+
+
+def byte_words(text: str) -> list[str] | None:
+    """Words of the byte-level vocabulary, or None where only the library's pre-tokenizer gives them surely."""
+    if is_latin(text):
+        return LATIN_BYTE.findall(text)
+    return None if unsure().search(text) else ANY_BYTE.findall(text)
 
 
 def lower_words(text: str) -> list[str] | None:
