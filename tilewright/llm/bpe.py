@@ -28,7 +28,7 @@ from tilewright.llm.common import arrow_map, pieces, table
 from tilewright.llm.wordsplit import byte_words
 
 LONG = 256
-MOST_WORDS = 400_000
+MOST_WORDS = 150_000
 
 
 def byte_alphabet() -> dict[int, str]:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 1_000
+BATCH_ROWS = 500
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORD = re.compile(r"\w+")
 SHINGLE_WORDS = 5
@@ -103,7 +103,7 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, chars: int = 4_00
 class _Hashes(dict):
     """Word to 64-bit hash, emptied when it has grown to ``most`` words."""
 
-    most = 300_000
+    most = 120_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
@@ -160,7 +160,12 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     the heap, so a session that doesn't set the rows of a batch gets ``BATCH_ROWS``."""
     if df.sparkSession.conf.get(_ROWS) == "10000":
         df.sparkSession.conf.set(_ROWS, BATCH_ROWS)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()  # a worker lives on after its task
+
+    return df.mapInArrow(run, schema)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
