@@ -54,9 +54,12 @@ def channel_statistics(df: DataFrame, by: str = "ch", value: str = "b") -> DataF
 
 
 def standardise(df: DataFrame, by: str = "ch", value: str = "b", eps: float = 1e-5, statistics: DataFrame | None = None) -> DataFrame:
-    """(value - mean) / sqrt(var + eps) by channel; ``statistics``: a saved table (by, mean, var) for the frozen form."""
+    """(value - mean) / sqrt(var + eps) by channel; ``statistics``: a saved table (by, mean, var) for the frozen form.
+
+    The statistics have a row for each channel, which bounds the broadcast; a join by channel would put all pixels into as
+    many tasks as there are channels."""
     s = statistics if statistics is not None else channel_statistics(df, by, value)
-    return df.join(s, by).withColumn(value, (F.col(value) - F.col("mean")) / F.sqrt(F.col("var") + eps)).drop("mean", "var")
+    return df.join(F.broadcast(s), by).withColumn(value, (F.col(value) - F.col("mean")) / F.sqrt(F.col("var") + eps)).drop("mean", "var")
 
 
 def raster_add(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("image_id", "r", "c"), value: str = "v") -> DataFrame:

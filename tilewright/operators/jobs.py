@@ -7,38 +7,28 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tilewright.functions import pixels
 from tilewright.operators.score import PredictorFactory, score_rasters
-from tilewright.sources.images import bytes_to_array, scan_images
+from tilewright.sources.images import scan_images
 from tilewright.sources.masks import write_masks
 
 
-def grey_rasters(rasters: DataFrame) -> DataFrame:
-    """Colour raster rows (binary) to grey rows (array): the predictor of this repository sees one band."""
+def score_paths(spark: SparkSession, root: str, factory: PredictorFactory, views: bool = False, batch_size: int = 8, **how) -> DataFrame:
+    """image_id, height, width, channels, q of the images of a folder, all bands scored."""
+    return score_rasters(scan_images(spark, root), factory, batch_size, views, **how)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for data, n in zip(f["data"], f["channels"], strict=True):
-                x = np.frombuffer(data, np.uint8)
-                out.append(np.floor(0.114 * x[0::n] + 0.587 * x[1::n] + 0.299 * x[2::n] + 0.5).astype(np.int32) if n >= 3 else x.astype(np.int32))
-            yield f.assign(data=out)[["image_id", "height", "width", "data"]]
-
-    return rasters.where("height > 0").mapInPandas(run, "image_id string, height int, width int, data array<int>")
 
+def mask_rows(scored: DataFrame, threshold: float = 4.0, dtype: str = "float32") -> DataFrame:
+    """Sums of eight views to three-channel masks: 255 strictly above ``threshold``."""
 
-def score_paths(spark: SparkSession, root: str, factory: PredictorFactory, views: bool = False, batch_size: int = 8) -> DataFrame:
-    """image_id, height, width, q of the images of a folder."""
-    return score_rasters(grey_rasters(scan_images(spark, root)), factory, batch_size, views)
-
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            on = [np.repeat(np.where(np.frombuffer(q, dtype) > threshold, 255, 0).astype(np.uint8), 3).tobytes() for q in f["q"]]
+            yield f[["image_id", "height", "width"]].assign(channels=3, data=on)
 
-def predict_job(spark: SparkSession, src: str, dst: str, factory: PredictorFactory, batch_size: int = 8) -> None:
-    """Images of ``src`` through the eight views to three-channel masks in ``dst`` (which must not exist)."""
-    q = score_paths(spark, src, factory, True, batch_size)
-    mask = F.flatten(F.transform("q", lambda x: F.array(*[pixels.tta_threshold(x)] * 3)))
-    write_masks(q.select("image_id", "height", "width", F.lit(3).alias("channels"), mask.alias("data")), dst)
+    return scored.select("image_id", "height", "width", "q").mapInPandas(run, "image_id string, height int, width int, channels int, data binary")
 
 
-__all__ = ["bytes_to_array", "grey_rasters", "predict_job", "score_paths"]
+def predict_job(spark: SparkSession, src: str, dst: str, factory: PredictorFactory, batch_size: int = 8, if_exists: str = "error", **how) -> None:
+    """Images of ``src`` through the eight views to three-channel masks in ``dst``."""
+    write_masks(mask_rows(score_paths(spark, src, factory, True, batch_size, **how), dtype=how.get("dtype", "float32")), dst, if_exists)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +74,28 @@ def iou(pairs: DataFrame, by: list[str] | None = None, smooth: float = 0.0) -> D
 def epoch_loss(batch_losses: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The mean of the batches' losses, whatever their sizes."""
     return batch_losses.groupBy(*(by or [])).agg(F.avg("loss").alias("epoch_loss"))
+
+
+def raster_sums(rows: DataFrame, keys: list[str], dtype: str = "float32", clamp: float = -100.0) -> DataFrame:
+    """Raster rows (keys, t: bytes 0 and 1, q: little-endian ``dtype``) to one small row each: n, sums of t, q, t*q and of
+    the cross entropy. A megapixel pair is one row in and one out, where a pixel table would join a million."""
+    kinds = dict(rows.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for a, b in zip(f["t"], f["q"], strict=True):
+                t, q = np.frombuffer(a, np.uint8).astype(np.float64), np.frombuffer(b, dtype).astype(np.float64)
+                with np.errstate(divide="ignore"):
+                    e = -(t * np.maximum(np.log(q), clamp) + (1 - t) * np.maximum(np.log1p(-q), clamp))
+                out.append((len(t), t.sum(), q.sum(), (t * q).sum(), e.sum()))
+            yield pd.concat([f[keys].reset_index(drop=True), pd.DataFrame(out, columns=["n", "s_t", "s_q", "s_tq", "s_e"])], axis=1)
+
+    return rows.select(*keys, "t", "q").mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n long, s_t double, s_q double, s_tq double, s_e double"]))
+
+
+def raster_losses(sums: DataFrame, by: list[str] | None = None, smooth: float = 0.0) -> DataFrame:
+    """bce, dice, iou, dice_loss and loss (cross entropy plus Dice loss) of ``raster_sums``, for each group."""
+    n, t, q, tq, e = (F.sum(c) for c in ("n", "s_t", "s_q", "s_tq", "s_e"))
+    dice, iou = F.try_divide(2 * tq + smooth, t + q + smooth), F.try_divide(tq + smooth, t + q - tq + smooth)
+    return sums.groupBy(*(by or [])).agg((e / n).alias("bce"), dice.alias("dice"), iou.alias("iou"), (1 - dice).alias("dice_loss"), (e / n + 1 - dice).alias("loss"))

@@ -58,10 +58,18 @@ def active_checkpoint(runs: DataFrame, init: float = INIT) -> DataFrame:
     return running_best(runs, init).withColumn("checkpoint", F.max(F.when(F.col("improved") == 1, F.col("epoch"))).over(_by().rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def best_checkpoint(runs: DataFrame, path: Column | None = None) -> DataFrame:
-    """run, epoch, loss (and path) of the least loss; the earliest of equal ones."""
-    path = path if path is not None else F.format_string("weights/%s.th", F.col("run").cast("string"))
-    return runs.groupBy("run").agg(F.min(F.struct("loss", "epoch")).alias("b")).select("run", F.col("b.epoch").alias("epoch"), F.col("b.loss").alias("loss"), path.alias("path"))
+def best_checkpoint(runs: DataFrame, path: Column | None = None, init: float = INIT) -> DataFrame:
+    """run, epoch, loss and path of the weights that were saved last: weights are saved on improvement below ``init``, so a
+    run that never comes below it has none."""
+    path = path if path is not None else F.format_string("checkpoints/%s", F.col("run").cast("string"))
+    saved = running_best(runs, init).where("improved = 1")
+    return saved.groupBy("run").agg(F.max(F.struct("epoch", "loss")).alias("b")).select("run", F.col("b.epoch").alias("epoch"), F.col("b.loss").alias("loss"), path.alias("path"))
+
+
+def best_epochs(runs: DataFrame, k: int = 1) -> DataFrame:
+    """run, rank, epoch, loss of the ``k`` least losses of each run, whether saved or not; the earlier of equal ones."""
+    rank = F.row_number().over(Window.partitionBy("run").orderBy("loss", "epoch"))
+    return runs.select("run", rank.alias("rank"), "epoch", "loss").where(F.col("rank") <= k)
 
 
 def first_epochs(runs: DataFrame, n: int = 300) -> DataFrame:

@@ -1,25 +1,29 @@
 """Scoring with a plug-in predictor, and its eight-view ensemble.
 
 Two forms with one meaning. Pixel tables: a predictor is a function of columns, and views are index arithmetic. Raster
-rows: a predictor factory is called once per worker and gives a function on a batch of arrays; all eight views of an
-image are scored within one Arrow batch, so nothing is shuffled. Use raster rows for mass scoring.
+rows: a predictor factory is called once per task and gives a function on a batch of arrays (n, bands, height, width); all
+eight views of an image are scored within one batch, so nothing is shuffled. Use raster rows for mass scoring. How many
+rows Spark hands over at a time is bounded by the session's ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless
+set) and ``maxRecordsPerBatch``; of these rows ``batch_size`` are scored at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tilewright.functions import pixels
 from tilewright.functions.pixels import sigmoid
 
 #: A predictor on columns: (normalised value, row, column) to probability.
 PixelPredictor = Callable[[Column, Column, Column], Column]
-#: Called without arguments on a worker; gives a function of (n, height, width) arrays to probabilities.
+#: Called without arguments on a worker; gives a function of normalised (n, bands, height, width) arrays to (n, height,
+#: width) probabilities.
 PredictorFactory = Callable[[], Callable[[np.ndarray], np.ndarray]]
 VIEWS = range(8)
 
@@ -29,11 +33,13 @@ def logistic(bias: float = 0.1, weight: float = 0.8, by_row: float = 0.05, by_co
     return lambda x, r, c: sigmoid(F.lit(bias) + F.lit(weight) * x + F.lit(by_row) * r + F.lit(by_col) * c)
 
 
-def logistic_factory(bias: float = 0.1, weight: float = 0.8, by_row: float = 0.05, by_col: float = -0.03) -> PredictorFactory:
+def logistic_factory(bias: float = 0.1, weights: Sequence[float] = (0.8,), by_row: float = 0.05, by_col: float = -0.03) -> PredictorFactory:
+    """The same model on arrays, with a weight for each band."""
+
     def factory() -> Callable[[np.ndarray], np.ndarray]:
         def predict(x: np.ndarray) -> np.ndarray:
-            r, c = np.arange(x.shape[1])[None, :, None], np.arange(x.shape[2])[None, None, :]
-            return 1 / (1 + np.exp(-(bias + weight * x + by_row * r + by_col * c)))
+            r, c = np.arange(x.shape[2])[None, :, None], np.arange(x.shape[3])[None, None, :]
+            return 1 / (1 + np.exp(-(bias + np.tensordot(x, np.asarray(weights), (1, 0)) + by_row * r + by_col * c)))
 
         return predict
 
@@ -73,39 +79,59 @@ def tta_score(df: DataFrame, predictor: PixelPredictor, shape: tuple[int, int],
     return tta_merge(tta_invert(score(tta_views(df, shape), predictor, value), shape), keys)
 
 
-def _batched(it: Iterator[pd.DataFrame], factory: PredictorFactory, size: int, views: bool) -> Iterator[pd.DataFrame]:
+def planes(data: bytes | np.ndarray, height: int, width: int, channels: int) -> np.ndarray:
+    """A raster's interleaved bytes (or numbers 0-255) as an array (bands, height, width)."""
+    flat = np.frombuffer(data, np.uint8) if isinstance(data, bytes | bytearray | memoryview) else np.asarray(data)
+    return flat.reshape(height, width, channels).transpose(2, 0, 1)
+
+
+def _batched(it: Iterator[pd.DataFrame], factory: PredictorFactory, size: int, most: int, views: bool, dtype: str) -> Iterator[pd.DataFrame]:
     predict = factory()
     for frame in it:
-        for at in range(0, len(frame), size):
-            part = frame.iloc[at : at + size].copy()
-            out: list = [None] * len(part)
-            shapes = pd.Series(list(zip(part["height"], part["width"], strict=True)))
-            for (h, w), where in shapes.groupby(shapes).groups.items():
-                x = np.stack([np.asarray(part["data"].iloc[i], np.float64).reshape(h, w) for i in where]) / 255.0 * 3.2 - 1.6
+        out: list = [None] * len(frame)
+        shapes = list(zip(frame["height"], frame["width"], frame["channels"], strict=True))
+        for h, w, n in dict.fromkeys(shapes):
+            same = [i for i, s in enumerate(shapes) if s == (h, w, n)]
+            step = max(1, min(size, most // (int(h) * w * n * np.dtype(dtype).itemsize)))
+            for at in range(0, len(same), step):
+                where = same[at : at + step]
+                x = np.stack([planes(frame["data"].iloc[i], h, w, n) for i in where]).astype(dtype) / 255.0 * 3.2 - 1.6
                 q = _eight(x, predict) if views else predict(x)
                 for i, one in zip(where, q, strict=True):
-                    out[i] = one.ravel().astype(np.float64)
-            yield part.drop(columns=["data"]).assign(q=out)
+                    out[i] = np.ascontiguousarray(one, dtype).tobytes()
+        yield frame.drop(columns=["data"]).assign(q=out)
 
 
 def _eight(x: np.ndarray, predict: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    total = np.zeros(x.shape)
+    total = 0
     for k in VIEWS:
-        v = np.rot90(x, axes=(1, 2)) if k & 1 else x
-        v = v[:, ::-1] if k & 2 else v
-        q = predict(np.ascontiguousarray(v[:, :, ::-1] if k & 4 else v))
+        v = np.rot90(x, axes=(2, 3)) if k & 1 else x
+        v = v[:, :, ::-1] if k & 2 else v
+        q = predict(np.ascontiguousarray(v[:, :, :, ::-1] if k & 4 else v))
         q = q[:, :, ::-1] if k & 4 else q
         q = q[:, ::-1] if k & 2 else q
-        total += np.rot90(q, -1, axes=(1, 2)) if k & 1 else q
+        total = total + (np.rot90(q, -1, axes=(1, 2)) if k & 1 else q)
     return total
 
 
-def score_rasters(rasters: DataFrame, factory: PredictorFactory, batch_size: int = 8, views: bool = False) -> DataFrame:
-    """Raster rows (.., height, width, data: grey bytes) to the same with ``q`` (array of double) for ``data``.
+def score_rasters(rasters: DataFrame, factory: PredictorFactory, batch_size: int = 8, views: bool = False, batch_bytes: int = 256 << 20, dtype: str = "float32") -> DataFrame:
+    """Raster rows (.., height, width, channels: 1 if absent, data: interleaved bytes) to the same with ``q`` for
+    ``data``: the probabilities in row-major order as little-endian ``dtype``.
 
-    ``views``: the eight-view sum. Images of one shape are stacked, ``batch_size`` at a time.
+    ``views``: the eight-view sum. Images may differ in shape; those of one shape are stacked, at most ``batch_size`` and
+    ``batch_bytes`` of them at a time. Rows that couldn't be decoded (height below 1) are left out.
     """
-    keep = [f for f in rasters.schema.fields if f.name != "data"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    ordered = rasters.select(*[f.name for f in keep], "data")
-    return ordered.mapInPandas(lambda it: _batched(it, factory, batch_size, views), f"{schema}, q array<double>")
+    rows = rasters if "channels" in rasters.columns else rasters.withColumn("channels", F.lit(1))
+    keep = [f for f in rows.schema.fields if f.name != "data"]
+    ordered = rows.where("height > 0").select(*[f.name for f in keep], "data")
+    return ordered.mapInPandas(lambda it: _batched(it, factory, batch_size, batch_bytes, views, dtype), StructType([*keep, StructField("q", BinaryType())]))
+
+
+def numbers_of(rasters: DataFrame, data: str = "q", dtype: str = "float32") -> DataFrame:
+    """A binary payload of numbers as an array of doubles, for pixel tables."""
+
+    @F.pandas_udf("array<double>")
+    def unpack(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: np.frombuffer(b, dtype).astype(np.float64) if b is not None else None)
+
+    return rasters.withColumn(data, unpack(data))

@@ -35,6 +35,19 @@ def patch3(spark: SparkSession, d: str) -> DataFrame:
     return p.join(whole, "image_id", "left_semi").select("image_id", "ch", "r", "c", "b")
 
 
+def rasters3(spark: SparkSession, d: str) -> DataFrame:
+    """The colour patches as raster rows: image_id, height, width, channels, data (interleaved bytes)."""
+    cells = F.sort_array(F.collect_list(F.struct("r", "c", "ch", "b")))
+    data = F.unhex(F.array_join(F.transform(cells, lambda x: F.lpad(F.hex(x["b"]), 2, "0")), ""))
+    return patch3(spark, d).groupBy("image_id").agg(data.alias("data")).select("image_id", F.lit(SHAPE[0]).alias("height"), F.lit(SHAPE[1]).alias("width"), F.lit(3).alias("channels"), "data")
+
+
+def grey1(spark: SparkSession, d: str) -> DataFrame:
+    """Each raster as bytes: image_id, mask."""
+    cells = F.sort_array(F.collect_list(F.struct("r", "c", "b")))
+    return u8(spark, d).groupBy("image_id").agg(F.unhex(F.array_join(F.transform(cells, lambda x: F.lpad(F.hex(x["b"]), 2, "0")), "")).alias("mask"))
+
+
 def truth(spark: SparkSession, d: str) -> DataFrame:
     """t: whether the next raster's value at the pixel is positive."""
     return raster8(spark, d).select((F.col("image_id") - 1).alias("image_id"), "r", "c", (F.col("v") > 0).cast("int").alias("t"))
@@ -48,8 +61,8 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 def catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ids = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"))
     named = lambda p: F.format_string(p, F.col("image_id"))
-    images = ids.select(named("dataset/train/%d_sat.jpg").alias("path"))
-    masks = ids.where("image_id % 7 <> 0").select(named("dataset/train/%d_mask.png").alias("path"))
+    images = ids.select(named("tiles/%d_sat.jpg").alias("path"))
+    masks = ids.where("image_id % 7 <> 0").select(named("tiles/%d_mask.png").alias("path"))
     return images, masks
 
 
@@ -69,8 +82,8 @@ CTE = {
     "patch3": "SELECT image_id // 3 AS image_id, image_id % 3 AS ch, r, c, b FROM u8 WHERE image_id // 3 IN (SELECT vec_id // 3 FROM embeddings GROUP BY 1 HAVING count(*) = 3)",
     "truth": "SELECT image_id - 1 AS image_id, r, c, CAST(v > 0 AS INT) AS t FROM r8",
     "pairs": "SELECT a.image_id, a.label, a.r, a.c, t, 1 / (1 + exp(-a.v)) AS q FROM r8 a JOIN truth b ON a.image_id = b.image_id AND a.r = b.r AND a.c = b.c",
-    "images": "SELECT 'dataset/train/' || vec_id || '_sat.jpg' AS path FROM embeddings",
-    "masks": "SELECT 'dataset/train/' || vec_id || '_mask.png' AS path FROM embeddings WHERE vec_id % 7 <> 0",
+    "images": "SELECT 'tiles/' || vec_id || '_sat.jpg' AS path FROM embeddings",
+    "masks": "SELECT 'tiles/' || vec_id || '_mask.png' AS path FROM embeddings WHERE vec_id % 7 <> 0",
     "runs": "SELECT user_id AS run, row_number() OVER w AS epoch, value AS loss, CAST(sum(700 + event_id % 17) OVER w AS BIGINT) AS elapsed_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
     "best": "SELECT *, least(coalesce(min(loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 100.0), 100.0) AS best FROM runs",
     "improved": "SELECT *, CAST(loss < best AS INT) AS improved FROM best",
@@ -90,6 +103,10 @@ CTE = {
     "merged": "SELECT image_id, r, c, sum(q) AS q FROM inverted GROUP BY ALL",
     "scored1": "SELECT image_id, r, c, 1 / (1 + exp(-(0.1 + 0.8 * (b / 255.0::DOUBLE * 3.2 - 1.6) + 0.05 * r - 0.03 * c))) AS q FROM u8",
     "planes": "SELECT image_id, r, c, max(b) FILTER (ch = 0) AS pb, max(b) FILTER (ch = 1) AS pg, max(b) FILTER (ch = 2) AS pr FROM patch3 GROUP BY ALL",
+    "mixed3": "SELECT image_id, r, c, 0.2::DOUBLE * (pb / 255.0::DOUBLE * 3.2 - 1.6) + 0.5::DOUBLE * (pg / 255.0::DOUBLE * 3.2 - 1.6) - 0.3::DOUBLE * (pr / 255.0::DOUBLE * 3.2 - 1.6) AS z FROM planes",
+    "scored3": "SELECT image_id, r, c, 1 / (1 + exp(-(0.1 + z + 0.05 * r - 0.03 * c))) AS q FROM mixed3",
+    "seen3": "SELECT image_id, r, c, z, CASE WHEN fv = 1 THEN 7 - r1 ELSE r1 END AS vr, CASE WHEN fh = 1 THEN 7 - c1 ELSE c1 END AS vc FROM (SELECT *, CASE WHEN rot = 1 THEN 7 - c ELSE r END AS r1, CASE WHEN rot = 1 THEN r ELSE c END AS c1 FROM mixed3, views)",
+    "merged3": "SELECT image_id, r, c, sum(1 / (1 + exp(-(0.1 + z + 0.05 * vr - 0.03 * vc)))) AS q FROM seen3 GROUP BY ALL",
     "hsv0": "SELECT *, greatest(pb, pg, pr) AS v, greatest(pb, pg, pr) - least(pb, pg, pr) AS d FROM planes",
     "hsv1": "SELECT *, CASE WHEN d = 0 THEN 0.0 WHEN v = pr THEN 60.0 * (pg - pb) / d WHEN v = pg THEN 120.0 + 60.0 * (pb - pr) / d ELSE 240.0 + 60.0 * (pr - pg) / d END::DOUBLE AS deg FROM hsv0",
     "hsv": "SELECT image_id, r, c, pb, pg, pr, CAST(floor((CASE WHEN deg < 0 THEN deg + 360 ELSE deg END) / 2 + 0.5) AS BIGINT) % 180 AS h, CASE WHEN v = 0 THEN 0 ELSE CAST(floor(255.0::DOUBLE * d / v + 0.5) AS BIGINT) END AS s, v FROM hsv1",

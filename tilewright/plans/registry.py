@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import draws, pixels
-from tilewright.operators import algebra, augment, batches, jobs, layouts, metrics, pairing, runs, score
+from tilewright.operators import algebra, augment, augment_rasters, batches, jobs, layouts, metrics, pairing, runs, score
 from tilewright.plans import fixtures as fx
 from tilewright.plans.fixtures import K3, K4, SHAPE, draw_sql
 from tilewright.sources import images, masks, runlog, shared
@@ -93,17 +93,18 @@ def _run_log(spark: SparkSession, d: str) -> DataFrame:
     return runlog.log_text(back.select(col("run").cast("long").alias("run"), "epoch", "elapsed_s", "loss"))
 
 
-add("s7_write_run_log", "run:l epoch:l text:s", _run_log, "SELECT run, epoch, format('********\nepoch: {}     time: {}\ntrain_loss: {:.6f}\nSHAPE: (1024, 1024)', epoch, elapsed_s, loss) AS text FROM runs")
+add("s7_write_run_log", "run:l epoch:l text:s", _run_log, "SELECT run, epoch, format('********\nepoch: {}     time: {}\ntrain_loss: {}\nSHAPE: (1024, 1024)', epoch, elapsed_s, CAST(loss AS VARCHAR)) AS text FROM runs")
+add("s7_log_events", "run:l epoch:l text:s", lambda s, d: runlog.log_text_with_events(fx.runs(s, d)), "SELECT r.run, r.epoch, format('********\nepoch: {}     time: {}\ntrain_loss: {}\nSHAPE: (1024, 1024)', r.epoch, r.elapsed_s, CAST(r.loss AS VARCHAR)) || CASE WHEN r.epoch = stop_epoch THEN CASE WHEN reason = 'early stop' THEN chr(10) || 'early stop at ' || r.epoch || ' epoch' ELSE '' END WHEN cut = 1 THEN format('\nupdate learning rate: {:.6f} -> {:.6f}', lr_before, lr) ELSE '' END AS text FROM schedule r LEFT JOIN stops s ON r.run = s.run WHERE stop_epoch IS NULL OR r.epoch <= stop_epoch")
 
 
 def _log_back(spark: SparkSession, d: str) -> DataFrame:
     path = shared.scratch(spark, "textlog")
-    runlog.write_text_log(fx.runs(spark, d), path)
+    runlog.write_text_log(fx.runs(spark, d), path, events=False)
     return runlog.read_run_log(spark, path).withColumn("run", F.regexp_extract("file", r"run=(\d+)", 1).cast("long"))
 
 
 add("s8_read_run_log", "run:l epoch:l elapsed_s:l loss:d height:l width:l", _log_back, "SELECT run, epoch, elapsed_s, loss, 1024 AS height, 1024 AS width FROM runs")
-add("s9_best_checkpoint", "run:l epoch:l loss:d path:s", lambda s, d: runs.best_checkpoint(fx.runs(s, d)), "SELECT run, epoch, loss, 'weights/' || run || '.th' AS path FROM runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY loss, epoch) = 1")
+add("s9_best_checkpoint", "run:l epoch:l loss:d path:s", lambda s, d: runs.best_checkpoint(fx.runs(s, d)), "SELECT run, epoch, loss, 'checkpoints/' || run AS path FROM improved WHERE improved = 1 QUALIFY row_number() OVER (PARTITION BY run ORDER BY epoch DESC) = 1")
 
 # Projections and predicates --------------------------------------------------------------------------------------
 
@@ -171,6 +172,17 @@ add("a5_dice_bce_loss", "label:l loss:d", lambda s, d: metrics.dice_bce_loss(fx.
 add("a5_dice_bce_loss_per_image", "label:l loss:d", lambda s, d: metrics.dice_bce_loss(fx.pairs(s, d), ["label"], batch=False), f"SELECT a.label, e + 1 - x AS loss FROM (SELECT label, {_BCE} AS e FROM pairs GROUP BY 1) a JOIN (SELECT label, avg(x) AS x FROM (SELECT label, image_id, {_DICE} AS x FROM pairs GROUP BY 1, 2) GROUP BY 1) b ON a.label = b.label")
 add("a6_iou", "image_id:l iou:d", lambda s, d: metrics.iou(fx.pairs(s, d), ["image_id"]), "SELECT image_id, sum(t * q) / nullif(sum(t) + sum(q) - sum(t * q), 0) AS iou FROM pairs GROUP BY 1")
 add("a7_epoch_loss", "label:l epoch_loss:d", lambda s, d: metrics.epoch_loss(metrics.dice_bce_loss(fx.pairs(s, d).withColumn("batch_id", F.floor(col("image_id") / 8)), ["label", "batch_id"]), ["label"]), f"SELECT label, avg(x) AS epoch_loss FROM (SELECT label, image_id // 8 AS b, {_BCE} + 1 - {_DICE} AS x FROM pairs GROUP BY 1, 2) GROUP BY 1")
+
+
+def _raster_losses(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the colour patches against the masks of the rasters with the same number, without pixel rows."""
+    scored = score.score_rasters(fx.rasters3(spark, d), batch_size=8, **_BANDS)
+    t = F.unhex(F.array_join(F.transform("t", lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    truth = layouts.rasters_of(fx.u8(spark, d).withColumn("t", pixels.binarise_mask(col("b"))), ["image_id"], "t").select("image_id", col("data").alias("t")).withColumn("t", t)
+    return metrics.raster_losses(metrics.raster_sums(scored.join(truth, "image_id"), ["image_id"], "float64"), ["image_id"])
+
+
+add("a6_raster_losses", "image_id:l bce:d dice:d iou:d loss:d", _raster_losses, f"SELECT image_id, {_BCE} AS bce, {_DICE} AS dice, sum(t * q) / nullif(sum(t) + sum(q) - sum(t * q), 0) AS iou, {_BCE} + 1 - {_DICE} AS loss FROM (SELECT s.image_id, q, CASE WHEN b >= 128 THEN 1 ELSE 0 END AS t FROM scored3 s JOIN u8 USING (image_id, r, c)) GROUP BY image_id")
 add("a8_n_samples", "n:l", lambda s, d: batches.n_samples(_ids(s, d)), "SELECT count(*) AS n FROM embeddings")
 add("a9_n_batches", "n:l", lambda s, d: batches.n_batches(_ids(s, d), 24), "SELECT (count(*) + 23) // 24 AS n FROM embeddings")
 add("a10_tta_merge", "image_id:l r:l c:l q:d", lambda s, d: score.tta_merge(score.tta_invert(score.score(score.tta_views(fx.u8(s, d), SHAPE), score.logistic()), SHAPE)), "SELECT * FROM merged")
@@ -190,7 +202,7 @@ add("w10_set_rate", "run:l epoch:l scaled:d", lambda s, d: runs.set_rate(fx.runs
 add("o1_random_order", "image_id:l pos:l", lambda s, d: batches.make_batches(_ids(s, d), 1, epoch=1), _ORDER.format(e=1))
 add("o2_first_epochs", "run:l epoch:l", lambda s, d: runs.first_epochs(fx.runs(s, d), 50), "SELECT run, epoch FROM runs WHERE epoch <= 50")
 add("o2_until_stop", "run:l epoch:l", lambda s, d: runs.until_stop(fx.runs(s, d)), "SELECT r.run, r.epoch FROM runs r LEFT JOIN stops s ON r.run = s.run WHERE s.stop_epoch IS NULL OR r.epoch <= s.stop_epoch")
-add("o3_best_epoch", "run:l epoch:l loss:d", lambda s, d: runs.best_checkpoint(fx.runs(s, d)), "SELECT run, epoch, loss FROM runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY loss, epoch) = 1")
+add("o3_best_epochs", "run:l rank:l epoch:l loss:d", lambda s, d: runs.best_epochs(fx.runs(s, d), 3), "SELECT run, row_number() OVER (PARTITION BY run ORDER BY loss, epoch) AS rank, epoch, loss FROM runs QUALIFY rank <= 3")
 
 # Set operations --------------------------------------------------------------------------------------------------
 
@@ -253,30 +265,44 @@ add("g6_augment_images", "image_id:l ch:l r:l c:l x:d", lambda s, d: augment.aug
 add("g6_augment_masks", "image_id:l r:l c:l t:l", lambda s, d: augment.augment(fx.patch3(s, d), fx.u8(s, d), SHAPE)[1], f"SELECT image_id, r, c, CAST(b >= 128 AS INT) AS t FROM ({fx.turn_sql('warped', 'b')})")
 add("g7_ssr_with_turn", "image_id:l r:l c:l b:l", lambda s, d: augment.random_ssr(fx.u8(s, d), SHAPE, rotate=(-30, 30)), "SELECT * FROM warped_turn")
 
+
+
+def _augmented(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.rasters3(spark, d).join(fx.grey1(spark, d), "image_id")
+    out = score.numbers_of(augment_rasters.augment_rasters(rows, dtype="float64"), "x", "float64")
+    cells = out.select("image_id", F.posexplode("x").alias("p", "x"))
+    return cells.select("image_id", F.floor(col("p") / 64).alias("ch"), F.floor(col("p") % 64 / 8).alias("r"), (col("p") % 8).alias("c"), "x")
+
+
+add("g6_augment_raster_rows", "image_id:l ch:l r:l c:l x:d", _augmented, f"SELECT image_id, ch, r, c, b / 255.0::DOUBLE * 3.2 - 1.6 AS x FROM ({fx.turn_sql('warped3', 'ch, b')})")
+
 # Scoring ---------------------------------------------------------------------------------------------------------
 
 
-def _rasters(spark: SparkSession, d: str) -> DataFrame:
-    return layouts.rasters_of(fx.u8(spark, d), ["image_id"], "b")
+_BANDS = {"factory": score.logistic_factory(weights=(0.2, 0.5, -0.3)), "dtype": "float64"}
+
 
+def _scores(df: DataFrame) -> DataFrame:
+    """Scored raster rows as a pixel table of q."""
+    return layouts.pixels_of(score.numbers_of(df, "q", "float64").select("image_id", "q"), 8, "q", "q")
 
-add("t1_score_batches", "image_id:l r:l c:l q:d", lambda s, d: layouts.pixels_of(score.score_rasters(_rasters(s, d), score.logistic_factory(), 8).select("image_id", "q"), 8, "q", "q"), "SELECT * FROM scored1")
+
+add("t1_score_batches", "image_id:l r:l c:l q:d", lambda s, d: _scores(score.score_rasters(fx.rasters3(s, d), batch_size=8, **_BANDS)), "SELECT * FROM scored3")
 add("t2_score_one", "image_id:l r:l c:l p:l", lambda s, d: score.score(fx.u8(s, d).where("image_id = 7"), score.logistic()).withColumn("p", pixels.binarise_pred(col("q"))), "SELECT image_id, r, c, CASE WHEN q > 0.5 THEN 1 ELSE 0 END AS p FROM scored1 WHERE image_id = 7")
-_GREY = "SELECT image_id, r, c, CAST(floor(0.114::DOUBLE * pb + 0.587::DOUBLE * pg + 0.299::DOUBLE * pr + 0.5) AS BIGINT) AS b FROM planes"
-add("t3_score_paths", "image_id:s r:l c:l p:l", lambda s, d: layouts.pixels_of(jobs.score_paths(s, _png_dir(s, d), score.logistic_factory()).select("image_id", "q"), 8, "q", "q").withColumn("p", pixels.binarise_pred(col("q"))), f"SELECT image_id, r, c, CASE WHEN 1 / (1 + exp(-(0.1 + 0.8 * (b / 255.0::DOUBLE * 3.2 - 1.6) + 0.05 * r - 0.03 * c))) > 0.5 THEN 1 ELSE 0 END AS p FROM ({_GREY})")
+add("t3_score_paths", "image_id:s r:l c:l q:d p:l", lambda s, d: _scores(jobs.score_paths(s, _png_dir(s, d), **_BANDS)).withColumn("p", pixels.binarise_pred(col("q"))), "SELECT image_id, r, c, q, CASE WHEN q > 0.5 THEN 1 ELSE 0 END AS p FROM scored3")
 add("t4_tta_views", "image_id:l view:l r:l c:l b:l", lambda s, d: score.tta_views(fx.u8(s, d), SHAPE), "SELECT image_id, view, r, c, b FROM viewed")
 add("t5_tta_invert", "image_id:l view:l r:l c:l q:d", lambda s, d: score.tta_invert(score.score(score.tta_views(fx.u8(s, d), SHAPE), score.logistic()), SHAPE), "SELECT * FROM inverted")
 add("t6_tta_score", "image_id:l r:l c:l q:d", lambda s, d: score.tta_score(fx.u8(s, d), score.logistic(), SHAPE), "SELECT * FROM merged")
-add("t6_tta_score_fused", "image_id:l r:l c:l q:d", lambda s, d: layouts.pixels_of(score.score_rasters(_rasters(s, d), score.logistic_factory(), 8, views=True).select("image_id", "q"), 8, "q", "q"), "SELECT * FROM merged")
+add("t6_tta_score_fused", "image_id:l r:l c:l q:d", lambda s, d: _scores(score.score_rasters(fx.rasters3(s, d), batch_size=8, views=True, **_BANDS)), "SELECT * FROM merged3")
 
 
 def _job(spark: SparkSession, d: str) -> DataFrame:
     dst = shared.scratch(spark, "predicted")
-    jobs.predict_job(spark, _png_dir(spark, d), dst, score.logistic_factory())
-    return _image_sums(images.scan_images(spark, dst, "*_mask.*").withColumn("image_id", F.lit("all"))).groupBy("ch").agg(F.sum("n").alias("n"), F.sum((col("total") >= 0).cast("int")).alias("files"))
+    jobs.predict_job(spark, _png_dir(spark, d), dst, **_BANDS)
+    return _image_sums(images.scan_images(spark, dst, "*_mask.*", named=pixels.mask_id))
 
 
-add("t7_predict_job", "ch:l n:l files:l", _job, "SELECT ch, count(DISTINCT image_id) * 64 AS n, 1 AS files FROM patch3 GROUP BY ch")
+add("t7_predict_job", "image_id:s ch:l total:l placed:l n:l", _job, _SUMS.format("(SELECT image_id, ch, r, c, CASE WHEN q > 4 THEN 255 ELSE 0 END AS b FROM merged3, range(3) t(ch))"))
 
 # Map algebra -----------------------------------------------------------------------------------------------------
 
@@ -288,7 +314,16 @@ add("m2_multi_rate_focal", "image_id:l r:l c:l v:d", lambda s, d: algebra.multi_
 add("m3_block_max", "image_id:l r:l c:l v:d", lambda s, d: algebra.block_max(fx.raster8(s, d)), "SELECT image_id, r // 2 AS r, c // 2 AS c, max(v) AS v FROM r8 GROUP BY ALL")
 add("m4_upsample", "image_id:l r:l c:l v:d", lambda s, d: algebra.upsample(fx.raster8(s, d), K4, SHAPE), "SELECT image_id, 2 * r + i - 1 AS r, 2 * c + j - 1 AS c, sum(w * v) AS v FROM r8, k4 WHERE 2 * r + i - 1 BETWEEN 0 AND 15 AND 2 * c + j - 1 BETWEEN 0 AND 15 GROUP BY ALL")
 add("m5_standardise", "image_id:l ch:l r:l c:l b:d", lambda s, d: algebra.standardise(fx.patch3(s, d)), "SELECT image_id, p.ch, r, c, (b - m) / sqrt(s + 1e-5) AS b FROM patch3 p JOIN (SELECT ch, avg(b) AS m, var_pop(b) AS s FROM patch3 GROUP BY ch) x ON p.ch = x.ch")
-add("m5_standardise_frozen", "image_id:l ch:l r:l c:l b:d", lambda s, d: algebra.standardise(fx.patch3(s, d), statistics=algebra.channel_statistics(fx.patch3(s, d).where("image_id < 50"))), "SELECT image_id, p.ch, r, c, (b - m) / sqrt(s + 1e-5) AS b FROM patch3 p JOIN (SELECT ch, avg(b) AS m, var_pop(b) AS s FROM patch3 WHERE image_id < 50 GROUP BY ch) x ON p.ch = x.ch")
+
+
+def _frozen(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics saved as a table, and applied as they were read back."""
+    path = shared.scratch(spark, "statistics")
+    algebra.channel_statistics(fx.patch3(spark, d)).write.parquet(path)
+    return algebra.standardise(fx.patch3(spark, d), statistics=spark.read.parquet(path))
+
+
+add("m5_standardise_frozen", "image_id:l ch:l r:l c:l b:d", _frozen, "SELECT image_id, p.ch, r, c, (b - m) / sqrt(s + 1e-5) AS b FROM patch3 p JOIN (SELECT ch, avg(b) AS m, var_pop(b) AS s FROM patch3 GROUP BY ch) x ON p.ch = x.ch")
 add("m6_raster_add", "image_id:l r:l c:l v:d", lambda s, d: algebra.raster_add(fx.raster8(s, d).drop("label"), fx.raster8(s, d).select((col("image_id") - 1).alias("image_id"), "r", "c", "v")), "SELECT a.image_id, a.r, a.c, a.v + b.v AS v FROM r8 a JOIN r8 b ON a.image_id = b.image_id - 1 AND a.r = b.r AND a.c = b.c")
 add("m7_band_math", "image_id:l ch:l r:l c:l v:d", lambda s, d: algebra.band_math(fx.patch3(s, d), [[0.114, 0.587, 0.299], [1, -1, 0]]), "SELECT image_id, o AS ch, r, c, sum(b * CASE WHEN o = 0 THEN CASE ch WHEN 0 THEN 0.114 WHEN 1 THEN 0.587 ELSE 0.299 END ELSE CASE ch WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END END::DOUBLE) AS v FROM patch3, range(2) t(o) GROUP BY ALL")
 
@@ -311,11 +346,10 @@ add("x1_stream_monitor", "run:l epoch:l best:d improved:l no_optim:l cuts:l", _m
 
 
 def _arriving(spark: SparkSession, d: str) -> DataFrame:
-    rows = monitor.run_available(monitor.score_stream(spark, _png_dir(spark, d), score.logistic_factory()), shared.scratch(spark, "arrived"))
-    return layouts.pixels_of(rows.select("image_id", "q"), 8, "q", "q").groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+    return _scores(monitor.run_available(monitor.score_stream(spark, _png_dir(spark, d), **_BANDS), shared.scratch(spark, "arrived")))
 
 
-add("x2_stream_scores", "image_id:s n:l", _arriving, "SELECT image_id, 64 AS n FROM (SELECT DISTINCT image_id FROM patch3)")
+add("x2_stream_scores", "image_id:s r:l c:l q:d", _arriving, "SELECT * FROM merged3")
 add("x3_plugin_model", "image_id:l r:l c:l q:d", lambda s, d: score.score(fx.u8(s, d), lambda x, r, c: pixels.sigmoid(x * 2 - r + c)), "SELECT image_id, r, c, 1 / (1 + exp(-((b / 255.0::DOUBLE * 3.2 - 1.6) * 2 - r + c))) AS q FROM u8")
 add("x4_plugin_loss", "label:l mse:d", lambda s, d: metrics.evaluate(fx.pairs(s, d), {"mse": lambda t, q: F.avg((t - q) * (t - q))}, ["label"]), "SELECT label, avg((t - q) * (t - q)) AS mse FROM pairs GROUP BY 1")
 add("x5_plugin_loader", "image_id:l r:l c:l x:d", lambda s, d: fx.u8(s, d).transform(lambda df: augment.random_hflip(df, SHAPE, u=1.0)).withColumn("x", pixels.normalise(col("b"))), "SELECT image_id, r, 7 - c AS c, b / 255.0::DOUBLE * 3.2 - 1.6 AS x FROM u8")

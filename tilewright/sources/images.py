@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import pixels
@@ -26,10 +26,11 @@ def _rasters(spark: SparkSession, root: str, glob: str, streaming: bool = False)
     return reader.format("image").option("pathGlobFilter", glob).load(root)
 
 
-def scan_images(spark: SparkSession, root: str, glob: str = "*_sat.*", streaming: bool = False) -> DataFrame:
-    """image_id, height, width, channels, data (rows of blue, green, red bytes). Undecodable files have height -1."""
+def scan_images(spark: SparkSession, root: str, glob: str = "*_sat.*", streaming: bool = False, named: Callable[[Column], Column] = pixels.image_id) -> DataFrame:
+    """image_id (``named`` gives it from the path), height, width, channels, data (rows of blue, green, red bytes).
+    Undecodable files have height -1."""
     i = F.col("image")
-    return _rasters(spark, root, glob, streaming).select(pixels.image_id(i["origin"]).alias("image_id"), i["height"].alias("height"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["data"].alias("data"))
+    return _rasters(spark, root, glob, streaming).select(named(i["origin"]).alias("image_id"), i["height"].alias("height"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["data"].alias("data"))
 
 
 def scan_masks(spark: SparkSession, root: str, glob: str = "*_mask.*") -> DataFrame:

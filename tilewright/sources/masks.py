@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -37,13 +38,16 @@ class _Writer(DataSourceWriter):
         fs, root = open_fs(self.path)
         fs.create_dir(root, recursive=True)
         for row in iterator:
-            with fs.open_output_stream(f"{root}/{row['name']}") as f:
+            hidden = f"{root}/.{uuid.uuid4().hex}"
+            with fs.open_output_stream(hidden) as f:
                 f.write(png(row["height"], row["width"], row["channels"], bytes(row["data"])))
+            fs.move(hidden, f"{root}/{row['name']}")
         return WriterCommitMessage()
 
 
 class MaskPng(DataSource):
-    """Sink of rows (name, height, width, channels, data). A file that is written again has the same bytes."""
+    """Sink of rows (name, height, width, channels, data). A file gets its name when it is whole, so a task that fails
+    leaves no cut file under it, and one that runs again writes the same bytes; of rows with one name one stays."""
 
     @classmethod
     def name(cls) -> str:
@@ -54,11 +58,20 @@ class MaskPng(DataSource):
 
 
 def write_files(df: DataFrame, path: str, if_exists: str = "error") -> None:
-    """Rows (name, height, width, channels, data) as files below ``path``; ``if_exists``: error or append."""
+    """Rows (name, height, width, channels, data) as files below ``path``; ``if_exists``: error, append or overwrite (the
+    files are written beside ``path`` and take its place when all are there)."""
     if if_exists == "error" and exists(path):
         raise FileExistsError(path)
+    to = f"{path.rstrip('/')}-{uuid.uuid4().hex}" if if_exists == "overwrite" else path
     df.sparkSession.dataSource.register(MaskPng)
-    df.select("name", "height", "width", "channels", "data").write.format("mask_png").mode("append").save(path)
+    df.select("name", "height", "width", "channels", "data").write.format("mask_png").mode("append").save(to)
+    if to != path:
+        fs, new = open_fs(to)
+        _, old = open_fs(path)
+        fs.create_dir(new, recursive=True)
+        if exists(path):
+            fs.delete_dir(old)
+        fs.move(new, old)
 
 
 def write_masks(df: DataFrame, path: str, if_exists: str = "error") -> None:

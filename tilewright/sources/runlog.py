@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.operators.runs import lr_schedule, stop_epoch
+
 # The text format of a run log.
 SEPARATOR = "********"
 END = "Finish!"
+RATE = "update learning rate: %f -> %f"
+STOP = "early stop at %d epoch"
 
 
 def log_text(runs: DataFrame, shape: tuple[int, int] = (1024, 1024)) -> DataFrame:
-    """run, epoch, text: each epoch's lines."""
-    text = F.format_string(f"{SEPARATOR}\nepoch: %d     time: %d\ntrain_loss: %.6f\nSHAPE: ({shape[0]}, {shape[1]})", F.col("epoch"), F.col("elapsed_s"), F.col("loss"))
-    return runs.select("run", "epoch", text.alias("text"))
+    """run, epoch, text: each epoch's lines. Losses keep all their digits, so nothing that is told from them changes when
+    a log is read back."""
+    head = F.format_string(f"{SEPARATOR}\nepoch: %d     time: %d\ntrain_loss: ", F.col("epoch"), F.col("elapsed_s"))
+    return runs.select("run", "epoch", F.concat(head, F.col("loss").cast("string"), F.lit(f"\nSHAPE: ({shape[0]}, {shape[1]})")).alias("text"))
+
+
+def log_text_with_events(runs: DataFrame, shape: tuple[int, int] = (1024, 1024)) -> DataFrame:
+    """``log_text`` up to each run's stop, with a line for each cut of the rate and for an early stop."""
+    rates = lr_schedule(runs).select("run", "epoch", "cut", "lr_before", "lr")
+    stops = stop_epoch(runs).select("run", "stop_epoch", "reason")
+    rows = log_text(runs, shape).join(rates, ["run", "epoch"]).join(stops, "run", "left").where("stop_epoch is null or epoch <= stop_epoch")
+    last = F.coalesce(F.col("epoch") == F.col("stop_epoch"), F.lit(False))
+    event = F.when(last & (F.col("reason") == "early stop"), F.format_string(f"\n{STOP}", F.col("epoch"))).when(~last & (F.col("cut") == 1), F.format_string(f"\n{RATE}", F.col("lr_before"), F.col("lr")))
+    return rows.select("run", "epoch", F.concat("text", F.coalesce(event, F.lit(""))).alias("text"))
 
 
 def write_run_log(runs: DataFrame, path: str) -> None:
@@ -21,10 +36,11 @@ def write_run_log(runs: DataFrame, path: str) -> None:
     runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
-def write_text_log(runs: DataFrame, path: str) -> None:
-    """Text files, one folder a run, epochs in order, ended by the end mark."""
+def write_text_log(runs: DataFrame, path: str, events: bool = True) -> None:
+    """Text files, one folder a run, epochs in order (with ``events`` up to the stop), ended by the end mark. A run's log is
+    one file, so one value; runs have some hundred epochs."""
     lines = F.sort_array(F.collect_list(F.struct("epoch", "text")))
-    whole = log_text(runs).groupBy("run").agg(F.concat(F.array_join(F.transform(lines, lambda x: x["text"]), "\n"), F.lit(f"\n{END}")).alias("value"))
+    whole = (log_text_with_events(runs) if events else log_text(runs)).groupBy("run").agg(F.concat(F.array_join(F.transform(lines, lambda x: x["text"]), "\n"), F.lit(f"\n{END}")).alias("value"))
     whole.repartition("run").write.mode("overwrite").partitionBy("run").text(path)
 
 

@@ -8,31 +8,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tilewright.operators.jobs import grey_rasters
 from tilewright.operators.score import PredictorFactory, score_rasters
 from tilewright.sources.images import scan_images
 
-OUT = "run long, epoch long, loss double, best double, improved int, no_optim long, cuts long, lr double"
+OUT = "run long, epoch long, loss double, best double, improved int, no_optim long, cuts long, lr double, late int"
 
 
 class PlateauMonitor(StatefulProcessor):
-    """Per run: best loss, epochs since, and cuts so far. A micro-batch's rows are taken in the order of their epochs."""
+    """Per run: best loss, epochs since, cuts so far and the last epoch. A micro-batch's rows are taken in the order of
+    their epochs. An epoch that comes after a later one was taken (or again) is late: it is returned with ``late`` = 1 and
+    the state as it is, which it doesn't change; on-time rows equal the batch form over them.
+
+    A run's rows of one micro-batch are sorted in memory: bound micro-batches by ``maxFilesPerTrigger``.
+    """
 
     def __init__(self, init: float = 100.0, lr0: float = 2e-4, factor: float = 5.0, patience: int = 3):
         self.start, self.lr0, self.factor, self.patience = init, lr0, factor, patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "best double, no_optim long, cuts long")
+        self.state = handle.getValueState("state", "best double, no_optim long, cuts long, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best, idle, cuts = self.state.get() if self.state.exists() else (self.start, 0, 0)
+        best, idle, cuts, last = self.state.get() if self.state.exists() else (self.start, 0, 0, -(1 << 63))
         out = []
         for epoch, loss in pd.concat(list(rows)).sort_values("epoch")[["epoch", "loss"]].itertuples(index=False):
-            before, better = best, loss < best
+            if late := epoch <= last:
+                out.append((key[0], epoch, loss, best, 0, idle, cuts, self.lr0 / self.factor**cuts, int(late)))
+                continue
+            before, better, last = best, loss < best, epoch
             best, idle = (loss, 0) if better else (best, idle + 1)
             cuts += idle > self.patience
-            out.append((key[0], epoch, loss, before, int(better), idle, cuts, self.lr0 / self.factor**cuts))
-        self.state.update((float(best), int(idle), int(cuts)))
+            out.append((key[0], epoch, loss, before, int(better), idle, cuts, self.lr0 / self.factor**cuts, 0))
+        self.state.update((float(best), int(idle), int(cuts), int(last)))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     def close(self) -> None:
@@ -52,9 +59,9 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def score_stream(spark: SparkSession, root: str, factory: PredictorFactory, batch_size: int = 8) -> DataFrame:
+def score_stream(spark: SparkSession, root: str, factory: PredictorFactory, batch_size: int = 8, **how) -> DataFrame:
     """The eight-view sum of images as they arrive in ``root``: the fused form, which needs no streaming state."""
-    return score_rasters(grey_rasters(scan_images(spark, root, streaming=True)), factory, batch_size, views=True)
+    return score_rasters(scan_images(spark, root, streaming=True), factory, batch_size, views=True, **how)
 
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
