@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Tables that this process has written to the shared folder and not removed.
-_WRITTEN: list[str] = []
+_PATHS: ContextVar[list[str] | None] = ContextVar("paths", default=None)
+
+
+@contextmanager
+def written() -> Iterator[list[str]]:
+    """The paths that this thread's operators write within the block, for ``remove`` when nothing reads them any more."""
+    token = _PATHS.set([])
+    try:
+        yield _PATHS.get()
+    finally:
+        _PATHS.reset(token)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
-    return _WRITTEN[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if (paths := _PATHS.get()) is not None:
+        paths.append(path)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -48,20 +61,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
+    out.cut_path = path
     return out
 
 
-def remove(*tables: DataFrame, spark: SparkSession | None = None) -> None:
-    """Delete tables made by ``cut`` that nothing reads any more; with ``spark`` alone all that are left of this process,
-    for the end of a run, when results have been written."""
-    session = spark or tables[0].sparkSession
-    hadoop = session._jvm.org.apache.hadoop.fs.Path
-    for p in [t._cut_path for t in tables] if tables else list(_WRITTEN):
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of the shared folder that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
         at = hadoop(p)
-        at.getFileSystem(session._jsc.hadoopConfiguration()).delete(at, True)
-        if p in _WRITTEN:
-            _WRITTEN.remove(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:

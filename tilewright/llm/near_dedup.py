@@ -166,10 +166,10 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = cut(step.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        remove(labels)
+        remove(links.sparkSession, labels.cut_path)
         labels = new
         if new.where("was <> label").isEmpty():
-            remove(edges)
+            remove(links.sparkSession, edges.cut_path)
             return labels.select("node", "label")
 
 
