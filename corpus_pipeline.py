@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import bpe, decontaminate, language_id, line_dedup, near_dedup
-from tilewright.llm.common import cut, table
+from tilewright.llm.common import cut, remove, table, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``. What a stage has written beside its result is removed when the result is there."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with written() as paths:
+        for name, stage in STAGES[:-1]:
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            remove(spark, *[p for p in paths if p != docs.cut_path])
+            paths[:] = [docs.cut_path]
     return STAGES[-1][1](spark, docs, sf_dir)
