@@ -12,7 +12,7 @@ Two documents agree in a coordinate with the probability of their weighted Jacca
    number of links is at most twice the number of rows, whatever the size of the group.
 4. Links are confirmed by exact Jaccard similarity of the shingle sets; the connected components of the confirmed links
    are the classes so far. The links of a document that is the end of large buckets are dealt out in cells of about
-   ``BLOCK``, each with the document's text once.
+   ``CELL``, each with the document's text once.
 5. Buckets that still hold two classes are dealt anew by one more common band, up to ``DEPTH`` bands, and linked again
    by their ends.
 6. Members of buckets of one band that still hold two classes may be near to others than the ends they met. A prefix
@@ -44,9 +44,10 @@ from tilewright.llm.common import SHINGLE_WORDS, Shingler, arrow_map, cut, mix,
 BANDS, ROWS = 24, 6
 SIMILARITY = 0.8
 DEPTH = 2
-#: Documents of a block, and links of one end in a cell, about; shingles of a block, about.
+#: Documents of a block, shingles of a block, and links of one end in a cell, about.
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 16
+CELL = 64
 #: Set sizes from which tiers of a factor of about 1.03 begin.
 TIERS = np.unique((1.03 ** np.arange(730)).astype(np.int64))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -130,9 +131,10 @@ def confirmed(links: DataFrame, docs: DataFrame, similarity: float, size: int) -
     other = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
     dealt = cut(links.select("hub", "cell", other.alias("member")), "dealt")
     need = dealt.select(F.col("hub").alias("_id")).union(dealt.select("member")).distinct()
-    texts = docs.join(need, "_id", "left_semi").select("_id", "text")
-    hubs = dealt.select("hub", "cell").distinct().join(texts.withColumnRenamed("_id", "hub"), "hub").select("hub", "cell", F.lit(None).cast("long").alias("member"), "text")
-    members = dealt.join(texts.withColumnRenamed("_id", "member"), "member").select("hub", "cell", "member", "text")
+    # one plan at every size: the ids grow with the data, so they are never broadcast
+    texts = docs.join(need.hint("shuffle_hash"), "_id", "left_semi").select("_id", "text")
+    hubs = dealt.select("hub", "cell").distinct().hint("shuffle_hash").join(texts.withColumnRenamed("_id", "hub"), "hub").select("hub", "cell", F.lit(None).cast("long").alias("member"), "text")
+    members = dealt.hint("shuffle_hash").join(texts.withColumnRenamed("_id", "member"), "member").select("hub", "cell", "member", "text")
     rows = hubs.union(members).repartition("hub", "cell").sortWithinPartitions("hub", "cell", F.asc_nulls_first("member"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +189,7 @@ def mixed(active: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def link(hub: Column, member: Column, n: Column) -> Column:
     """A link as a struct; ``n`` links of the hub, or fewer, come from the same group."""
-    return F.struct(F.least(hub, member).alias("a"), F.greatest(hub, member).alias("b"), F.struct(hub.alias("hub"), F.pmod(F.xxhash64(member), F.ceil(n / BLOCK)).alias("cell")).alias("at"))
+    return F.struct(F.least(hub, member).alias("a"), F.greatest(hub, member).alias("b"), F.struct(hub.alias("hub"), F.pmod(F.xxhash64(member), F.ceil(n / CELL)).alias("cell")).alias("at"))
 
 
 def each_once(links: DataFrame) -> DataFrame:
@@ -286,7 +288,7 @@ def rest_links(rest: DataFrame, docs: DataFrame, similarity: float, size: int) -
             found = [shingler.distinct(t).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.int64()))], names=["rep", "own", "shingles"])
 
-    texts = docs.join(rest.withColumnRenamed("rep", "_id"), "_id").select("_id", "text", "own")
+    texts = docs.join(rest.withColumnRenamed("rep", "_id").hint("shuffle_hash"), "_id").select("_id", "text", "own")
     rows = cut(arrow_map(texts, sets, "rep long, own long, shingles array<long>"), "rest-shingles")
     each = rows.select("rep", "own", F.explode("shingles").alias("s"))
     shared = cut(each.groupBy("s").agg(F.min("own").alias("_lo"), F.max("own").alias("_hi"), F.count(F.lit(1)).alias("n")).where("_lo <> _hi").select("s", "n"), "shared-shingles")
