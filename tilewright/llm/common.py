@@ -41,12 +41,16 @@ _PATHS: ContextVar[list[str] | None] = ContextVar("paths", default=None)
 
 @contextmanager
 def written() -> Iterator[list[str]]:
-    """The paths that this thread's operators write within the block, for ``remove`` when nothing reads them any more."""
-    token = _PATHS.set([])
+    """The paths that this thread's operators write within the block, for ``remove`` when nothing reads them any more.
+    What is left in the list at the end goes to the block around it."""
+    paths: list[str] = []
+    token = _PATHS.set(paths)
     try:
-        yield _PATHS.get()
+        yield paths
     finally:
         _PATHS.reset(token)
+        if (outer := _PATHS.get()) is not None:
+            outer += paths
 
 
 def new_path(spark: SparkSession, name: str) -> str:

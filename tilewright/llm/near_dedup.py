@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import SHINGLE_WORDS, Shingler, arrow_map, cut, mix, numbered, pieces, remove, table, unused
+from tilewright.llm.common import SHINGLE_WORDS, Shingler, arrow_map, cut, mix, numbered, pieces, remove, table, unused, written
 
 BANDS, ROWS = 24, 6
 SIMILARITY = 0.8
@@ -339,9 +339,19 @@ def slices(b: pa.RecordBatch, rows: int = 64) -> Iterator[pa.RecordBatch]:
         yield b.slice(i, rows)
 
 
-def row_classes(rows: DataFrame, *, bands: int = BANDS, rows_each: int = ROWS, similarity: float = SIMILARITY, size: int = SHINGLE_WORDS, depth: int = DEPTH) -> DataFrame:
+def row_classes(rows: DataFrame, **how) -> DataFrame:
     """Of rows (_id: a number of each row, doc_id, text) per row: _id, doc_id, copy and keeper: structs (absent, doc_id,
     _id) of the row that stands for its shingle set and for its class, that of the smallest id."""
+    with written() as paths:
+        signed, of_set = sets_of_classes(rows, **how)
+        keep = [signed.cut_path, of_set.cut_path]
+        remove(rows.sparkSession, *[p for p in paths if p not in keep])
+        paths[:] = keep
+    return signed.select("_id", "doc_id", "digest").join(of_set, "digest").select("_id", "doc_id", "copy", "keeper")
+
+
+def sets_of_classes(rows: DataFrame, *, bands: int = BANDS, rows_each: int = ROWS, similarity: float = SIMILARITY, size: int = SHINGLE_WORDS, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: of each row its shingle set's digest, and of each set the rows ``copy`` and ``keeper``."""
     texts = rows.select("_id", "text")
     signed = cut(signatures(rows, bands=bands, rows=rows_each, size=size), "signatures")
     me = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "_id")
@@ -369,12 +379,12 @@ def row_classes(rows: DataFrame, *, bands: int = BANDS, rows_each: int = ROWS, s
         if not new.isEmpty():
             labels = components(new if found is None else found.union(new))
     if labels is None:
-        return signed.select("_id", "doc_id", "digest").join(sets, "digest").select("_id", "doc_id", "copy", F.col("copy").alias("keeper"))
+        return signed, cut(sets.select("digest", "copy", F.col("copy").alias("keeper")), "sets-named")
     linked = cut(labels.withColumnRenamed("node", "rep").join(sets.select("rep", "copy"), "rep"), "linked")
     keepers = cut(linked.groupBy("label").agg(F.min("copy").alias("keeper")), "keepers")
     named = cut(linked.select("rep", "label").join(keepers, "label").select("rep", "keeper"), "named")
     of_set = cut(sets.join(named, "rep", "left").select("digest", "copy", F.coalesce("keeper", "copy").alias("keeper")), "sets-named")
-    return signed.select("_id", "doc_id", "digest").join(of_set, "digest").select("_id", "doc_id", "copy", "keeper")
+    return signed, of_set
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
