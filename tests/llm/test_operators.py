@@ -75,6 +75,18 @@ def test_token_shard_of_many_batches(tmp_path):
     d = shard.docs.read_all()
     assert all((x == y).all() and len(x) == len(y) for x, y in zip(shard.slices(d["start"].to_numpy(), d["n_tokens"].to_numpy()), want, strict=True))
     assert [shard.file.get_batch(i).num_rows for i in range(shard.file.num_record_batches - 1)] == [token_store.BATCH_SEQUENCES] * (shard.file.num_record_batches - 1)
+    total, mask = sum(map(len, want)), np.concatenate([shard.sequence(i)[1] for i in range(len(shard))])
+    assert len(mask) == -(-total // 4) * 4 and mask.dtype == np.uint8 and (mask[:total] == 1).all() and not mask[total:].any()
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 8])
+def test_token_shard_of_few_tokens(tmp_path, n):
+    w = token_store.ShardWriter(str(tmp_path), 0, "a", "<u2", 4)
+    w.add([7], [np.arange(n, dtype="<u2").tobytes()])
+    w.close()
+    shard = token_store.TokenShard(f"{tmp_path}/shard-000000")
+    ids, mask = (np.concatenate([shard.sequence(i)[k] for i in range(len(shard))]) for k in (0, 1))
+    assert (ids[:n] == np.arange(n)).all() and mask.tolist() == [1] * n + [0] * (-n % 4)
 
 
 def test_token_counts(odd, none):

@@ -2,10 +2,11 @@
 
 ``write_token_store`` encodes documents and writes them in ascending id order as shards. A shard is two Arrow IPC
 files: ``*.tokens.arrow`` has record batches of ``ids: fixed_size_list<uint16|uint32>[seq_len]`` and
-``mask: fixed_size_list<uint8>[seq_len]`` (0: padding, at the end of a shard only); ``*.docs.arrow`` has, for each
-document, its id, its first token's place in the shard and its number of tokens. All batches but a shard's last have
-``BATCH_SEQUENCES`` sequences, so a sequence's or token's batch follows from its number. Buffers are uncompressed: a
-memory map gives any sequence, mask, and document within one batch without copying.
+``mask: dictionary<fixed_size_list<uint8>[seq_len]>`` (0: padding, at the end of a shard only); ``*.docs.arrow`` has, for
+each document, its id, its first token's place in the shard and its number of tokens. A shard has at most two different
+masks, the full one and that of its last sequence, so these are the dictionary and a sequence holds a number. All batches
+but a shard's last have ``BATCH_SEQUENCES`` sequences, so a sequence's or token's batch follows from its number. Buffers
+are uncompressed: a memory map gives any sequence, and the dictionary any mask, as an array without copying.
 
 Defined cases: null text encodes as empty (end id alone); empty tables give no shard; repeated ids are kept, ordered by
 text; a null id sorts first; other columns of the table are ignored.
@@ -98,10 +99,11 @@ class ShardWriter:
         self.dtype, self.seq_len, self.item = dtype, seq_len, np.dtype(dtype).itemsize
         self.names = [(f"{root}/.{attempt}-{shard:06d}.{k}.arrow", f"{root}/shard-{shard:06d}.{k}.arrow") for k in ("tokens", "docs")]
         ids = pa.list_(pa.from_numpy_dtype(dtype), seq_len)
-        self.schema = pa.schema([("ids", ids), ("mask", pa.list_(pa.uint8(), seq_len))])
+        self.schema = pa.schema([("ids", ids), ("mask", pa.dictionary(pa.int32(), pa.list_(pa.uint8(), seq_len)))])
         self.docs_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.out = [self.fs.open_output_stream(n[0]) for n in self.names]
-        self.tokens, self.docs = ipc.new_file(self.out[0], self.schema), ipc.new_file(self.out[1], self.docs_schema)
+        self.tokens = ipc.new_file(self.out[0], self.schema, options=ipc.IpcWriteOptions(emit_dictionary_deltas=True))
+        self.docs = ipc.new_file(self.out[1], self.docs_schema)
         self.parts, self.held, self.total, self.n_docs = [], 0, 0, 0
 
     def add(self, doc_ids: list[int | None], ids: list[bytes]) -> None:
@@ -129,9 +131,12 @@ class ShardWriter:
         self.parts, self.held = [rest.tobytes()], len(rest)
 
     def _batch(self, flat: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(flat), np.uint8)
-        mask[:real] = 1
-        self.tokens.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (flat, mask)], schema=self.schema))
+        lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len)
+        masks, which = np.ones((1, self.seq_len), np.uint8), np.zeros(len(flat) // self.seq_len, np.int32)
+        if real < len(flat):
+            masks, which[-1] = np.repeat(masks, 2, 0), 1
+            masks[1, real - len(flat) :] = 0
+        self.tokens.write_batch(pa.record_batch([lists(flat), pa.DictionaryArray.from_arrays(pa.array(which), lists(masks.ravel()))], schema=self.schema))
 
     def close(self) -> None:
         self._flush(True)
@@ -198,9 +203,12 @@ class TokenShard:
         return (n - 1) * BATCH_SEQUENCES + self.file.get_batch(n - 1).num_rows if n else 0
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of a sequence; both point into the file's memory map."""
-        b = self.file.get_batch(i // BATCH_SEQUENCES)
-        return tuple(b.column(c)[i % BATCH_SEQUENCES].values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
+        """Ids and mask of a sequence, without copying: the ids point into the file's memory map, the mask into the
+        shard's dictionary."""
+        b, at = self.file.get_batch(i // BATCH_SEQUENCES), i % BATCH_SEQUENCES
+        mask = b.column("mask")
+        lists = b.column("ids")[at], mask.dictionary[mask.indices[at].as_py()]
+        return tuple(x.values.to_numpy(zero_copy_only=True) for x in lists)
 
     def _flat(self, i: int) -> np.ndarray:
         if self.held[0] != i:
