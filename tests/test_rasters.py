@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import pixels
-from tilewright.operators import algebra, augment, augment_rasters, batches, layouts, metrics, pairing, runs, score
+from tilewright.operators import algebra, algebra_rasters, augment, augment_rasters, batches, layouts, metrics, pairing, runs, score
 from tilewright.sources import images, masks, runlog, shared
 from tilewright.streaming import monitor
 
@@ -84,6 +84,29 @@ def test_focal_and_resampling(raster):
     assert all(r["b"] == data[r["image_id"]][r["r"] // 2, r["c"] // 2] for r in up) and len(up) == 6 * 4 * H * W
 
 
+def test_algebra_on_raster_rows(spark, raster):
+    data, px = raster
+    k = [[1.0, -2, 3], [4, 5, -6]]
+    rows = spark.createDataFrame([(i, "x", H, W, np.stack([a, 255 - a]).astype("<f8").tobytes(), 2) for i, a in data.items()] + [(99, "x", H, W, None, 2)], "image_id long, label string, height int, width int, v binary, channels int")
+    two = px.withColumn("ch", F.lit(0)).unionByName(px.withColumn("ch", F.lit(1)).withColumn("b", 255 - F.col("b")))
+    keys = ("image_id", "ch")
+    forms = [
+        (algebra_rasters.focal(rows, k, 2), algebra.focal(two, k, (H, W), 2, keys, "b")),
+        (algebra_rasters.multi_rate_focal(rows, k, (1, 2), False), algebra.multi_rate_focal(two, k, (H, W), (1, 2), False, keys, "b")),
+        (algebra_rasters.multi_rate_focal(rows, k, (1, 2)), algebra.multi_rate_focal(two, k, (H, W), (1, 2), True, keys, "b")),
+        (algebra_rasters.block_max(rows), algebra.block_max(two, 2, keys, "b")),
+        (algebra_rasters.upsample(rows, k, 2, 1, 1), algebra.upsample(two, k, (H, W), 2, 1, 1, keys, "b")),
+    ]
+    for by_row, by_pixel in forms:
+        got = {r["image_id"]: r for r in by_row.collect()}
+        assert got[99]["v"] is None and all(r["label"] == "x" for r in got.values())
+        want = {i: np.zeros((2, got[i]["height"], got[i]["width"])) for i in data}
+        for r in by_pixel.collect():
+            want[r["image_id"]][r["ch"], r["r"], r["c"]] = r["b"]
+        assert all(np.allclose(np.frombuffer(got[i]["v"], "<f8").reshape(want[i].shape), want[i]) for i in data)
+    assert algebra_rasters.block_max(rows.limit(0)).count() == 0
+
+
 def test_thresholds_at_ties(spark):
     df = spark.createDataFrame([(127, 0.5, 4.0), (128, 0.5000001, 4.000001)], "b int, q double, s double")
     rows = df.select(pixels.binarise_mask(F.col("b")), pixels.binarise_pred(F.col("q")), pixels.tta_threshold(F.col("s"))).collect()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import draws, pixels
-from tilewright.operators import algebra, augment, augment_rasters, batches, jobs, layouts, metrics, pairing, runs, score
+from tilewright.operators import algebra, algebra_rasters, augment, augment_rasters, batches, jobs, layouts, metrics, pairing, runs, score
 from tilewright.plans import fixtures as fx
 from tilewright.plans.fixtures import K3, K4, SHAPE, draw_sql
 from tilewright.sources import images, masks, runlog, shared
@@ -316,6 +316,28 @@ add("m4_upsample", "image_id:l r:l c:l v:d", lambda s, d: algebra.upsample(fx.ra
 add("m5_standardise", "image_id:l ch:l r:l c:l b:d", lambda s, d: algebra.standardise(fx.patch3(s, d)), "SELECT image_id, p.ch, r, c, (b - m) / sqrt(s + 1e-5) AS b FROM patch3 p JOIN (SELECT ch, avg(b) AS m, var_pop(b) AS s FROM patch3 GROUP BY ch) x ON p.ch = x.ch")
 
 
+def _rows8(spark: SparkSession, d: str) -> DataFrame:
+    data = layouts.rasters_of(fx.raster8(spark, d), ["image_id"]).withColumnRenamed("data", "v")
+    return algebra_rasters.bytes_of(data)
+
+
+def _raster_rows(name: str, make: Callable[[DataFrame], DataFrame], width: int, scale: int = 1) -> None:
+    """The raster-row form of a query above, with the same SQL."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        out = score.numbers_of(make(_rows8(spark, d)), "v", "float64").select("image_id", "v")
+        return layouts.pixels_of(out, width, "v").withColumn("v", col("v") / scale)
+
+    add(f"{name}_raster_rows", "image_id:l r:l c:l v:d", query)
+    SQL[f"{name}_raster_rows"] = SQL[name]
+
+
+_raster_rows("m1_focal", lambda x: algebra_rasters.focal(x, K3, dilation=2), 8)
+_raster_rows("m2_multi_rate_focal", lambda x: algebra_rasters.multi_rate_focal(x, K3, rates=(1, 2, 4)), 8, 1000)
+_raster_rows("m3_block_max", algebra_rasters.block_max, 4)
+_raster_rows("m4_upsample", lambda x: algebra_rasters.upsample(x, K4), 16)
+
+
 def _frozen(spark: SparkSession, d: str) -> DataFrame:
     """Statistics saved as a table, and applied as they were read back."""
     path = shared.scratch(spark, "statistics")
