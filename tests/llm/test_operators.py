@@ -204,6 +204,35 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+@pytest.mark.parametrize(("most", "parts", "bits"), [(32 << 20, 4, 16), (32 << 20, 7, 2), (0, 4, 2), (0, 3, 16)])
+def test_many_repeated_lines(spark, most, parts, bits):
+    """Each of 20,000 lines in 5 documents loses 4, in both ways and with any partitions; filters of two bits a hash hit
+    falsely for half of the hashes."""
+    docs = [[] for _ in range(300)]
+    for i in range(20_000):
+        for j in range(5):
+            docs[(i * 7 + j * 61) % 300].append(f"line number {i} that is longer than forty characters")
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(docs)], "doc_id long, text string").repartition(parts)
+    got = line_dedup.dedup_lines(df, broadcast_bytes=most, bits_each=bits).agg({"n_lines": "sum", "n_dropped": "sum"}).first()
+    assert (got["sum(n_lines)"], got["sum(n_dropped)"]) == (100_000, 80_000)
+
+
+def test_lines_of_rows_without_id_are_dealt_out(spark):
+    """A third of all rows without id don't meet in one task: the join back is by id and text."""
+    line = "a line that is longer than forty characters, everywhere"
+    docs = spark.createDataFrame([(i if i % 3 else None, f"{line}\nown {i}") for i in range(3000)], "doc_id long, text string")
+    keys = line_dedup.dropped_keys(docs, id_col="doc_id", text_col="text", min_chars=40, min_docs=5, broadcast_bytes=1 << 20, bits_each=16)
+    assert keys.count() == 2999 and keys.groupBy("_id", "_hash").count().agg({"count": "max"}).first()[0] == 1
+    assert line_dedup.dedup_lines(docs).where("n_dropped = 1").count() == 2999
+
+
+def test_session_keeps_its_batches(spark, odd):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    assert spark.conf.get(rows) == "10000"
+    line_dedup.drop_lines(odd).count()
+    assert spark.conf.get(rows) == "10000"
+
+
 def test_line_filters_keep_their_rate_at_any_size():
     rng = np.random.default_rng(8)
     for n in (3_000, 30_000, 300_000):

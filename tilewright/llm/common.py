@@ -15,8 +15,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 500
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORD = re.compile(r"\w+")
 SHINGLE_WORDS = 5
 
@@ -169,10 +167,7 @@ class Shingler:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` over whole texts. Spark's 10,000 rows of texts a batch would take several times their size outside
-    the heap, so a session that doesn't set the rows of a batch gets ``BATCH_ROWS``."""
-    if df.sparkSession.conf.get(_ROWS) == "10000":
-        df.sparkSession.conf.set(_ROWS, BATCH_ROWS)
+    """``mapInArrow`` over whole texts. Spark bounds the bytes of a batch; operators cut it further with ``pieces``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)
