@@ -34,9 +34,10 @@ from pyspark.sql import functions as F
 from tilewright.llm.bpe import ByteBPE
 from tilewright.llm.common import arrow_map, cut, pieces, table
 
-BLOCK_CHARS = 8_000_000
+#: A block is encoded and written in digits part by part, so that lists of numbers stay short.
+BLOCK_CHARS, PART_CHARS = 8_000_000, 1_000_000
 #: The words that a worker keeps between batches: so many, and none of more characters.
-KEPT_WORDS, LONGEST_KEPT = 300_000, 64
+KEPT_WORDS, LONGEST_KEPT = 200_000, 64
 SPACE = "▁"
 
 
@@ -124,39 +125,61 @@ class Aligner:
 
     def block(self, texts: list[str | None]) -> dict[str, np.ndarray]:
         """Flat ids of both sides with each document's first place and number, and the linked places in order."""
-        a = self.a.encode_batch([" " + t if t else "" for t in texts])
-        b = self.b.encode_batch([t or "" for t in texts])
-        none = [not t or y is None for t, y in zip(texts, b, strict=True)]
-        a, b = ([b"" if gone else x for x, gone in zip(side, none, strict=True)] for side in (a, b))
+        a: list[bytes] = []
+        b: list[bytes] = []
+        for part in _parts(texts, PART_CHARS):
+            ours, theirs = self.a.encode_batch([" " + t if t else "" for t in part]), self.b.encode_batch([t or "" for t in part])
+            for t, x, y in zip(part, ours, theirs, strict=True):
+                a.append(x if t and y is not None else b"")
+                b.append(y if t and y is not None else b"")
         out: dict[str, np.ndarray] = {}
         for side, found, size in (("a", a, self.size_a), ("b", b, self.size_b)):
-            out[side] = np.frombuffer(b"".join(found), "<u4").astype(np.int64)
+            out[side] = np.frombuffer(b"".join(found), "<u4")
             out[f"n_{side}"] = np.fromiter(map(len, found), np.int64, len(found)) // 4
             out[f"first_{side}"] = np.cumsum(out[f"n_{side}"]) - out[f"n_{side}"]
             sizes = size[out[side]]
             if len(sizes) and not sizes.min():
                 raise ValueError("a token without bytes")
-            out[f"end_{side}"] = np.cumsum(sizes)
+            out[f"end_{side}"] = np.cumsum(sizes, dtype=np.int32 if sizes.sum() < 1 << 31 else np.int64)
         # both sides of a document spell the same bytes, so ends counted through the block are equal where they are in it
-        out["at_a"], out["at_b"] = lockstep(out["end_a"], out["end_b"], out["first_a"], out["n_a"], out["first_b"])
-        out["n_links"] = np.bincount(np.repeat(np.arange(len(texts)), out["n_a"])[out["at_a"]], minlength=len(texts))
+        out["at_a"], out["at_b"] = lockstep(out.pop("end_a"), out.pop("end_b"), out["first_a"], out["n_a"], out["first_b"])
+        out["n_links"] = np.diff(np.searchsorted(out["at_a"], np.concatenate([out["first_a"], [len(out["a"])]])))
         return out
 
-    def written(self, found: dict[str, np.ndarray]) -> list[str]:
+    def written(self, found: dict[str, np.ndarray]) -> Iterator[str]:
         """Each document's groups in digits: ``a1,a2|b1;a3|b2,b3``."""
-        a, b, at_a, at_b = found["a"], found["b"], found["at_a"], found["at_b"]
-        group_a, group_b = (np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(x)))[:-1]]).astype(np.int64) if len(x) else np.zeros(0, np.int64) for at, x in ((at_a, a), (at_b, b)))
-        order = np.empty(len(a) + len(b), np.int64)
-        ends = np.concatenate([[-1], at_b])  # of the groups before
-        kind_a, kind_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        kind_a[at_a], kind_b[at_b] = 1, 2
-        order[np.arange(len(a)) + ends[group_a] + 1] = a + kind_a * self.kinds
-        order[np.arange(len(b)) + (at_a[group_b] + 1 if len(b) else 0)] = b + kind_b * self.kinds
-        words, out, begin = order.tolist(), [], 0
-        for n in (found["n_a"] + found["n_b"]).tolist():
-            out.append("".join(map(self.digits.__getitem__, words[begin : begin + n]))[:-1])
+        ends = {k: np.concatenate([[0], np.cumsum(found[f"n_{k}"])]) for k in ("a", "b", "links")}
+        low, n = 0, len(found["n_a"])
+        while low < n:
+            high = max(low + 1, int(np.searchsorted(ends["a"], ends["a"][low] + PART_CHARS // 4, "right")) - 1)
+            (a, b, links) = (slice(ends[k][low], ends[k][high]) for k in ("a", "b", "links"))
+            sizes = (found["n_a"] + found["n_b"])[low:high]
+            yield from self._digits(found["a"][a], found["b"][b], found["at_a"][links] - a.start, found["at_b"][links] - b.start, sizes)
+            low = high
+
+    def _digits(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, sizes: np.ndarray) -> Iterator[str]:
+        # a token comes after all of its side before it and the other side's tokens of the groups before (B: and its own)
+        before_b, upto_a = np.concatenate([[0], at_b + 1]), np.concatenate([at_a + 1, [0]])
+        order, kind_a, kind_b = np.empty(len(a) + len(b), np.int64), np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        kind_a[at_a], kind_b[at_b] = self.kinds, 2 * self.kinds
+        order[np.arange(len(a)) + before_b[np.searchsorted(at_a, np.arange(len(a)))]] = a + kind_a
+        order[np.arange(len(b)) + upto_a[np.searchsorted(at_b, np.arange(len(b)))]] = b + kind_b
+        words, begin, digits = order.tolist(), 0, self.digits.__getitem__
+        for n in sizes.tolist():
+            yield "".join(map(digits, words[begin : begin + n]))[:-1]
             begin += n
-        return out
+
+
+def _parts(texts: list[str | None], chars: int) -> Iterator[list[str | None]]:
+    part, held = [], 0
+    for t in texts:
+        if part and held + len(t or "") > chars:
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += len(t or "")
+    if part:
+        yield part
 
 
 @functools.cache
@@ -196,7 +219,7 @@ def aligned_blocks(docs: DataFrame, byte_file: str, piece_file: str, *, id_col:
         for i, (ids, texts) in enumerate(_blocks(batches, block_chars)):
             f = aligner.block(texts)
             digests = [sha256(w.encode()).hexdigest() if w else "" for w in aligner.written(f)]
-            pairs, links, times = np.unique((f["a"][f["at_a"]] << 32) | f["b"][f["at_b"]], return_inverse=True, return_counts=True)
+            pairs, links, times = np.unique(f["a"][f["at_a"]].astype(np.int64) << 32 | f["b"][f["at_b"]], return_inverse=True, return_counts=True)
             row = [task << 32 | i, ids, f["n_a"], f["n_b"], f["n_links"], digests, links.astype("<u4").tobytes(), pairs, times]
             kinds = [pa.int64(), *[pa.list_(pa.int64())] * 4, pa.list_(pa.string()), pa.binary(), *[pa.list_(pa.int64())] * 2]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[c.split()[0] for c in _BLOCK.split(", ")])
