@@ -8,6 +8,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -58,9 +59,10 @@ def test_token_shard_masks(spark, odd):
     d = shard.docs.read_all()
     for x, s, n in zip(shard.slices(d["start"].to_numpy(), d["n_tokens"].to_numpy()), d["start"].to_pylist(), d["n_tokens"].to_pylist(), strict=True):
         assert (x == flat[s : s + n]).all()
-    base = pa.memory_map(m[0]["path"].removeprefix("file://") + ".tokens.arrow").read_buffer()
-    for x in shard.sequence(0):  # both point into a mapped file, not into memory of their own
-        assert not x.flags.owndata and len(base) > 0
+    mapped = pa.memory_map(m[0]["path"].removeprefix("file://") + ".tokens.arrow")
+    shard.file, size, base = pa.ipc.open_file(mapped), mapped.size(), mapped.read_buffer(1).address
+    for x in shard.sequence(0):  # both point into the mapped file, not into memory of their own
+        assert base <= x.ctypes.data < base + size and not x.flags.owndata
 
 
 def test_token_shard_of_many_batches(tmp_path):
@@ -494,6 +496,57 @@ def test_fingerprint_equals_brute_force(spark):
             assert abs(rows[i]["near_edited"] - brute_likeness(own, edited)) < 1e-9 and abs(rows[i]["near_next"] - brute_likeness(own, after)) < 1e-9
 
 
+def test_fingerprints_of_rows_without_id_are_dealt_out(spark):
+    """A third of all rows without id, and a sixth with one id: no range has twice its share, and each row's next one is the
+    next by id, then by the hash of the text."""
+    ids = [None if i % 3 == 0 else 500 if i % 6 == 1 else i for i in range(3000)]
+    texts = [f"Text number {i} of some." for i in range(3000)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
+    key = lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest(r[1].encode(), 42) % 2**64 >> 1, r[1])
+    order = sorted(zip(ids, texts, strict=True), key=key)
+    rows = fingerprint.with_next(docs, 16).where("_guest = 0").collect()
+    assert {(r["doc_id"], r["text"], r["_next"]) for r in rows} == {(*a, b[1]) for a, b in zip(order, [*order[1:], order[0]], strict=True)} and len(rows) == 3000
+    sizes = Counter(r["_bucket"] for r in rows)
+    assert max(sizes.values()) < 2 * 3000 / 16
+    assert fingerprint.compare_edited(docs, buckets=16).count() == 3000
+
+
+def most_in_a_task(df):
+    from pyspark.sql import functions as F
+
+    return df.groupBy(F.spark_partition_id().alias("p")).count().agg({"count": "max"}).first()[0]
+
+
+@pytest.fixture
+def skew(spark):
+    """AQE splits what is a third of this test's rows; nothing is broadcast."""
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "adaptive.skewJoin.skewedPartitionFactor": "1.2", "adaptive.coalescePartitions.enabled": "false", "shuffle.partitions": "12"}
+    was = {k: spark.conf.get(f"spark.sql.{k}", None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    yield
+    for k, v in was.items():
+        spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+
+
+def test_hot_payload_is_split(spark, skew):
+    pages = spark.createDataFrame([(i, "x" * 300 if i % 3 == 0 else f"{i} " * 80) for i in range(6000)], "page_id long, html string").repartition(12)
+    assert most_in_a_task(warc.classify(pages)) < 2 * 6000 / 12
+
+
+def test_hot_bucket_is_split(spark, skew):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).select(F.col("id").alias("rep"), F.array(F.struct(F.lit(1).alias("i"), F.col("id").alias("h"))).alias("used"), F.when(F.col("id") % 3 == 0, 7).otherwise((F.col("id") / 9).cast("long")).alias("key")).repartition(12)
+    assert most_in_a_task(near_dedup.mixed(rows, None)) < 2 * 60_000 / 12
+
+
+def test_rows_without_id_fill_several_shards(spark):
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i, f"{i} text") for i in range(3000)], "doc_id long, text string")
+    shards = token_store.write_token_store(docs, new_path(spark, "t"), WORD, 1, shards=12).collect()
+    assert sum(r["n_docs"] for r in shards) == 3000 and max(r["n_docs"] for r in shards) < 2 * 3000 / 12
+
+
 def fingerprint_of(spark, text):
     return fingerprint.fingerprint(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["fp"]
 

@@ -12,7 +12,7 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
@@ -92,6 +92,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_split(rows: DataFrame, per_key: DataFrame, key: str, spread: Column) -> DataFrame:
+    """``rows`` left joined with ``per_key``: a written table (``cut``) of one row for each key, with ``n``, its rows.
+
+    Keys that have more than a quarter of a partition's fair share are at most four times as many as the partitions, so
+    their rows of ``per_key`` are broadcast. What they have found is dealt out by ``spread`` (a column of the key's kind
+    that differs from row to row) in the join of the others, so no task gets more than its share of any key.
+    """
+    spark, cols = rows.sparkSession, [c for c in per_key.columns if c not in (key, "n")]
+    share = (per_key.agg(F.sum("n")).first()[0] or 0) / (4 * partitions(spark))
+    held = per_key.select(F.col(key).alias("_key"), F.struct("n", *cols).alias("_held"), (F.col("n") > share).alias("_hot"))
+    hot = F.broadcast(held.where("_hot").select("_key", F.col("_held").alias("_first")))
+    out = rows.join(hot, F.col(key) == F.col("_key"), "left").drop("_key")
+    out = out.withColumn("_by", F.when(F.col("_first").isNull(), F.col(key)).otherwise(spread))
+    out = out.join(held.where("not _hot").drop("_hot"), F.col("_by") == F.col("_key"), "left").withColumn("_got", F.coalesce("_first", "_held"))
+    return out.select(*rows.columns, *[F.col(f"_got.{c}").alias(c) for c in ("n", *cols)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

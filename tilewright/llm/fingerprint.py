@@ -11,8 +11,8 @@ vector (``combine``). A vector has two parts:
 
 Defined cases: null text is empty; a text without a word has the zero fingerprint (like 1 to itself, 0 to any
 other); Spark's texts have less than 2^31 bytes, so a text's pieces never pass a lane's modulus (of ``fingerprint``, which
-adds the rows of one id, 2^31 - 1 pieces may come together); ties and repeated ids are ordered by id, then text; a null id
-sorts first; with one document, the next one is itself; empty tables give empty results; other columns are
+adds the rows of one id, 2^31 - 1 pieces may come together); rows of one id are ordered by a hash of the text, by which
+many of them are dealt out (``ordered_buckets``), then by text; a null id sorts first; with one document, the next one is itself; empty tables give empty results; other columns are
 ignored.
 """
 
@@ -119,22 +119,43 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")), ["doc_id"], {0: "_t"}).select("doc_id", F.col("_fp").alias("fp"))
 
 
+def ordered_buckets(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows (doc_id, text, _h: a hash of the text) with _bucket: consecutive numbers of ranges of (doc_id, _h) of about
+    equal row counts. Rows of one id that are over two ranges' worth, and of none, are parted by the hash."""
+    ranged = bucket_by_range(rows, "doc_id", buckets, "_range").withColumn("_range", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("_range") + 1))
+    found = {r["_range"]: r for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).collect()}
+    fair = max(1, sum(r["n"] for r in found.values()) // buckets)
+    last, parts, first, at = [], [], [], 0
+    for i in range(max(found, default=0) + 1):
+        n = found[i]["n"] if i in found else 0
+        last.append(found[i]["last"] or 0 if i in found else 0)
+        parts.append(-(-n // fair) if n > 2 * fair else 1)
+        first.append(at)
+        at += 1 + parts[-1]
+    of = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")[F.col("_range")]
+    part = F.floor(F.shiftrightunsigned("_h", 1) / F.lit(2.0**63) * of(parts, "int"))
+    parted = (of(parts, "int") > 1) & (F.col("doc_id").isNull() | (F.col("doc_id") == of(last, "bigint")))
+    return ranged.withColumn("_bucket", (of(first, "int") + F.when(parted, 1 + F.least(part, of(parts, "int") - 1)).otherwise(0)).cast("int")).drop("_range")
+
+
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (doc_id, text) with _bucket, _rn (order in it), _guest and the next document's text.
+    """Rows (doc_id, text) with _h, _bucket, _rn (order in it), _guest and the next document's text.
 
-    Ids are cut into ranges; a copy of the next range's first document stands at each range's end as a guest, so the
+    Rows are cut into ranges; a copy of the next range's first document stands at each range's end as a guest, so the
     next text is at hand in the range, and the texts are shuffled once. The guests are as many as the ranges.
     """
-    rows = bucket_by_range(docs, "doc_id", buckets, "_bucket").withColumn("_guest", F.lit(0))
-    heads = sorted((r["_bucket"], r["id"]) for r in rows.groupBy("_bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("m")).select("_bucket", F.col("m.doc_id").alias("id")).collect())
+    docs = docs.withColumn("_h", F.xxhash64("text"))
+    rows = ordered_buckets(docs, buckets).withColumn("_guest", F.lit(0))
+    order_of = F.struct(F.col("doc_id").isNotNull(), "doc_id", F.shiftrightunsigned("_h", 1).alias("_high"), "_h")
+    heads = sorted((r["_bucket"], r["id"], r["h"]) for r in rows.groupBy("_bucket").agg(F.min(order_of).alias("m")).select("_bucket", F.col("m.doc_id").alias("id"), F.col("m._h").alias("h")).collect())
     if not heads:
         return rows.select("*", F.lit(0).alias("_rn"), F.col("text").alias("_next"))
     before = [heads[i - 1][0] for i in range(len(heads))]
     spark = docs.sparkSession
-    to = spark.createDataFrame([(h[1], h[0], b) for h, b in zip(heads, before, strict=True)], "head long, own int, before int")
-    first = docs.join(F.broadcast(to), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("own", "before", "head").agg(F.min(F.struct(F.col("text").isNotNull(), "text")).alias("m"))
-    guests = first.select(F.col("head").alias("doc_id"), F.col("m.text").alias("text"), F.col("before").alias("_bucket"), F.lit(1).alias("_guest"))
-    order = Window.partitionBy("_bucket").orderBy("_guest", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    to = spark.createDataFrame([(h[1], h[2], h[0], b) for h, b in zip(heads, before, strict=True)], "head long, head_h long, own int, before int")
+    first = docs.join(F.broadcast(to), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("_h") == F.col("head_h"))).groupBy("own", "before", "head", "head_h").agg(F.min(F.struct(F.col("text").isNotNull(), "text")).alias("m"))
+    guests = first.select(F.col("head").alias("doc_id"), F.col("m.text").alias("text"), F.col("head_h").alias("_h"), F.col("before").alias("_bucket"), F.lit(1).alias("_guest"))
+    order = Window.partitionBy("_bucket").orderBy("_guest", F.asc_nulls_first("doc_id"), F.shiftrightunsigned("_h", 1), "_h", F.asc_nulls_first("text"))
     return rows.unionByName(guests).withColumn("_rn", F.row_number().over(order)).withColumn("_next", F.lead("text").over(order))
 
 

@@ -11,8 +11,7 @@
    false hits, and the same results.
 3. Suspected lines are written with their whole keys, counted exactly by key, and the surviving occurrence (the largest
    document id) is chosen. A line in a third of all documents is counted by line and document first. The chosen lines
-   are written, so that the join back isn't bound to their aggregation: Spark broadcasts a small table, and splits a
-   common line's part of a larger join.
+   are written, and the rows of the most frequent ones are dealt out by document in the join back (``join_split``).
 4. Documents meet their own dropped keys by id and a hash of the text, so that rows of one id, or of none, don't meet
    in one task, and are rewritten. The dropped keys are written first, so that this join can be split as well.
 
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tilewright.llm.common import arrow_map, cut, mix, partitions, pieces, table, unused, without
+from tilewright.llm.common import arrow_map, cut, join_split, mix, partitions, pieces, table, unused, without
 
 _FOUND = "_id long, _hash long, key binary"
 STRIP = b" \t\n\x0b\x0c\r"
@@ -227,8 +226,9 @@ def dropped_keys(docs: DataFrame, *, id_col: str, text_col: str, min_chars: int,
     segments = partitions(docs.sparkSession)
     found = cut(suspects(lines, twice_seen(lines, segments, min_chars, bits_each), segments, min_chars, broadcast_bytes, bits_each), "suspect-lines")
     counts = found.groupBy("key").agg(F.count_distinct("_id").alias("n"), F.max("_id").alias("keeper"))
-    kept = cut(counts.where(F.col("n") >= min_docs).select("key", "keeper"), "repeated-lines")
-    return cut(found.join(kept, "key").where("_id <> keeper").groupBy("_id", "_hash").agg(F.collect_set("key").alias("_keys")), "dropped-lines")
+    kept = cut(counts.where(F.col("n") >= min_docs), "repeated-lines")
+    spread = F.concat(F.lit("#"), F.xxhash64("_id", "_hash").cast("string")).cast("binary")
+    return cut(join_split(found, kept, "key", spread).where("_id <> keeper").groupBy("_id", "_hash").agg(F.collect_set("key").alias("_keys")), "dropped-lines")
 
 
 def drop_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, broadcast_bytes: int = BROADCAST_BYTES, bits_each: int = BITS_EACH, counts: tuple[str, str] | None = None) -> DataFrame:

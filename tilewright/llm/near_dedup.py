@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import SHINGLE_WORDS, Shingler, arrow_map, cut, mix, numbered, pieces, remove, table, unused, written
+from tilewright.llm.common import SHINGLE_WORDS, Shingler, arrow_map, cut, join_split, mix, numbered, pieces, remove, table, unused, written
 
 BANDS, ROWS = 24, 6
 SIMILARITY = 0.8
@@ -177,14 +177,15 @@ def components(links: DataFrame) -> DataFrame:
 
 def mixed(active: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members (rep, used, key) of the buckets that hold two classes or more, with their class ``own`` and the bucket's
-    smallest and largest member: ``first``, ``last`` (structs of rep and own), and number of members ``n``."""
+    smallest and largest member: ``first``, ``last`` (structs of rep and own), and number of members ``n``. The ends are
+    written, and the rows of the largest buckets are dealt out by member (``join_split``)."""
     if labels is None:
         rows = active.withColumn("own", F.col("rep"))
     else:
         rows = active.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "used", "key", F.coalesce("label", "rep").alias("own"))
     one = F.struct("rep", "own")
     ends = rows.groupBy("key").agg(F.min(one).alias("first"), F.max(one).alias("last"), F.min("own").alias("_lo"), F.max("own").alias("_hi"), F.count(F.lit(1)).alias("n")).where("_lo <> _hi").drop("_lo", "_hi")
-    return rows.join(ends, "key")
+    return join_split(rows, cut(ends, "bucket-ends"), "key", F.xxhash64("rep", "used")).where("n is not null")
 
 
 def link(hub: Column, member: Column, n: Column) -> Column:

@@ -9,7 +9,7 @@ but a shard's last have ``BATCH_SEQUENCES`` sequences, so a sequence's or token'
 are uncompressed: a memory map gives any sequence, and the dictionary any mask, as an array without copying.
 
 Defined cases: null text encodes as empty (end id alone); empty tables give no shard; repeated ids are kept, ordered by
-text; a null id sorts first; other columns of the table are ignored.
+text, and are dealt over several shards if they are many; a null id sorts first; other columns of the table are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from tilewright.llm.common import arrow_map, new_path, partitions, pieces, table
 from tilewright.llm.wordsplit import lower_words
 
 SEQ_LEN = 2048
+#: Rows of one id, or of none, are dealt to shards by so many first characters of the text.
+RANGE_CHARS = 256
 BATCH_SEQUENCES = 256
 
 
@@ -173,7 +175,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
 
     rows = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange(shards or partitions(spark), "doc_id")
+        .repartitionByRange(shards or partitions(spark), "doc_id", F.substring("text", 1, RANGE_CHARS))
         .sortWithinPartitions("doc_id", "text")
     )
     rows = arrow_map(rows, write, "shard int, path string, n_docs long, n_tokens long").collect()

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import arrow_map, new_path, partitions, pieces, table
+from tilewright.llm.common import arrow_map, cut, join_split, new_path, partitions, pieces, table
 from tilewright.llm.token_store import open_fs
 
 BLOCK = 1 << 20
@@ -41,7 +41,8 @@ def classify(pages: DataFrame, *, id_col: str = "page_id", payload_col: str = "h
     """page_id, payload, payload_digest, url, refers_to and refers_url (null for responses).
 
     The first id of each digest comes from a pre-aggregated groupBy, so a payload that a third of the rows share is
-    reduced within each task; only digests that occur twice take part in the join, which AQE can split.
+    reduced within each task; only digests that occur twice are written and joined, and the rows of the most frequent ones
+    are dealt out by id (``join_split``).
     """
     number = F.col(id_col).cast("long")
     url = F.coalesce(F.col(url_col) if url_col in pages.columns else F.lit(None).cast("string"), F.concat(F.lit("urn:page:"), F.coalesce(number.cast("string"), F.lit("none"))))
@@ -51,10 +52,10 @@ def classify(pages: DataFrame, *, id_col: str = "page_id", payload_col: str = "h
         .groupBy("payload_digest")
         .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 and first is not null")
-        .select("payload_digest", "first")
     )
     again = ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    return rows.join(first, "payload_digest", "left").select("page_id", "payload", "payload_digest", "url", F.when(again, F.col("first.page_id")).alias("refers_to"), F.when(again, F.col("first.url")).alias("refers_url"))
+    found = join_split(rows, cut(first, "first-payloads"), "payload_digest", F.concat(F.lit("#"), F.xxhash64("page_id", "url").cast("string")))
+    return found.select("page_id", "payload", "payload_digest", "url", F.when(again, F.col("first.page_id")).alias("refers_to"), F.when(again, F.col("first.url")).alias("refers_url"))
 
 
 def _record(head: list[str], body: bytes) -> bytes:
