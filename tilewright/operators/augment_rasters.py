@@ -51,24 +51,33 @@ def shift_hsv(image: np.ndarray, hue: float, sat: float, val: float, hue_wrap: i
     return to_bgr((h + hue) % hue_wrap, add(s, sat), add(v, val))
 
 
-def warp(image: np.ndarray, a: float, b: float, c: float, d: float, dx: float, dy: float, border: float = 0.0) -> np.ndarray:
-    """Inverse mapping about the centre, bilinear, ``border`` outside; (height, width, bands) bytes."""
-    height, width = image.shape[:2]
+def warp_part(source: np.ndarray, at: tuple[int, int], box: tuple[int, int, int, int], shape: tuple[int, int], a: float, b: float, c: float, d: float, dx: float, dy: float, border: float = 0.0) -> np.ndarray:
+    """A box (first row and column, end) of the inverse mapping of an image about its centre, bilinear, ``border`` outside.
+
+    ``source`` (height, width, bands) bytes is the part of the image that begins ``at`` and holds all pixels that are read.
+    """
+    height, width = shape
     cx, cy, det = width // 2, height // 2, a * d - b * c
-    x, y = np.arange(width)[None, :] - cx - dx, np.arange(height)[:, None] - cy - dy
+    x, y = np.arange(box[1], box[3])[None, :] - cx - dx, np.arange(box[0], box[2])[:, None] - cy - dy
     sx, sy = (d * x - b * y) / det + cx, (a * y - c * x) / det + cy
     x0, y0 = np.floor(sx), np.floor(sy)
     fx, fy = sx - x0, sy - y0
-    out = np.zeros(image.shape)
+    out = np.zeros((*x0.shape, source.shape[2]))
     for j in (0, 1):
         for i in (0, 1):
             r, k = (y0 + j).astype(np.int64), (x0 + i).astype(np.int64)
             inside = (r >= 0) & (r < height) & (k >= 0) & (k < width)
-            value = np.where(inside[..., None], image[np.clip(r, 0, height - 1), np.clip(k, 0, width - 1)], border)
+            value = np.full(out.shape, float(border))
+            value[inside] = source[r[inside] - at[0], k[inside] - at[1]]
             out += ((fx if i else 1 - fx) * (fy if j else 1 - fy))[..., None] * value
     return np.floor(np.round(out, 9) + 0.5).astype(np.uint8)
 
 
+def warp(image: np.ndarray, *matrix: float) -> np.ndarray:
+    """``warp_part`` of a whole image; ``matrix``: a, b, c, d, dx, dy and the border."""
+    return warp_part(image, (0, 0), (0, 0, *image.shape[:2]), image.shape[:2], *matrix)
+
+
 def turned(image: np.ndarray, hflip: bool, vflip: bool, rot90: bool) -> np.ndarray:
     image = image[:, ::-1] if hflip else image
     image = image[::-1] if vflip else image
