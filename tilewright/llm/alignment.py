@@ -35,9 +35,9 @@ from tilewright.llm.bpe import ByteBPE
 from tilewright.llm.common import arrow_map, cut, pieces, table
 
 #: A block is encoded and written in digits part by part, so that lists of numbers stay short.
-BLOCK_CHARS, PART_CHARS = 8_000_000, 1_000_000
+BLOCK_CHARS, PART_CHARS = 3_000_000, 1_000_000
 #: The words that a worker keeps between batches: so many, and none of more characters.
-KEPT_WORDS, LONGEST_KEPT = 200_000, 64
+KEPT_WORDS, LONGEST_KEPT = 120_000, 64
 SPACE = "▁"
 
 
@@ -220,7 +220,7 @@ def aligned_blocks(docs: DataFrame, byte_file: str, piece_file: str, *, id_col:
             f = aligner.block(texts)
             digests = [sha256(w.encode()).hexdigest() if w else "" for w in aligner.written(f)]
             pairs, links, times = np.unique(f["a"][f["at_a"]].astype(np.int64) << 32 | f["b"][f["at_b"]], return_inverse=True, return_counts=True)
-            row = [task << 32 | i, ids, f["n_a"], f["n_b"], f["n_links"], digests, links.astype("<u4").tobytes(), pairs, times]
+            row = [task << 32 | i, ids, f["n_a"], f["n_b"], f["n_links"], digests, links.astype(_kind(len(pairs))).tobytes(), pairs, times]
             kinds = [pa.int64(), *[pa.list_(pa.int64())] * 4, pa.list_(pa.string()), pa.binary(), *[pa.list_(pa.int64())] * 2]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
@@ -228,6 +228,11 @@ def aligned_blocks(docs: DataFrame, byte_file: str, piece_file: str, *, id_col:
     return cut(arrow_map(rows, run, _BLOCK), "aligned-blocks")
 
 
+def _kind(pairs: int) -> str:
+    """The numbers' kind of a block's links."""
+    return "<u2" if pairs <= 1 << 16 else "<u4"
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list[int | None], list[str | None]]]:
     ids, texts, held = [], [], 0
     for b in pieces(batches, rows=100_000, chars=chars):
@@ -259,7 +264,7 @@ def link_profile(docs: DataFrame, byte_file: str, piece_file: str, **how) -> Dat
         for b in batches:
             for i in range(b.num_rows):
                 row = {n: b.column(n)[i] for n in b.schema.names}
-                links, of = np.frombuffer(row["links"].as_py(), "<u4"), row["n_links"].values.to_numpy()
+                links, of = np.frombuffer(row["links"].as_py(), _kind(len(row["pairs"]))), row["n_links"].values.to_numpy()
                 count, best = np.zeros(len(row["pairs"]), np.int64), np.zeros(len(row["pairs"]), np.int64)
                 if row["known"].is_valid:
                     at, c, x = (row["known"].values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
