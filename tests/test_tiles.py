@@ -35,6 +35,7 @@ def test_tiles_there_and_back(spark, size):
 def test_map_algebra_on_tiles(spark, size):
     rows = rasters(spark, "float64")
     cut, good = tiles.cut_tiles(rows, size), rows.where("height > 0")
+    assert whole(tiles.cut_tiles(rows.where("height = 1").withColumn("channels", rows["channels"]), size, interleaved=True)) == whole(tiles.cut_tiles(rows.where("height = 1"), size))
     for kernel, how in (([[1.0, 2.0, 3.0], [4.0, 5.0, 6.0], [7.0, 8.0, 9.0]], {"dilation": 2}), ([[1.0, 2.0]], {}), ([[1.0, -2.0], [0.5, 3.0], [2.0, 2.0], [1.0, 1.0]], {"dilation": 1})):
         assert whole(tiles.join_tiles(tiles.focal(cut, kernel, **how))) == whole(algebra_rasters.focal(good, kernel, **how))
     k = [[0.1, 0.2, -0.3], [0.4, -0.5, 0.6], [0.7, 0.8, -0.9]]

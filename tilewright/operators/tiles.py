@@ -18,12 +18,16 @@ tables give empty results.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from tilewright.functions import draws
@@ -42,15 +46,43 @@ def _schema(df: DataFrame, ints: tuple[str, ...]) -> StructType:
     return StructType([df.schema[ID], *(StructField(n, IntegerType()) for n in ints), StructField("v", BinaryType())])
 
 
-def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
-    held, n = [], 0
-    for r in rows:
-        held.append(r)
-        n += len(r[-1] or b"")
-        if n > TOGETHER:
-            yield pd.DataFrame(held, columns=columns)
-            held, n = [], 0
-    yield pd.DataFrame(held, columns=columns)
+def _mapped(df: DataFrame, schema: StructType, each: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
+    """``each`` on a task's rows (named tuples of the columns), which gives rows of ``schema``; handed back by bytes."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            kind = None
+            for b in batches:
+                kind = kind or namedtuple("Row", b.schema.names)
+                yield from map(kind._make, zip(*(c.to_pylist() for c in b.columns), strict=True))
+
+        def batch(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
+
+        held, n = [], 0
+        for r in each(rows()):
+            held.append(r)
+            n += len(r[-1] or b"")
+            if n > TOGETHER or len(held) >= 10_000:
+                yield batch(held)
+                held, n = [], 0
+        if held:
+            yield batch(held)
+
+    return df.mapInArrow(run, schema)
+
+
+def _grouped(df: DataFrame, keys: tuple[str, ...], schema: StructType, fn: Callable[[list[tuple]], tuple | None]) -> DataFrame:
+    """``fn`` on the rows of each key, which one shuffle brings together: a row, or none."""
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys)
+
+    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for _, group in groupby(rows, lambda r: tuple(getattr(r, k) for k in keys)):
+            if (out := fn(list(group))) is not None:
+                yield out
+
+    return _mapped(dealt, schema, each)
 
 
 def _array(v: bytes, channels: int, h: int, w: int, dtype: str) -> np.ndarray:
@@ -66,44 +98,40 @@ def box_of(place: int, size: int, length: int) -> tuple[int, int]:
     return place * size, min(length, (place + 1) * size)
 
 
-def cut_tiles(rows: DataFrame, size: int, dtype: str = "float64") -> DataFrame:
-    """Raster rows (image_id, height, width, channels: 1 if absent, v) as tile rows."""
+def cut_tiles(rows: DataFrame, size: int, dtype: str = "float64", interleaved: bool = False) -> DataFrame:
+    """Raster rows (image_id, height, width, channels: 1 if absent, v) as tile rows; ``interleaved``: the bands of a pixel
+    are side by side in ``v``."""
     rows = rows if "channels" in rows.columns else rows.withColumn("channels", F.lit(1))
     made = _schema(rows, GRID)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def each() -> Iterator[tuple]:
-            for f in frames:
-                for i, height, width, channels, v in f.itertuples(index=False):
-                    if v is None:
-                        yield i, height, width, channels, size, 0, 0, 0, 0, min(size, height), min(size, width), None
-                        continue
-                    x = _array(v, channels, height, width, dtype)
-                    for a in range(-(-height // size)):
-                        for b in range(-(-width // size)):
-                            (r0, r1), (c0, c1) = box_of(a, size, height), box_of(b, size, width)
-                            yield i, height, width, channels, size, a, b, r0, c0, r1 - r0, c1 - c0, _bytes(x[:, r0:r1, c0:c1], dtype)
+    def each(images: Iterator[tuple]) -> Iterator[tuple]:
+        for i, height, width, channels, v in images:
+            if v is None:
+                yield i, height, width, channels, size, 0, 0, 0, 0, min(size, height), min(size, width), None
+                continue
+            x = np.frombuffer(v, dtype).reshape(height, width, channels).transpose(2, 0, 1) if interleaved else _array(v, channels, height, width, dtype)
+            for a in range(-(-height // size)):
+                for b in range(-(-width // size)):
+                    (r0, r1), (c0, c1) = box_of(a, size, height), box_of(b, size, width)
+                    yield i, height, width, channels, size, a, b, r0, c0, r1 - r0, c1 - c0, _bytes(x[:, r0:r1, c0:c1], dtype)
 
-        yield from _frames(each(), made.names)
-
-    return rows.where("height > 0 and width > 0").select(ID, "height", "width", "channels", "v").mapInPandas(run, made)
+    return _mapped(rows.where("height > 0 and width > 0").select(ID, "height", "width", "channels", "v"), made, each)
 
 
 def join_tiles(tiles: DataFrame, dtype: str = "float64") -> DataFrame:
     """Tile rows put together to raster rows: the way back for images that fit a row."""
     made = StructType([tiles.schema[ID], *(StructField(n, IntegerType()) for n in ("height", "width", "channels")), StructField("v", BinaryType())])
 
-    def whole(f: pd.DataFrame) -> pd.DataFrame:
-        height, width, channels = (int(f[n].iloc[0]) for n in ("height", "width", "channels"))
-        v = None
-        if f["v"].notna().all():
-            out = np.zeros((channels, height, width), dtype)
-            for r0, c0, h, w, v in f[["r0", "c0", "h", "w", "v"]].itertuples(index=False):
-                out[:, r0 : r0 + h, c0 : c0 + w] = _array(v, channels, h, w, dtype)
-            v = out.tobytes()
-        return pd.DataFrame([(f[ID].iloc[0], height, width, channels, v)], columns=made.names)
+    def whole(group: list[tuple]) -> tuple:
+        i, height, width, channels = group[0][:4]
+        if any(t.v is None for t in group):
+            return i, height, width, channels, None
+        out = np.zeros((channels, height, width), dtype)
+        for t in group:
+            out[:, t.r0 : t.r0 + t.h, t.c0 : t.c0 + t.w] = _array(t.v, channels, t.h, t.w, dtype)
+        return i, height, width, channels, out.tobytes()
 
-    return tiles.groupBy(ID).applyInPandas(whole, made)
+    return _grouped(tiles.select(ID, *GRID, "v"), (ID,), made, whole)
 
 
 # pieces ----------------------------------------------------------------------------------------------------------
@@ -117,23 +145,19 @@ def exchange(tiles: DataFrame, send: Callable[..., Iterator[tuple[int, int, BOX]
     tile sends at least an empty piece to its own place, so that no target is missing."""
     made = StructType([*_schema(tiles, _PIECE).fields[:-1], *[tiles.schema[n] for n in extra], StructField("v", BinaryType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def each() -> Iterator[tuple]:
-            for f in frames:
-                for row in f.itertuples(index=False):
-                    i, height, width, channels, size, a, b, r0, c0, h, w, *more, v = row
-                    grid = (i, height, width, channels, size)
-                    yield *grid, a, b, r0, c0, 0, 0, *more, None if v is None else b""
-                    if v is None:
-                        continue
-                    x = _array(v, channels, h, w, dtype)
-                    for to_r, to_c, (top, left, bottom, right) in send(row):
-                        part = x[:, top - r0 : bottom - r0, left - c0 : right - c0]
-                        yield *grid, to_r, to_c, top, left, bottom - top, right - left, *more, _bytes(part, dtype)
-
-        yield from _frames(each(), made.names)
+    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for row in rows:
+            i, height, width, channels, size, a, b, r0, c0, h, w, *more, v = row
+            grid = (i, height, width, channels, size)
+            yield *grid, a, b, r0, c0, 0, 0, *more, None if v is None else b""
+            if v is None:
+                continue
+            x = _array(v, channels, h, w, dtype)
+            for to_r, to_c, (top, left, bottom, right) in send(row):
+                part = x[:, top - r0 : bottom - r0, left - c0 : right - c0]
+                yield *grid, to_r, to_c, top, left, bottom - top, right - left, *more, _bytes(part, dtype)
 
-    return tiles.select(ID, *GRID, *extra, "v").mapInPandas(run, made)
+    return _mapped(tiles.select(ID, *GRID, *extra, "v"), made, each)
 
 
 def assemble(pieces: DataFrame, fn: Callable[..., tuple[BOX, np.ndarray] | None], extra: tuple[str, ...] = (), dtype: str = "float64", out_dtype: str | None = None, shape: Callable[[int, int], tuple[int, int]] | None = None, scale: int = 1) -> DataFrame:
@@ -142,26 +166,26 @@ def assemble(pieces: DataFrame, fn: Callable[..., tuple[BOX, np.ndarray] | None]
     more, so a group is small whatever the image's size. ``shape`` gives the result's image size and ``scale`` its grid's."""
     made = StructType([*_schema(pieces, GRID).fields])
 
-    def tile(f: pd.DataFrame) -> pd.DataFrame:
-        row = next(f[[ID, *PLACE, *extra]].itertuples(index=False))
+    def tile(group: list[tuple]) -> tuple | None:
+        row = group[0]
         height, width = shape(row.height, row.width) if shape else (row.height, row.width)
         where = (row[0], height, width, row.channels, row.size * scale, row.tile_r, row.tile_c)
-        (r0, r1), (c0, c1) = box_of(row.tile_r, row.size * scale, height), box_of(row.tile_c, row.size * scale, width)
-        if f["v"].isna().any():
-            return pd.DataFrame([(*where, r0, c0, r1 - r0, c1 - c0, None)], columns=made.names)
-        f = f[f["p_h"] > 0]
-        top, left = (int(f[n].min()) if len(f) else 0 for n in ("p_r", "p_c"))
-        bottom, right = (int((f[a] + f[b]).max()) if len(f) else 0 for a, b in (("p_r", "p_h"), ("p_c", "p_w")))
+        if any(p.v is None for p in group):
+            (r0, r1), (c0, c1) = box_of(row.tile_r, row.size * scale, height), box_of(row.tile_c, row.size * scale, width)
+            return *where, r0, c0, r1 - r0, c1 - c0, None
+        group = [p for p in group if p.p_h]
+        top, left = (min((getattr(p, n) for p in group), default=0) for n in ("p_r", "p_c"))
+        bottom, right = (max((getattr(p, a) + getattr(p, b) for p in group), default=0) for a, b in (("p_r", "p_h"), ("p_c", "p_w")))
         canvas = np.zeros((row.channels, bottom - top, right - left), dtype)
-        for r, c, h, w, v in f[["p_r", "p_c", "p_h", "p_w", "v"]].itertuples(index=False):
-            canvas[:, r - top : r - top + h, c - left : c - left + w] = _array(v, row.channels, h, w, dtype)
+        for p in group:
+            canvas[:, p.p_r - top : p.p_r - top + p.p_h, p.p_c - left : p.p_c - left + p.p_w] = _array(p.v, row.channels, p.p_h, p.p_w, dtype)
         found = fn(row, (top, left, bottom, right), canvas)
         if found is None:
-            return pd.DataFrame([], columns=made.names)
+            return None
         (r0, c0, r1, c1), x = found
-        return pd.DataFrame([(*where, r0, c0, r1 - r0, c1 - c0, _bytes(x, out_dtype or dtype))], columns=made.names)
+        return *where, r0, c0, r1 - r0, c1 - c0, _bytes(x, out_dtype or dtype)
 
-    return pieces.groupBy(ID, "tile_r", "tile_c").applyInPandas(tile, made)
+    return _grouped(pieces, (ID, "tile_r", "tile_c"), made, tile)
 
 
 # neighbourhoods --------------------------------------------------------------------------------------------------
@@ -376,13 +400,6 @@ def _from_view(x: np.ndarray, view: int) -> np.ndarray:
     return np.rot90(x, -1, axes=(-2, -1)) if view & 1 else x
 
 
-def _mapped(tiles: DataFrame, schema: StructType, fn: Callable[..., Iterator[tuple]], columns: tuple[str, ...]) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _frames((out for f in frames for row in f.itertuples(index=False) for out in fn(row)), schema.names)
-
-    return tiles.select(ID, *columns, "v").mapInPandas(run, schema)
-
-
 def view_tiles(tiles: DataFrame, dtype: str = "float64") -> DataFrame:
     """Each tile in the eight views, with ``view``: its box, its place in the grid of boxes and its pixels turned and
     flipped; height and width of the view. Places count tiles, so they are those of a grid that may begin with the smaller
@@ -397,7 +414,7 @@ def view_tiles(tiles: DataFrame, dtype: str = "float64") -> DataFrame:
             v = None if row.v is None else _bytes(_to_view(_array(row.v, row.channels, row.h, row.w, dtype), view), dtype)
             yield row[0], view, height, width, row.channels, row.size, a, b, box[0], box[1], box[2] - box[0], box[3] - box[1], v
 
-    return _mapped(tiles, made, fn, GRID)
+    return _mapped(tiles.select(ID, *GRID, "v"), made, lambda rows: (out for row in rows for out in fn(row)))
 
 
 def unview_tiles(tiles: DataFrame, dtype: str = "float64") -> DataFrame:
@@ -416,19 +433,18 @@ def unview_tiles(tiles: DataFrame, dtype: str = "float64") -> DataFrame:
         v = None if row.v is None else _bytes(_from_view(_array(row.v, row.channels, row.h, row.w, dtype), row.view), dtype)
         yield row[0], row.view, height, width, row.channels, row.size, a, b, box[0], box[1], box[2] - box[0], box[3] - box[1], v
 
-    return _mapped(tiles, made, fn, ("view", *GRID))
+    return _mapped(tiles.select(ID, "view", *GRID, "v"), made, lambda rows: (out for row in rows for out in fn(row)))
 
 
 def merge_views(tiles: DataFrame, dtype: str = "float64") -> DataFrame:
     """The sum of a tile's views: one shuffle of tiles, eight rows a group."""
     made = _schema(tiles, GRID)
 
-    def total(f: pd.DataFrame) -> pd.DataFrame:
-        row = f[[ID, *GRID]].iloc[0].tolist()
-        v = None if f["v"].isna().any() else _bytes(sum(np.frombuffer(x, dtype) for x in f.sort_values("view")["v"]), dtype)
-        return pd.DataFrame([(*row, v)], columns=made.names)
+    def total(group: list[tuple]) -> tuple:
+        v = None if any(t.v is None for t in group) else _bytes(sum(np.frombuffer(t.v, dtype) for t in sorted(group, key=lambda t: t.view)), dtype)
+        return *group[0][: len(GRID) + 1], v
 
-    return tiles.groupBy(ID, "tile_r", "tile_c").applyInPandas(total, made)
+    return _grouped(tiles.select(ID, *GRID, "view", "v"), (ID, "tile_r", "tile_c"), made, total)
 
 
 #: Called without arguments on a worker; gives a function of a normalised tile (bands, h, w) and its first row and column in
@@ -452,28 +468,24 @@ def logistic_tiles(bias: float = 0.1, weights: tuple[float, ...] = (0.8,), by_ro
 def score_tiles(tiles: DataFrame, factory: TilePredictorFactory, views: bool = False, data_dtype: str = "uint8", dtype: str = "float32") -> DataFrame:
     """Byte tiles to tiles of probabilities (one band, ``dtype``); ``views``: the sum of the eight views, all of a tile within
     one task, so nothing is shuffled. For a predictor that looks around, cut tiles with its margin (``cut_tiles`` of a
-    larger size) and crop."""
-    made = _schema(tiles, GRID)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = factory()
-
-        def each() -> Iterator[tuple]:
-            for f in frames:
-                for row in f.itertuples(index=False):
-                    q = None
-                    if row.v is not None:
-                        x = _array(row.v, row.channels, row.h, row.w, data_dtype).astype(dtype) / 255.0 * 3.2 - 1.6
-                        q = 0
-                        for view in VIEWS if views else (0,):
-                            r0, c0, *_ = _seen((row.r0, row.c0, row.r0 + row.h, row.c0 + row.w), row.height, row.width, view)
-                            q = q + _from_view(predict(np.ascontiguousarray(_to_view(x, view)), r0, c0), view)
-                        q = _bytes(q, dtype)
-                    yield row[0], row.height, row.width, 1, *row[4:11], q
-
-        yield from _frames(each(), made.names)
-
-    return tiles.select(ID, *GRID, "v").mapInPandas(run, made)
+    larger size) and crop. A column ``view`` stays."""
+    more = ("view",) if "view" in tiles.columns else ()
+    made = _schema(tiles, (*more, *GRID))
+
+    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
+        predict, at = factory(), 1 + len(more)
+        for row in rows:
+            q = None
+            if row.v is not None:
+                x = _array(row.v, row.channels, row.h, row.w, data_dtype).astype(dtype) / 255.0 * 3.2 - 1.6
+                q = 0
+                for view in VIEWS if views else (0,):
+                    r0, c0, *_ = _seen((row.r0, row.c0, row.r0 + row.h, row.c0 + row.w), row.height, row.width, view)
+                    q = q + _from_view(predict(np.ascontiguousarray(_to_view(x, view)), r0, c0), view)
+                q = _bytes(q, dtype)
+            yield *row[: at + 2], 1, *row[at + 3 : at + 10], q
+
+    return _mapped(tiles.select(ID, *more, *GRID, "v"), made, each)
 
 
 def tile_pixels(tiles: DataFrame, dtype: str = "float64") -> DataFrame:

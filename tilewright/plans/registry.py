@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import draws, pixels
-from tilewright.operators import algebra, algebra_rasters, augment, augment_rasters, batches, jobs, layouts, metrics, pairing, runs, score
+from tilewright.operators import algebra, algebra_rasters, augment, augment_rasters, batches, jobs, layouts, metrics, pairing, runs, score, tiles
 from tilewright.plans import fixtures as fx
 from tilewright.plans.fixtures import K3, K4, SHAPE, draw_sql
 from tilewright.sources import images, masks, runlog, shared
@@ -338,6 +338,42 @@ _raster_rows("m3_block_max", algebra_rasters.block_max, 4)
 _raster_rows("m4_upsample", lambda x: algebra_rasters.upsample(x, K4), 16)
 
 
+TILE = 3  # so that a tile row has three tiles, the last smaller
+
+
+def _tiles8(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.cut_tiles(_rows8(spark, d), TILE)
+
+
+def _byte_tiles(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.cut_tiles(fx.grey1(spark, d).select("image_id", F.lit(8).alias("height"), F.lit(8).alias("width"), col("mask").alias("v")), TILE, "uint8")
+
+
+add("m1_focal_tiles", "image_id:l r:l c:l v:d", lambda s, d: tiles.tile_pixels(tiles.focal(_tiles8(s, d), K3, dilation=2)))
+add("m2_multi_rate_focal_tiles", "image_id:l r:l c:l v:d", lambda s, d: tiles.tile_pixels(tiles.multi_rate_focal(_tiles8(s, d), K3, rates=(1, 2, 4))).withColumn("v", col("v") / 1000))
+add("m4_upsample_tiles", "image_id:l r:l c:l v:d", lambda s, d: tiles.tile_pixels(tiles.upsample(_tiles8(s, d), K4)))
+add("g2_random_ssr_tiles", "image_id:l r:l c:l b:l", lambda s, d: tiles.tile_pixels(tiles.random_ssr(_byte_tiles(s, d)), "uint8").withColumnRenamed("v", "b"))
+add("g7_ssr_with_turn_tiles", "image_id:l r:l c:l b:l", lambda s, d: tiles.tile_pixels(tiles.random_ssr(_byte_tiles(s, d), rotate=(-30, 30)), "uint8").withColumnRenamed("v", "b"))
+add("t4_tta_views_tiles", "image_id:l view:l r:l c:l b:l", lambda s, d: tiles.tile_pixels(tiles.view_tiles(_byte_tiles(s, d), "uint8"), "uint8").withColumnRenamed("v", "b"))
+
+
+def _view_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles scored in each view and turned back."""
+    scored = tiles.score_tiles(tiles.view_tiles(_byte_tiles(spark, d), "uint8"), tiles.logistic_tiles(), dtype="float64")
+    return tiles.unview_tiles(scored)
+
+
+def _tiles3(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.cut_tiles(fx.rasters3(spark, d).withColumnRenamed("data", "v"), TILE, "uint8", interleaved=True)
+
+
+add("t5_tta_invert_tiles", "image_id:l view:l r:l c:l q:d", lambda s, d: tiles.tile_pixels(_view_scores(s, d)).withColumnRenamed("v", "q"))
+add("t6_tta_merge_tiles", "image_id:l r:l c:l q:d", lambda s, d: tiles.tile_pixels(tiles.merge_views(_view_scores(s, d))).withColumnRenamed("v", "q"))
+add("t6_tta_score_tiles", "image_id:l r:l c:l q:d", lambda s, d: tiles.tile_pixels(tiles.score_tiles(_tiles3(s, d), tiles.logistic_tiles(weights=(0.2, 0.5, -0.3)), views=True, dtype="float64")).withColumnRenamed("v", "q"))
+for _name, _whole in (("m1_focal_tiles", "m1_focal"), ("m2_multi_rate_focal_tiles", "m2_multi_rate_focal"), ("m4_upsample_tiles", "m4_upsample"), ("g2_random_ssr_tiles", "g2_random_ssr"), ("g7_ssr_with_turn_tiles", "g7_ssr_with_turn"), ("t4_tta_views_tiles", "t4_tta_views"), ("t5_tta_invert_tiles", "t5_tta_invert"), ("t6_tta_merge_tiles", "t6_tta_score"), ("t6_tta_score_tiles", "t6_tta_score_fused")):
+    SQL[_name] = SQL[_whole]
+
+
 def _frozen(spark: SparkSession, d: str) -> DataFrame:
     """Statistics saved as a table, and applied as they were read back."""
     path = shared.scratch(spark, "statistics")
