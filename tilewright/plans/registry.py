@@ -15,7 +15,7 @@ from tilewright.functions import draws, pixels
 from tilewright.operators import algebra, algebra_rasters, augment, augment_rasters, batches, jobs, layouts, metrics, pairing, runs, score, tiles
 from tilewright.plans import fixtures as fx
 from tilewright.plans.fixtures import K3, K4, SHAPE, draw_sql
-from tilewright.sources import images, masks, runlog, shared
+from tilewright.sources import filesink, headers, images, masks, runlog, shared
 from tilewright.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,34 @@ def _log_back(spark: SparkSession, d: str) -> DataFrame:
 add("s8_read_run_log", "run:l epoch:l elapsed_s:l loss:d height:l width:l", _log_back, "SELECT run, epoch, elapsed_s, loss, 1024 AS height, 1024 AS width FROM runs")
 add("s9_best_checkpoint", "run:l epoch:l loss:d path:s", lambda s, d: runs.best_checkpoint(fx.runs(s, d)), "SELECT run, epoch, loss, 'checkpoints/' || run AS path FROM improved WHERE improved = 1 QUALIFY row_number() OVER (PARTITION BY run ORDER BY epoch DESC) = 1")
 
+
+def _faulty(spark: SparkSession, d: str) -> DataFrame:
+    """Files of each embedding's image and mask, some missing, some of another shape, some not images: what the audit finds
+    by their headers alone."""
+    path = shared.scratch(spark, "faulty")
+    grey = fx.grey1(spark, d).withColumnRenamed("mask", "data")
+    shaped = lambda n: F.when(col("image_id") % n == 3, 4).otherwise(8)
+    sized = grey.select("image_id", F.explode(F.array(F.struct(F.lit("sat").alias("kind"), shaped(11).alias("height")), F.struct(F.lit("mask").alias("kind"), shaped(13).alias("height")))).alias("k"), "data").select("image_id", "k.*", "data")
+    rows = sized.select(F.concat_ws("_", "image_id", F.concat("kind", F.lit(".png"))).alias("name"), "image_id", "kind", "height", F.lit(8).alias("width"), F.lit(1).alias("channels"), F.expr("substring(data, 1, height * 8)").alias("data"))
+    rows = rows.where("not (kind = 'sat' and image_id % 5 = 0) and not (kind = 'mask' and image_id % 7 = 0)")
+    junk = F.when((col("kind") == "sat") & (col("image_id") % 17 == 1), 1).when((col("kind") == "mask") & (col("image_id") % 19 == 2), 1).otherwise(0)
+    rows = rows.withColumn("junk", junk)
+    broken = rows.where("junk = 1").select("name", F.lit("no image").cast("binary").alias("content"))
+    filesink.write_set(masks.encoded(rows.where("junk = 0")).unionByName(broken), path)
+    return pairing.raster_audit(headers.scan_headers(spark, path), headers.scan_headers(spark, path, "*_mask.*", pixels.mask_id), SHAPE)
+
+
+_SIDES = "(SELECT vec_id AS i, vec_id % 5 <> 0 AS image, vec_id % 7 <> 0 AS mask, vec_id % 17 = 1 AS bad_image, vec_id % 19 = 2 AS bad_mask, vec_id % 11 = 3 AS odd_image, vec_id % 13 = 3 AS odd_mask FROM embeddings)"
+_FAULTS = {"no mask": "image AND NOT mask", "no image": "mask AND NOT image", "undecodable image": "image AND bad_image", "undecodable mask": "mask AND bad_mask", "image of another shape": "image AND odd_image AND NOT bad_image", "mask of another shape": "mask AND odd_mask AND NOT bad_mask"}
+add("j2_audit_headers", "image_id:s problem:s", _faulty, " UNION ALL ".join(f"SELECT CAST(i AS VARCHAR) AS image_id, '{k}' AS problem FROM {_SIDES} AS x WHERE {v}" for k, v in _FAULTS.items()))
+
+
+def _header_rows(spark: SparkSession, d: str) -> DataFrame:
+    return headers.scan_headers(spark, _png_dir(spark, d))
+
+
+add("s2_scan_headers", "image_id:s format:s height:l width:l channels:l", _header_rows, "SELECT DISTINCT CAST(image_id AS VARCHAR) AS image_id, 'png' AS format, 8 AS height, 8 AS width, 3 AS channels FROM patch3")
+
 # Projections and predicates --------------------------------------------------------------------------------------
 
 
@@ -407,6 +435,15 @@ def _arriving(spark: SparkSession, d: str) -> DataFrame:
     return _scores(monitor.run_available(monitor.score_stream(spark, _png_dir(spark, d), **_BANDS), shared.scratch(spark, "arrived")))
 
 
+def _stream_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Images scored as they arrive, their masks written by the committing sink and read back."""
+    dst = shared.scratch(spark, "stream-masks")
+    masks.stream_masks(jobs.mask_rows(monitor.score_stream(spark, _png_dir(spark, d), **_BANDS), dtype="float64"), dst, shared.scratch(spark, "stream-state")).awaitTermination()
+    return _image_sums(images.scan_images(spark, dst, "*_mask.*", named=pixels.mask_id))
+
+
+add("x2_stream_masks", "image_id:s ch:l total:l placed:l n:l", _stream_masks)
+SQL["x2_stream_masks"] = SQL["t7_predict_job"]
 add("x2_stream_scores", "image_id:s r:l c:l q:d", _arriving, "SELECT * FROM merged3")
 add("x3_plugin_model", "image_id:l r:l c:l q:d", lambda s, d: score.score(fx.u8(s, d), lambda x, r, c: pixels.sigmoid(x * 2 - r + c)), "SELECT image_id, r, c, 1 / (1 + exp(-((b / 255.0::DOUBLE * 3.2 - 1.6) * 2 - r + c))) AS q FROM u8")
 add("x4_plugin_loss", "label:l mse:d", lambda s, d: metrics.evaluate(fx.pairs(s, d), {"mse": lambda t, q: F.avg((t - q) * (t - q))}, ["label"]), "SELECT label, avg((t - q) * (t - q)) AS mse FROM pairs GROUP BY 1")

@@ -1,17 +1,18 @@
-"""The mask sink: one PNG file per row, written by the tasks."""
+"""The mask sink: one PNG file per row, encoded and staged by the tasks, in place when the job has ended."""
 
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.streaming import StreamingQuery
 
 from tilewright.functions import pixels
-from tilewright.sources.shared import exists, open_fs
+from tilewright.sources.filesink import write_set, write_stream
 
 
 def png(height: int, width: int, channels: int, data: bytes) -> bytes:
@@ -30,51 +31,36 @@ def png(height: int, width: int, channels: int, data: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows, 1)) + chunk(b"IEND", b"")
 
 
-class _Writer(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+def _raw(data) -> bytes:
+    return bytes(data) if isinstance(data, bytes | bytearray | memoryview) else np.asarray(data).astype(np.uint8).tobytes()
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
-        fs, root = open_fs(self.path)
-        fs.create_dir(root, recursive=True)
-        for row in iterator:
-            hidden = f"{root}/.{uuid.uuid4().hex}"
-            with fs.open_output_stream(hidden) as f:
-                f.write(png(row["height"], row["width"], row["channels"], bytes(row["data"])))
-            fs.move(hidden, f"{root}/{row['name']}")
-        return WriterCommitMessage()
 
+def encoded(df: DataFrame) -> DataFrame:
+    """Rows (name, height, width, channels, data: array or binary) as rows (name, content): PNG files."""
 
-class MaskPng(DataSource):
-    """Sink of rows (name, height, width, channels, data). A file gets its name when it is whole, so a task that fails
-    leaves no cut file under it, and one that runs again writes the same bytes; of rows with one name one stays."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"name": f["name"], "content": [png(h, w, n, _raw(d)) for h, w, n, d in zip(f["height"], f["width"], f["channels"], f["data"], strict=True)]})
 
-    @classmethod
-    def name(cls) -> str:
-        return "mask_png"
+    return df.select("name", "height", "width", "channels", "data").mapInPandas(run, "name string, content binary")
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"])
+
+def named(df: DataFrame) -> DataFrame:
+    """Adds the file name ``{image_id}_mask.png``."""
+    return df.withColumn("name", pixels.mask_name(pixels.image_name(df["image_id"])))
 
 
 def write_files(df: DataFrame, path: str, if_exists: str = "error") -> None:
-    """Rows (name, height, width, channels, data) as files below ``path``; ``if_exists``: error, append or overwrite (the
-    files are written beside ``path`` and take its place when all are there)."""
-    if if_exists == "error" and exists(path):
-        raise FileExistsError(path)
-    to = f"{path.rstrip('/')}-{uuid.uuid4().hex}" if if_exists == "overwrite" else path
-    df.sparkSession.dataSource.register(MaskPng)
-    df.select("name", "height", "width", "channels", "data").write.format("mask_png").mode("append").save(to)
-    if to != path:
-        fs, new = open_fs(to)
-        _, old = open_fs(path)
-        fs.create_dir(new, recursive=True)
-        if exists(path):
-            fs.delete_dir(old)
-        fs.move(new, old)
+    """Rows (name, height, width, channels, data) as PNG files below ``path``; ``if_exists``: error, append or overwrite.
+    See ``filesink`` for what a failed job leaves (nothing) and how a set is replaced."""
+    write_set(encoded(df), path, if_exists)
 
 
 def write_masks(df: DataFrame, path: str, if_exists: str = "error") -> None:
     """Rows (image_id, height, width, channels, data: array or binary) as ``{image_id}_mask.png``."""
-    named = df.withColumn("name", pixels.mask_name(pixels.image_name(df["image_id"])))
-    write_files(named, path, if_exists)
+    write_files(named(df), path, if_exists)
+
+
+def stream_masks(df: DataFrame, path: str, state: str) -> StreamingQuery:
+    """A stream of such rows as mask files, each batch once."""
+    return write_stream(encoded(named(df)), path, state)
