@@ -43,9 +43,16 @@ def block_max(df: DataFrame, size: int = 2, keys: tuple[str, ...] = ("image_id",
 
 
 def upsample(df: DataFrame, kernel: list[list[float]], shape: tuple[int, int], stride: int = 2, pad: int = 1, out_pad: int = 0, keys: tuple[str, ...] = ("image_id",), value: str = "v") -> DataFrame:
-    """Each pixel adds its kernel at ``stride`` times its place less ``pad``."""
+    """Each pixel adds its kernel at ``stride`` times its place less ``pad``; a place that nothing is added to is 0 (in
+    images that have a pixel at row 0, column 0)."""
     out = tuple((n - 1) * stride - 2 * pad + k + out_pad for n, k in zip(shape, (len(kernel), len(kernel[0])), strict=True))
     s = _scatter(df, kernel).select(*keys, (F.col("r") * stride + F.col("_k.i") - pad).alias("r"), (F.col("c") * stride + F.col("_k.j") - pad).alias("c"), (F.col("_k.w") * F.col(value)).alias("_s"))
+    # rows and columns that no pixel reaches follow from the shapes; most often there are none
+    bare = [sorted(set(range(m)) - {p * stride + i - pad for p in range(n) for i in range(k)}) for m, n, k in zip(out, shape, (len(kernel), len(kernel[0])), strict=True)]
+    if any(bare):
+        rows, cols = (F.array(*[F.lit(x) for x in range(m)]) for m in out)
+        cells = df.where("r = 0 and c = 0").select(*keys, F.explode(rows).alias("r")).select(*keys, "r", F.explode(cols).alias("c"))
+        s = s.unionByName(cells.where(F.col("r").isin(bare[0]) | F.col("c").isin(bare[1])).withColumn("_s", F.lit(0.0)))
     return s.where(_within(out)).groupBy(*keys, "r", "c").agg(F.sum("_s").alias(value))
 
 

@@ -111,3 +111,91 @@ def upsample(rows: DataFrame, kernel: list[list[float]], stride: int = 2, pad: i
         return full[:, pad : full.shape[1] - pad, pad : full.shape[2] - pad]
 
     return map_rasters(rows, spread, dtype)
+
+
+def bands_first(rows: DataFrame, data: str = "data", dtype: str = "float64") -> DataFrame:
+    """Rows with interleaved bytes ``data`` as rows with ``v`` (rows that couldn't be decoded are left out)."""
+
+    @F.pandas_udf("binary")
+    def turn(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
+        each = zip(data, height, width, channels, strict=True)
+        return pd.Series([None if d is None else np.ascontiguousarray(np.frombuffer(d, np.uint8).reshape(h, w, n).transpose(2, 0, 1), dtype).tobytes() for d, h, w, n in each])
+
+    return rows.where("height > 0").withColumn("v", turn(data, "height", "width", "channels")).drop(data)
+
+
+def binarise_masks(rows: DataFrame, threshold: float = 127.5, invert: bool = False, dtype: str = "float64") -> DataFrame:
+    """1 where a mask is at least ``threshold``, else 0; ``invert`` changes the two."""
+    return map_rasters(rows, lambda x: ((x >= threshold) != invert).astype(np.float64), dtype)
+
+
+def band_math(rows: DataFrame, weights: list[list[float]], dtype: str = "float64") -> DataFrame:
+    """Linear combinations of the bands, ``weights[out][in]``, within the row."""
+    w = np.array(weights, np.float64)
+    return map_rasters(rows, lambda x: np.tensordot(w, x, 1), dtype)
+
+
+def channel_statistics(rows: DataFrame, dtype: str = "float64") -> DataFrame:
+    """ch, mean, var over all images: a row for each image and band is what is shuffled (null payloads have none)."""
+    rows = rows if "channels" in rows.columns else rows.withColumn("channels", F.lit(1))
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for n, v in zip(f["channels"], f["v"], strict=True):
+                for ch, x in enumerate(np.frombuffer(v, dtype).astype(np.float64).reshape(n, -1)):
+                    out.append((ch, x.size, x.mean() if x.size else 0.0, ((x - x.mean()) ** 2).sum() if x.size else 0.0))
+            yield pd.DataFrame(out, columns=["ch", "n", "m", "d"])
+
+    each = rows.where("v is not null and height > 0 and width > 0").select("channels", "v").mapInPandas(sums, "ch int, n long, m double, d double")
+    # of the images' own means and squared deviations the whole's: what lies within images and what lies between them
+    total = each.groupBy("ch").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum("d").alias("d"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"))
+    mean = F.col("s") / F.col("n")
+    return total.select("ch", mean.alias("mean"), F.greatest(F.lit(0.0), (F.col("d") + F.col("q")) / F.col("n") - mean * mean).alias("var"))
+
+
+def standardise(rows: DataFrame, eps: float = 1e-5, statistics: DataFrame | None = None, dtype: str = "float64") -> DataFrame:
+    """(value - mean) / sqrt(var + eps) by band; ``statistics``: a saved table (ch, mean, var) for the frozen form. The
+    statistics have a row for each band, which bounds what the driver holds."""
+    found = statistics if statistics is not None else channel_statistics(rows, dtype)
+    known = {r["ch"]: (r["mean"], r["var"]) for r in found.collect()}
+
+    def shift(x: np.ndarray) -> np.ndarray:
+        mean, var = (np.array([known[c][k] for c in range(len(x))])[:, None, None] for k in (0, 1))
+        return (x - mean) / np.sqrt(var + eps)
+
+    return map_rasters(rows, shift, dtype)
+
+
+def zip_rasters(a: DataFrame, b: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.ndarray], key: str = "image_id", dtype: str = "float64") -> DataFrame:
+    """``fn`` on the images that two tables have of one key: one row of each is shuffled, not pixels. Where one payload is
+    null, or ``fn`` gives None, the result's is. Columns of ``a`` stay."""
+    both = [x if "channels" in x.columns else x.withColumn("channels", F.lit(1)) for x in (a, b)]
+    other = both[1].select(key, *[F.col(n).alias(f"_b_{n}") for n in ("height", "width", "channels", "v")])
+    joined = both[0].join(other, key)
+    keep = [f for f in both[0].schema.fields if f.name not in ("height", "width", "channels", "v")]
+    schema = StructType([*keep, *[StructField(n, IntegerType()) for n in ("height", "width", "channels")], StructField("v", BinaryType())])
+
+    def array(h: int, w: int, n: int, v: bytes | None) -> np.ndarray | None:
+        return None if v is None else np.frombuffer(v, dtype).astype(np.float64).reshape(n, h, w)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            done = []
+            for one in zip(*(f[n] for n in ("height", "width", "channels", "v", "_b_height", "_b_width", "_b_channels", "_b_v")), strict=True):
+                x, y = array(*one[:4]), array(*one[4:])
+                z = None if x is None or y is None else fn(x, y)
+                done.append((*one[:3], None) if z is None else (*z.shape[1:], z.shape[0], np.ascontiguousarray(z, dtype).tobytes()))
+            yield pd.concat([f[[x.name for x in keep]].reset_index(drop=True), pd.DataFrame(done, columns=["height", "width", "channels", "v"])], axis=1)
+
+    return joined.mapInPandas(run, schema)
+
+
+def raster_add(a: DataFrame, b: DataFrame, dtype: str = "float64") -> DataFrame:
+    """The sum of two images of one shape; null where the shapes differ."""
+    return zip_rasters(a, b, lambda x, y: x + y if x.shape == y.shape else None, dtype=dtype)
+
+
+def concat_channels(a: DataFrame, b: DataFrame, dtype: str = "float64") -> DataFrame:
+    """The bands of two images of one size one after the other; null where the sizes differ."""
+    return zip_rasters(a, b, lambda x, y: np.concatenate([x, y]) if x.shape[1:] == y.shape[1:] else None, dtype=dtype)

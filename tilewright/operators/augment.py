@@ -5,6 +5,8 @@ A pixel table has image_id, r, c and a byte column; colour tables also ch (0 blu
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,16 @@ from tilewright.functions import draws, pixels
 from tilewright.operators.layouts import merge_channels, split_channels
 
 ID = "image_id"
+STEPS = ("hsv", "ssr", "hflip", "vflip", "rot90")
+
+
+def chances(u: float | Mapping[str, float]) -> dict[str, float]:
+    """The probability of each step: one for all, or by name (0.5 for those without)."""
+    if isinstance(u, Mapping):
+        if unknown := set(u) - set(STEPS):
+            raise ValueError(f"no such steps: {sorted(unknown)}")
+        return {n: u.get(n, 0.5) for n in STEPS}
+    return dict.fromkeys(STEPS, u)
 
 
 def random_hsv(df: DataFrame, hue=(-30, 30), sat=(-5, 5), val=(-15, 15), u: float = 0.5, seed: int = 42, epoch: int = 0, hue_wrap: int = 256) -> DataFrame:
@@ -85,18 +97,20 @@ def random_rot90(df: DataFrame, shape: tuple[int, int], u: float = 0.5, seed: in
     return df.withColumn("_r", F.when(on, shape[1] - 1 - F.col("c")).otherwise(F.col("r"))).withColumn("c", F.when(on, F.col("r")).otherwise(F.col("c"))).withColumn("r", F.col("_r")).drop("_r")
 
 
-def augment(images: DataFrame, masks: DataFrame, shape: tuple[int, int], seed: int = 42, epoch: int = 0) -> tuple[DataFrame, DataFrame]:
+def augment(images: DataFrame, masks: DataFrame, shape: tuple[int, int], seed: int = 42, epoch: int = 0, u: float | Mapping[str, float] = 0.5, hue=(-30, 30), sat=(-5, 5), val=(-15, 15), hue_wrap: int = 256, border: float = 0.0, **ranges) -> tuple[DataFrame, DataFrame]:
     """The training pipeline: colour, geometry, flips, turn; then normalised images (x) and binary masks (t).
 
-    ``images``: image_id, ch, r, c, b; ``masks``: image_id, r, c, b. Flips and turn are one projection.
+    ``images``: image_id, ch, r, c, b; ``masks``: image_id, r, c, b. Flips and turn are one projection. ``u``: the
+    probability of every step, or of each by its name (``STEPS``); ``ranges``: those of ``affine``.
     """
-    how = {"seed": seed, "epoch": epoch}
+    how, on = {"seed": seed, "epoch": epoch}, chances(u)
 
     def turn(df: DataFrame) -> DataFrame:
-        for f in (random_hflip, random_vflip, random_rot90):
-            df = f(df, shape, **how)
+        for name, f in (("hflip", random_hflip), ("vflip", random_vflip), ("rot90", random_rot90)):
+            df = f(df, shape, u=on[name], **how)
         return df
 
-    x = turn(random_ssr(random_hsv(images, **how), shape, by=["ch"], **how))
-    t = turn(random_ssr(masks, shape, **how))
+    moved = {"border": border, "u": on["ssr"], **how, **ranges}
+    x = turn(random_ssr(random_hsv(images, hue, sat, val, on["hsv"], hue_wrap=hue_wrap, **how), shape, by=["ch"], **moved))
+    t = turn(random_ssr(masks, shape, **moved))
     return x.select(ID, "ch", "r", "c", pixels.normalise(F.col("b")).alias("x")), t.select(ID, "r", "c", pixels.binarise_mask(F.col("b")).alias("t"))

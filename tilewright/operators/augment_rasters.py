@@ -2,11 +2,17 @@
 
 The draws of ``augment`` are columns, made once for each image; the pixels are NumPy work within the row, so nothing is
 shuffled. Results equal the pixel-table form's.
+
+Defined cases: rows that couldn't be decoded (height, width or channels below 1 or null, null data, or data of another length than
+height x width x channels) are left out, as in scoring; grey images (one band) become three equal bands, of four bands the
+first three count; a null mask, or one that hasn't one, three or four bands of the image's shape, gives a null ``t`` (of
+three or four bands the luma counts); a null id has draws like any other value; repeated rows give repeated results; other
+columns are dropped; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -14,15 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import draws
-from tilewright.operators.augment import ID, affine
+from tilewright.operators.augment import ID, affine, chances
 
+#: Bytes of results that are handed back together.
+TOGETHER = 32 << 20
+#: Weights of blue, green and red in a grey value.
+LUMA = np.array([0.114, 0.587, 0.299])
 OUT = "image_id {}, height int, width int, channels int, x binary, t binary"
 
 
-def with_parameters(rows: DataFrame, hue=(-30, 30), sat=(-5, 5), val=(-15, 15), u: float = 0.5, seed: int = 42, epoch: int = 0, **ranges) -> DataFrame:
-    """``rows`` (image_id, height, width) with the draws of the whole pipeline as columns."""
+def with_parameters(rows: DataFrame, hue=(-30, 30), sat=(-5, 5), val=(-15, 15), u: float | Mapping[str, float] = 0.5, seed: int = 42, epoch: int = 0, **ranges) -> DataFrame:
+    """``rows`` (image_id, height, width) with the draws of the whole pipeline as columns. ``u``: the probability of every
+    step, or of each by its name (``STEPS``; 0.5 for those that it doesn't name)."""
     i, how = F.col(ID), {"seed": seed, "epoch": epoch}
-    gates = {f"on_{n}": draws.gate(i, n, u, **how) for n in ("hsv", "ssr", "hflip", "vflip", "rot90")}
+    gates = {f"on_{n}": draws.gate(i, n, p, **how) for n, p in chances(u).items()}
     shifts = {"d_hue": draws.integer(i, "hue", *hue, **how), "d_sat": draws.uniform(i, "sat", *sat, **how), "d_val": draws.uniform(i, "val", *val, **how)}
     return rows.withColumns(gates | shifts | affine((F.col("height"), F.col("width")), **how, **ranges))
 
@@ -84,28 +95,59 @@ def turned(image: np.ndarray, hflip: bool, vflip: bool, rot90: bool) -> np.ndarr
     return np.rot90(image) if rot90 else image
 
 
+def three_bands(data: bytes | None, height: int, width: int, channels: int) -> np.ndarray | None:
+    """(height, width, 3) of an image's bytes, or None where they don't fit."""
+    if data is None or len(data) != height * width * channels:
+        return None
+    image = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return image[..., :3] if channels >= 3 else np.repeat(image[..., :1], 3, axis=2)
+
+
+def one_band(mask: bytes | None, height: int, width: int) -> np.ndarray | None:
+    """(height, width, 1) of a mask's bytes, or None where they don't fit."""
+    bands = len(mask) // (height * width) if mask is not None and len(mask) % (height * width) == 0 else 0
+    if bands not in (1, 3, 4):
+        return None
+    m = np.frombuffer(mask, np.uint8).reshape(height, width, bands)
+    return m if bands == 1 else np.floor(m[..., :3].astype(np.float64) @ LUMA + 0.5).astype(np.uint8)[..., None]
+
+
 def augment_rasters(rows: DataFrame, hue_wrap: int = 256, border: float = 0.0, dtype: str = "float32", **how) -> DataFrame:
-    """image_id, height, width, data (blue, green, red bytes) and mask (grey bytes) through colour, geometry, flips and turn
-    to image_id, height, width, channels, x (normalised, bands first, little-endian ``dtype``) and t (0 and 1 bytes).
+    """image_id, height, width, channels (3 if absent), data (blue, green, red bytes) and mask (grey bytes) through colour,
+    geometry, flips and turn to image_id, height, width, channels, x (normalised, bands first, little-endian ``dtype``) and t
+    (0 and 1 bytes).
 
     A turned image's height and width change places. ``how``: ranges, u, seed, epoch of ``with_parameters``.
     """
-    drawn = with_parameters(rows.select(ID, "height", "width", "data", "mask"), **how)
+    rows = rows if "channels" in rows.columns else rows.withColumn("channels", F.lit(3))
+    good = rows.where("height > 0 and width > 0 and channels > 0 and data is not null").select(ID, "height", "width", "channels", "data", "mask")
+    drawn = with_parameters(good, **how)
+
+    def one(r) -> tuple | None:
+        image, mask = three_bands(r.data, r.height, r.width, r.channels), one_band(r.mask, r.height, r.width)
+        if image is None:
+            return None
+        if r.on_hsv:
+            image = shift_hsv(image, r.d_hue, r.d_sat, r.d_val, hue_wrap)
+        pair = [image] if mask is None else [image, mask]
+        if r.on_ssr:
+            pair = [warp(x, r.m_a, r.m_b, r.m_c, r.m_d, r.m_x, r.m_y, border) for x in pair]
+        image, *mask = (turned(x, r.on_hflip, r.on_vflip, r.on_rot90) for x in pair)
+        x = image.transpose(2, 0, 1).astype(dtype) / 255.0 * 3.2 - 1.6
+        return r.image_id, *image.shape[:2], 3, np.ascontiguousarray(x, dtype).tobytes(), (mask[0] >= 128).astype(np.uint8).tobytes() if mask else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["image_id", "height", "width", "channels", "x", "t"]
         for f in frames:
-            out = []
+            out, held = [], 0
             for r in f.itertuples(index=False):
-                image = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)
-                mask = np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width, 1)
-                if r.on_hsv:
-                    image = shift_hsv(image, r.d_hue, r.d_sat, r.d_val, hue_wrap)
-                if r.on_ssr:
-                    m = (r.m_a, r.m_b, r.m_c, r.m_d, r.m_x, r.m_y)
-                    image, mask = warp(image, *m, border), warp(mask, *m, border)
-                image, mask = (turned(x, r.on_hflip, r.on_vflip, r.on_rot90) for x in (image, mask))
-                x = image.transpose(2, 0, 1).astype(dtype) / 255.0 * 3.2 - 1.6
-                out.append((r.image_id, *image.shape[:2], 3, np.ascontiguousarray(x, dtype).tobytes(), (mask >= 128).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["image_id", "height", "width", "channels", "x", "t"])
+                if (done := one(r)) is None:
+                    continue
+                out.append(done)
+                held += len(done[4])
+                if held > TOGETHER:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=names)
 
     return drawn.mapInPandas(run, OUT.format(dict(rows.dtypes)[ID]))

@@ -53,3 +53,13 @@ def merge_channels(planes: DataFrame, names: list[str], keys: list[str], value:
 def concat_channels(a: DataFrame, b: DataFrame, channels_a: int) -> DataFrame:
     """The channels of two aligned rasters one after the other."""
     return a.unionByName(b.withColumn("ch", F.col("ch") + channels_a))
+
+
+def add_axes(data: Column, n: int = 1) -> Column:
+    """``n`` axes of length one before the others."""
+    return data if n == 0 else add_axes(F.array(data), n - 1)
+
+
+def drop_axes(data: Column, n: int = 1) -> Column:
+    """Undo ``add_axes``: the first entry of each of ``n`` axes."""
+    return data if n == 0 else drop_axes(data[0], n - 1)

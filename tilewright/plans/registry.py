@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import draws, pixels
-from tilewright.operators import algebra, algebra_rasters, augment, augment_rasters, batches, jobs, layouts, metrics, pairing, runs, score, tiles
+from tilewright.operators import algebra, algebra_rasters, augment, augment_rasters, batches, jobs, layouts, metrics, pairing, runs, score, symmetry, tiles
 from tilewright.plans import fixtures as fx
 from tilewright.plans.fixtures import K3, K4, SHAPE, draw_sql
 from tilewright.sources import filesink, headers, images, masks, runlog, shared
@@ -38,11 +38,11 @@ def add(name: str, columns: str, make: Query, sql: str | None = None) -> None:
 # Sources and sinks -----------------------------------------------------------------------------------------------
 
 
-def _png_dir(spark: SparkSession, d: str) -> str:
-    """The colour patches as image files ``{id}_sat.png``, and their masks ``{id}_mask.png``."""
+def _png_dir(spark: SparkSession, d: str, end: str = "_sat.png") -> str:
+    """The colour patches as image files ``{id}_sat.png``, or as masks in colour."""
     path = shared.scratch(spark, "png")
     rows = layouts.rasters_of(fx.patch3(spark, d).withColumn("v", col("b")).groupBy("image_id", "r", "c").agg(F.sort_array(F.collect_list(F.struct("ch", "v"))).alias("v")), ["image_id"]).select("image_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.flatten(F.transform("data", lambda p: F.transform(p, lambda x: x["v"]))).alias("data"))
-    masks.write_files(rows.select(F.concat(col("image_id").cast("string"), F.lit("_sat.png")).alias("name"), "height", "width", F.lit(3).alias("channels"), "data"), path)
+    masks.write_files(rows.select(F.concat(col("image_id").cast("string"), F.lit(end)).alias("name"), "height", "width", F.lit(3).alias("channels"), "data"), path)
     return path
 
 
@@ -63,7 +63,7 @@ def _grey_masks(spark: SparkSession, d: str) -> DataFrame:
     return images.scan_masks(spark, path)
 
 
-add("s3_scan_masks_luma", "image_id:s total:l placed:l", lambda s, d: _image_sums(images.scan_masks(s, _png_dir(s, d), "*_sat.*").withColumn("image_id", F.lit("all"))).groupBy("image_id").agg(F.sum("total").alias("total"), F.sum("placed").alias("placed")), "SELECT 'all' AS image_id, sum(y) AS total, sum(y * (r * 8 + c + 1)) AS placed FROM (SELECT r, c, CAST(floor(0.114::DOUBLE * pb + 0.587::DOUBLE * pg + 0.299::DOUBLE * pr + 0.5) AS BIGINT) AS y FROM planes)")
+add("s3_scan_masks_luma", "image_id:s total:l placed:l", lambda s, d: _image_sums(images.scan_masks(s, _png_dir(s, d, "_mask.png"))), "SELECT CAST(image_id AS VARCHAR) AS image_id, sum(y) AS total, sum(y * (r * 8 + c + 1)) AS placed FROM (SELECT image_id, r, c, CAST(floor(0.114::DOUBLE * pb + 0.587::DOUBLE * pg + 0.299::DOUBLE * pr + 0.5) AS BIGINT) AS y FROM planes) GROUP BY image_id")
 add("s4_write_masks", "image_id:s ch:l total:l placed:l n:l", lambda s, d: _image_sums(_grey_masks(s, d)), _SUMS.format("(SELECT image_id, 0 AS ch, r, c, CASE WHEN b >= 128 THEN 255 ELSE 0 END AS b FROM u8)"))
 
 
@@ -162,7 +162,14 @@ add("p6_binarise_pred", "image_id:l r:l c:l p:l", lambda s, d: fx.pairs(s, d).wi
 add("p7_tta_threshold", "image_id:l r:l c:l m:l", lambda s, d: score.tta_score(fx.u8(s, d), score.logistic(), SHAPE).withColumn("m", pixels.tta_threshold(col("q"))), "SELECT image_id, r, c, CASE WHEN q > 4 THEN 255 ELSE 0 END AS m FROM merged")
 add("p8_gray_to_bgr", "image_id:l p:l b:l", lambda s, d: layouts.rasters_of(fx.u8(s, d), ["image_id"], "b").select("image_id", F.posexplode(layouts.gray_to_bgr(col("data"))).alias("p", "b")), "SELECT image_id, (r * 8 + c) * 3 + k AS p, b FROM u8, range(3) t(k)")
 add("p9_casts", "image_id:l r:l c:l f:d byte:l", lambda s, d: fx.raster8(s, d).select("image_id", "r", "c", (col("v") * 127.5).cast("float").alias("f"), F.floor((col("v") + 1) * 127.5).cast("int").alias("byte")), "SELECT image_id, r, c, CAST(v * 127.5 AS FLOAT) AS f, CAST(floor((v + 1) * 127.5) AS BIGINT) AS byte FROM r8")
-add("p10_unit_axes", "image_id:l n:l height:l width:l channels:l", lambda s, d: layouts.rasters_of(fx.u8(s, d), ["image_id"], "b").select("image_id", F.lit(1).alias("n"), "height", "width", F.lit(1).alias("channels")), "SELECT image_id, 1 AS n, max(r) + 1 AS height, max(c) + 1 AS width, 1 AS channels FROM u8 GROUP BY image_id")
+def _unit_axes(spark: SparkSession, d: str) -> DataFrame:
+    """Two axes of length one added, measured, and dropped again."""
+    rows = layouts.rasters_of(fx.u8(spark, d), ["image_id"], "b").withColumn("x", layouts.add_axes(col("data"), 2))
+    sizes = [F.size("x").alias("n"), F.size(col("x")[0]).alias("channels"), F.size(col("x")[0][0]).alias("length")]
+    return rows.select("image_id", *sizes, F.posexplode(layouts.drop_axes(col("x"), 2)).alias("p", "b"))
+
+
+add("p10_unit_axes", "image_id:l n:l channels:l length:l p:l b:l", _unit_axes, "SELECT image_id, 1 AS n, 1 AS channels, 64 AS length, r * 8 + c AS p, b FROM u8")
 add("p11_invert_mask", "image_id:l r:l c:l t:l", lambda s, d: fx.u8(s, d).withColumn("t", pixels.binarise_mask(col("b"), invert=True)), "SELECT image_id, r, c, CASE WHEN b >= 128 THEN 0 ELSE 1 END AS t FROM u8")
 add("p12_score_keeps_id", "image_id:l r:l c:l p:l", lambda s, d: score.score(fx.u8(s, d), score.logistic()).withColumn("p", pixels.binarise_pred(col("q"))), "SELECT image_id, r, c, CASE WHEN q > 0.5 THEN 1 ELSE 0 END AS p FROM scored1")
 
@@ -234,7 +241,14 @@ add("o3_best_epochs", "run:l rank:l epoch:l loss:d", lambda s, d: runs.best_epoc
 
 # Set operations --------------------------------------------------------------------------------------------------
 
-add("u1_stack_views", "image_id:l view:l r:l c:l b:l", lambda s, d: score.tta_views(fx.u8(s, d), SHAPE), "SELECT image_id, view, r, c, b FROM viewed")
+def _stacked(spark: SparkSession, d: str) -> DataFrame:
+    """Each image's eight views as arrays in one row, each one permutation of the image's array."""
+    rows = layouts.rasters_of(fx.u8(spark, d), ["image_id"], "b")
+    each = rows.select("image_id", F.posexplode(symmetry.stack_views(col("data"), col("height"), col("width"))).alias("view", "v"))
+    return layouts.pixels_of(each, 8, "v", "b")
+
+
+add("u1_stack_views", "image_id:l view:l r:l c:l b:l", _stacked, "SELECT image_id, view, r, c, b FROM viewed")
 add("u2_stack_planes", "image_id:l ch:l r:l c:l b:l", lambda s, d: layouts.gray_planes(fx.u8(s, d)), "SELECT image_id, ch, r, c, b FROM u8, range(3) t(ch)")
 
 
@@ -413,6 +427,41 @@ add("m5_standardise_frozen", "image_id:l ch:l r:l c:l b:d", _frozen, "SELECT ima
 add("m6_raster_add", "image_id:l r:l c:l v:d", lambda s, d: algebra.raster_add(fx.raster8(s, d).drop("label"), fx.raster8(s, d).select((col("image_id") - 1).alias("image_id"), "r", "c", "v")), "SELECT a.image_id, a.r, a.c, a.v + b.v AS v FROM r8 a JOIN r8 b ON a.image_id = b.image_id - 1 AND a.r = b.r AND a.c = b.c")
 add("m7_band_math", "image_id:l ch:l r:l c:l v:d", lambda s, d: algebra.band_math(fx.patch3(s, d), [[0.114, 0.587, 0.299], [1, -1, 0]]), "SELECT image_id, o AS ch, r, c, sum(b * CASE WHEN o = 0 THEN CASE ch WHEN 0 THEN 0.114 WHEN 1 THEN 0.587 ELSE 0.299 END ELSE CASE ch WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END END::DOUBLE) AS v FROM patch3, range(2) t(o) GROUP BY ALL")
 
+def _bands3(spark: SparkSession, d: str) -> DataFrame:
+    return algebra_rasters.bands_first(fx.rasters3(spark, d))
+
+
+def _band_pixels(rows: DataFrame, value: str) -> DataFrame:
+    """Raster rows of 8x8 images as image_id, ch, r, c and the value."""
+    cells = score.numbers_of(rows, "v", "float64").select("image_id", F.posexplode("v").alias("p", value))
+    return cells.select("image_id", F.floor(col("p") / 64).alias("ch"), F.floor(col("p") % 64 / 8).alias("r"), (col("p") % 8).alias("c"), value)
+
+
+def _next(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("image_id", col("image_id") - 1)
+
+
+add("m5_standardise_raster_rows", "image_id:l ch:l r:l c:l b:d", lambda s, d: _band_pixels(algebra_rasters.standardise(_bands3(s, d)), "b"))
+add("m6_raster_add_raster_rows", "image_id:l r:l c:l v:d", lambda s, d: _band_pixels(algebra_rasters.raster_add(_rows8(s, d), _next(_rows8(s, d))), "v"))
+add("m7_band_math_raster_rows", "image_id:l ch:l r:l c:l v:d", lambda s, d: _band_pixels(algebra_rasters.band_math(_bands3(s, d), [[0.114, 0.587, 0.299], [1, -1, 0]]), "v"))
+add("u4_concat_channels_raster_rows", "image_id:l ch:l r:l c:l b:l", lambda s, d: _band_pixels(algebra_rasters.concat_channels(_bands3(s, d), algebra_rasters.map_rasters(_bands3(s, d), lambda x: 255 - x)), "b"))
+add("p11_invert_mask_raster_rows", "image_id:l r:l c:l t:l", lambda s, d: _band_pixels(algebra_rasters.binarise_masks(algebra_rasters.bands_first(fx.grey1(s, d).select("image_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), col("mask").alias("data"))), invert=True), "t"))
+for _name in ("m5_standardise", "m6_raster_add", "m7_band_math", "u4_concat_channels", "p11_invert_mask"):
+    SQL[f"{_name}_raster_rows"] = SQL[_name]
+
+_CHAIN = ("hflip", "rot90", "vflip", "rot90", "hflip", "rot90")
+
+
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    return symmetry.apply(fx.u8(spark, d), symmetry.chain(*_CHAIN), SHAPE)
+
+
+_CHAIN_SQL = "SELECT image_id, r, c, b FROM u8"
+for _step in _CHAIN:
+    _CHAIN_SQL = {"hflip": f"SELECT image_id, r, 7 - c AS c, b FROM ({_CHAIN_SQL})", "vflip": f"SELECT image_id, 7 - r AS r, c, b FROM ({_CHAIN_SQL})", "rot90": f"SELECT image_id, 7 - c AS r, r AS c, b FROM ({_CHAIN_SQL})"}[_step]
+add("g5_folded_chain", "image_id:l r:l c:l b:l", _folded, _CHAIN_SQL)
+add("g5_gated_turns_folded", "image_id:l r:l c:l b:l", lambda s, d: symmetry.random_turns(fx.u8(s, d), SHAPE), fx.turn_sql("u8", "b"))
+
 # Streaming and plug-ins ------------------------------------------------------------------------------------------
 
 
