@@ -15,7 +15,7 @@ from tilewright.functions import draws, pixels
 from tilewright.operators import algebra, algebra_rasters, augment, augment_rasters, batches, jobs, layouts, metrics, pairing, runs, score, symmetry, tiles
 from tilewright.plans import fixtures as fx
 from tilewright.plans.fixtures import K3, K4, SHAPE, draw_sql
-from tilewright.sources import filesink, headers, images, masks, runlog, shared
+from tilewright.sources import filesink, headers, images, logtail, masks, runlog, shared
 from tilewright.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -480,6 +480,65 @@ def _monitor(spark: SparkSession, d: str) -> DataFrame:
 add("x1_stream_monitor", "run:l epoch:l best:d improved:l no_optim:l cuts:l", _monitor, "SELECT e.user_id AS run, e.event_id AS epoch, best, improved, no_optim, cuts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS epoch FROM events) e JOIN rates s ON e.user_id = s.run AND e.epoch = s.epoch")
 
 
+def _streaming(make: Callable[[SparkSession], DataFrame]) -> Callable[[SparkSession], DataFrame]:
+    """``make`` with the state store that the monitor needs."""
+
+    def run(spark: SparkSession) -> DataFrame:
+        key, was = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.set(key, monitor.STATE_STORE)
+        try:
+            return make(spark)
+        finally:
+            spark.conf.set(key, was)
+
+    return run
+
+
+def _tailed(spark: SparkSession, d: str) -> DataFrame:
+    """Text logs read as they grow: the first epochs of every run, then all of them, each once."""
+    path, to = shared.scratch(spark, "growing"), shared.scratch(spark, "tailed")
+    r = fx.runs(spark, d)
+    for part in (r.where("epoch <= 30"), r):
+        runlog.write_text_log(part, path, events=False)  # as one file of each run, by one name: what is written again is longer
+        logs = logtail.tail_run_logs(spark, f"{path}-named")
+        _by_run(spark, path, f"{path}-named")
+        out = monitor.run_available(logs, to)
+    return out.withColumn("run", F.regexp_extract("file", r"run-(\d+)", 1).cast("long"))
+
+
+def _by_run(spark: SparkSession, src: str, to: str) -> None:
+    text = spark.read.text(src, wholetext=True).select(F.format_string("run-%d.log", col("run").cast("long")).alias("name"), F.encode("value", "UTF-8").alias("content"))
+    filesink.write_set(text, to, "append")
+
+
+add("s8_tail_run_log", "run:l epoch:l elapsed_s:l loss:d height:l width:l", _tailed)
+SQL["s8_tail_run_log"] = SQL["s8_read_run_log"]
+
+
+def _resumed(spark: SparkSession, d: str) -> DataFrame:
+    """The monitor over two batches, its state carried from one to the other."""
+    src, to = shared.scratch(spark, "epochs"), shared.scratch(spark, "resumed")
+    r = fx.runs(spark, d).select("run", "epoch", "loss")
+    for part in (r.where("epoch <= 30"), r.where("epoch > 30")):
+        part.write.mode("append").parquet(src)
+        out = _streaming(lambda s: monitor.run_available(monitor.monitor(s.readStream.schema(r.schema).parquet(src)), to))(spark)
+    return out
+
+
+def _warm(spark: SparkSession, d: str) -> DataFrame:
+    """The monitor from a saved table of the batch form's states, over what comes after."""
+    src, saved = shared.scratch(spark, "epochs"), shared.scratch(spark, "states")
+    r = fx.runs(spark, d).select("run", "epoch", "loss")
+    monitor.state_of(r.where("epoch <= 20")).write.parquet(saved)
+    r.where("epoch > 20").write.parquet(src)
+    return _streaming(lambda s: monitor.run_available(monitor.monitor(s.readStream.schema(r.schema).parquet(src), known=s.read.parquet(saved)), shared.scratch(s, "warm")))(spark)
+
+
+_RATES = "run:l epoch:l best:d improved:l no_optim:l cuts:l"
+add("x1_resumed", _RATES, _resumed, "SELECT run, epoch, best, improved, no_optim, cuts FROM rates")
+add("x1_warm_start", _RATES, _warm, "SELECT run, epoch, best, improved, no_optim, cuts FROM rates WHERE epoch > 20")
+
+
 def _arriving(spark: SparkSession, d: str) -> DataFrame:
     return _scores(monitor.run_available(monitor.score_stream(spark, _png_dir(spark, d), **_BANDS), shared.scratch(spark, "arrived")))
 

@@ -6,12 +6,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tilewright.operators.runs import lr_schedule
 from tilewright.operators.score import PredictorFactory, score_rasters
 from tilewright.sources.images import scan_images
 
 OUT = "run long, epoch long, loss double, best double, improved int, no_optim long, cuts long, lr double, late int"
+#: A run's state: what the next epoch needs.
+STATE = "best double, no_optim long, cuts long, last long"
 
 
 class PlateauMonitor(StatefulProcessor):
@@ -19,19 +23,45 @@ class PlateauMonitor(StatefulProcessor):
     their epochs. An epoch that comes after a later one was taken (or again) is late: it is returned with ``late`` = 1 and
     the state as it is, which it doesn't change; on-time rows equal the batch form over them.
 
+    A run may begin with a state of the batch form (``state_of``). With ``silence_ms`` rows have a time ``at``, and a run that
+    is silent for so long after its last time, by the watermark, is closed: one row with ``closed`` = 1, its last epoch and
+    state and no loss; its state goes, so should it report again, it begins anew.
+
     A run's rows of one micro-batch are sorted in memory: bound micro-batches by ``maxFilesPerTrigger``.
     """
 
-    def __init__(self, init: float = 100.0, lr0: float = 2e-4, factor: float = 5.0, patience: int = 3):
-        self.start, self.lr0, self.factor, self.patience = init, lr0, factor, patience
+    def __init__(self, init: float = 100.0, lr0: float = 2e-4, factor: float = 5.0, patience: int = 3, silence_ms: int | None = None):
+        self.start, self.lr0, self.factor, self.patience, self.silence_ms = init, lr0, factor, patience, silence_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "best double, no_optim long, cuts long, last long")
+        self.handle, self.state = handle, handle.getValueState("state", STATE)
+        if self.silence_ms is not None:
+            self.due = handle.getValueState("due", "at long")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        best, idle, cuts, last = initialState[["best", "no_optim", "cuts", "last"]].iloc[0]
+        self.state.update((float(best), int(idle), int(cuts), int(last)))
+        if self.silence_ms is not None and "at" in initialState and pd.notna(initialState["at"].iloc[0]):
+            self._wait(initialState["at"].iloc[0])
+
+    def _wait(self, at: pd.Timestamp) -> None:
+        """Close the run at this time and the silence, if that is later than what was set before."""
+        due = int(at.timestamp() * 1000) + self.silence_ms
+        if self.due.exists():
+            if (was := self.due.get()[0]) >= due:
+                return
+            self.handle.deleteTimer(was)
+        self.handle.registerTimer(due)
+        self.due.update((due,))
+
+    def _out(self, rows: list[tuple], closed: int) -> pd.DataFrame:
+        names = [c.split()[0] for c in OUT.split(", ")]
+        return pd.DataFrame(rows, columns=names) if self.silence_ms is None else pd.DataFrame(rows, columns=names).assign(closed=closed)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best, idle, cuts, last = self.state.get() if self.state.exists() else (self.start, 0, 0, -(1 << 63))
-        out = []
-        for epoch, loss in pd.concat(list(rows)).sort_values("epoch")[["epoch", "loss"]].itertuples(index=False):
+        out, frame = [], pd.concat(list(rows)).sort_values("epoch")
+        for epoch, loss in frame[["epoch", "loss"]].itertuples(index=False):
             if late := epoch <= last:
                 out.append((key[0], epoch, loss, best, 0, idle, cuts, self.lr0 / self.factor**cuts, int(late)))
                 continue
@@ -40,15 +70,42 @@ class PlateauMonitor(StatefulProcessor):
             cuts += idle > self.patience
             out.append((key[0], epoch, loss, before, int(better), idle, cuts, self.lr0 / self.factor**cuts, 0))
         self.state.update((float(best), int(idle), int(cuts), int(last)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        if self.silence_ms is not None and frame["at"].notna().any():
+            self._wait(frame["at"].max())
+        yield self._out(out, 0)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
+        best, idle, cuts, last = self.state.get()
+        self.state.clear()
+        self.due.clear()
+        yield self._out([(key[0], last, None, best, 0, idle, cuts, self.lr0 / self.factor**cuts, 0)], 1)
 
     def close(self) -> None:
         pass
 
 
-def monitor(runs: DataFrame, **how) -> DataFrame:
-    """A stream of (run, epoch, loss) to the batch form's columns, row by row."""
-    return runs.groupBy("run").transformWithStateInPandas(PlateauMonitor(**how), outputStructType=OUT, outputMode="Append", timeMode="None")
+def state_of(runs: DataFrame, **how) -> DataFrame:
+    """run, best, no_optim, cuts, last: the state that a stream over the batch form's rows (run, epoch, loss) would have."""
+    r = lr_schedule(runs, **how)
+    after = F.when(F.col("improved") == 1, F.col("loss")).otherwise(F.col("best"))
+    held = F.max_by(F.struct(after.cast("double").alias("best"), F.col("no_optim").cast("long").alias("no_optim"), F.col("cuts").cast("long").alias("cuts"), F.col("epoch").cast("long").alias("last")), "epoch")
+    return r.groupBy("run").agg(held.alias("s")).select("run", "s.*")
+
+
+def monitor(runs: DataFrame, known: DataFrame | None = None, **how) -> DataFrame:
+    """A stream of (run, epoch, loss) to the batch form's columns, row by row; ``known``: states to begin with
+    (``state_of``)."""
+    begin = known.groupBy("run") if known is not None else None
+    return runs.groupBy("run").transformWithStateInPandas(PlateauMonitor(**how), outputStructType=OUT, outputMode="Append", timeMode="None", initialState=begin)
+
+
+def monitor_until_silent(runs: DataFrame, silence_ms: int, delay: str = "0 seconds", known: DataFrame | None = None, **how) -> DataFrame:
+    """``monitor`` of (run, epoch, loss, at) that closes runs which are silent for ``silence_ms``, with ``closed``."""
+    begin = known.groupBy("run") if known is not None else None
+    timed = runs.withWatermark("at", delay).groupBy("run")
+    return timed.transformWithStateInPandas(PlateauMonitor(silence_ms=silence_ms, **how), outputStructType=f"{OUT}, closed int", outputMode="Append", timeMode="EventTime", initialState=begin)
 
 
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
