@@ -90,3 +90,25 @@ def test_axes(spark):
     x = layouts.add_axes(F.col("d"), 3)
     assert [r[0] for r in df.select(layouts.drop_axes(x, 3)).collect()] == [[1, 2], None, []]
     assert df.select(x.alias("x")).first()["x"] == [[[[1, 2]]]]
+
+
+def test_plugin_losses_as_mergeable_states(spark):
+    from tilewright.operators import metrics
+
+    rng = np.random.default_rng(9)
+    data = [(i % 3 if i % 7 else None, rng.integers(0, 2, 6).astype(np.uint8), rng.random(6)) for i in range(200)]
+    rows = spark.createDataFrame([(g, bytearray(t.tobytes()), bytearray(q.tobytes()), "x") for g, t, q in data] + [(5, None, bytearray(8), ""), (1, bytearray(b"\1"), None, "")], "g int, t binary, q binary, _state string").repartition(7)
+    add = lambda s, t, q: np.array([s[0] + len(t), s[1] + abs(t - q).sum(), max(s[2], abs(t - q).max())])
+    merge = lambda a, b: np.array([a[0] + b[0], a[1] + b[1], max(a[2], b[2])])
+    finish = {"mean": lambda s: s[1] / s[0] if s[0] else float("nan"), "most": lambda s: s[2], "n": lambda s: s[0]}
+    got = {r["g"]: r for r in metrics.raster_aggregate(rows, lambda: np.zeros(3), add, merge, finish, ["g"], "float64", fan=2).collect()}
+    assert set(got) == {0, 1, 2, None, 5} and got[5]["n"] == 0
+    for g in (0, 1, 2, None):
+        d = np.concatenate([abs(t - q) for k, t, q in data if k == g])
+        assert got[g]["n"] == len(d) and np.isclose(got[g]["mean"], d.mean()) and got[g]["most"] == d.max()
+    whole = metrics.raster_aggregate(rows, lambda: np.zeros(3), add, merge, finish, [], "float64").collect()
+    assert len(whole) == 1 and whole[0]["n"] == 1200
+    with pytest.raises(Exception, match="payloads of 1 and 2 values"):
+        metrics.raster_aggregate(spark.createDataFrame([(1, bytearray(1), bytearray(16))], "g int, t binary, q binary"), lambda: np.zeros(3), add, merge, finish, ["g"], "float64").collect()
+    sums = metrics.raster_sums(spark.createDataFrame([(1, None, bytearray(8)), (2, bytearray(1), bytearray(np.full(1, 0.25).tobytes()))], "g int, t binary, q binary"), ["g"], "float64").collect()
+    assert [(r["g"], r["n"]) for r in sorted(sums)] == [(1, 0), (2, 1)]

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import draws, pixels
-from tilewright.operators import algebra, algebra_rasters, augment, augment_rasters, batches, jobs, layouts, metrics, pairing, runs, score, symmetry, tiles
+from tilewright.operators import algebra, algebra_rasters, augment, augment_rasters, batches, jobs, layouts, metrics, pairing, regions, runs, score, symmetry, tiles
 from tilewright.plans import fixtures as fx
 from tilewright.plans.fixtures import K3, K4, SHAPE, draw_sql
-from tilewright.sources import filesink, headers, images, logtail, masks, runlog, shared
+from tilewright.sources import bucketed, filesink, headers, images, logtail, masks, runlog, shared
 from tilewright.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +184,20 @@ def _named(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 _ID = "regexp_extract(path, '([0-9]+)_', 1)"
 add("j1_pair", "image_id:s image:s mask:s", lambda s, d: pairing.pair(*_named(s, d)), f"SELECT a.image_id, image, mask FROM (SELECT {_ID} AS image_id, path AS image FROM images) a JOIN (SELECT {_ID} AS image_id, path AS mask FROM masks) b USING (image_id)")
+
+
+def _bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of two tables that are bucketed by id: no shuffle."""
+    names = []
+    for df in _named(spark, d):
+        path = shared.scratch(spark, "bucketed")
+        names.append("tw_" + path.rsplit("-", 1)[1])
+        bucketed.save(df, names[-1], 8, path=path)
+    return pairing.pair(*[bucketed.load(spark, n) for n in names])
+
+
+add("j1_pair_bucketed", "image_id:s image:s mask:s", _bucketed)
+SQL["j1_pair_bucketed"] = SQL["j1_pair"]
 add("j2_raster_audit", "image_id:s problem:s", lambda s, d: pairing.raster_audit(*_named(s, d)), f"SELECT {_ID} AS image_id, 'no mask' AS problem FROM images WHERE {_ID} NOT IN (SELECT {_ID} FROM masks)")
 add("j3_align", "image_id:l r:l c:l q:d t:l", lambda s, d: metrics.align(score.score(fx.u8(s, d), score.logistic()), fx.truth(s, d)), "SELECT image_id, r, c, q, t FROM scored1 JOIN truth USING (image_id, r, c)")
 _ORDER = "SELECT image_id, row_number() OVER (ORDER BY md5(concat_ws('|', '42', '{e}', CAST(image_id AS VARCHAR), 'order')), image_id) - 1 AS pos FROM (SELECT vec_id AS image_id FROM embeddings)"
@@ -555,6 +570,34 @@ SQL["x2_stream_masks"] = SQL["t7_predict_job"]
 add("x2_stream_scores", "image_id:s r:l c:l q:d", _arriving, "SELECT * FROM merged3")
 add("x3_plugin_model", "image_id:l r:l c:l q:d", lambda s, d: score.score(fx.u8(s, d), lambda x, r, c: pixels.sigmoid(x * 2 - r + c)), "SELECT image_id, r, c, 1 / (1 + exp(-((b / 255.0::DOUBLE * 3.2 - 1.6) * 2 - r + c))) AS q FROM u8")
 add("x4_plugin_loss", "label:l mse:d", lambda s, d: metrics.evaluate(fx.pairs(s, d), {"mse": lambda t, q: F.avg((t - q) * (t - q))}, ["label"]), "SELECT label, avg((t - q) * (t - q)) AS mse FROM pairs GROUP BY 1")
+
+
+def _plugin_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The plug-in loss as a mergeable state over raster rows: count and sum of squares."""
+    cells = F.sort_array(F.collect_list(F.struct("r", "c", "t", "q")))
+    rows = fx.pairs(spark, d).groupBy("image_id", "label").agg(F.transform(cells, lambda x: x["q"]).alias("v"), F.unhex(F.array_join(F.transform(cells, lambda x: F.lpad(F.hex(x["t"]), 2, "0")), "")).alias("t"))
+    rows = algebra_rasters.bytes_of(rows).withColumnRenamed("v", "q")
+    add_one = lambda s, t, q: s + [len(t), ((t - q) ** 2).sum()]
+    return metrics.raster_aggregate(rows, lambda: np.zeros(2), add_one, lambda a, b: a + b, {"mse": lambda s: s[1] / s[0]}, ["label"], "float64")
+
+
+add("x4_plugin_loss_raster_rows", "label:l mse:d", _plugin_rows)
+SQL["x4_plugin_loss_raster_rows"] = SQL["x4_plugin_loss"]
+
+
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    """Connected regions of the binary masks, by a table function in SQL."""
+    rows = algebra_rasters.bands_first(fx.grey1(spark, d).select("image_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), col("mask").alias("data")), dtype="uint8")
+    return regions.regions(algebra_rasters.binarise_masks(rows, 128, dtype="uint8").withColumnRenamed("v", "data"))
+
+
+_REACH = """SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY first) AS region, count(*) AS area, min(p // 8) AS top, min(p % 8) AS "left", max(p // 8) AS bottom, max(p % 8) AS "right"
+FROM (SELECT image_id, p, min(a) AS first FROM (WITH RECURSIVE px AS (SELECT image_id, r * 8 + c AS p FROM u8 WHERE b >= 128),
+side AS (SELECT x.image_id, x.p, y.p AS n FROM px x JOIN px y ON x.image_id = y.image_id AND abs(x.p // 8 - y.p // 8) + abs(x.p % 8 - y.p % 8) = 1),
+reach AS (SELECT image_id, p AS a, p FROM px UNION SELECT reach.image_id, a, n FROM reach JOIN side ON reach.image_id = side.image_id AND reach.p = side.p)
+SELECT * FROM reach) AS reached GROUP BY 1, 2) AS named GROUP BY image_id, first"""
+add("x3_region_rows", "image_id:l region:l area:l top:l left:l bottom:l right:l", _regions)
+SQL["x3_region_rows"] = f"""WITH r8 AS ({fx.CTE["r8"]}), u8 AS ({fx.CTE["u8"]}) SELECT CAST(image_id AS BIGINT) AS image_id, CAST(region AS BIGINT) AS region, CAST(area AS BIGINT) AS area, CAST(top AS BIGINT) AS top, CAST("left" AS BIGINT) AS "left", CAST(bottom AS BIGINT) AS bottom, CAST("right" AS BIGINT) AS "right" FROM ({_REACH}) AS result"""
 add("x5_plugin_loader", "image_id:l r:l c:l x:d", lambda s, d: fx.u8(s, d).transform(lambda df: augment.random_hflip(df, SHAPE, u=1.0)).withColumn("x", pixels.normalise(col("b"))), "SELECT image_id, r, 7 - c AS c, b / 255.0::DOUBLE * 3.2 - 1.6 AS x FROM u8")
 
 

@@ -1,8 +1,8 @@
 """Run logs as they grow: a streaming source that remembers how far it has read each file.
 
 The offset is, for each file below a folder, the number of bytes up to the end of its last whole epoch (its ``SHAPE`` line),
-so an epoch that is still being written waits for the next batch and none comes twice. A batch's files are partitions of
-their own; each reads its new bytes only. A restart goes on from the checkpoint's offsets.
+so an epoch that is still being written waits for the next batch and none comes twice. A batch's files are dealt out to
+tasks, which read their new bytes only. A restart goes on from the checkpoint's offsets.
 
 Defined cases: what isn't an epoch (other lines, rate changes, the end mark) is passed over; a file that appears later is
 read from its beginning; one that is shorter than what was read, or is gone, gives nothing more until it is longer; an empty
@@ -27,11 +27,13 @@ SCHEMA = "file string, epoch int, elapsed_s int, loss double, height int, width
 EPOCH = re.compile(rb"\*{8}\r?\nepoch: (\d+) +time: (\d+)\r?\ntrain_loss: ([0-9.eE+-]+)\r?\nSHAPE: \((\d+), (\d+)\)")
 #: Bytes at a file's end that are searched first for its last whole epoch.
 TAIL = 1 << 16
+#: Files of a partition.
+FILES = 64
 
 
 class _Part(InputPartition):
-    def __init__(self, file: str, begin: int, end: int):
-        self.file, self.begin, self.end = file, begin, end
+    def __init__(self, files: list[tuple[str, int, int]]):
+        self.files = files
 
 
 class _Reader(DataSourceStreamReader):
@@ -63,16 +65,18 @@ class _Reader(DataSourceStreamReader):
         return {p: n for p in sorted(files) if (n := self._whole(fs, p, files[p]))}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Part(p, start.get(p, 0), n) for p, n in end.items() if n > start.get(p, 0)]
+        grown = [(p, start.get(p, 0), n) for p, n in end.items() if n > start.get(p, 0)]
+        return [_Part(grown[i : i + FILES]) for i in range(0, len(grown), FILES)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         fs, _ = open_fs(self.root)
-        with fs.open_input_file(partition.file) as f:
-            f.seek(partition.begin)
-            text = f.read(partition.end - partition.begin)
-        for m in EPOCH.finditer(text):
-            epoch, elapsed, loss, height, width = m.groups()
-            yield partition.file, int(epoch), int(elapsed), float(loss), int(height), int(width)
+        for file, begin, end in partition.files:
+            with fs.open_input_file(file) as f:
+                f.seek(begin)
+                text = f.read(end - begin)
+            for m in EPOCH.finditer(text):
+                epoch, elapsed, loss, height, width = m.groups()
+                yield file, int(epoch), int(elapsed), float(loss), int(height), int(width)
 
 
 class RunLogTail(DataSource):
