@@ -87,3 +87,25 @@ def test_silent_runs_are_closed(spark):
     again = out.where("run = 1 and closed = 0 and loss = 0.5 and epoch = 1").orderBy("best").collect()
     assert again[-1]["best"] == 100.0  # it begins anew
     assert out.where("closed = 0").count() == 73
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 1000])
+def test_blocked_schedule_equals_the_windows(spark, block):
+    df = frame(spark, (1, losses(150)), (2, losses(40, 0.2)), (3, [200.0] * 25), (4, [5.0, None, 4.0, None, None, 9.0, 9.0, 9.0, 3.0]), (5, [0.5])).withColumn("best", F.lit("clash")).drop("best")
+    want = runs.lr_schedule(df)
+    got = runs.lr_schedule_blocked(df, block=block)
+    assert set(got.columns) == set(want.columns)
+    key = lambda x: sorted(tuple(str(v) for v in r) for r in x.select(*want.columns).collect())
+    assert key(got) == key(want)
+    assert runs.lr_schedule_blocked(df.where("false"), block=block).count() == 0
+
+
+def test_ranges_follow_the_ids(spark, monkeypatch):
+    from tilewright.operators import batches
+
+    ids = spark.range(1000).withColumnRenamed("id", "image_id")
+    want = {r["image_id"]: r["pos"] for r in batches.make_batches(ids, 8, ranges=64).collect()}
+    assert sorted(want.values()) == list(range(1000))
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(batches, "RANGE_ROWS", most)
+        assert {r["image_id"]: r["pos"] for r in batches.make_batches(ids, 8).collect()} == want

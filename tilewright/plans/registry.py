@@ -245,6 +245,9 @@ add("w3_improved", "run:l epoch:l improved:l", lambda s, d: runs.running_best(fx
 add("w4_plateau", "run:l epoch:l no_optim:l", lambda s, d: runs.plateau(fx.runs(s, d)), "SELECT run, epoch, no_optim FROM plateau")
 add("w5_lr_schedule", "run:l epoch:l cuts:l scaled:d", lambda s, d: runs.lr_schedule(fx.runs(s, d), patience=3).withColumn("scaled", F.log10("lr")), "SELECT run, epoch, cuts, log10(lr) AS scaled FROM schedule")
 add("w6_stop_epoch", "run:l stop_epoch:l reason:s", lambda s, d: runs.stop_epoch(fx.runs(s, d)), "SELECT * FROM stops")
+add("w5_lr_schedule_blocked", "run:l epoch:l cuts:l scaled:d", lambda s, d: runs.lr_schedule_blocked(fx.runs(s, d), block=16).withColumn("scaled", F.log10("lr")))
+add("w6_stop_epoch_blocked", "run:l stop_epoch:l reason:s", lambda s, d: runs.stop_epoch(fx.runs(s, d), block=16))
+SQL["w5_lr_schedule_blocked"], SQL["w6_stop_epoch_blocked"] = SQL["w5_lr_schedule"], SQL["w6_stop_epoch"]
 add("w7_epoch_seconds", "run:l epoch:l seconds:l", lambda s, d: runs.epoch_seconds(fx.runs(s, d)), "SELECT run, epoch, elapsed_s - lag(elapsed_s, 1, 0) OVER (PARTITION BY run ORDER BY epoch) AS seconds FROM runs")
 add("w8_active_checkpoint", "run:l epoch:l checkpoint:l", lambda s, d: runs.active_checkpoint(fx.runs(s, d)), "SELECT run, epoch, max(CASE WHEN improved = 1 THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS checkpoint FROM improved")
 add("w9_progress", "run:l epoch:l item:l elapsed_s:l", lambda s, d: runs.progress(fx.runs(s, d), "run", "epoch"), "SELECT run, epoch, epoch - 1 AS item, elapsed_s FROM runs WHERE (epoch - 1) % 10 = 0")
