@@ -112,3 +112,14 @@ def test_plugin_losses_as_mergeable_states(spark):
         metrics.raster_aggregate(spark.createDataFrame([(1, bytearray(1), bytearray(16))], "g int, t binary, q binary"), lambda: np.zeros(3), add, merge, finish, ["g"], "float64").collect()
     sums = metrics.raster_sums(spark.createDataFrame([(1, None, bytearray(8)), (2, bytearray(1), bytearray(np.full(1, 0.25).tobytes()))], "g int, t binary, q binary"), ["g"], "float64").collect()
     assert [(r["g"], r["n"]) for r in sorted(sums)] == [(1, 0), (2, 1)]
+
+
+def test_numbers_and_names(spark):
+    from tilewright.functions import pixels
+
+    df = spark.createDataFrame([(2.5, "ab"), (-2.5, "abcdefghij"), (-0.4, ""), (300.9, None), (None, "é" * 9), (float("nan"), "x"), (float("inf"), "x")], "x double, t string")
+    got = df.select(pixels.round_half_away(F.col("x")), pixels.as_byte(F.col("x")), pixels.without_end(F.col("t"), 8), pixels.as_float(F.col("x"))).collect()
+    assert [r[0] for r in got[:5]] == [3.0, -3.0, 0.0, 301.0, None]
+    assert [r[1] for r in got] == [2, 254, 0, 44, None, None, None]
+    assert [r[2] for r in got] == ["", "ab", "", None, "é", "", ""]
+    assert got[3][3] == float(np.float32(300.9))

@@ -102,3 +102,36 @@ def image_name(image_id: Column) -> Column:
 def mask_name(name: Column) -> Column:
     """``X_sat.jpg`` to ``X_mask.png``: the last seven characters are replaced."""
     return F.concat(F.substring(name, F.lit(1), F.length(name) - 7), F.lit("mask.png"))
+
+
+def as_float(x: Column) -> Column:
+    """A number in single precision."""
+    return x.cast("float")
+
+
+def as_byte(x: Column) -> Column:
+    """A number as an unsigned byte: cut towards zero, then modulo 256 (not saturating; see ``saturating_add``). Null, NaN and
+    infinite stay null."""
+    whole = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long")
+    return F.when(~F.isnan(x.cast("double")) & (F.abs(x) < F.lit(2.0**53)), F.pmod(whole, F.lit(256))).cast("int")
+
+
+def round_half_away(x: Column) -> Column:
+    """To the nearest whole number, halves away from zero."""
+    return F.signum(x) * F.floor(F.abs(x) + F.lit(0.5))
+
+
+def rotation(degrees: Column) -> tuple[Column, Column]:
+    """Cosine and sine of an angle in degrees."""
+    angle = F.radians(degrees)
+    return F.cos(angle), F.sin(angle)
+
+
+def without_end(text: Column, n: int) -> Column:
+    """A text without its last ``n`` characters; empty where it has no more."""
+    return F.substring(text, F.lit(1), F.greatest(F.lit(0), F.char_length(text) - n))
+
+
+def loss_line(loss: Column, epoch: Column) -> Column:
+    """A loss with six and with two places, and an epoch, as logs print them."""
+    return F.format_string("%f %.2f %d", loss, loss, epoch)

@@ -162,7 +162,7 @@ add("p5_binarise_mask", "image_id:l r:l c:l t:l", lambda s, d: fx.u8(s, d).withC
 add("p6_binarise_pred", "image_id:l r:l c:l p:l", lambda s, d: fx.pairs(s, d).withColumn("p", pixels.binarise_pred(col("q"))), "SELECT image_id, r, c, CASE WHEN q > 0.5 THEN 1 ELSE 0 END AS p FROM pairs")
 add("p7_tta_threshold", "image_id:l r:l c:l m:l", lambda s, d: score.tta_score(fx.u8(s, d), score.logistic(), SHAPE).withColumn("m", pixels.tta_threshold(col("q"))), "SELECT image_id, r, c, CASE WHEN q > 4 THEN 255 ELSE 0 END AS m FROM merged")
 add("p8_gray_to_bgr", "image_id:l p:l b:l", lambda s, d: layouts.rasters_of(fx.u8(s, d), ["image_id"], "b").select("image_id", F.posexplode(layouts.gray_to_bgr(col("data"))).alias("p", "b")), "SELECT image_id, (r * 8 + c) * 3 + k AS p, b FROM u8, range(3) t(k)")
-add("p9_casts", "image_id:l r:l c:l f:d byte:l", lambda s, d: fx.raster8(s, d).select("image_id", "r", "c", (col("v") * 127.5).cast("float").alias("f"), F.floor((col("v") + 1) * 127.5).cast("int").alias("byte")), "SELECT image_id, r, c, CAST(v * 127.5 AS FLOAT) AS f, CAST(floor((v + 1) * 127.5) AS BIGINT) AS byte FROM r8")
+add("p9_casts", "image_id:l r:l c:l f:d byte:l wrapped:l", lambda s, d: fx.raster8(s, d).select("image_id", "r", "c", pixels.as_float(col("v") * 127.5).alias("f"), pixels.as_byte((col("v") + 1) * 127.5).alias("byte"), pixels.as_byte(col("v") * 900).alias("wrapped")), "SELECT image_id, r, c, CAST(v * 127.5 AS FLOAT) AS f, CAST(floor((v + 1) * 127.5) AS BIGINT) AS byte, (CAST(trunc(v * 900) AS BIGINT) % 256 + 256) % 256 AS wrapped FROM r8")
 def _unit_axes(spark: SparkSession, d: str) -> DataFrame:
     """Two axes of length one added, measured, and dropped again."""
     rows = layouts.rasters_of(fx.u8(spark, d), ["image_id"], "b").withColumn("x", layouts.add_axes(col("data"), 2))
@@ -296,8 +296,8 @@ add("f4_saturating_add", "image_id:l r:l c:l x:l", lambda s, d: fx.u8(s, d).with
 add("f5_uniform", "image_id:l x:d", lambda s, d: _ids(s, d).withColumn("x", draws.uniform(col("image_id"), "sat", -5, 5)), f"SELECT vec_id AS image_id, -5 + {draw_sql('vec_id', 'sat')} * 10 AS x FROM embeddings")
 add("f6_integer", "image_id:l x:l", lambda s, d: _ids(s, d).withColumn("x", draws.integer(col("image_id"), "hue", -30, 30)), f"SELECT vec_id AS image_id, -30 + floor({draw_sql('vec_id', 'hue')} * 61) AS x FROM embeddings")
 add("f7_gate", "image_id:l x:l", lambda s, d: _ids(s, d).withColumn("x", draws.gate(col("image_id"), "hflip").cast("int")), f"SELECT vec_id AS image_id, CAST({draw_sql('vec_id', 'hflip')} < 0.5 AS INT) AS x FROM embeddings")
-add("f8_round", "image_id:l r:l c:l x:l", lambda s, d: fx.u8(s, d).withColumn("x", F.round((col("b") - 128) / 2.0)), "SELECT image_id, r, c, round((b - 128) / 2.0::DOUBLE) AS x FROM u8")
-add("f9_trigonometry", "image_id:l r:l c:l s:d k:d q:d", lambda s, d: fx.raster8(s, d).select("image_id", "r", "c", F.sin(F.radians(col("v") * 90)).alias("s"), F.cos(F.radians(col("v") * 90)).alias("k"), F.sqrt(F.abs("v")).alias("q")), "SELECT image_id, r, c, sin(radians(v * 90)) AS s, cos(radians(v * 90)) AS k, sqrt(abs(v)) AS q FROM r8")
+add("f8_round", "image_id:l r:l c:l x:l", lambda s, d: fx.u8(s, d).withColumn("x", pixels.round_half_away((col("b") - 128) / 2.0)), "SELECT image_id, r, c, round((b - 128) / 2.0::DOUBLE) AS x FROM u8")
+add("f9_trigonometry", "image_id:l r:l c:l s:d k:d q:d", lambda s, d: fx.raster8(s, d).select("image_id", "r", "c", pixels.rotation(col("v") * 90)[1].alias("s"), pixels.rotation(col("v") * 90)[0].alias("k"), F.sqrt(F.abs("v")).alias("q")), "SELECT image_id, r, c, sin(radians(v * 90)) AS s, cos(radians(v * 90)) AS k, sqrt(abs(v)) AS q FROM r8")
 
 
 def _affine(spark: SparkSession, d: str) -> DataFrame:
@@ -309,10 +309,10 @@ def _affine(spark: SparkSession, d: str) -> DataFrame:
 add("f10_affine", "image_id:l m_a:d m_b:d m_c:d m_d:d m_x:d m_y:d inv_a:d", _affine, f"WITH z AS (SELECT vec_id AS image_id, 0.9 + {draw_sql('vec_id', 'scale')} * (1.1::DOUBLE - 0.9::DOUBLE) AS k, sqrt(0.9 + {draw_sql('vec_id', 'aspect')} * (1.1::DOUBLE - 0.9::DOUBLE)) AS a, radians(-30 + {draw_sql('vec_id', 'angle')} * 60) AS g, round((-0.1 + {draw_sql('vec_id', 'dx')} * 0.2) * 8) AS m_x, round((-0.1 + {draw_sql('vec_id', 'dy')} * 0.2) * 8) AS m_y FROM embeddings), y AS (SELECT *, cos(g) * k * a AS m_a, -sin(g) * k / a AS m_b, sin(g) * k / a AS m_c FROM z) SELECT image_id, m_a, m_b, m_c, m_a AS m_d, m_x, m_y, m_a / (m_a * m_a - m_b * m_c) AS inv_a FROM y")
 add("f11_sigmoid", "image_id:l r:l c:l x:d", lambda s, d: fx.raster8(s, d).withColumn("x", pixels.sigmoid(col("v") * 10)), "SELECT image_id, r, c, 1 / (1 + exp(-v * 10)) AS x FROM r8")
 add("f12_relu", "image_id:l r:l c:l x:d", lambda s, d: fx.raster8(s, d).withColumn("x", pixels.relu(col("v"))), "SELECT image_id, r, c, greatest(v, 0) AS x FROM r8")
-add("f13_substring", "path:s x:s", lambda s, d: fx.catalogue(s, d)[0].withColumn("x", F.substring(col("path"), F.lit(1), F.length("path") - 8)), "SELECT path, path[:-9] AS x FROM images")
+add("f13_substring", "path:s x:s", lambda s, d: fx.catalogue(s, d)[0].withColumn("x", pixels.without_end(col("path"), 8)), "SELECT path, path[:-9] AS x FROM images")
 add("f14_contains", "path:s x:l", lambda s, d: _all_files(s, d).withColumn("x", pixels.is_image_name(col("path")).cast("int")), "SELECT path, CAST(contains(path, 'sat') AS INT) AS x FROM (SELECT * FROM images UNION ALL SELECT * FROM masks)")
 add("f15_format_path", "image_id:l x:s", lambda s, d: _ids(s, d).withColumn("x", pixels.image_name(col("image_id"))), "SELECT vec_id AS image_id, vec_id || '_sat.jpg' AS x FROM embeddings")
-add("f16_format_number", "run:l epoch:l x:s", lambda s, d: fx.runs(s, d).withColumn("x", F.format_string("%f %.2f %d", col("loss"), col("loss"), col("epoch"))), "SELECT run, epoch, format('{:.6f} {:.2f} {}', loss, loss, epoch) AS x FROM runs")
+add("f16_format_number", "run:l epoch:l x:s", lambda s, d: fx.runs(s, d).withColumn("x", pixels.loss_line(col("loss"), col("epoch"))), "SELECT run, epoch, format('{:.6f} {:.2f} {}', loss, loss, epoch) AS x FROM runs")
 
 # Augmentations ---------------------------------------------------------------------------------------------------
 
