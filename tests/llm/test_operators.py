@@ -110,6 +110,41 @@ def test_token_counts(odd, none):
     assert token_counts.count_tokens(none, vocab).count() == 0
 
 
+def test_token_counts_with_a_real_vocabulary(spark):
+    """Words of documents, random strings and rare scripts against the plain recurrence over all pieces."""
+    vocab = token_counts.sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    scores, longest = token_counts.zipf_scores(vocab), max(map(len, vocab))
+
+    def brute(word):
+        best = [(0.0, 0)]
+        for e in range(1, len(word) + 1):
+            size = len(word[e - 1].encode())
+            options = [(-(best[e - 1][0] + size * token_counts.BYTE_SCORE), best[e - 1][1] + size)]
+            options += [(-(best[b][0] + scores[word[b:e]]), best[b][1] + 1) for b in range(max(0, e - longest), e) if word[b:e] in scores]
+            s, n = min(options)
+            best.append((-s, n))
+        return best[-1][1]
+
+    rng = random.Random(6)
+    words = sorted({w for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect() for w in (r["text"] or "").split()})[:1500]
+    words += ["".join(rng.choice("aeioustrn日本語éß😀▁<>0x") for _ in range(rng.randint(1, 30))) for _ in range(500)]
+    words = [w for w in words if len(w.split()) == 1]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, vocab).collect()}
+    assert all(got[i] == brute("▁" + w) for i, w in enumerate(words))
+
+
+def test_language_of_rows_without_id(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and n_chars between 200 and 3000")
+    model = language_id.train(docs, language_id.fold() != 2)
+    one = docs.limit(1).collect()[0]
+    rows = spark.createDataFrame([(None, one["text"]), (1, one["text"]), (2, one["text"])], "doc_id long, text string")
+    got = language_id.identify(rows, model).collect()
+    assert len({(r["lang_pred"], r["score"]) for r in got}) == 1 and len(got) == 3
+    held = {r["doc_id"]: r["held_out"] for r in rows.select("doc_id", (language_id.fold() == 2).alias("held_out")).collect()}
+    assert held[None] is None and {held[1], held[2]} <= {True, False}
+
+
 def test_bpe(odd, none):
     tok = Tokenizer.from_file(BYTE)
 

@@ -17,7 +17,8 @@ documents of sf0.1 two are below it, both of three characters.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a table without labelled rows predicts
 ``und`` for all; null labels are never learned from; repeated rows get equal results; of equal outputs the first
-language in alphabetical order wins; other columns are ignored.
+language in alphabetical order wins; a row without an id is in no fold: ``held_out`` is null, it isn't learned from and is
+predicted like any other; other columns are ignored.
 """
 
 from __future__ import annotations
