@@ -2,7 +2,8 @@
 
 Rows are (name, content). Tasks write to folders of their own beside the target; nothing stands below the target until every
 task has ended. Then the driver moves the files of the tasks that Spark has accepted, so files of failed, repeated and
-speculative attempts are never seen. A job that fails leaves the target as it was and no staged files.
+speculative attempts are never seen. A job that fails leaves the target as it was and no staged files (in a store without
+folders, tasks that Spark hasn't stopped yet may leave some beside the target, never in it).
 
 ``overwrite`` makes the new set beside the target, moves the old one aside, moves the new one in and then deletes the old:
 at any moment one whole set exists (``path``, or ``path.old-...`` should the driver die between two renames).
@@ -39,6 +40,10 @@ class Staged(WriterCommitMessage):
 
 
 class _Files:
+    #: Whether tasks may make the folder of all staged files. In a batch the driver makes it, so a task that still runs when
+    #: the job has failed and its files are deleted can't make it again.
+    lasting = True
+
     def __init__(self, options):
         self.path, self.mode = options["path"].rstrip("/"), options.get("if_exists", "append")
         self.stage = f"{self.path}.staged-{uuid.uuid4().hex}"
@@ -46,7 +51,7 @@ class _Files:
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         fs, stage = open_fs(self.stage)
         folder = f"{stage}/{uuid.uuid4().hex}"
-        fs.create_dir(folder, recursive=True)
+        fs.create_dir(folder, recursive=self.lasting)
         for row in iterator:
             if row["name"] is None or "/" in row["name"]:
                 raise ValueError(f"not a file name: {row['name']!r}")
@@ -73,6 +78,13 @@ class _Files:
 
 
 class _Batch(_Files, DataSourceWriter):
+    lasting = False
+
+    def __init__(self, options):
+        super().__init__(options)
+        fs, stage = open_fs(self.stage)
+        fs.create_dir(stage, recursive=True)
+
     def commit(self, messages) -> None:
         if self.mode == "error" and exists(self.path):
             self.clear()
