@@ -397,8 +397,10 @@ def test_near_dedup_null_and_repeated_ids(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[0], rows[3], rows[5], rows[6], rows[8]], key=str)
 
 
-def test_near_dedup_finds_pairs_inside_a_family_just_below(spark):
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 8])  # three blocks without strips; about 75 blocks in strips of five
+def test_near_dedup_finds_pairs_inside_a_family_just_below(spark, monkeypatch, block):
     """Documents that share a long passage (similarity 0.75), among them pairs of 0.80 to 0.82."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     passage, texts, ids = [word() for _ in range(261)], {}, rng.sample(range(10_000), 600)
@@ -433,6 +435,16 @@ def test_dart_signatures_estimate_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()) < 0.04
 
 
+def test_dart_signatures_are_of_the_document_alone():
+    """A document's signature is the same alone and among others, however few or many shingles these have."""
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 3, 0, 250, 20_000, 1, 40)]
+    flat = lambda s: (np.concatenate(s), np.ones(sum(map(len, s))), np.repeat(np.arange(len(s)), [len(x) for x in s]), len(s))
+    together = near_dedup.dart_signatures(*flat(sets), 144)
+    assert all((together[i] == near_dedup.dart_signatures(*flat([s]), 144)[0]).all() for i, s in enumerate(sets))
+    assert [bool(row.all()) for row in together] == [len(s) > 0 for s in sets]
+
+
 def test_decontaminate(spark, odd, none):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))

@@ -47,6 +47,9 @@ DEPTH = 2
 #: Documents of a block, shingles of a block, and links of one end in a cell, about.
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 16
+#: Blocks of a strip, at most; a task holds the shared shingles of one strip (some 32 MB).
+STRIP_BITS = 6
+STRIP = 1 << STRIP_BITS
 CELL = 64
 #: Set sizes from which tiers of a factor of about 1.03 begin.
 TIERS = np.unique((1.03 ** np.arange(730)).astype(np.int64))
@@ -280,7 +283,10 @@ def rest_links(rest: DataFrame, docs: DataFrame, similarity: float, size: int) -
 
     How many documents have a shingle, and whether two classes have it, is counted exactly; the order of the prefixes is
     taken from that. So a passage that many documents share makes keys only for those that have little else. A block
-    holds documents with the same most frequent shingle, so a family that shares a passage fills few blocks.
+    holds documents with the same most frequent shingle, so a family that shares a passage fills few blocks. The blocks of
+    a family form strips of about half the square root of their number. Each pair of strips is one group: its first strip
+    is held, the blocks of the other stream past and meet those that the prefix keys name. So a family of m blocks sends
+    about 2 * m ** 1.5 blocks, not m ** 2 (with the widest strips, beyond 16,000 blocks, m ** 2 / 64).
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,8 +302,11 @@ def rest_links(rest: DataFrame, docs: DataFrame, similarity: float, size: int) -
     ordered = each.select("rep", "s").join(shared, "s").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("shared"))
     of = cut(rows.select("rep", "own", F.size("shingles").alias("n")).join(ordered, "rep").select("rep", "own", "n", F.transform("shared", lambda x: x["s"]).alias("shared")).withColumn("top", F.element_at("shared", -1)), "rest-sets")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.size("shared")) / BLOCK_SHINGLES))
-    blocks = cut(of.groupBy("top").agg(parts.alias("parts")), "rest-tops")
-    placed = cut(of.join(blocks, "top").select("rep", "own", "n", "shared", F.xxhash64("top", F.pmod(F.xxhash64("rep"), "parts")).alias("block")), "rest-blocks")
+    tops = of.groupBy("top").agg(parts.alias("parts")).withColumn("wide", F.least(F.lit(STRIP), F.ceil(F.sqrt("parts") / 2)))
+    blocks = cut(tops, "rest-tops")
+    part = F.pmod(F.xxhash64("rep"), "parts")
+    block = (F.floor(part / F.col("wide")), part % F.col("wide"))
+    placed = cut(of.join(blocks, "top").select("rep", "own", "n", "shared", (F.shiftleft(F.xxhash64("top", block[0]), STRIP_BITS) + block[1]).alias("block")), "rest-blocks")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -312,24 +321,33 @@ def rest_links(rest: DataFrame, docs: DataFrame, similarity: float, size: int) -
     a, b = (met.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "lo", "hi")]) for side in "ab")
     tiles = a.join(b, "key").where((F.col("block_a") <= F.col("block_b")) & (F.least("lo_a", "lo_b") < F.greatest("hi_a", "hi_b")))
     tiles = cut(tiles.select("block_a", "block_b").distinct(), "tiles")
-    of_tile = ["block_a", "block_b", "side", "rep", "own", "n", "shared"]
-    first = tiles.join(placed, tiles["block_a"] == placed["block"]).withColumn("side", F.lit(0)).select(*of_tile)
-    second = tiles.where("block_a < block_b").join(placed, F.col("block_b") == placed["block"]).withColumn("side", F.lit(1)).select(*of_tile)
-    dealt = first.union(second).repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b", "side")
+    pair = [F.shiftright(f"block_{side}", STRIP_BITS).alias(f"strip_{side}") for side in "ab"]
+    strips = tiles.select(*pair, "block_a", "block_b")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("rep", "long"), ("own", "long"), ("n", "int"), ("shared", "array<long>"))]
+    heads = strips.groupBy("strip_a", "strip_b", "block_b").agg(F.collect_list("block_a").alias("meets")).select("strip_a", "strip_b", F.lit(1).alias("side"), F.col("block_b").alias("block"), *none, "meets")
+    # both strips are the same one: its blocks go there once
+    left, right = strips.select("strip_a", "strip_b", F.lit(0).alias("side"), F.col("block_a").alias("block")), strips.select("strip_a", "strip_b", F.when(F.col("strip_a") < F.col("strip_b"), 1).otherwise(0).alias("side"), F.col("block_b").alias("block"))
+    sent = left.union(right).distinct().join(placed, "block").select("strip_a", "strip_b", "side", "block", "rep", "own", "n", "shared", F.lit(None).cast("array<long>").alias("meets"))
+    dealt = heads.union(sent).repartition("strip_a", "strip_b").sortWithinPartitions("strip_a", "strip_b", "side", "block", F.asc_nulls_first("rep"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, sides = None, ([], [])
+        at, held, block, meets, docs_of = None, {}, None, [], []
 
         def links() -> pa.RecordBatch:
-            found = near_pairs(sides[0], sides[1] or sides[0], similarity) if sides[0] else []
+            found = [p for m in meets for p in near_pairs(held[m], docs_of or held[block], similarity)]
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for x in batches:
-            for p, q, side, rep, own, n, s in zip(*(x.column(i).to_pylist() for i in range(6)), x.column(6), strict=True):
-                if (p, q) != tile:
+            for a, b, side, of, rep, own, n, s, m in zip(*(x.column(i).to_pylist() for i in range(7)), x.column(7), x.column(8).to_pylist(), strict=True):
+                if (a, b) != at or side and of != block:
                     yield links()
-                    tile, sides = (p, q), ([], [])
-                sides[side].append((rep, own, n, s.values.to_numpy()))
+                    meets, docs_of = [], []
+                    if (a, b) != at:
+                        at, held, block = (a, b), {}, None
+                if rep is None:
+                    block, meets = of, m
+                else:
+                    (docs_of if side else held.setdefault(of, [])).append((rep, own, n, s.values.to_numpy().copy()))
         yield links()
 
     return arrow_map(dealt, compare, "a long, b long")
