@@ -54,6 +54,8 @@ CELL = 64
 #: Set sizes from which tiers of a factor of about 1.03 begin.
 TIERS = np.unique((1.03 ** np.arange(730)).astype(np.int64))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Ranks of darts are counted in this part of a unit.
+UNIT = 1 << 30
 
 
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_docs: int, k: int, seed: int = 1) -> np.ndarray:
@@ -70,25 +72,36 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray,
     layer = np.arange(len(at)) - np.repeat(np.cumsum(layers) - layers, layers)
     start = mix(elements[at] ^ mix(layer.astype(np.uint64) + np.uint64(seed) * _GOLD))
     while todo.any():
-        live = np.flatnonzero(todo[doc[at]])
-        rank, h, d, low, top = np.zeros(len(live)), start[live], doc[at[live]], layer[live], weights[at[live]]
+        at_row = np.flatnonzero(todo[doc[at]])
+        limit = np.ceil(far[doc[at[at_row]]] * UNIT).astype(np.int64)
+        thrown, rank = np.zeros(len(at_row), np.int64), np.zeros(len(at_row), np.int64)
         keys, ranks, ids = [], [], []
-        while len(h):
-            h = mix(h + _GOLD)
-            rank = rank - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-            near = rank < far[d]
-            h, rank, d, low, top = h[near], rank[near], d[near], low[near], top[near]
+        while len(at_row):
+            # as many darts of each process as will about do, in one flat array; whole ranks add up the same in any parts
+            ahead = (limit - rank) / UNIT
+            n = np.ceil(ahead + np.sqrt(ahead)).astype(np.int64) + 1
+            last = np.cumsum(n) - 1
+            of = np.repeat(np.arange(len(n)), n)
+            number = np.arange(len(of)) - (last - n + 1)[of] + thrown[of] + 1
+            h = mix(start[at_row][of] + number.astype(np.uint64) * _GOLD)
+            step = (-np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * UNIT).astype(np.int64)
+            walked = np.cumsum(step)
+            r = walked + (rank - (walked[last] - np.add.reduceat(step, last - n + 1)))[of]
+            near = r < limit[of]
+            h, of_row, r_near = h[near], at_row[of[near]], r[near]
             z = mix(h ^ np.uint64(0xC2B2AE3D27D4EB4F))
-            inside = low + (z & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 < top
-            keys.append((d * k + ((z >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64))[inside])
-            ranks.append(rank[inside])
+            inside = layer[of_row] + (z & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 < weights[at[of_row]]
+            keys.append((doc[at[of_row]] * k + ((z >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64))[inside])
+            ranks.append(r_near[inside])
             ids.append(h[inside])
-        key, r, i = map(np.concatenate, (keys, ranks, ids)) if keys else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.uint64))
-        order = np.lexsort((r, key))
-        key, i = key[order], i[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
+            more = r[last] < limit
+            at_row, limit, thrown, rank = at_row[more], limit[more], (thrown + n)[more], r[last][more]
+        key, r, i = map(np.concatenate, (keys, ranks, ids)) if keys else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
+        earliest = np.full(n_docs * k, np.iinfo(np.int64).max)
+        np.minimum.at(earliest, key, r)
+        first = np.flatnonzero(earliest[key] == r)
         out.ravel()[key[first]] = i[first]
-        full = np.bincount(key[first] // k, minlength=n_docs) == k
+        full = (earliest.reshape(n_docs, k) < np.iinfo(np.int64).max).all(axis=1)
         todo &= ~full
         far[todo] *= 2
     return out
