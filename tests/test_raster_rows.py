@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators import algebra, algebra_rasters, augment, augment_rasters, layouts
+from tilewright.operators import algebra, algebra_rasters, augment, augment_rasters, layouts, score
+from tilewright.plans import registry
 
 
 def test_augment_odd_rows(spark):
@@ -123,3 +124,24 @@ def test_numbers_and_names(spark):
     assert [r[1] for r in got] == [2, 254, 0, 44, None, None, None]
     assert [r[2] for r in got] == ["", "ab", "", None, "é", "", ""]
     assert got[3][3] == float(np.float32(300.9))
+
+
+def test_arrays_pass_through_python_once(spark):
+    rng = np.random.default_rng(6)
+    a = {i: rng.normal(size=(2, 3, 4)) for i in range(9)} | {50: None}
+    x = rows_of(spark, a)
+    arrays = score.numbers_of(x, "v", "float64").localCheckpoint()
+    ops = [lambda r, **how: algebra_rasters.focal(r, [[1.0, 2.0], [3.0, 4.0]], 1, **how), lambda r, **how: algebra_rasters.block_max(r, **how), lambda r, **how: algebra_rasters.upsample(r, [[1.0, 2.0], [3.0, 4.0]], **how), lambda r, **how: algebra_rasters.raster_add(r, r, **how), lambda r, **how: algebra_rasters.binarise_masks(r, 0.0, invert=True, **how)]
+    for op in ops:
+        want = arrays_of(op(x))
+        made = op(arrays, numbers=True)
+        got = {r["image_id"]: None if r["v"] is None else np.array(r["v"]).reshape(r["channels"], r["height"], r["width"]) for r in made.collect()}
+        assert want.keys() == got.keys() and all(np.array_equal(want[i], got[i]) for i in want if i != 50) and got[50] is None
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "MapInPandas" in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("name", ["p11_invert_mask", "m2_multi_rate_focal", "m3_block_max", "m4_upsample"])
+def test_raster_row_queries_need_one_worker_a_task(spark, name):
+    plan = registry.QUERIES[f"{name}_raster_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "ArrowEvalPython" not in plan and "Exchange" not in plan

@@ -95,3 +95,20 @@ def test_views_on_tiles(spark, size):
     got = whole(tiles.join_tiles(fused))
     assert got.pop(100)[3] is None and set(got) == set(want)
     assert all(np.allclose(np.frombuffer(got[i][3]), want[i], atol=1e-12) for i in want)
+
+
+def test_score_each_view_is_view_score_unview_in_one_pass(spark):
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, h, w, n, bytearray(rng.integers(0, 256, n * h * w).astype(np.uint8).tobytes())) for i, (h, w, n) in enumerate([(7, 5, 1), (4, 9, 1), (3, 3, 1)])] + [(9, 4, 4, 1, None)], "image_id long, height int, width int, channels int, v binary")
+    cut = tiles.cut_tiles(rows, 3, "uint8")
+    plain = lambda: (lambda x, r0, c0: x[0] + r0 - c0 * 0.5)
+    for factory in (plain, tiles.logistic_tiles()):
+        want = tiles.unview_tiles(tiles.score_tiles(tiles.view_tiles(cut, "uint8"), factory, dtype="float64"))
+        got = tiles.score_each_view(cut, factory, dtype="float64")
+        key = lambda r: (r["image_id"], r["view"], r["tile_r"], r["tile_c"])
+        a, b = (sorted(x.collect(), key=key) for x in (want, got))
+        assert len(a) == len(b) > 0
+        for x, y in zip(a, b, strict=True):
+            assert x[:-1] == y[:-1] and (x["v"] is None) == (y["v"] is None)
+            assert x["v"] is None or np.allclose(np.frombuffer(x["v"]), np.frombuffer(y["v"]), atol=1e-12)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2

@@ -39,7 +39,9 @@ GRID = ("height", "width", "channels", "size", "tile_r", "tile_c", "r0", "c0", "
 PLACE = ("height", "width", "channels", "size", "tile_r", "tile_c")
 BOX = tuple[int, int, int, int]
 #: Pieces or tiles that are handed back together, in bytes about.
-TOGETHER = 32 << 20
+TOGETHER = 8 << 20
+#: Tiles, and bytes of them about, that are scored together.
+TILES, TILE_BYTES = 1024, 8 << 20
 
 
 def _schema(df: DataFrame, ints: tuple[str, ...]) -> StructType:
@@ -85,8 +87,8 @@ def _grouped(df: DataFrame, keys: tuple[str, ...], schema: StructType, fn: Calla
     return _mapped(dealt, schema, each)
 
 
-def _array(v: bytes, channels: int, h: int, w: int, dtype: str) -> np.ndarray:
-    return np.frombuffer(v, dtype).reshape(channels, h, w)
+def _array(v: bytes | list[float], channels: int, h: int, w: int, dtype: str) -> np.ndarray:
+    return (np.frombuffer(v, dtype) if isinstance(v, bytes) else np.array(v, dtype)).reshape(channels, h, w)
 
 
 def _bytes(x: np.ndarray, dtype: str) -> bytes:
@@ -99,8 +101,8 @@ def box_of(place: int, size: int, length: int) -> tuple[int, int]:
 
 
 def cut_tiles(rows: DataFrame, size: int, dtype: str = "float64", interleaved: bool = False) -> DataFrame:
-    """Raster rows (image_id, height, width, channels: 1 if absent, v) as tile rows; ``interleaved``: the bands of a pixel
-    are side by side in ``v``."""
+    """Raster rows (image_id, height, width, channels: 1 if absent, v: bytes or an array) as tile rows; ``interleaved``: the
+    bands of a pixel are side by side in the bytes."""
     rows = rows if "channels" in rows.columns else rows.withColumn("channels", F.lit(1))
     made = _schema(rows, GRID)
 
@@ -448,7 +450,8 @@ def merge_views(tiles: DataFrame, dtype: str = "float64") -> DataFrame:
 
 
 #: Called without arguments on a worker; gives a function of a normalised tile (bands, h, w) and its first row and column in
-#: the image (or view) to probabilities (h, w).
+#: the image (or view) to probabilities (h, w). If the function has an attribute ``many``, that takes tiles of one shape
+#: (n, bands, h, w) and arrays of their first rows and columns to (n, h, w).
 TilePredictorFactory = Callable[[], Callable[[np.ndarray, int, int], np.ndarray]]
 
 
@@ -457,9 +460,13 @@ def logistic_tiles(bias: float = 0.1, weights: tuple[float, ...] = (0.8,), by_ro
 
     def factory() -> Callable[[np.ndarray, int, int], np.ndarray]:
         def predict(x: np.ndarray, r0: int, c0: int) -> np.ndarray:
-            r, c = np.arange(x.shape[1])[:, None] + r0, np.arange(x.shape[2])[None, :] + c0
-            return 1 / (1 + np.exp(-(bias + np.tensordot(x, np.asarray(weights), (0, 0)) + by_row * r + by_col * c)))
+            return many(x[None], np.array([r0]), np.array([c0]))[0]
 
+        def many(x: np.ndarray, r0: np.ndarray, c0: np.ndarray) -> np.ndarray:
+            r, c = np.arange(x.shape[2])[:, None] + r0[:, None, None], np.arange(x.shape[3])[None, :] + c0[:, None, None]
+            return 1 / (1 + np.exp(-(bias + np.tensordot(x, np.asarray(weights), (1, 0)) + by_row * r + by_col * c)))
+
+        predict.many = many
         return predict
 
     return factory
@@ -488,6 +495,46 @@ def score_tiles(tiles: DataFrame, factory: TilePredictorFactory, views: bool = F
     return _mapped(tiles.select(ID, *more, *GRID, "v"), made, each)
 
 
+def _some(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows by some ``TILES`` and ``TILE_BYTES``."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row.v or b"")
+        if len(held) >= TILES or n >= TILE_BYTES:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def score_each_view(tiles: DataFrame, factory: TilePredictorFactory, data_dtype: str = "uint8", dtype: str = "float32") -> DataFrame:
+    """Byte tiles to eight rows of probabilities each, with ``view``: what ``view_tiles``, ``score_tiles`` and
+    ``unview_tiles`` give one after the other, in one pass through Python. Tiles of one shape are turned and (by a predictor
+    with ``many``) scored together."""
+    made = _schema(tiles, ("view", *GRID))
+
+    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
+        predict = factory()
+        many = getattr(predict, "many", None) or (lambda x, r0, c0: np.stack([predict(*one) for one in zip(x, r0.tolist(), c0.tolist(), strict=True)]))
+        for held in _some(rows):
+            shapes: dict = {}
+            for row in held:
+                shapes.setdefault((row.channels, row.h, row.w, row.v is None), []).append(row)
+            for (channels, h, w, none), same in shapes.items():
+                x = None if none else np.stack([_array(t.v, channels, h, w, data_dtype) for t in same]).astype(dtype) / 255.0 * 3.2 - 1.6
+                for view in VIEWS:
+                    q = [None] * len(same)
+                    if x is not None:
+                        at = np.array([_seen((t.r0, t.c0, t.r0 + h, t.c0 + w), t.height, t.width, view)[:2] for t in same])
+                        found = _from_view(many(np.ascontiguousarray(_to_view(x, view)), at[:, 0], at[:, 1]), view)
+                        q = [_bytes(one, dtype) for one in found]
+                    for t, v in zip(same, q, strict=True):
+                        yield t[0], view, t.height, t.width, 1, *t[4:11], v
+
+    return _mapped(tiles.select(ID, *GRID, "v"), made, each)
+
+
 def tile_pixels(tiles: DataFrame, dtype: str = "float64") -> DataFrame:
     """Tile rows as a pixel table: image_id, ch, r, c, v (tiles with a null payload have no pixels)."""
 

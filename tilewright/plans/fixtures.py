@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import pixels
@@ -19,13 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrays8(spark: SparkSession, d: str) -> DataFrame:
+    """Each embedding as a raster row, without a shuffle: image_id, label, data (an array of doubles)."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), "label", F.col("embedding").cast("array<double>").alias("data")).where("size(data) > 0")
+
+
 def raster8(spark: SparkSession, d: str) -> DataFrame:
     """Each embedding as an 8x8 raster: image_id, label, r, c, v."""
-    return pixels_of(table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), "label", F.col("embedding").cast("array<double>").alias("data")), 8)
+    return pixels_of(arrays8(spark, d), 8)
+
+
+def _byte(v: Column) -> Column:
+    return F.floor((v + 1) * 127.5).cast("int")
+
+
+def _hex(v: Column) -> Column:
+    return F.lpad(F.hex(_byte(v)), 2, "0")
 
 
 def u8(spark: SparkSession, d: str) -> DataFrame:
-    return raster8(spark, d).select("image_id", "r", "c", F.floor((F.col("v") + 1) * 127.5).cast("int").alias("b"))
+    return raster8(spark, d).select("image_id", "r", "c", _byte(F.col("v")).alias("b"))
 
 
 def patch3(spark: SparkSession, d: str) -> DataFrame:
@@ -36,16 +49,19 @@ def patch3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rasters3(spark: SparkSession, d: str) -> DataFrame:
-    """The colour patches as raster rows: image_id, height, width, channels, data (interleaved bytes)."""
-    cells = F.sort_array(F.collect_list(F.struct("r", "c", "ch", "b")))
-    data = F.unhex(F.array_join(F.transform(cells, lambda x: F.lpad(F.hex(x["b"]), 2, "0")), ""))
-    return patch3(spark, d).groupBy("image_id").agg(data.alias("data")).select("image_id", F.lit(SHAPE[0]).alias("height"), F.lit(SHAPE[1]).alias("width"), F.lit(3).alias("channels"), "data")
+    """The colour patches as raster rows: image_id, height, width, channels, data (interleaved bytes). Three arrays a patch
+    are shuffled, not pixels."""
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("image_id"), F.struct((F.col("vec_id") % 3).alias("ch"), F.col("embedding").cast("array<double>").alias("data")).alias("band"))
+    bands = e.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("band")).alias("bands")).where("n = 3")
+    sized = bands.select("image_id", "bands", F.array_max(F.transform("bands", lambda x: F.size(x["data"]))).alias("size")).where("size > 0")
+    pixel = lambda p: F.array_join(F.transform("bands", lambda x: _hex(F.get(x["data"], p))), "")
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.col("size") - 1), pixel), ""))
+    return sized.select("image_id", F.lit(SHAPE[0]).alias("height"), F.lit(SHAPE[1]).alias("width"), F.lit(3).alias("channels"), data.alias("data"))
 
 
 def grey1(spark: SparkSession, d: str) -> DataFrame:
     """Each raster as bytes: image_id, mask."""
-    cells = F.sort_array(F.collect_list(F.struct("r", "c", "b")))
-    return u8(spark, d).groupBy("image_id").agg(F.unhex(F.array_join(F.transform(cells, lambda x: F.lpad(F.hex(x["b"]), 2, "0")), "")).alias("mask"))
+    return arrays8(spark, d).select("image_id", F.unhex(F.array_join(F.transform("data", _hex), "")).alias("mask"))
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:

@@ -377,25 +377,25 @@ add("m5_standardise", "image_id:l ch:l r:l c:l b:d", lambda s, d: algebra.standa
 
 
 def _rows8(spark: SparkSession, d: str) -> DataFrame:
-    data = layouts.rasters_of(fx.raster8(spark, d), ["image_id"]).withColumnRenamed("data", "v")
-    return algebra_rasters.bytes_of(data)
+    n = F.size("data")
+    return fx.arrays8(spark, d).select("image_id", F.ceil(n / 8).cast("int").alias("height"), F.least(n, F.lit(8)).alias("width"), col("data").alias("v"))
 
 
 def _raster_rows(name: str, make: Callable[[DataFrame], DataFrame], width: int, scale: int = 1) -> None:
     """The raster-row form of a query above, with the same SQL."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        out = score.numbers_of(make(_rows8(spark, d)), "v", "float64").select("image_id", "v")
+        out = make(_rows8(spark, d)).select("image_id", "v")
         return layouts.pixels_of(out, width, "v").withColumn("v", col("v") / scale)
 
     add(f"{name}_raster_rows", "image_id:l r:l c:l v:d", query)
     SQL[f"{name}_raster_rows"] = SQL[name]
 
 
-_raster_rows("m1_focal", lambda x: algebra_rasters.focal(x, K3, dilation=2), 8)
-_raster_rows("m2_multi_rate_focal", lambda x: algebra_rasters.multi_rate_focal(x, K3, rates=(1, 2, 4)), 8, 1000)
-_raster_rows("m3_block_max", algebra_rasters.block_max, 4)
-_raster_rows("m4_upsample", lambda x: algebra_rasters.upsample(x, K4), 16)
+_raster_rows("m1_focal", lambda x: algebra_rasters.focal(x, K3, dilation=2, numbers=True), 8)
+_raster_rows("m2_multi_rate_focal", lambda x: algebra_rasters.multi_rate_focal(x, K3, rates=(1, 2, 4), numbers=True), 8, 1000)
+_raster_rows("m3_block_max", lambda x: algebra_rasters.block_max(x, numbers=True), 4)
+_raster_rows("m4_upsample", lambda x: algebra_rasters.upsample(x, K4, numbers=True), 16)
 
 
 TILE = 3  # so that a tile row has three tiles, the last smaller
@@ -451,7 +451,7 @@ def _bands3(spark: SparkSession, d: str) -> DataFrame:
 
 def _band_pixels(rows: DataFrame, value: str) -> DataFrame:
     """Raster rows of 8x8 images as image_id, ch, r, c and the value."""
-    cells = score.numbers_of(rows, "v", "float64").select("image_id", F.posexplode("v").alias("p", value))
+    cells = rows.select("image_id", F.posexplode("v").alias("p", value))
     return cells.select("image_id", F.floor(col("p") / 64).alias("ch"), F.floor(col("p") % 64 / 8).alias("r"), (col("p") % 8).alias("c"), value)
 
 
@@ -459,11 +459,12 @@ def _next(rows: DataFrame) -> DataFrame:
     return rows.withColumn("image_id", col("image_id") - 1)
 
 
-add("m5_standardise_raster_rows", "image_id:l ch:l r:l c:l b:d", lambda s, d: _band_pixels(algebra_rasters.standardise(_bands3(s, d)), "b"))
-add("m6_raster_add_raster_rows", "image_id:l r:l c:l v:d", lambda s, d: _band_pixels(algebra_rasters.raster_add(_rows8(s, d), _next(_rows8(s, d))), "v"))
-add("m7_band_math_raster_rows", "image_id:l ch:l r:l c:l v:d", lambda s, d: _band_pixels(algebra_rasters.band_math(_bands3(s, d), [[0.114, 0.587, 0.299], [1, -1, 0]]), "v"))
-add("u4_concat_channels_raster_rows", "image_id:l ch:l r:l c:l b:l", lambda s, d: _band_pixels(algebra_rasters.concat_channels(_bands3(s, d), algebra_rasters.map_rasters(_bands3(s, d), lambda x: 255 - x)), "b"))
-add("p11_invert_mask_raster_rows", "image_id:l r:l c:l t:l", lambda s, d: _band_pixels(algebra_rasters.binarise_masks(algebra_rasters.bands_first(fx.grey1(s, d).select("image_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), col("mask").alias("data"))), invert=True), "t"))
+add("m5_standardise_raster_rows", "image_id:l ch:l r:l c:l b:d", lambda s, d: _band_pixels(algebra_rasters.standardise(_bands3(s, d), numbers=True), "b"))
+add("m6_raster_add_raster_rows", "image_id:l r:l c:l v:d", lambda s, d: _band_pixels(algebra_rasters.raster_add(_rows8(s, d), _next(_rows8(s, d)), numbers=True), "v"))
+add("m7_band_math_raster_rows", "image_id:l ch:l r:l c:l v:d", lambda s, d: _band_pixels(algebra_rasters.band_math(_bands3(s, d), [[0.114, 0.587, 0.299], [1, -1, 0]], numbers=True), "v"))
+add("u4_concat_channels_raster_rows", "image_id:l ch:l r:l c:l b:l", lambda s, d: _band_pixels(algebra_rasters.concat_channels(_bands3(s, d), algebra_rasters.map_rasters(_bands3(s, d), lambda x: 255 - x), numbers=True), "b"))
+# of one band the bytes are in order as they are
+add("p11_invert_mask_raster_rows", "image_id:l r:l c:l t:l", lambda s, d: _band_pixels(algebra_rasters.binarise_masks(fx.grey1(s, d).select("image_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), col("mask").alias("v")), invert=True, dtype="uint8", numbers=True), "t"))
 for _name in ("m5_standardise", "m6_raster_add", "m7_band_math", "u4_concat_channels", "p11_invert_mask"):
     SQL[f"{_name}_raster_rows"] = SQL[_name]
 
