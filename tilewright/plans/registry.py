@@ -419,8 +419,7 @@ add("t4_tta_views_tiles", "image_id:l view:l r:l c:l b:l", lambda s, d: tiles.ti
 
 def _view_scores(spark: SparkSession, d: str) -> DataFrame:
     """Tiles scored in each view and turned back."""
-    scored = tiles.score_tiles(tiles.view_tiles(_byte_tiles(spark, d), "uint8"), tiles.logistic_tiles(), dtype="float64")
-    return tiles.unview_tiles(scored)
+    return tiles.score_each_view(_byte_tiles(spark, d), tiles.logistic_tiles(), dtype="float64")
 
 
 def _tiles3(spark: SparkSession, d: str) -> DataFrame:
