@@ -212,3 +212,21 @@ def test_periodic_runs(spark, tmp_path):
     by_text = {r["text"] for r in kept.where("doc_id >= 150").collect()}
     assert {None, "", " \n ", "one", "w", "same"} <= by_text
     assert periodic_runs.find_runs(docs.where("false")).count() == 0 and periodic_runs.collapse_runs(docs.where("false")).count() == 0
+
+
+def test_darts_of_a_batch_are_bounded():
+    """What is thrown together stays small, and a signature doesn't depend on it."""
+    import tracemalloc
+
+    from tilewright.llm import near_dedup
+
+    n = near_dedup.SIGNED
+    elements = np.random.default_rng(1).integers(0, 1 << 63, near_dedup.SIGNED_CHARS // 5, dtype=np.uint64)
+    doc, k = np.sort(np.arange(len(elements)) % n), near_dedup.BANDS * near_dedup.ROWS
+    tracemalloc.start()
+    whole = near_dedup.dart_signatures(elements, np.ones(len(elements)), doc, n, k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    some = doc == 3
+    assert np.array_equal(near_dedup.dart_signatures(elements[some], np.ones(some.sum()), np.zeros(some.sum(), int), 1, k)[0], whole[3])

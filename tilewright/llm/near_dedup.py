@@ -53,6 +53,9 @@ STRIP = 1 << STRIP_BITS
 CELL = 64
 #: Set sizes from which tiers of a factor of about 1.03 begin.
 TIERS = np.unique((1.03 ** np.arange(730)).astype(np.int64))
+#: Documents and characters whose darts are thrown together, at most; arrays of all darts at once are made of them.
+SIGNED = 64
+SIGNED_CHARS = 200_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Ranks of darts are counted in this part of a unit.
 UNIT = 1 << 30
@@ -123,7 +126,7 @@ def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
-        for b in pieces(batches, rows=256, chars=1_000_000):
+        for b in pieces(batches, rows=SIGNED, chars=SIGNED_CHARS):
             texts = b.column(1).to_pylist()
             sets = [np.unique(shingler.ordered(t), return_counts=True) for t in texts]
             digest = [xxhash.xxh3_128_digest(s.tobytes() if len(s) else b"text:" + (t or "").encode()) for (s, _), t in zip(sets, texts, strict=True)]
