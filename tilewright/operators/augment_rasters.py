@@ -23,7 +23,7 @@ from tilewright.functions import draws
 from tilewright.operators.augment import ID, affine, chances
 
 #: Bytes of results that are handed back together.
-TOGETHER = 32 << 20
+TOGETHER = 4 << 20
 #: Weights of blue, green and red in a grey value.
 LUMA = np.array([0.114, 0.587, 0.299])
 OUT = "image_id {}, height int, width int, channels int, x binary, t binary"
