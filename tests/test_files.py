@@ -5,6 +5,7 @@ import os
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, StringEndsWith
@@ -133,3 +134,24 @@ def test_stream_writes_the_masks_of_the_batch_job(spark):
     names = [f"{i}_mask.png" for i in range(6)]
     assert listing(again)[0] == names and listing(to) == ([*names, "_batches"], [])
     assert all(content(to, n) == content(again, n) for n in names)
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    one = masks.png(2, 2, 3, bytes(range(12)))
+    for i in range(600):
+        (tmp_path / f"{i}_sat.png").write_bytes(one)
+    found = images.scan_images(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert {(r["image_id"], bytes(r["data"])) for r in found.collect()} == {(str(i), bytes(range(12))) for i in range(600)}
+
+
+def test_mask_files_in_one_pass(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}_sat.png").write_bytes(masks.png(3, 4, 3, np.random.default_rng(i).integers(0, 256, 36).astype(np.uint8).tobytes()))
+    (tmp_path / "9_sat.png").write_bytes(b"no image")
+    how = {"factory": score.logistic_factory(weights=(0.2, 0.5, -0.3)), "dtype": "float64"}
+    rows = images.scan_images(spark, str(tmp_path))
+    want = masks.encoded(masks.named(jobs.mask_rows(score.score_rasters(rows, views=True, **how), dtype="float64")))
+    got = jobs.mask_files(rows, **how)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 5
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1

@@ -85,7 +85,8 @@ def planes(data: bytes | np.ndarray, height: int, width: int, channels: int) ->
     return flat.reshape(height, width, channels).transpose(2, 0, 1)
 
 
-def _batched(it: Iterator[pd.DataFrame], factory: PredictorFactory, size: int, most: int, views: bool, dtype: str) -> Iterator[pd.DataFrame]:
+def batched(it: Iterator[pd.DataFrame], factory: PredictorFactory, size: int, most: int, views: bool, dtype: str) -> Iterator[pd.DataFrame]:
+    """Frames of raster rows scored: what a task of ``score_rasters`` does."""
     predict = factory()
     for frame in it:
         out: list = [None] * len(frame)
@@ -124,7 +125,7 @@ def score_rasters(rasters: DataFrame, factory: PredictorFactory, batch_size: int
     rows = rasters if "channels" in rasters.columns else rasters.withColumn("channels", F.lit(1))
     keep = [f for f in rows.schema.fields if f.name != "data"]
     ordered = rows.where("height > 0").select(*[f.name for f in keep], "data")
-    return ordered.mapInPandas(lambda it: _batched(it, factory, batch_size, batch_bytes, views, dtype), StructType([*keep, StructField("q", BinaryType())]))
+    return ordered.mapInPandas(lambda it: batched(it, factory, batch_size, batch_bytes, views, dtype), StructType([*keep, StructField("q", BinaryType())]))
 
 
 def numbers_of(rasters: DataFrame, data: str = "q", dtype: str = "float32") -> DataFrame:

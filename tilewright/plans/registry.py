@@ -42,8 +42,8 @@ def add(name: str, columns: str, make: Query, sql: str | None = None) -> None:
 def _png_dir(spark: SparkSession, d: str, end: str = "_sat.png") -> str:
     """The colour patches as image files ``{id}_sat.png``, or as masks in colour."""
     path = shared.scratch(spark, "png")
-    rows = layouts.rasters_of(fx.patch3(spark, d).withColumn("v", col("b")).groupBy("image_id", "r", "c").agg(F.sort_array(F.collect_list(F.struct("ch", "v"))).alias("v")), ["image_id"]).select("image_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.flatten(F.transform("data", lambda p: F.transform(p, lambda x: x["v"]))).alias("data"))
-    masks.write_files(rows.select(F.concat(col("image_id").cast("string"), F.lit(end)).alias("name"), "height", "width", F.lit(3).alias("channels"), "data"), path)
+    rows = fx.rasters3(spark, d).withColumn("name", F.concat(col("image_id").cast("string"), F.lit(end)))
+    masks.write_files(rows, path)
     return path
 
 
@@ -71,10 +71,10 @@ add("s4_write_masks", "image_id:s ch:l total:l placed:l n:l", lambda s, d: _imag
 def _refused(spark: SparkSession, d: str) -> DataFrame:
     """Files written once; the second write is refused and changes nothing."""
     path = shared.scratch(spark, "refused")
-    grey = layouts.rasters_of(fx.u8(spark, d).withColumn("v", col("b")), ["image_id"]).withColumn("channels", F.lit(1))
+    grey = fx.grey1(spark, d).select("image_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), col("mask").alias("data"))
     masks.write_masks(grey, path)
     try:
-        masks.write_masks(grey.withColumn("data", F.transform("data", lambda x: x * 0)), path, if_exists="error")
+        masks.write_masks(grey.withColumn("data", F.unhex(F.repeat(F.lit("00"), F.lit(64)))), path, if_exists="error")
         refused = 0
     except FileExistsError:
         refused = 1
@@ -564,7 +564,7 @@ def _arriving(spark: SparkSession, d: str) -> DataFrame:
 def _stream_masks(spark: SparkSession, d: str) -> DataFrame:
     """Images scored as they arrive, their masks written by the committing sink and read back."""
     dst = shared.scratch(spark, "stream-masks")
-    masks.stream_masks(jobs.mask_rows(monitor.score_stream(spark, _png_dir(spark, d), **_BANDS), dtype="float64"), dst, shared.scratch(spark, "stream-state")).awaitTermination()
+    filesink.write_stream(jobs.mask_files(images.scan_images(spark, _png_dir(spark, d), streaming=True), **_BANDS), dst, shared.scratch(spark, "stream-state")).awaitTermination()
     return _image_sums(images.scan_images(spark, dst, "*_mask.*", named=pixels.mask_id))
 
 

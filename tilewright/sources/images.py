@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import pixels
 
+#: Partitions of files that a task reads, about.
+TOGETHER = 32
 RASTER = "image_id string, height int, width int, channels int, data binary"
 
 
@@ -23,7 +25,13 @@ def list_images(spark: SparkSession, root: str, only_images: bool = True) -> Dat
 
 def _rasters(spark: SparkSession, root: str, glob: str, streaming: bool = False) -> DataFrame:
     reader = spark.readStream.schema("image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>") if streaming else spark.read
-    return reader.format("image").option("pathGlobFilter", glob).load(root)
+    files = reader.format("image").option("pathGlobFilter", glob).load(root)
+    if streaming:
+        return files
+    # Spark takes some 32 files to a partition, however small they are (it adds 4 MB to each); one task reads several of these
+    n = files.rdd.getNumPartitions()
+    most = max(4 * spark.sparkContext.defaultParallelism, n // TOGETHER)
+    return files.coalesce(most) if n > most else files
 
 
 def scan_images(spark: SparkSession, root: str, glob: str = "*_sat.*", streaming: bool = False, named: Callable[[Column], Column] = pixels.image_id) -> DataFrame:

@@ -35,14 +35,17 @@ def _raw(data) -> bytes:
     return bytes(data) if isinstance(data, bytes | bytearray | memoryview) else np.asarray(data).astype(np.uint8).tobytes()
 
 
-def encoded(df: DataFrame) -> DataFrame:
-    """Rows (name, height, width, channels, data: array or binary) as rows (name, content): PNG files."""
+CONTENT = "name string, content binary"
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"name": f["name"], "content": [png(h, w, n, _raw(d)) for h, w, n, d in zip(f["height"], f["width"], f["channels"], f["data"], strict=True)]})
+def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield pd.DataFrame({"name": f["name"], "content": [png(h, w, n, _raw(d)) for h, w, n, d in zip(f["height"], f["width"], f["channels"], f["data"], strict=True)]})
 
-    return df.select("name", "height", "width", "channels", "data").mapInPandas(run, "name string, content binary")
+
+def encoded(df: DataFrame) -> DataFrame:
+    """Rows (name, height, width, channels, data: array or binary) as rows (name, content): PNG files."""
+    return df.select("name", "height", "width", "channels", "data").mapInPandas(encode, CONTENT)
 
 
 def named(df: DataFrame) -> DataFrame:
