@@ -498,6 +498,10 @@ def _monitor(spark: SparkSession, d: str) -> DataFrame:
 add("x1_stream_monitor", "run:l epoch:l best:d improved:l no_optim:l cuts:l", _monitor, "SELECT e.user_id AS run, e.event_id AS epoch, best, improved, no_optim, cuts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS epoch FROM events) e JOIN rates s ON e.user_id = s.run AND e.epoch = s.epoch")
 
 
+#: Epochs of a log that runs share: some 5 MB.
+_LOG_EPOCHS = 50_000
+
+
 def _streaming(make: Callable[[SparkSession], DataFrame]) -> Callable[[SparkSession], DataFrame]:
     """``make`` with the state store that the monitor needs."""
 
@@ -516,17 +520,11 @@ def _tailed(spark: SparkSession, d: str) -> DataFrame:
     """Text logs read as they grow: the first epochs of every run, then all of them, each once."""
     path, to = shared.scratch(spark, "growing"), shared.scratch(spark, "tailed")
     r = fx.runs(spark, d)
+    files = 1 + r.count() // _LOG_EPOCHS
     for part in (r.where("epoch <= 30"), r):
-        runlog.write_text_log(part, path, events=False)  # as one file of each run, by one name: what is written again is longer
-        logs = logtail.tail_run_logs(spark, f"{path}-named")
-        _by_run(spark, path, f"{path}-named")
-        out = monitor.run_available(logs, to)
-    return out.withColumn("run", F.regexp_extract("file", r"run-(\d+)", 1).cast("long"))
-
-
-def _by_run(spark: SparkSession, src: str, to: str) -> None:
-    text = spark.read.text(src, wholetext=True).select(F.format_string("run-%d.log", col("run").cast("long")).alias("name"), F.encode("value", "UTF-8").alias("content"))
-    filesink.write_set(text, to, "append")
+        filesink.write_set(runlog.growing_logs(part, files), path, "append")  # by the same names: what is written again is longer
+        out = monitor.run_available(logtail.tail_run_logs(spark, path), to)
+    return out
 
 
 add("s8_tail_run_log", "run:l epoch:l elapsed_s:l loss:d height:l width:l", _tailed)

@@ -6,8 +6,8 @@ tasks, which read their new bytes only. A restart goes on from the checkpoint's
 
 Defined cases: what isn't an epoch (other lines, rate changes, the end mark) is passed over; a file that appears later is
 read from its beginning; one that is shorter than what was read, or is gone, gives nothing more until it is longer; an empty
-or missing folder gives no rows. The offset has an entry for each file, so keep finished runs elsewhere where there are very
-many.
+or missing folder gives no rows. A file may hold many runs, each epoch with the name of its run (``runlog.growing_logs``). The
+offset has an entry for each file, so where there are very many runs let them share files.
 """
 
 from __future__ import annotations
@@ -20,15 +20,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from tilewright.sources.runlog import LINES
 from tilewright.sources.shared import open_fs
 
-SCHEMA = "file string, epoch int, elapsed_s int, loss double, height int, width int"
+SCHEMA = "file string, epoch int, elapsed_s int, loss double, height int, width int, run string"
 # The text format of a run log.
-EPOCH = re.compile(rb"\*{8}\r?\nepoch: (\d+) +time: (\d+)\r?\ntrain_loss: ([0-9.eE+-]+)\r?\nSHAPE: \((\d+), (\d+)\)")
+EPOCH = re.compile(rf"\*{{8}}\r?\n{LINES}".encode())
 #: Bytes at a file's end that are searched first for its last whole epoch.
 TAIL = 1 << 16
-#: Files of a partition.
-FILES = 64
+#: Files of a partition, and their new bytes (one file may have more).
+FILES, BYTES = 64, 1 << 24
 
 
 class _Part(InputPartition):
@@ -66,7 +67,15 @@ class _Reader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         grown = [(p, start.get(p, 0), n) for p, n in end.items() if n > start.get(p, 0)]
-        return [_Part(grown[i : i + FILES]) for i in range(0, len(grown), FILES)]
+        parts, size = [], 0
+        for file in grown:
+            new = file[2] - file[1]
+            if not parts or len(parts[-1]) == FILES or size + new > BYTES:
+                parts.append([])
+                size = 0
+            parts[-1].append(file)
+            size += new
+        return [_Part(files) for files in parts]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         fs, _ = open_fs(self.root)
@@ -75,8 +84,8 @@ class _Reader(DataSourceStreamReader):
                 f.seek(begin)
                 text = f.read(end - begin)
             for m in EPOCH.finditer(text):
-                epoch, elapsed, loss, height, width = m.groups()
-                yield file, int(epoch), int(elapsed), float(loss), int(height), int(width)
+                run, epoch, elapsed, loss, height, width = m.groups()
+                yield file, int(epoch), int(elapsed), float(loss), int(height), int(width), run.decode() if run else None
 
 
 class RunLogTail(DataSource):
@@ -94,6 +103,6 @@ class RunLogTail(DataSource):
 
 
 def tail_run_logs(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """A stream of file, epoch, elapsed_s, loss, height, width of all epochs below ``path``, each once."""
+    """A stream of file, epoch, elapsed_s, loss, height, width, run of all epochs below ``path``, each once."""
     spark.dataSource.register(RunLogTail)
     return spark.readStream.format("run_log_tail").option("glob", glob).load(path)
