@@ -25,6 +25,20 @@ def rows(df, *cols):
     return sorted(map(tuple, df.select(*cols).collect()))
 
 
+def test_a_run_written_again_replaces_its_own_rows_in_few_files(spark):
+    path, r = shared.scratch(spark, "saved"), many(spark).withColumn("run", F.expr("nullif(run, 7)"))
+    cols = ("coalesce(run, -1) as run", "epoch", "loss", "elapsed_s")
+    back = lambda: sorted(map(tuple, runlog.saved_runs(spark, path).selectExpr(*cols).collect()))
+    runlog.write_run_log(r, path)
+    assert back() == sorted(map(tuple, r.selectExpr(*cols).collect())) and len(files_below(path)) <= 8
+    again = r.where("epoch <= 2 and (run in (4, 5) or run is null)").withColumn("loss", F.lit(9.0))
+    runlog.write_run_log(again, path)
+    want = r.where("run not in (4, 5)").unionByName(again)
+    assert back() == sorted(map(tuple, want.selectExpr(*cols).collect())) and len(files_below(path)) <= 16
+    runlog.write_run_log(again.where("run = 5 and epoch = 1"), path)
+    assert [tuple(x) for x in runlog.saved_runs(spark, path).where("run = 5").select("epoch", "loss").collect()] == [(1, 9.0)]
+
+
 def test_growing_logs_of_many_runs_give_each_epoch_once(spark):
     path, to, r = shared.scratch(spark, "growing"), shared.scratch(spark, "grown"), many(spark)
     before = {}

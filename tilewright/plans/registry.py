@@ -90,7 +90,7 @@ def _run_log(spark: SparkSession, d: str) -> DataFrame:
     r = fx.runs(spark, d)
     runlog.write_run_log(r, path)
     runlog.write_run_log(r.where("run = 1"), path)  # a run that is written again replaces its own rows only
-    back = spark.read.parquet(path)
+    back = runlog.saved_runs(spark, path)
     return runlog.log_text(back.select(col("run").cast("long").alias("run"), "epoch", "elapsed_s", "loss"))
 
 
