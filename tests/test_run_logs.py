@@ -39,6 +39,40 @@ def test_a_run_written_again_replaces_its_own_rows_in_few_files(spark):
     assert [tuple(x) for x in runlog.saved_runs(spark, path).where("run = 5").select("epoch", "loss").collect()] == [(1, 9.0)]
 
 
+@pytest.mark.parametrize("split", [None, 150, 1000])
+def test_text_logs_of_many_runs_share_files(spark, split):
+    path, r = shared.scratch(spark, "shared-logs"), many(spark)
+    runlog.write_text_log(r, path, events=False)
+    assert len(files_below(path)) <= 8
+    key = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(key)
+    try:
+        if split:
+            spark.conf.set(key, str(split))
+        got = rows(runlog.read_run_log(spark, path).withColumn("run", F.col("run").cast("long")), "run", "epoch", "loss", "elapsed_s", "height", "width")
+    finally:
+        spark.conf.set(key, was)
+    assert got == rows(r.withColumn("h", F.lit(1024)).withColumn("w", F.lit(1024)), "run", "epoch", "loss", "elapsed_s", "h", "w")
+    if not split:
+        text = "".join(open(f).read() for f in files_below(path))
+        assert text.count(runlog.END) == RUNS
+        for run in (5, 11):
+            part = text[text.index(f"run: {run}\nepoch: 1 ") :]
+            assert [x for x in part[: part.index(runlog.END)].split("\n") if x.startswith(("run", "epoch"))] == [y for e in range(1, 7) for y in (f"run: {run}", f"epoch: {e}     time: {700 * e}")]
+
+
+def test_odd_logs(spark, tmp_path):
+    body = "from epoch: 3\n*********\r\nepoch: 1     time: 7\r\ntrain_loss: NaN\r\nSHAPE: (8, 9)\r\n********\nrun: x y\nepoch: 2     time: 9\ntrain_loss: -inf\nSHAPE: (8, 9)\nFinish!\n********\nepoch: 3     time: 11\ntrain_lo"
+    (tmp_path / "a").write_bytes(body.encode())
+    reader = logtail._Reader({"path": f"file://{tmp_path}"})
+    tail = [r for p in reader.partitions({}, reader.latestOffset()) for r in reader.read(p)]
+    batch = runlog.read_run_log(spark, f"file://{tmp_path}").collect()
+    for got in (tail, [tuple(r) for r in batch]):
+        assert sorted((r[1], r[2], str(r[3]), r[4], r[5], r[6]) for r in got) == [(1, 7, "nan", 8, 9, None), (2, 9, "-inf", 8, 9, "x y")]
+    with pytest.raises(Exception, match="a line break in the name"):
+        runlog.write_text_log(spark.createDataFrame([("a\nb", 1, 0.5, 7)], "run string, epoch int, loss double, elapsed_s long"), shared.scratch(spark, "broken"), events=False)
+
+
 def test_growing_logs_of_many_runs_give_each_epoch_once(spark):
     path, to, r = shared.scratch(spark, "growing"), shared.scratch(spark, "grown"), many(spark)
     before = {}

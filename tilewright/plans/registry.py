@@ -101,7 +101,7 @@ add("s7_log_events", "run:l epoch:l text:s", lambda s, d: runlog.log_text_with_e
 def _log_back(spark: SparkSession, d: str) -> DataFrame:
     path = shared.scratch(spark, "textlog")
     runlog.write_text_log(fx.runs(spark, d), path, events=False)
-    return runlog.read_run_log(spark, path).withColumn("run", F.regexp_extract("file", r"run=(\d+)", 1).cast("long"))
+    return runlog.read_run_log(spark, path)
 
 
 add("s8_read_run_log", "run:l epoch:l elapsed_s:l loss:d height:l width:l", _log_back, "SELECT run, epoch, elapsed_s, loss, 1024 AS height, 1024 AS width FROM runs")
