@@ -91,3 +91,32 @@ def test_a_partition_has_a_bounded_number_of_new_bytes():
     parts = [p.files for p in reader.partitions({}, end)]
     assert sorted(f for p in parts for f in p) == [(p, 0, n) for p, n in end.items()] and max(sum(n for _, _, n in p) for p in parts) <= 16 * mb
     assert [len(p.files) for p in reader.partitions({p: n - 1 for p, n in end.items()}, end)] == [64, 64, 64, 8]
+
+
+def test_the_monitor_takes_a_loss_that_is_null_and_makes_no_frames(spark, monkeypatch):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", monitor.STATE_STORE)
+    src = shared.scratch(spark, "losses")
+    r = spark.createDataFrame([(1, 1, 5.0), (1, 2, None), (1, 3, 4.0), (2, 1, None), (3, 1, 500.0)], "run long, epoch long, loss double")
+    r.write.parquet(src)
+    stream = monitor.monitor(spark.readStream.schema(r.schema).parquet(src))
+    assert "TransformWithStateInPySpark" in stream._jdf.queryExecution().logical().toString()
+    got = rows(monitor.run_available(stream, shared.scratch(spark, "nulls")).na.fill(-1.0, ["loss"]), "run", "epoch", "loss", "best", "improved", "no_optim")
+    assert got == [(1, 1, 5.0, 100.0, 1, 0), (1, 2, -1.0, 5.0, 0, 1), (1, 3, 4.0, 5.0, 1, 0), (2, 1, -1.0, 100.0, 0, 1), (3, 1, 500.0, 100.0, 0, 1)]
+
+    class State:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    from pyspark.sql import Row
+
+    m = monitor.PlateauMonitor()
+    m.state = State()
+    out = list(m.handleInputRows((1,), iter([Row(run=1, epoch=2, loss=3.0), Row(run=1, epoch=1, loss=4.0)]), None))
+    assert [(r["epoch"], r["best"], r["late"]) for r in out] == [(1, 100.0, 0), (2, 4.0, 0)] and m.state.value == (3.0, 0, 0, 2) and m.state.calls == 2

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,6 +14,8 @@ from tilewright.operators.score import PredictorFactory, score_rasters
 from tilewright.sources.images import scan_images
 
 OUT = "run long, epoch long, loss double, best double, improved int, no_optim long, cuts long, lr double, late int"
+OUT_ROW = Row(*[c.split()[0] for c in OUT.split(", ")])
+CLOSING_ROW = Row(*OUT_ROW, "closed")
 #: A run's state: what the next epoch needs.
 STATE = "best double, no_optim long, cuts long, last long"
 
@@ -27,7 +29,8 @@ class PlateauMonitor(StatefulProcessor):
     is silent for so long after its last time, by the watermark, is closed: one row with ``closed`` = 1, its last epoch and
     state and no loss; its state goes, so should it report again, it begins anew.
 
-    A run's rows of one micro-batch are sorted in memory: bound micro-batches by ``maxFilesPerTrigger``.
+    A run's rows of one micro-batch are sorted in memory: bound micro-batches by ``maxFilesPerTrigger``. Rows are taken as they
+    are, not as a data frame a run, of which a batch with many short runs would make very many.
     """
 
     def __init__(self, init: float = 100.0, lr0: float = 2e-4, factor: float = 5.0, patience: int = 3, silence_ms: int | None = None):
@@ -38,13 +41,13 @@ class PlateauMonitor(StatefulProcessor):
         if self.silence_ms is not None:
             self.due = handle.getValueState("due", "at long")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        best, idle, cuts, last = initialState[["best", "no_optim", "cuts", "last"]].iloc[0]
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        best, idle, cuts, last = (initialState[c] for c in ("best", "no_optim", "cuts", "last"))
         self.state.update((float(best), int(idle), int(cuts), int(last)))
-        if self.silence_ms is not None and "at" in initialState and pd.notna(initialState["at"].iloc[0]):
-            self._wait(initialState["at"].iloc[0])
+        if self.silence_ms is not None and "at" in initialState and initialState["at"] is not None:
+            self._wait(initialState["at"])
 
-    def _wait(self, at: pd.Timestamp) -> None:
+    def _wait(self, at: datetime) -> None:
         """Close the run at this time and the silence, if that is later than what was set before."""
         due = int(at.timestamp() * 1000) + self.silence_ms
         if self.due.exists():
@@ -54,33 +57,36 @@ class PlateauMonitor(StatefulProcessor):
         self.handle.registerTimer(due)
         self.due.update((due,))
 
-    def _out(self, rows: list[tuple], closed: int) -> pd.DataFrame:
-        names = [c.split()[0] for c in OUT.split(", ")]
-        return pd.DataFrame(rows, columns=names) if self.silence_ms is None else pd.DataFrame(rows, columns=names).assign(closed=closed)
+    def _out(self, values: tuple, closed: int) -> Row:
+        return OUT_ROW(*values) if self.silence_ms is None else CLOSING_ROW(*values, closed)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best, idle, cuts, last = self.state.get() if self.state.exists() else (self.start, 0, 0, -(1 << 63))
-        out, frame = [], pd.concat(list(rows)).sort_values("epoch")
-        for epoch, loss in frame[["epoch", "loss"]].itertuples(index=False):
-            if late := epoch <= last:
-                out.append((key[0], epoch, loss, best, 0, idle, cuts, self.lr0 / self.factor**cuts, int(late)))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state = self.state.get()
+        best, idle, cuts, last = (self.start, 0, 0, -(1 << 63)) if state is None else state
+        given = sorted(rows, key=lambda r: r["epoch"])
+        if not given:
+            return
+        for r in given:
+            epoch, loss = r["epoch"], None if r["loss"] is None else float(r["loss"])
+            if epoch <= last:
+                yield self._out((key[0], epoch, loss, best, 0, idle, cuts, self.lr0 / self.factor**cuts, 1), 0)
                 continue
-            before, better, last = best, loss < best, epoch
+            before, better, last = best, loss is not None and loss < best, epoch
             best, idle = (loss, 0) if better else (best, idle + 1)
             cuts += idle > self.patience
-            out.append((key[0], epoch, loss, before, int(better), idle, cuts, self.lr0 / self.factor**cuts, 0))
+            yield self._out((key[0], epoch, loss, before, int(better), idle, cuts, self.lr0 / self.factor**cuts, 0), 0)
         self.state.update((float(best), int(idle), int(cuts), int(last)))
-        if self.silence_ms is not None and frame["at"].notna().any():
-            self._wait(frame["at"].max())
-        yield self._out(out, 0)
+        if self.silence_ms is not None and (times := [r["at"] for r in given if r["at"] is not None]):
+            self._wait(max(times))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state = self.state.get()
+        if state is None:
             return
-        best, idle, cuts, last = self.state.get()
+        best, idle, cuts, last = state
         self.state.clear()
         self.due.clear()
-        yield self._out([(key[0], last, None, best, 0, idle, cuts, self.lr0 / self.factor**cuts, 0)], 1)
+        yield self._out((key[0], last, None, best, 0, idle, cuts, self.lr0 / self.factor**cuts, 0), 1)
 
     def close(self) -> None:
         pass
@@ -98,14 +104,14 @@ def monitor(runs: DataFrame, known: DataFrame | None = None, **how) -> DataFrame
     """A stream of (run, epoch, loss) to the batch form's columns, row by row; ``known``: states to begin with
     (``state_of``)."""
     begin = known.groupBy("run") if known is not None else None
-    return runs.groupBy("run").transformWithStateInPandas(PlateauMonitor(**how), outputStructType=OUT, outputMode="Append", timeMode="None", initialState=begin)
+    return runs.groupBy("run").transformWithState(PlateauMonitor(**how), outputStructType=OUT, outputMode="Append", timeMode="None", initialState=begin)
 
 
 def monitor_until_silent(runs: DataFrame, silence_ms: int, delay: str = "0 seconds", known: DataFrame | None = None, **how) -> DataFrame:
     """``monitor`` of (run, epoch, loss, at) that closes runs which are silent for ``silence_ms``, with ``closed``."""
     begin = known.groupBy("run") if known is not None else None
     timed = runs.withWatermark("at", delay).groupBy("run")
-    return timed.transformWithStateInPandas(PlateauMonitor(silence_ms=silence_ms, **how), outputStructType=f"{OUT}, closed int", outputMode="Append", timeMode="EventTime", initialState=begin)
+    return timed.transformWithState(PlateauMonitor(silence_ms=silence_ms, **how), outputStructType=f"{OUT}, closed int", outputMode="Append", timeMode="EventTime", initialState=begin)
 
 
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
