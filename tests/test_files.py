@@ -145,6 +145,17 @@ def test_small_files_are_read_by_few_tasks(spark, tmp_path):
     assert {(r["image_id"], bytes(r["data"])) for r in found.collect()} == {(str(i), bytes(range(12))) for i in range(600)}
 
 
+def test_pixels_of_files_pass_through_python_once(spark, tmp_path):
+    x = {str(i): np.random.default_rng(i).integers(0, 256, 12).astype(np.uint8) for i in range(600)}
+    for i, v in x.items():
+        (tmp_path / f"{i}_sat.png").write_bytes(masks.png(2, 2, 3, v.tobytes()))
+    (tmp_path / "none_sat.png").write_bytes(b"no image")
+    got = images.raster_pixels(images.scan_images(spark, str(tmp_path)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Coalesce")  # above: one runner a task
+    assert {tuple(r) for r in got.collect()} == {(i, p % 3, p // 6, p // 3 % 2, int(b)) for i, v in x.items() for p, b in enumerate(v)}
+
+
 def test_mask_files_in_one_pass(spark, tmp_path):
     for i in range(5):
         (tmp_path / f"{i}_sat.png").write_bytes(masks.png(3, 4, 3, np.random.default_rng(i).integers(0, 256, 36).astype(np.uint8).tobytes()))

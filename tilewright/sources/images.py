@@ -60,13 +60,14 @@ def _grey(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def bytes_to_array(rasters: DataFrame, data: str = "data") -> DataFrame:
-    """Binary payloads to arrays of integers 0-255."""
+    """Binary payloads to arrays of integers 0-255, once a row: a filter on them (Spark adds one to an explode) would call a
+    deterministic function again, and below the coalesce of a scan, with a Python runner and its memory for each partition."""
 
     @F.pandas_udf("array<int>")
     def unpack(s: pd.Series) -> pd.Series:
         return s.map(lambda b: np.frombuffer(b, np.uint8).astype(np.int32) if b is not None else None)
 
-    return rasters.withColumn(data, unpack(data))
+    return rasters.withColumn(data, unpack.asNondeterministic()(data))
 
 
 def raster_pixels(rasters: DataFrame) -> DataFrame:
