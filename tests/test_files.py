@@ -12,6 +12,7 @@ from pyspark.sql.datasource import EqualTo, StringEndsWith
 
 from tilewright.functions import pixels
 from tilewright.operators import jobs, pairing, score
+from tilewright.plans import registry
 from tilewright.sources import filesink, headers, images, masks, shared
 from tilewright.streaming import monitor
 
@@ -156,6 +157,13 @@ def test_pixels_of_files_pass_through_python_once(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {(i, p % 3, p // 6, p // 3 % 2, int(b)) for i, v in x.items() for p, b in enumerate(v)}
 
 
+@pytest.mark.parametrize("name", ["t7_predict_job"])
+def test_written_masks_pass_back_through_python_once(spark, name):
+    got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert got.count() == 498 and {r["n"] for r in got.collect()} == {64}
+
+
 def test_mask_files_in_one_pass(spark, tmp_path):
     for i in range(5):
         (tmp_path / f"{i}_sat.png").write_bytes(masks.png(3, 4, 3, np.random.default_rng(i).integers(0, 256, 36).astype(np.uint8).tobytes()))
