@@ -157,7 +157,7 @@ def test_pixels_of_files_pass_through_python_once(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {(i, p % 3, p // 6, p // 3 % 2, int(b)) for i, v in x.items() for p, b in enumerate(v)}
 
 
-@pytest.mark.parametrize("name", ["t7_predict_job"])
+@pytest.mark.parametrize("name", ["t7_predict_job", "x2_stream_masks"])
 def test_written_masks_pass_back_through_python_once(spark, name):
     got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
